@@ -1,7 +1,61 @@
-"""The corpus pipeline: quality, near duplicates, benchmark passages, mixture, shards."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, mixture, shards.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return
+the columns of `docs`. The dedup stage takes five-word shingles and a similarity of 0.8 or more; the first
+document of each group stays. Rows with a null text are scored as a blank line, link with nothing and are never
+contaminated.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.llm import decontamination, minhash_neardup, mixing, quality, sharding
+from quillspark.llm.common import save
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field doesn't reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return minhash_neardup.deduplicate(docs, n=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample that meets the target weights of source, language and topic."""
+    return mixing.sample(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with slot and shard."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("neardup", neardup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+#: The line field and the near-duplicate groups are beyond SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = save(docs, name)
+    return docs

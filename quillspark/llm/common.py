@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,16 @@ def drop(df: DataFrame) -> None:
         hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Shared:
+    """A broadcast object of this package's own classes, for workers that have no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self):
+        return pickle.loads(self._bytes.value)
+
+
 def partitions(spark: SparkSession) -> int:
     """The configured number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

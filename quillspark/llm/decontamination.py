@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER
+from .common import LOWER, Shared
 
 WINDOW = 10
 #: Windows in one broadcast block; a larger benchmark is scanned in several blocks.
@@ -113,16 +113,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     items that have a window in the text. A null text has no words. Columns of these names are replaced; all
     other columns stay. An empty benchmark hits nothing.
     """
-    sc = docs.sparkSession.sparkContext
-    at = docs.columns.index(text)
     out = docs.drop("n_words", "hit_runs", "hit_items").withColumns({"n_words": F.lit(0).cast("long"), "hit_runs": F.lit(None).cast("array<array<int>>"), "hit_items": F.lit(None).cast("array<long>")})
     at = out.columns.index(text)
     schema = out.schema
     for index in [*indexes(benchmark, window, block_windows)] or [WindowIndex([])]:
-        shared = sc.broadcast(index)
+        shared = Shared(docs.sparkSession, index)
 
         def run(batches, shared=shared):
-            index = shared.value
+            index = shared.load()
             for b in batches:
                 counts, runs, items = [], [], []
                 before = zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
+from .language_id import op1_language_id
 from .minhash_neardup import op9_minhash_neardup
 from .mixing import op6_mixing, op6_sql
+from .quality import op3_quality
 from .sharding import op10_sharding, op10_sql
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op6_mixing": op6_mixing,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_sharding": op10_sharding,
