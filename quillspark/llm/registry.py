@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
+from .embedding_neardup import OP7_SQL, op7_embedding_neardup
 from .language_id import op1_language_id
 from .minhash_neardup import op9_minhash_neardup
 from .mixing import op6_mixing, op6_sql
@@ -14,10 +15,11 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op6_mixing": op6_mixing,
+    "op7_embedding_neardup": op7_embedding_neardup,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_sharding": op10_sharding,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_mixing": op6_sql(), "op10_sharding": op10_sql()}
+    return {"op2_decontamination": OP2_SQL, "op6_mixing": op6_sql(), "op7_embedding_neardup": OP7_SQL, "op10_sharding": op10_sql()}
