@@ -238,7 +238,8 @@ def confirmed(docs: DataFrame, clusters: DataFrame, n: int, percent: int) -> Dat
 
     blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
     dealt = clusters.join(blocks, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    got = docs.join(dealt, "doc_id").select("doc_id", "text", "cluster", "block", "blocks").mapInArrow(sets, "doc_id long, cluster long, block int, blocks int, shingles binary")
+    # merge: the same plan at every size, whatever the number of clusters
+    got = docs.join(dealt.hint("merge"), "doc_id").select("doc_id", "text", "cluster", "block", "blocks").mapInArrow(sets, "doc_id long, cluster long, block int, blocks int, shingles binary")
     cells = got.select("doc_id", "shingles", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select(
         "cluster",
@@ -280,7 +281,7 @@ def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 24) ->
     Rows without doc_id stay, as do all rows that repeat a kept doc_id.
     """
     gone = near_duplicates(docs, n, percent, k).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")
 
 
 def op9_minhash_neardup(spark, sf_dir: str) -> DataFrame:
