@@ -9,6 +9,7 @@ from .minhash_neardup import op9_minhash_neardup
 from .mixing import op6_mixing, op6_sql
 from .quality import op3_quality
 from .sharding import op10_sharding, op10_sql
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op6_mixing": op6_mixing,
     "op7_embedding_neardup": op7_embedding_neardup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_sharding": op10_sharding,
 }
