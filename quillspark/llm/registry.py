@@ -7,6 +7,7 @@ from .embedding_neardup import OP7_SQL, op7_embedding_neardup
 from .language_id import op1_language_id
 from .minhash_neardup import op9_minhash_neardup
 from .mixing import op6_mixing, op6_sql
+from .paragraph_dedup import op4_substring_dedup
 from .quality import op3_quality
 from .sharding import op10_sharding, op10_sql
 from .suffix_dedup import op8_suffix_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_embedding_neardup": op7_embedding_neardup,
     "op8_suffix_dedup": op8_suffix_dedup,
