@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
 from .embedding_neardup import OP7_SQL, op7_embedding_neardup
+from .html_extraction import op5_html_extraction
 from .language_id import op1_language_id
 from .minhash_neardup import op9_minhash_neardup
 from .mixing import op6_mixing, op6_sql
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
     "op7_embedding_neardup": op7_embedding_neardup,
     "op8_suffix_dedup": op8_suffix_dedup,
