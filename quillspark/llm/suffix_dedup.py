@@ -314,11 +314,13 @@ def _compare(batches):
         r = np.concatenate(parts.pop(bucket))
         texts = [x[:n].tobytes() for x, n in zip(r["text"], r["len"])]
         doc, start = repeated_windows(texts, r["doc"].astype(np.int64), r["at"].astype(np.int64))
+        if not len(doc):
+            continue
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
         near = np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] <= start[:-1] + WINDOW)]
         s, e = runs(np.cumsum(~near))
-        spans = np.stack([start[s], start[e - 1] + WINDOW], 1).astype("<u4") if len(s) else np.zeros((0, 2), "<u4")
+        spans = np.stack([start[s], start[e - 1] + WINDOW], 1).astype("<u4")
         ids, blobs = _by_doc(doc[s], spans)
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "spans"])
 
