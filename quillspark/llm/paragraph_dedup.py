@@ -10,14 +10,13 @@ links only the first paragraph stays.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Forest, WordHashes, mix, partitions, runs, save
+from .common import LOWER, Forest, mix, partitions, runs, save, word_hashes
 from .components import components
 from .minhash_neardup import multipliers
 
@@ -29,8 +28,8 @@ PART_WORDS = 8
 LINE_WORDS = 20
 #: Paragraphs in one block of a band's list.
 CELL = 512
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(2**64 - 1)
 
 
 def tune_bands(similarity: float, recall: float = 0.99, rows: int = 4, bands: int = 64) -> tuple[int, int]:
@@ -44,32 +43,33 @@ def tune_bands(similarity: float, recall: float = 0.99, rows: int = 4, bands: in
 class Paragraphs:
     """The paragraphs of a text: word ranges, the words' hashes, and which are compared."""
 
-    def __init__(self, text: str | None, words: WordHashes):
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        lines = [x.split() for x in raw.translate(LOWER).split(b"\n")]
-        sizes = np.array([len(x) for x in lines])
-        self.ids = ids = words.of([w for x in lines for w in x])
-        n = len(ids)
-        ends = np.cumsum(sizes)[sizes > 0]
-        starts = ends - sizes[sizes > 0]
-        cut = np.zeros(n + 1, bool)
-        cut[starts] = True
+    def __init__(self, text: str | None):
+        self.raw = (text or "").encode("utf-8", "surrogatepass")
+        self.ids, self.at, self.to = word_hashes(self.raw.translate(LOWER))
+        ids, n = self.ids, len(self.ids)
+        if not n:
+            self.starts = self.ends = self.compared = np.zeros(0, np.int64)
+            return
+        breaks = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
+        line = np.searchsorted(breaks, self.at)
+        first = np.r_[True, line[1:] != line[:-1], True]
+        cut = first.copy()
         if n > 2 * REACH:
-            last = np.repeat(ends, sizes[sizes > 0])
-            at = np.arange(n)
-            h = np.full(n + 2 * REACH, np.iinfo(np.uint64).max, np.uint64)
+            h = np.full(n + 2 * REACH, _TOP)
             three = mix(mix(mix(ids[:-2]) * _M + ids[1:-1]) * _M + ids[2:])
-            inside = at[:-2] + 3 <= last[:-2]
-            h[REACH : REACH + n - 2][inside] = three[inside]
-            around = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1)
-            least = around.min(1)
+            h[REACH : REACH + n - 2] = np.where(line[2:] == line[:-2], three, _TOP)
+            part, width = h, 1  # the least of the next REACH values
+            while 2 * width <= REACH:
+                part = np.minimum(part[:-width], part[width:])
+                width *= 2
+            if width < REACH:
+                part = np.minimum(part[: width - REACH], part[REACH - width :])
             own = h[REACH : REACH + n]
-            cut[:n] |= (own == least) & (own < np.iinfo(np.uint64).max) & ((around == least[:, None]).sum(1) == 1)
+            cut[:n] |= (own < part[:n]) & (own < part[REACH + 1 : REACH + 1 + n])
         self.starts = np.flatnonzero(cut[:n])
-        self.ends = np.r_[self.starts[1:], n].astype(np.int64) if n else self.starts
-        size = self.ends - self.starts
-        whole = np.isin(self.starts, starts) & np.isin(self.ends, ends)
-        self.compared = np.flatnonzero(size >= np.where(whole, LINE_WORDS, PART_WORDS))
+        self.ends = np.r_[self.starts[1:], n]
+        whole = first[self.starts] & first[self.ends]
+        self.compared = np.flatnonzero(self.ends - self.starts >= np.where(whole, LINE_WORDS, PART_WORDS))
 
     def __len__(self):
         return len(self.starts)
@@ -99,13 +99,13 @@ def _post(bands: int, rows: int, buckets: int):
     """Paragraphs by band keys; within a batch a text is posted once, for its first place, and its other places by text alone."""
 
     def run(batches):
-        words, (mul, add) = WordHashes(), multipliers(bands * rows)
+        mul, add = multipliers(bands * rows)
         for b in batches:
             texts, docs, ats, mins = [], [], [], []
             order = sorted((d, i) for i, d in enumerate(b.column("doc_id").to_pylist()) if d is not None)
             column = b.column("text")
             for d, i in order:
-                p = Paragraphs(column[i].as_py(), words)
+                p = Paragraphs(column[i].as_py())
                 h, s, e = p.shingles()
                 if not len(s):
                     continue
@@ -174,11 +174,10 @@ def _meet(batches):
 
 def _sets(batches):
     """The shingle sets of the wanted paragraphs, one row for each list they are in."""
-    words = WordHashes()
     for b in batches:
         out: list[list] = [[] for _ in range(7)]
         for d, t, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
-            p = Paragraphs(t, words)
+            p = Paragraphs(t)
             h, s, e = p.shingles()
             where = {int(c): k for k, c in enumerate(p.compared)}
             for w in wanted:
@@ -255,34 +254,33 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     return named.join(first, "class").select("doc_id", "at", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
 
 
-def cut(text: str, paragraphs: Paragraphs, gone: list[int]) -> str:
-    """`text` without some paragraphs; a line that loses all its words goes with its line break."""
-    raw = text.encode("utf-8", "surrogatepass")
-    drop = np.zeros(len(paragraphs.ids), bool)
+def cut(paragraphs: Paragraphs, gone: list[int]) -> str:
+    """The text without some paragraphs; a line that loses all its words goes with its line break."""
+    p, raw = paragraphs, paragraphs.raw
+    drop = np.zeros(len(p.ids), bool)
     for g in gone:
-        drop[paragraphs.starts[g] : paragraphs.ends[g]] = True
-    out, k = [], 0
+        drop[p.starts[g] : p.ends[g]] = True
+    out, at = [], 0
     for line in raw.split(b"\n"):
-        spans = [m.span() for m in _WORD.finditer(line)]
-        lost = drop[k : k + len(spans)]
-        k += len(spans)
+        lo, hi = np.searchsorted(p.at, (at, at + len(line)))
+        lost = drop[lo:hi]
         if not lost.any():
             out.append(line)
         elif not lost.all():
-            kept = [line[s:e] for (s, e), x in zip(spans, lost) if not x]
-            out.append(b" ".join(kept))
+            out.append(b" ".join(raw[p.at[k] : p.to[k]] for k in range(lo, hi) if not drop[k]))
+        at += len(line) + 1
     return b"\n".join(out).decode("utf-8", "surrogatepass")
 
 
 def remove_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` with text cut, and n_paragraphs, n_shared, n_removed, source_docs and kept_sha256.
+    """`docs` with text cut, and n_lines, n_shared, n_removed, source_docs and kept_sha256.
 
-    n_shared counts the paragraphs that have a near duplicate, n_removed those of them that are not the first of
+    n_lines counts the lines of the input, n_shared the paragraphs that have a near duplicate, n_removed those of them that are not the first of
     their component by (doc_id, place); source_docs are the sorted documents where the first ones stand. A null
-    text has no paragraphs and stays null. Rows without doc_id share nothing. Rows that repeat a doc_id are taken
+    text has no lines and stays null. Rows without doc_id share nothing. Rows that repeat a doc_id are taken
     as the same document. Columns of the new names are replaced, all others stay.
     """
-    made = {"n_paragraphs": "long", "n_shared": "long", "n_removed": "long", "source_docs": "array<bigint>", "kept_sha256": "string"}
+    made = {"n_lines": "long", "n_shared": "long", "n_removed": "long", "source_docs": "array<bigint>", "kept_sha256": "string"}
     source = docs.drop(*made)
     found = repeated_paragraphs(source, percent)
     later = (F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at"))
@@ -292,16 +290,17 @@ def remove_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     schema = source.withColumns({k: F.lit(None).cast(t) for k, t in made.items()}).schema
 
     def run(batches):
-        words = WordHashes()
         for b in batches:
             texts, cols = [], [[] for _ in made]
             extra = (b.column(b.num_columns - k).to_pylist() for k in (3, 2, 1))
             for t, shared, gone, sources in zip(b.column(at).to_pylist(), *extra):
-                p = Paragraphs(t, words)
-                gone = [g for g in gone or [] if g < len(p)]
-                new = cut(t, p, gone) if gone else t
+                new = t
+                if gone and t:
+                    p = Paragraphs(t)
+                    gone = [g for g in gone if g < len(p)]
+                    new = cut(p, gone)
                 texts.append(new)
-                for c, x in zip(cols, (len(p), shared or 0, len(gone), sources or [], hashlib.sha256((new or "").encode("utf-8", "surrogatepass")).hexdigest())):
+                for c, x in zip(cols, (t.count("\n") + 1 if t else 0, shared or 0, len(gone or []), sources or [], hashlib.sha256((new or "").encode("utf-8", "surrogatepass")).hexdigest())):
                     c.append(x)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
             old = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-3])]
@@ -312,4 +311,4 @@ def remove_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_paragraphs", "n_shared", "n_removed", "source_docs", "kept_sha256")
+    return remove_repeats(docs).select("doc_id", "n_lines", "n_shared", "n_removed", "source_docs", "kept_sha256")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import embedding_neardup, minhash_neardup, paragraph_dedup, suffix_dedup
-from quillspark.llm.common import LOWER, Forest
+from quillspark.llm.common import LOWER, Forest, word_hashes
 from quillspark.llm.components import components
 
 from .conftest import edited, prose
@@ -176,12 +176,23 @@ def test_paragraphs_catch_inner_passages_and_leave_the_rest(frame, rng):
 
 def test_paragraphs_near_copies_of_whole_lines(frame, rng):
     line = " ".join(f"word{i}" for i in range(24))
-    words = paragraph_dedup.WordHashes()
-    assert len(paragraph_dedup.Paragraphs(line, words).compared) >= 1
+    assert len(paragraph_dedup.Paragraphs(line).compared) >= 1
     got = paragraph_dedup.repeated_paragraphs(frame([(1, line), (2, line.upper()), (3, prose(rng, 40))], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.first_doc) for r in got} == {(1, 1), (2, 1)}
 
 
+def test_word_hashes_do_not_depend_on_place_or_blocks(rng):
+    text = "  " + prose(rng, 3000).replace(" a", "\n\ta") + "é\x1fz  "
+    raw = text.encode()
+    whole, parts = word_hashes(raw), word_hashes(raw, 64)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert [raw[s:e] for s, e in zip(whole[1], whole[2])] == raw.split()
+    by_word = {}
+    for w, h in zip(raw.split(), whole[0].tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word) and len(word_hashes(b" \n")[0]) == 0
+
+
 def test_bands_are_tuned():
     bands, rows = paragraph_dedup.tune_bands(0.8, 0.99)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.99
