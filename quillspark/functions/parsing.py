@@ -12,9 +12,16 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import json_blob, null_if_blank, split_reply_list, strip_fence, strip_thinking
 
+def _rows(**fields) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+
 #: Scope labels and what they mean.
 SCOPES = {"supported": "supported", "non-critical": "supported", "non_critical": "supported", "internal": "internal_medicine", "internal_medicine": "internal_medicine", "critical": "critical", "unsupported": "unsupported"}
 #: Long field names and their short spellings.
@@ -161,7 +168,7 @@ class _Texts(HTMLParser):
                 self.parts.append(text)
 
 
-@F.pandas_udf("title string, text string")
+@F.pandas_udf(_rows(title=_TEXT, text=_TEXT))
 def page_texts(pages: pd.Series) -> pd.DataFrame:
     """SRC9: the title, and text nodes longer than 24 characters, of a page."""
     out = []
@@ -198,7 +205,7 @@ class _Items(HTMLParser):
             self.buffer.append(data)
 
 
-@F.pandas_udf("paragraphs array<string>, list_items array<string>")
+@F.pandas_udf(_rows(paragraphs=_TEXTS, list_items=_TEXTS))
 def summary_parts(pages: pd.Series) -> pd.DataFrame:
     """SRC10: paragraphs and list items of an HTML summary."""
     out = []
@@ -211,7 +218,7 @@ def summary_parts(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["paragraphs", "list_items"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
@@ -225,7 +232,7 @@ def html_to_text(value) -> Column:
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TEXTS)
 def docx_paragraphs(files: pd.Series) -> pd.Series:
     """SRC13: non-empty paragraphs of word-processor files, white space squeezed; null for other files."""
     def one(raw):
@@ -240,7 +247,7 @@ def docx_paragraphs(files: pd.Series) -> pd.Series:
     return files.map(one)
 
 
-@F.pandas_udf("array<struct<title: string, body: string>>")
+@F.pandas_udf(T.ArrayType(_rows(title=_TEXT, body=_TEXT)))
 def monographs(texts: pd.Series) -> pd.Series:
     """SRC14, WIN11: monographs of a long text; one starts at a line that is followed by an empty line and Definition, and ends where the next starts."""
     start = re.compile(r"\n[ \t]*([^\n]+?)[ \t]*\n\s*\n(?=[ \t]*Definition)")
