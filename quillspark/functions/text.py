@@ -56,7 +56,8 @@ def synonym(token: Column, lexicon: Lexicon = DEFAULT) -> Column:
     if not lexicon.synonyms:
         return token
     pairs = [F.lit(x) for kv in lexicon.synonyms.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), token), token)
+    known = token.isin(list(lexicon.synonyms))  # a hash test; few tokens reach the map
+    return F.when(known, F.try_element_at(F.create_map(*pairs), token)).otherwise(token)
 
 
 def contains_phrase(norm, phrase: str) -> Column:

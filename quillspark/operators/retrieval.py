@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.text import normalize, synonym, tokenize
@@ -67,11 +69,14 @@ def weight(n: Column, top: Column, idf_: Column) -> Column:
 
 
 class TfidfIndex:
-    """UD1: exact cosine over TF-IDF weights. postings (key, token, w), norms (key, norm), idfs (token, idf)."""
+    """UD1: exact cosine over TF-IDF weights. postings (key, token, w), norms (key, norm), idfs (token, idf).
+
+    The term counts are the index: they are kept in memory and on disk for as many searches as follow.
+    """
 
     def __init__(self, docs: DataFrame, key: str = "id", text: str = "text", lexicon: Lexicon = DEFAULT):
         self.key, self.lexicon = key, lexicon
-        counts = term_counts(docs, key, text, lexicon)
+        counts = term_counts(docs, key, text, lexicon).persist(StorageLevel.MEMORY_AND_DISK)
         n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
         self.idfs = document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("token", idf(F.col("df"), F.col("n_docs")).alias("idf"))
         self.postings = counts.join(self.idfs, "token").select(key, "token", weight(F.col("n"), F.col("top"), F.col("idf")).alias("w"))
@@ -89,11 +94,14 @@ class TfidfIndex:
         Scores are rounded to four places before they are ranked; ties go to the smaller key.
         """
         q = _small(self.query_weights(queries, query, text))
-        hits = self.postings.join(q, "token")
-        dots = hits.groupBy("query", self.key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.first("qnorm").alias("qnorm"), F.array_join(F.array_sort(F.collect_set("token")), " ").alias("matched_terms"))
-        scored = dots.join(self.norms, self.key).withColumn("score", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")), 4))
-        best = W.partitionBy("query").orderBy(F.desc("score"), self.key)
-        return scored.where("dot > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", self.key, "score", "rank", "matched_terms")
+        dots = self.postings.join(q, "token").groupBy("query", self.key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.first("qnorm").alias("qnorm"))
+        scored = dots.where("dot > 0").join(self.norms, self.key).withColumn("score", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")), 4))
+        rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), self.key))
+        best = scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", self.key, "score", "rank").persist(StorageLevel.MEMORY_AND_DISK)
+        # the matched terms of the few results, not of all pairs
+        terms = best.join(q.select("query", "token"), "query").join(self.postings.select(self.key, "token"), [self.key, "token"])
+        terms = terms.groupBy("query", self.key).agg(F.array_join(F.array_sort(F.collect_set("token")), " ").alias("matched_terms"))
+        return best.join(terms, ["query", self.key])
 
 
 def _place(term: str, dimension: int) -> tuple[int, float]:
@@ -105,21 +113,26 @@ def _place(term: str, dimension: int) -> tuple[int, float]:
 def hash_embedding(terms, dimension: int = DIMENSION) -> Column:
     """AGG5, UD2: a unit vector of signed counts of tokens and bigrams in hashed buckets; zeros if there are no terms."""
 
-    @F.pandas_udf("array<double>")
-    def embed(s: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
-        out = []
-        for tokens in s:
-            v = np.zeros(dimension)
-            tokens = [] if tokens is None else list(tokens)
-            for t in tokens + [f"{a}__{b}" for a, b in zip(tokens, tokens[1:])]:
-                if t not in known:
-                    known[t] = _place(t, dimension)
-                bucket, sign = known[t]
-                v[bucket] += sign * (BIGRAM_WEIGHT if "__" in t else 1.0)
-            norm = np.sqrt((v * v).sum())
-            out.append(v / norm if norm else v)
-        return pd.Series(out)
+    class Places(dict):
+        def __missing__(self, term: str) -> tuple[int, float]:
+            if len(self) >= 500_000:
+                self.clear()
+            bucket, sign = _place(term, dimension)
+            self[term] = found = bucket, sign * (BIGRAM_WEIGHT if "__" in term else 1.0)
+            return found
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Places()
+        for s in parts:
+            out = []
+            for tokens in s:
+                tokens = [] if tokens is None else list(tokens)
+                at = [known[t] for t in tokens + [f"{a}__{b}" for a, b in zip(tokens, tokens[1:])]]
+                v = np.bincount([a for a, _ in at], [w for _, w in at], dimension) if at else np.zeros(dimension)
+                norm = np.sqrt((v * v).sum())
+                out.append(v / norm if norm else v)
+            yield pd.Series(out)
 
     return embed(terms)
 
@@ -134,7 +147,7 @@ def cosine(a, b) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", keep: Callable[[], Column] | None = None) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """TOP2: (query, key, score, rank) by exact cosine, clamped to 0 and 1, rounded; zero scores stay, zero queries give nothing.
 
     Every task scores its block of vectors against the queries by one matrix product and passes on only its best
