@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from .common import LOWER, PACKED, Forest, WordHashes, mix, pack, partitions, runs, save, shingle_hashes, unpack
 from .components import components
 
-#: Most rows compared at once, for bounded memory.
-BLOCK = 1024
 #: Documents in one block of a cluster.
 CELL = 256
 
@@ -93,12 +91,6 @@ def _post(k: int, prefix: int, buckets: int):
     return post, record
 
 
-def _agreeing(x: np.ndarray, y: np.ndarray, at: int, t: int) -> np.ndarray:
-    """Which pairs have t equal coordinates and none equal before coordinate `at`."""
-    same = x == y
-    return (same.sum(-1) >= t) & ~same[..., :at].any(-1)
-
-
 def _merge(k: int, t: int, record):
     """Pairs of the lists of a partition, as the edges of a spanning forest of each list."""
 
@@ -119,19 +111,18 @@ def _merge(k: int, t: int, record):
                 yield from zip(r["doc"][i[ok]].tolist(), r["doc"][j[ok]].tolist())
         for s, e in zip(starts[size > 24], ends[size > 24]):
             sig, doc, at = r["sig"][s:e], r["doc"][s:e].tolist(), int(r["at"][s])
-            forest = Forest()
-            step = max(1, 2_000_000 // (e - s))
-            for lo in range(0, len(doc), step):
-                count = np.zeros((min(step, len(doc) - lo), len(doc) - lo), np.uint8)
-                early = np.zeros(count.shape, bool)
-                for i in range(k):
-                    same = sig[lo : lo + step, i, None] == sig[None, lo:, i]
-                    count += same
-                    if i < at:
-                        early |= same
-                for i, j in zip(*np.nonzero(np.triu((count >= t) & ~early, 1))):
-                    if forest.join(doc[lo + i], doc[lo + j]):
-                        yield doc[lo + i], doc[lo + j]
+            tree = np.arange(len(doc))
+            for i in range(len(doc) - 1):  # members of one tree needn't be compared any more
+                j = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
+                if not len(j):
+                    continue
+                same = sig[j] == sig[i]
+                near = same.sum(1) >= t
+                if near.any():
+                    early = same[near, :at].any(1)
+                    j = j[near]
+                    yield from ((doc[i], doc[x]) for x in j[~early])
+                    tree[np.isin(tree, tree[j])] = tree[i]
 
     def merge(batches):
         r = unpack(batches, record)
@@ -223,24 +214,54 @@ def _confirm(percent: int):
     return confirm
 
 
+def _with_hub(percent: int):
+    """Links of documents with the hub of their cluster."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for hub, h, doc, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                x, y = np.frombuffer(h, "<u8"), np.frombuffer(s, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if hub != doc and 100 * both >= percent * (len(x) + len(y) - both):
+                    a.append(hub)
+                    b.append(doc)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def confirmed(docs: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) that connect all pairs of a cluster whose full shingle sets are similar enough.
 
-    docs: doc_id, text. clusters: id, component. A cluster is dealt over cells, one for each pair of its
-    blocks of about 256 documents, so no task holds more than two blocks.
+    docs: doc_id, text. clusters: id, component. In a cluster of more than one block of about 256 documents,
+    each is first compared with the cluster's hub, its smallest id. Documents that link with the hub are of one
+    component and need no comparison among themselves; the others are compared with one another and with those.
+    These comparisons are dealt over cells, one for each pair of blocks, so no task holds more than two blocks.
     """
+    parts = partitions(docs.sparkSession)
 
     def sets(batches):
         words = WordHashes()
         for b in batches:
             got = [word_set(t.as_py(), n, words).tobytes() for t in b.column("text")]
-            yield pa.record_batch([b.column("doc_id"), b.column("cluster"), b.column("block"), b.column("blocks"), pa.array(got, pa.binary())], names=["doc_id", "cluster", "block", "blocks", "shingles"])
+            yield pa.record_batch([b.column("doc_id"), b.column("cluster"), b.column("size"), pa.array(got, pa.binary())], names=["doc_id", "cluster", "size", "shingles"])
 
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
-    dealt = clusters.join(blocks, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    dealt = clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "size")
     # merge: the same plan at every size, whatever the number of clusters
-    got = docs.join(dealt.hint("merge"), "doc_id").select("doc_id", "text", "cluster", "block", "blocks").mapInArrow(sets, "doc_id long, cluster long, block int, blocks int, shingles binary")
-    cells = got.select("doc_id", "shingles", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    got = save(docs.join(dealt.hint("merge"), "doc_id").select("doc_id", "text", "cluster", "size").mapInArrow(sets, "doc_id long, cluster long, size long, shingles binary"), "shingles")
+    large = got.where(F.col("size") > CELL).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / CELL)))
+    hubs = got.where((F.col("size") > CELL) & (F.col("doc_id") == F.col("cluster"))).select("cluster", F.col("shingles").alias("hub"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CELL) - 1)).alias("salt"))
+    with_hub = save(large.join(hubs.dropDuplicates(["cluster", "salt"]), ["cluster", "salt"]).select("cluster", "hub", "doc_id", "shingles").mapInArrow(_with_hub(percent), "a long, b long"), "hublinks")
+    settled = with_hub.select(F.col("b").alias("doc_id"), F.lit(True).alias("settled")).distinct()
+    marked = got.join(settled, "doc_id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    shares = marked.groupBy("cluster").agg(F.ceil(F.count_if(~F.col("settled")) / CELL).cast("int").alias("open"), F.ceil(F.count_if("settled") / CELL).cast("int").alias("shut"))
+    placed = marked.join(shares, "cluster")
+    block = F.when(F.col("settled"), F.col("open") + F.pmod(F.xxhash64("doc_id"), F.col("shut"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("open"))).cast("int")
+    # open blocks meet all blocks, settled ones only the open blocks
+    others = F.when(F.col("settled"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("shut") - 1))
+    cells = placed.where("open > 0").withColumn("block", block).select("doc_id", "shingles", "cluster", "block", F.explode(others).alias("other"))
     cells = cells.select(
         "cluster",
         F.least("block", "other").alias("x"),
@@ -249,7 +270,8 @@ def confirmed(docs: DataFrame, clusters: DataFrame, n: int, percent: int) -> Dat
         "doc_id",
         "shingles",
     )
-    return cells.repartition(partitions(docs.sparkSession), "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "side", "doc_id").mapInArrow(_confirm(percent), "a long, b long")
+    rest = cells.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "side", "doc_id").mapInArrow(_confirm(percent), "a long, b long")
+    return with_hub.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
