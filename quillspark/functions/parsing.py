@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import json_blob, null_if_blank, split_reply_list, strip_fence, strip_thinking
+from .text import json_blob, null_if_blank, split_reply_list, strip_ends, strip_fence, strip_thinking
 
 def _rows(**fields) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
@@ -36,7 +36,7 @@ def _c(x) -> Column:
 
 def scope_of(raw) -> Column:
     """JSN1: the first known label among parts between bars, commas and slashes; unsupported if there is none."""
-    parts = F.filter(F.transform(F.split(F.lower(F.trim(_c(raw))), r"[|,/]+"), lambda t: F.trim(t)), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(F.lower(_c(raw)), r"[|,/]+"), strip_ends), lambda t: t != "")
     table = F.create_map(*[F.lit(x) for kv in SCOPES.items() for x in kv])
     return F.coalesce(F.get(F.array_compact(F.transform(parts, lambda t: F.try_element_at(table, t))), 0), F.lit("unsupported"))
 
@@ -59,12 +59,12 @@ def assessment(reply) -> Column:
 
     def text(name: str) -> Column:
         names = [name] + ([ALIASES[name]] if name in ALIASES else [])
-        return F.trim(F.coalesce(*[F.nullif(raw(n), F.lit("")) for n in names], F.lit("")))
+        return strip_ends(F.coalesce(*[F.nullif(raw(n), F.lit("")) for n in names], F.lit("")))
 
     def items(name: str) -> Column:
         def one(n: str) -> Column:
             array = F.try_variant_get(data, f"$.{n}", "array<string>")
-            trimmed = F.filter(F.transform(array, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+            trimmed = F.filter(F.transform(array, strip_ends), lambda x: x.isNotNull() & (x != ""))
             whole = raw(n)
             return F.when(array.isNotNull(), F.when(F.size(array) > 0, trimmed)).when(F.coalesce(whole, F.lit("")) != "", split_reply_list(whole))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .lexicon import DEFAULT, Lexicon
 from .signals import DETAIL_QUESTION, DURATION_QUESTION, EXISTENCE, GENERIC_QUESTION, duplicate_question, mentioned_symptoms
-from .text import any_phrase, normalize, tokenize
+from .text import any_phrase, normalize, strip_ends, tokenize
 
 ASSESSMENT = "scope string, scope_reason string, suspected_conditions array<string>, reasoning string, enough_information boolean, follow_up_question string, follow_up_rationale string, red_flags array<string>, need_medical_referral boolean, final_answer string, recommended_herbal_name string, ingredients array<string>, preparation string, dosage string, warning_notes string, source_hint string"
 FOLLOW_UP_WEIGHTS = {"safety": 0.25, "grounding": 0.2, "completeness": 0.16, "relevance": 0.16, "language": 0.08, "question_quality": 0.05, "non_repetition": 0.1}
@@ -128,7 +128,7 @@ def relevance(a, message, titles, symptoms, lexicon: Lexicon = DEFAULT) -> Colum
 def question_quality(a, asked, most, force_final) -> Column:
     """SCO7."""
     a = _c(a)
-    q = F.trim(F.coalesce(a["follow_up_question"], F.lit("")))
+    q = strip_ends(F.coalesce(a["follow_up_question"], F.lit("")))
     marks = F.length(q) - F.length(F.replace(q, F.lit("?"), F.lit("")))
     score = F.lit(0.35) + _points((0.18, F.endswith(q, F.lit("?"))), (0.18, F.length(q).between(15, 180)), (0.12, marks <= 1), (0.1, _c(asked) < _c(most)))
     return F.when(_c(force_final) | a["enough_information"], F.lit(0.5)).when(q == "", F.lit(0.0)).otherwise(_capped(score))
@@ -164,7 +164,7 @@ def herbal_fit(a, titles) -> Column:
 
 def language(reply) -> Column:
     """SCO10: by length."""
-    n = F.length(F.regexp_replace(F.coalesce(_c(reply), F.lit("")), r"^\s+|\s+$", ""))
+    n = F.length(strip_ends(F.coalesce(_c(reply), F.lit(""))))
     return F.when(n.between(20, 1800), F.lit(1.0)).when(n.between(10, 19) | n.between(1801, 2600), F.lit(0.75)).otherwise(F.lit(0.45))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import DEFAULT, Lexicon
-from .text import any_phrase, contains_phrase, normalize, tokenize
+from .text import any_phrase, contains_phrase, normalize, strip_ends, tokenize
 
 
 def _c(x) -> Column:
@@ -208,7 +208,7 @@ IMMEDIATE = ("demam", "sakit kepala", "batuk", "sesak napas", "nyeri perut", "mu
 
 def low_quality_question(question) -> Column:
     """FLT19: without question mark at the end, or without a clinical word."""
-    q = F.trim(F.lower(F.coalesce(_c(question), F.lit(""))))
+    q = strip_ends(F.lower(F.coalesce(_c(question), F.lit(""))))
     return ~F.endswith(q, F.lit("?")) | ~any_phrase(q, CLINICAL_TERMS)
 
 

@@ -17,6 +17,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip_ends(text: Column) -> Column:
+    """Without white space of any kind at the ends; trim() would leave tabs and line breaks."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no expression for it."""
@@ -84,7 +89,7 @@ def hint(text, lexicon: Lexicon = DEFAULT) -> Column:
 
 
 def _split(text, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), pattern), strip_ends), lambda x: x != "")
 
 
 def split_semicolon(text) -> Column:
@@ -104,7 +109,7 @@ def split_reply_list(text) -> Column:
 
 def clean_list(items) -> Column:
     """STR9: trimmed items without nulls and empty ones."""
-    return F.filter(F.transform(_c(items), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(_c(items), strip_ends), lambda x: x.isNotNull() & (x != ""))
 
 
 def squeeze(text) -> Column:
@@ -152,10 +157,6 @@ DISCLAIMER_SNIPPET = "bukan diagnosis medis final"
 DISCLAIMER = "Informasi ini bersifat rekomendasi awal dan edukasi, bukan diagnosis medis final dan bukan pengganti konsultasi tenaga kesehatan."
 
 
-def strip_ends(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def clean_reply(text) -> Column:
     """STR18: unified line breaks, no leaked instructions, no trailing blanks, at most one empty line in a row."""
     c = strip_ends(F.replace(F.coalesce(_c(text), F.lit("")), F.lit("\r\n"), F.lit("\n")))
@@ -215,7 +216,7 @@ def preparation_steps(text, most: int = 8) -> Column:
 
 def as_sentence(text) -> Column:
     """STR24: with a full stop unless it ends in one of .!?"""
-    c = F.trim(_c(text))
+    c = strip_ends(_c(text))
     return F.when((c == "") | c.rlike(r"[.!?]$"), c).otherwise(F.concat(c, F.lit(".")))
 
 
@@ -265,13 +266,13 @@ def section(text, heading: str, headings) -> Column:
 
 def is_heading(text, prefixes) -> Column:
     """STR33: whether the lower-case text starts with a heading's words."""
-    c = F.lower(F.trim(_c(text)))
+    c = F.lower(strip_ends(_c(text)))
     return F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(c, p))
 
 
 def to_points(lines, limit: int, metadata: str = r"(?i)^(sumber|penulis|editor|tanggal)\b") -> Column:
     """STR34: bullets stripped, lines of metadata and repeats dropped, at most `limit`; sentences if nothing is left."""
-    c = F.transform(_c(lines), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•·]|\d+[.)])\s*", "")))
+    c = F.transform(_c(lines), lambda x: strip_ends(F.regexp_replace(x, r"^\s*(?:[-*•·]|\d+[.)])\s*", "")))
     points = F.slice(F.array_distinct(F.filter(c, lambda x: (x != "") & ~x.rlike(metadata))), 1, limit)
     return F.when(F.size(points) > 0, points).otherwise(F.slice(sentences(F.array_join(_c(lines), " ")), 1, limit))
 
@@ -309,4 +310,4 @@ def bullet_list(items) -> Column:
 
 def null_if_blank(text) -> Column:
     """Trimmed, null where nothing is left."""
-    return F.nullif(F.trim(_c(text)), F.lit(""))
+    return F.nullif(strip_ends(_c(text)), F.lit(""))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, scoring, signals
 from ..functions.lexicon import DEFAULT
-from ..functions.text import any_phrase, clean_reply, normalize, stable_hash, tokenize
-from ..operators import curate, dialogue, retrieval, split
+from ..functions.text import any_phrase, as_sentence, clean_reply, excerpt, limit_text, normalize, slugify, stable_hash, tokenize
+from ..operators import curate, dialogue, replies, retrieval, split
 from ..streaming import capture
 
 #: Phrases that seed the test conversations, which are in other languages than the lexicon.
@@ -364,6 +364,86 @@ def reply_cleanup(spark, sf):
     return c.select("conv_id", "turn", clean_reply(dirty).alias("reply"))
 
 
+def text_excerpts(spark, sf):
+    """Excerpts, word-bounded limits and sentence summaries."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", excerpt("text", 120).alias("excerpt"), excerpt("text", 90, True).alias("hard"), limit_text("text", 50).alias("limited"), slugify(F.substring("text", 1, 60)).alias("slug"), as_sentence(F.substring("text", 1, 40)).alias("sentence"))
+
+
+def legacy_merge(spark, sf):
+    """Suppliers filled up from customers of the same key, then the customers that no supplier has."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.pmod("s_suppkey", F.lit(3)) > 0, F.col("s_name")).alias("name"), F.lit(None).cast("string").alias("segment"))
+    legacy = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return curate.with_legacy(rows, legacy, "id", ["name", "segment"])
+
+
+def override_join(spark, sf):
+    """Parts with an override by name or type, the name first; of repeated overrides the last counts."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    over = p.where("p_size <= 10").select(F.col("p_name").alias("key"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("steps"), F.col("p_partkey").alias("ord")).unionByName(
+        p.where("p_size = 20 and p_type = 'SMALL'").select(F.col("p_type").alias("key"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("steps"), F.col("p_partkey").alias("ord"))
+    )
+    return curate.with_overrides(p, over, ["p_name", "p_type"], "steps", F.lit("standard"), "ord").select("p_partkey", "steps")
+
+
+def source_collect_order(spark, sf):
+    """Customers of each nation with their regions' names in the order of a key list."""
+    keys = F.array(F.pmod(F.col("n_regionkey") + 2, F.lit(5)), F.col("n_regionkey"), F.pmod(F.col("n_regionkey") + 1, F.lit(5)))
+    records = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), keys.alias("source_keys"))
+    regions = table(spark, sf, "region").select(F.col("r_regionkey").alias("source_key"), F.col("r_name").alias("title"), F.concat(F.lit("u"), F.col("r_regionkey").cast("string")).alias("url"))
+    out = curate.collect_sources(records, regions)
+    return out.select("id", F.array_join("source_titles", "|").alias("titles"), F.array_join("source_urls", "|").alias("urls"))
+
+
+def candidate_best_per_request(spark, sf):
+    return dialogue.best_candidate(_candidates(spark, sf), ["request"], "score", "event_id").select("request", "model", "score", "event_id")
+
+
+def value_counts_manifest(spark, sf):
+    """Value counts and table counts in one relation."""
+    counts = curate.value_counts(table(spark, sf, "documents"), "lang").select(F.concat(F.lit("lang:"), F.col("lang")).alias("name"), "n")
+    return counts.unionByName(curate.manifest({t: table(spark, sf, t) for t in ("documents", "labels", "benchmark", "pages")}))
+
+
+def keyword_evidence(spark, sf):
+    """Keyword, ASCII and citation predicates."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", curate.has_any("text", ["license", "rights"]).alias("notice"), signals.is_ascii("text").alias("ascii"), signals.cited_evidence("text").alias("cited"), signals.excluded_title(F.substring("text", 1, 80), ["the ", "der "]).alias("excluded"))
+
+
+def template_rotation(spark, sf):
+    """Rotated lists and items by number."""
+    labels = table(spark, sf, "labels").select("doc_id").distinct()
+    items = F.array(*[F.lit(v) for v in VARIANTS])
+    return labels.select("doc_id", F.array_join(curate.rotate(items, F.col("doc_id")), ",").alias("rotated"), curate.pick(items, F.col("doc_id")).alias("picked"))
+
+
+def follow_up_choice(spark, sf):
+    """The next question of each conversation after its last user turn."""
+    c = dialogue.running_text(seeded(spark, sf)).where("role = 'user'")
+    last = c.groupBy("conv_id").agg(F.max_by("running_text", "turn").alias("text"))
+    a = signals.analyze(last)
+    answered = {"duration": F.col("has_duration_signal"), "safety": F.col("has_safety_clearance_signal"), "detail": F.col("has_intensity_signal") | F.col("has_progression_signal")}
+    a = a.withColumn("candidates", replies.candidate_questions("present_symptoms", "absent_symptoms", answered))
+    chosen = replies.pick_question("candidates", F.array_union("present_symptoms", "absent_symptoms"), F.col("has_duration_signal"), F.col("has_intensity_signal"), F.array().cast("array<string>"))
+    return a.select("conv_id", F.size("candidates").alias("n_candidates"), chosen.alias("question"))
+
+
+def assessment_scores(spark, sf):
+    """All score parts of assistant turns taken as follow-up assessments."""
+    c = seeded(spark, sf)
+    c = c.withColumn("before", F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))).where("role = 'assistant'")
+    c = signals.analyze(c.withColumns({"reply": F.col("text"), "text": F.col("before")}))
+    empty = F.array().cast("array<string>")
+    fields = {"scope": F.lit("supported"), "scope_reason": F.lit(""), "suspected_conditions": F.col("present_symptoms"), "reasoning": F.col("reply"), "enough_information": F.lit(False), "follow_up_question": F.concat(F.substring("reply", -60, 60), F.lit("?")), "follow_up_rationale": F.lit("x"), "red_flags": F.col("red_flags"), "need_medical_referral": F.size("red_flags") > 0}
+    fields |= {"final_answer": F.col("reply"), "recommended_herbal_name": F.lit(""), "ingredients": empty, "preparation": F.lit(""), "dosage": F.lit(""), "warning_notes": F.lit(""), "source_hint": F.lit("")}
+    a = F.struct(*[v.alias(k) for k, v in fields.items()])
+    summary = F.struct("present_symptoms", "absent_symptoms", "detected_symptoms", F.col("has_duration_signal").alias("has_duration"), empty.alias("asked_questions"))
+    c = c.withColumns({"a": a, "s": summary, "titles": F.array(F.substring("before", 1, 40))})
+    parts = scoring.assessment_scores("a", F.lit("follow_up"), "titles", "s", "before", F.lit(0), F.lit(3), F.lit(False))
+    return c.select("conv_id", "turn", *[v.alias(k) for k, v in parts.items()])
+
+
 def turn_capture_stream(spark, sf):
     return capture.captured(spark, f"{sf}/conversations.parquet")
 
@@ -380,6 +460,7 @@ QUERIES = {
         question_budget_route, duplicate_question_history, score_candidates_argmax, assessment_parse, parse_json_payload, model_benchmark_rollup, stage_win_pivot,
         page_text_extract, page_title_link_stats, page_node_text, dedupe_first_by_hash, entity_merge, keyword_profile_match_top4, template_expansion, sft_from_log,
         leakage_components, group_split_audit, group_split_rows, sequential_ids, evidence_rank, conversation_summary_export, candidate_explode_export, benchmark_contamination,
-        conversation_features, rolled_up_tokens, reply_cleanup, turn_capture_stream, session_state_stream,
+        conversation_features, rolled_up_tokens, reply_cleanup, text_excerpts, legacy_merge, override_join, source_collect_order, candidate_best_per_request,
+        value_counts_manifest, keyword_evidence, template_rotation, follow_up_choice, assessment_scores, turn_capture_stream, session_state_stream,
     )
 }

@@ -152,7 +152,7 @@ SQL = {
             least(0.5::DOUBLE, {_sum(scoring.RISKY)} * 0.12::DOUBLE) AS penalty FROM e),
         t AS (SELECT *, round(greatest(0, least(1, {_LEGACY_TOTAL} - penalty)), 4) AS total FROM p)
         SELECT conv_id, turn, round(safety, 4) AS safety, round(grounding, 4) AS grounding, round(completeness, 4) AS completeness, round(language, 4) AS language, round(penalty, 4) AS penalty, total FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total DESC, turn) = 1""",
-    "assessment_parse": r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'supported' ELSE 'internal_medicine' END AS scope, regexp_replace(text, '^ +| +$', '', 'g') AS final_answer, 'teh jahe|madu' AS ingredients, conv_id % 2 = 0 AS enough, 'batuk' AS suspected FROM conversations WHERE role = 'assistant'""",
+    "assessment_parse": r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'supported' ELSE 'internal_medicine' END AS scope, regexp_replace(text, '^\s+|\s+$', '', 'g') AS final_answer, 'teh jahe|madu' AS ingredients, conv_id % 2 = 0 AS enough, 'batuk' AS suspected FROM conversations WHERE role = 'assistant'""",
     "parse_json_payload": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS least, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "model_benchmark_rollup": f"WITH {_CANDIDATES} SELECT model, count(*) AS n, count(*) FILTER (won) AS wins, round(avg(CASE WHEN status = 'ok' THEN 1.0::DOUBLE ELSE 0 END), 6) AS ok_rate, round(avg(score), 6) AS mean_score, round(avg(latency_ms), 4) AS mean_latency_ms FROM won GROUP BY model",
     "stage_win_pivot": f"WITH {_CANDIDATES} SELECT model, count(*) FILTER (stage = 'follow_up') AS follow_up, count(*) FILTER (stage = 'recommendation') AS recommendation FROM won WHERE won GROUP BY model",
@@ -188,6 +188,22 @@ SQL = {
     "benchmark_contamination": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
     "rolled_up_tokens": f"WITH t AS (SELECT item_id, {tokens('text')} AS t FROM benchmark) SELECT item_id, CAST(len(t) AS INTEGER) AS n, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct, array_to_string(list_sort(list_distinct(t)), ' ') AS terms FROM t",
     "reply_cleanup": r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+$', '') || chr(10) || chr(10) || 'x' AS reply FROM conversations WHERE role = 'assistant'""",
+    "text_excerpts": rf"""WITH c AS (SELECT doc_id, text, {squeeze('text')} AS c, regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g') AS h FROM documents)
+        SELECT doc_id, CASE WHEN length(c) <= 120 THEN c ELSE regexp_replace(substr(c, 1, 117), ' [^ ]*$', '') || '...' END AS excerpt, CASE WHEN length(c) <= 90 THEN c ELSE rtrim(substr(c, 1, 87)) || '...' END AS hard,
+            CASE WHEN length(c) <= 50 THEN c ELSE regexp_replace(substr(c, 1, 50), ' [^ ]*$', '') END AS limited, lower(regexp_replace(regexp_replace(substr(text, 1, 60), '[^a-zA-Z0-9_:-]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
+            CASE WHEN h = '' OR regexp_matches(h, '[.!?]$') THEN h ELSE h || '.' END AS sentence FROM c""",
+    "legacy_merge": """SELECT s.s_suppkey AS id, coalesce(CASE WHEN s.s_suppkey % 3 > 0 THEN s.s_name END, c.c_name) AS name, c.c_mktsegment AS segment FROM supplier s LEFT JOIN customer c ON s.s_suppkey = c.c_custkey
+        UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""",
+    "override_join": r"""WITH o AS (SELECT p_name AS key, 'n' || p_partkey AS steps, p_partkey AS ord FROM part WHERE p_size <= 10 UNION ALL SELECT p_type, 't' || p_partkey, p_partkey FROM part WHERE p_size = 20 AND p_type = 'SMALL'),
+        t AS (SELECT regexp_replace(lower(key), '[^a-z0-9]+', '_', 'g') AS k, arg_max(steps, ord) AS v FROM o GROUP BY 1)
+        SELECT p_partkey, coalesce(a.v, b.v, 'standard') AS steps FROM part LEFT JOIN t a ON regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') = a.k LEFT JOIN t b ON regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g') = b.k""",
+    "source_collect_order": """WITH k AS (SELECT n_nationkey AS id, unnest([(n_regionkey + 2) % 5, n_regionkey, (n_regionkey + 1) % 5]) AS key, unnest([0, 1, 2]) AS pos FROM nation)
+        SELECT id, string_agg(r_name, '|' ORDER BY pos) AS titles, string_agg('u' || r_regionkey, '|' ORDER BY pos) AS urls FROM k JOIN region ON key = r_regionkey GROUP BY id""",
+    "candidate_best_per_request": f"WITH {_CANDIDATES} SELECT request, model, score, event_id FROM won WHERE won",
+    "value_counts_manifest": "SELECT 'lang:' || lang AS name, count(*) AS n FROM documents GROUP BY lang " + " ".join(f"UNION ALL SELECT {q(t)}, count(*) FROM {t}" for t in ("documents", "labels", "benchmark", "pages")),
+    "keyword_evidence": f"SELECT doc_id, {any_of('lower(text)', ('license', 'rights'))} AS notice, regexp_full_match(text, '[\\x00-\\x7F]*') AS ascii, regexp_matches(text, '(?i)PubMed|NCCIH|WHO|Cochrane|systematic review|clinical trial') AS cited, {any_of('lower(substr(text, 1, 80))', ('the ', 'der '))} AS excluded FROM documents",
+    "template_rotation": f"""WITH l AS (SELECT DISTINCT doc_id FROM labels), v AS (SELECT doc_id, [{", ".join(q(x) for x in VARIANTS)}] AS a, CAST(doc_id % {len(VARIANTS)} AS INTEGER) AS k FROM l)
+        SELECT doc_id, array_to_string(list_concat(a[k + 1:], a[1:k]), ',') AS rotated, a[k + 1] AS picked FROM v""",
     "turn_capture_stream": f"SELECT conv_id, count(*) AS turns, CAST(sum(length({norm('text')})) AS BIGINT) AS characters, count(*) FILTER (role = 'assistant') AS pending FROM conversations GROUP BY conv_id",
     "session_state_stream": "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant' AND trim(text) LIKE '%?') AS questions, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant' AND trim(text) LIKE '%?') >= 3 AS completed FROM conversations GROUP BY conv_id",
 }
