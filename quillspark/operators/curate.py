@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signals import names_match
 from ..functions.text import any_phrase, clean_list, distinct_ci, normalize_key, null_if_blank
+from ..plans.session import checkpointed
 
 
 def _c(x) -> Column:
@@ -63,7 +64,8 @@ def numbered(rows: DataFrame, order: list, name: str = "id", pattern: str = "row
     before, so no task sorts all rows.
     """
     keyed = rows.withColumn("_k", F.struct(*order))
-    dealt = keyed.repartitionByRange(buckets, "_k").withColumn("_p", F.spark_partition_id())
+    # checkpointed: range bounds come from a sample, and a second evaluation could draw others
+    dealt = checkpointed(keyed.repartitionByRange(buckets, "_k").withColumn("_p", F.spark_partition_id()))
     n = F.row_number().over(W.partitionBy("_p").orderBy("_k"))
     inside = dealt.withColumn("_n", n)
     counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))

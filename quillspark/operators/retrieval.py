@@ -80,8 +80,13 @@ class TfidfIndex:
         n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
         self.idfs = document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("token", idf(F.col("df"), F.col("n_docs")).alias("idf"))
         self.postings = counts.join(self.idfs, "token").select(key, "token", weight(F.col("n"), F.col("top"), F.col("idf")).alias("w"))
+        self._held = counts
         self.norms = self.postings.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
+    def close(self) -> None:
+        """Lets go of the kept term counts."""
+        self._held.unpersist()
+
     def query_weights(self, queries: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
         """(query, token, qw, qnorm); tokens unknown to the index weigh as with idf 1 and count in the norm."""
         counts = term_counts(queries.withColumnRenamed(query, "query"), "query", text, self.lexicon)

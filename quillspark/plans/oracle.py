@@ -69,12 +69,25 @@ def _asserted(phrase: str) -> str:
     return f"contains(n, {phrase}) AND NOT EXISTS (SELECT 1 FROM (VALUES {_NEG}) v(p) WHERE contains(n, v.p || ' ' || {phrase}))"
 
 
-_MARKS = f"""{_SEEDED}, phrases(pos, phrase, label) AS (VALUES {_FLAGS}), hints(pos, case_id, hint) AS (VALUES {_HINTS}), aliases(symptom, alias) AS (VALUES {_ALIASES}),
+def _marked(texts: str) -> str:
+    """CTEs with all marks of the texts of a CTE `sn` (conv_id, turn, n)."""
+    return f"""{texts}, phrases(pos, phrase, label) AS (VALUES {_FLAGS}), hints(pos, case_id, hint) AS (VALUES {_HINTS}), aliases(symptom, alias) AS (VALUES {_ALIASES}),
 rf AS (SELECT conv_id, turn, string_agg(label, '|' ORDER BY pos) AS red_flags FROM (SELECT conv_id, turn, label, min(pos) AS pos FROM sn, phrases WHERE {_asserted('phrase')} GROUP BY ALL) GROUP BY ALL),
 hc AS (SELECT conv_id, turn, string_agg(case_id, '|' ORDER BY pos) AS hinted FROM (SELECT DISTINCT conv_id, turn, case_id, pos FROM sn, hints WHERE {_asserted('hint')}) GROUP BY ALL),
 hd AS (SELECT conv_id, turn, string_agg(hint, '|' ORDER BY hint) AS detected FROM (SELECT DISTINCT conv_id, turn, hint FROM sn, hints WHERE {_asserted('hint')}) GROUP BY ALL),
 sy AS (SELECT conv_id, turn, symptom, bool_or(EXISTS (SELECT 1 FROM (VALUES {_NEG}) v(p) WHERE contains(n, v.p || ' ' || alias))) AS denied FROM sn, aliases WHERE contains(n, alias) GROUP BY ALL),
 ss AS (SELECT conv_id, turn, string_agg(CASE WHEN NOT denied THEN symptom END, '|' ORDER BY symptom) AS present, string_agg(CASE WHEN denied THEN symptom END, '|' ORDER BY symptom) AS absent FROM sy GROUP BY ALL)"""
+
+
+_MARKS = _marked(_SEEDED)
+_RUNNING = f"""{_SEEDED.split(', sn AS')[0]}, rt AS (SELECT conv_id, turn, role, coalesce(string_agg(CASE WHEN role = 'user' AND trim(text) <> '' THEN trim(text) END, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS text FROM seeded),
+sn AS (SELECT *, {norm('text')} AS n FROM rt WHERE role = 'user')"""
+
+
+def _lines(prefix: str, column: str) -> str:
+    return f"nullif({q(prefix)} || replace({column}, '|', {q('|' + prefix)}), {q(prefix)})"
+
+
 _CLEARED = "regexp_matches(n, " + q("(?:" + "|".join(DEFAULT.clearances) + ") (?:" + "|".join(re.escape(p).replace("\\ ", " ").replace("\\-", "-") for p in DEFAULT.red_flags) + ")") + ")"
 
 
@@ -204,6 +217,9 @@ SQL = {
     "keyword_evidence": f"SELECT doc_id, {any_of('lower(text)', ('license', 'rights'))} AS notice, regexp_full_match(text, '[\\x00-\\x7F]*') AS ascii, regexp_matches(text, '(?i)PubMed|NCCIH|WHO|Cochrane|systematic review|clinical trial') AS cited, {any_of('lower(substr(text, 1, 80))', ('the ', 'der '))} AS excluded FROM documents",
     "template_rotation": f"""WITH l AS (SELECT DISTINCT doc_id FROM labels), v AS (SELECT doc_id, [{", ".join(q(x) for x in VARIANTS)}] AS a, CAST(doc_id % {len(VARIANTS)} AS INTEGER) AS k FROM l)
         SELECT doc_id, array_to_string(list_concat(a[k + 1:], a[1:k]), ',') AS rotated, a[k + 1] AS picked FROM v""",
+    "conversation_features": f"""WITH {_marked(_RUNNING)}, f AS (SELECT sn.conv_id, sn.turn, n, red_flags, present, absent, {_duration()} AS duration_text, {_CLEARED} AS cleared FROM sn LEFT JOIN rf USING (conv_id, turn) LEFT JOIN ss USING (conv_id, turn))
+        SELECT conv_id, turn, coalesce(red_flags, '') AS red_flags, coalesce(present, '') AS present, coalesce(absent, '') AS absent, duration_text, duration_text IS NOT NULL OR {any_of('n', DEFAULT.duration_words)} AS has_duration_signal, cleared AS has_safety_clearance_signal,
+            concat_ws('|', {_lines('gejala disebut ada: ', 'present')}, {_lines('gejala disebut tidak ada: ', 'absent')}, 'durasi sudah disebut: ' || duration_text, {_lines('tanda bahaya terdeteksi: ', 'red_flags')}, CASE WHEN cleared THEN 'sebagian tanda bahaya sudah disangkal user' END) AS answered FROM f""",
     "turn_capture_stream": f"SELECT conv_id, count(*) AS turns, CAST(sum(length({norm('text')})) AS BIGINT) AS characters, count(*) FILTER (role = 'assistant') AS pending FROM conversations GROUP BY conv_id",
     "session_state_stream": "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant' AND trim(text) LIKE '%?') AS questions, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant' AND trim(text) LIKE '%?') >= 3 AS completed FROM conversations GROUP BY conv_id",
 }
