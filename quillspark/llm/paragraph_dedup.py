@@ -91,7 +91,9 @@ def _ranges(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.stack([s, e], 1).ravel()
 
 
-_ENTRY = np.dtype([("key", "<u4"), ("text", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("band", "<u1")])
+_ENTRY = np.dtype([("key", "<u4"), ("text", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("band", "<u1"), ("many", "<u1")])
+_PLACE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("text", "<u8")])
+_POSTED = "bucket int, blob binary, places binary"
 _OUT = "doc_id long, at int, node long, key long"
 
 
@@ -118,23 +120,29 @@ def _post(bands: int, rows: int, buckets: int):
             if not texts:
                 continue
             text, doc, at, low = (np.concatenate(x) for x in (texts, docs, ats, mins))
-            _, first = np.unique(text, return_index=True)
+            _, first, number = np.unique(text, return_index=True, return_counts=True)
             once = np.zeros(len(text), bool)
             once[first] = True
+            many = np.zeros(len(text), np.uint8)
+            many[first] = number > 1
+            again = np.empty(int((~once).sum()), _PLACE)
+            again["doc"], again["at"], again["text"] = doc[~once], at[~once], text[~once]
             parts = []
             for band in range(bands):
                 key = np.full(len(text), np.uint64(band + 1))
                 for r in range(rows):
                     key = mix(key * _M + (low[:, band * rows + r] >> np.uint64(16)))
-                use = once if band else np.ones(len(text), bool)
-                part = np.empty(int(use.sum()), _ENTRY)
-                part["key"], part["text"], part["doc"], part["at"], part["band"] = key[use] & np.uint64(0xFFFFFFFF), text[use], doc[use], at[use], band
-                parts.append((part, ((key[use] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)))
+                part = np.empty(len(first), _ENTRY)
+                part["key"], part["text"], part["doc"], part["at"], part["band"], part["many"] = key[once] & np.uint64(0xFFFFFFFF), text[once], doc[once], at[once], band, many[once]
+                parts.append((part, ((key[once] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)))
             entry, bucket = np.concatenate([p for p, _ in parts]), np.concatenate([k for _, k in parts])
             order = np.argsort(bucket, kind="stable")
             entry, bucket = entry[order], bucket[order]
             s, e = runs(bucket)
-            yield pa.record_batch([pa.array(bucket[s], pa.int32()), pa.array([entry[i:j].tobytes() for i, j in zip(s, e)], pa.binary())], names=["bucket", "blob"])
+            buckets_, blobs = bucket[s].tolist(), [entry[i:j].tobytes() for i, j in zip(s, e)]
+            places = [again[i : i + 50_000].tobytes() for i in range(0, len(again), 50_000)]
+            spread = [int(again["text"][0] + np.uint64(k)) % buckets for k in range(len(places))]
+            yield pa.record_batch([pa.array(buckets_ + spread, pa.int32()), pa.array(blobs + [None] * len(places), pa.binary()), pa.array([None] * len(blobs) + places, pa.binary())], names=["bucket", "blob", "places"])
 
     return run
 
@@ -151,9 +159,17 @@ def _digest(p: Paragraphs) -> np.ndarray:
 def _meet(batches):
     """Places of texts that occur more than once (key null), and texts that share a band with another text."""
     parts: dict[int, list[np.ndarray]] = {}
+
+    def batch(doc, at, node, keys):
+        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32), pa.int32()), pa.array(node.view("<i8"), pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "at", "node", "key"])
+
     for b in batches:
-        for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
-            parts.setdefault(bucket, []).append(np.frombuffer(blob, _ENTRY))
+        for bucket, blob, places in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if blob is not None:
+                parts.setdefault(bucket, []).append(np.frombuffer(blob, _ENTRY))
+            else:
+                p = np.frombuffer(places, _PLACE)
+                yield batch(np.ascontiguousarray(p["doc"]), p["at"], np.ascontiguousarray(p["text"]), [None] * len(p))
     for bucket in sorted(parts):
         r = np.concatenate(parts.pop(bucket))
         r = r[np.lexsort((r["at"], r["doc"], r["text"], r["key"], r["band"]))]
@@ -161,15 +177,14 @@ def _meet(batches):
         new_key = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
         new_text = new_key | np.r_[True, text[1:] != text[:-1]]
         of = np.cumsum(new_text) - 1
-        several = (np.bincount(of)[of] > 1) & (band == 0)
+        several = ((np.bincount(of)[of] > 1) | (np.bincount(of, r["many"])[of] > 0)) & (band == 0)
         heads = np.flatnonzero(new_text)
         lists = (np.cumsum(new_key) - 1)[heads]
         mixed = heads[np.bincount(lists)[lists] > 1]
         places = np.flatnonzero(several)
         rows = np.r_[places, mixed]
         name = mix(key[mixed].astype(np.uint64) + (np.uint64(bucket) << np.uint64(40)) + (band[mixed].astype(np.uint64) << np.uint64(32)))
-        keys = pa.array([None] * len(places) + name.view(np.int64).tolist(), pa.int64())
-        yield pa.record_batch([pa.array(r["doc"][rows], pa.int64()), pa.array(r["at"][rows].astype(np.int32), pa.int32()), pa.array(r["text"][rows].view("<i8"), pa.int64()), keys], names=["doc_id", "at", "node", "key"])
+        yield batch(np.ascontiguousarray(r["doc"][rows]), r["at"][rows], np.ascontiguousarray(r["text"][rows]), [None] * len(places) + name.view(np.int64).tolist())
 
 
 def _sets(batches):
@@ -236,7 +251,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     n = partitions(spark)
     bands, rows = tune_bands(percent / 100, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    met = save(source.mapInArrow(_post(bands, rows, 4 * n), "bucket int, blob binary").repartition(n, "bucket").mapInArrow(_meet, _OUT), "met")
+    met = save(source.mapInArrow(_post(bands, rows, 4 * n), _POSTED).repartition(n, "bucket").mapInArrow(_meet, _OUT), "met")
     shared = met.where("key is not null")
     sizes = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
     wanted = shared.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -138,7 +138,9 @@ def brute_repeats(corpus, window=100):
     return out
 
 
-def test_suffix_dedup_matches_brute_force(frame, corpus):
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_suffix_dedup_matches_brute_force(frame, corpus, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     corpus = corpus + [(5000 + i, "é" * 70 + str(i % 2) * 60 + "日本" * 30) for i in range(4)]
     df = frame([(d, t, "x") for d, t in corpus], "doc_id long, text string, n_bytes string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}

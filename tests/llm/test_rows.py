@@ -74,7 +74,7 @@ LANGS = {"aa": "the and of ing tion with".split(), "bb": "der die und ung sch ke
 def test_language_id(frame, rng):
     rows = [(i, " ".join(rng.choice(LANGS[x]) + rng.choice("xyz") for _ in range(30)), x) for i in range(240) for x in [rng.choice("abc") * 2]]
     model = language_id.train(frame(rows, "doc_id long, text string, lang string"))
-    extra = [(1000, None), (1001, ""), (1002, "12 !! 3"), (1003, "X" * 300_000), (1004, rows[0][1])]
+    extra = [(1000, None), (1001, ""), (1002, "12 ½ !! ² 3"), (1003, "X" * 300_000), (1004, rows[0][1])]
     got = {r.doc_id: r for r in language_id.identify(frame([(d, t, 7, "keep") for d, t in [(r[0], r[1]) for r in rows] + extra], "doc_id long, text string, score int, other string"), model).collect()}
     test = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert sum(got[d].lang_pred == x for d, _, x in test) / len(test) > 0.97
