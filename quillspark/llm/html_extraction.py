@@ -12,7 +12,6 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +35,6 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-_DIGITS = re.compile(r"\d+")
 
 
 class Block:
@@ -135,14 +133,6 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def host_of(url: str | None) -> str:
-    """The host of a URL without www and port; an empty text if there is none."""
-    try:
-        return (urlsplit(url or "").hostname or "").removeprefix("www.")
-    except ValueError:
-        return ""
-
-
 # A wrapper is a list of nodes [path, count, pages, chars, text]: the path of elements of a text slot, whether it
 # is repeated (2) or single (1), the number of pages that have it, their mean characters, and the common text, or
 # None where it differs. A node that fewer pages have than the wrapper is optional.

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import Shared, held_out
 
-#: Bounds of what is learned from: texts in all, and landmarks in all.
+#: Bounds of what is learned from: languages, the most frequent ones, texts in all, and landmarks in all.
+MAX_LANGUAGES = 200
 MAX_TRAIN = 1600
 LANDMARKS = 96
 RIDGE = 0.05
@@ -29,6 +30,11 @@ _TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numbers such as fractions, which the pattern lets through, are none."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class Spectrum:
     """Turns texts into sorted n-gram numbers; holds one flag for each number."""
 
@@ -104,7 +110,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARK
     n-gram numbers, not texts; their number for each text is bounded.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return KernelModel([], [])
     each = max_train / len(counts)
@@ -115,7 +121,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARK
     def spectra(batches):
         spectrum = Spectrum()
         for b in batches:
-            got = [spectrum.of(t).tobytes() if _LETTER.search(t) else None for t in b.column("text").to_pylist()]
+            got = [spectrum.of(t).tobytes() if has_letter(t) else None for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("lang"), pa.array(got, pa.binary())], names=["doc_id", "lang", "spectrum"])
 
     got = picked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -142,7 +148,7 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
             texts = b.column(at)
             lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
             for lo in range(0, b.num_rows, 256):
-                part = [(i, t) for i in range(lo, min(lo + 256, b.num_rows)) if (t := texts[i].as_py()) and _LETTER.search(t)]
+                part = [(i, t) for i in range(lo, min(lo + 256, b.num_rows)) if has_letter(t := texts[i].as_py())]
                 if part:
                     names, values = model.predict([spectrum.of(t) for _, t in part])
                     for (i, _), name, value in zip(part, names, values):
