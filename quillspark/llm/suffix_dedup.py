@@ -6,6 +6,9 @@ segment is the run of windows that one anchor occurrence governs. Segments with
 their hash; where segments of one anchor differ, their bytes are gathered and a suffix array is built in two
 stages: suffixes smaller than their successors are sorted directly, the others are induced by scanning the
 buckets of first bytes. Adjacent common prefixes of at least `WINDOW` bytes give the remaining repeats.
+
+An anchor of more than `HOT` different segments, such as a phrase of a notice that stands in countless documents,
+is not gathered in one task: the windows of its segments are aggregated by a 128-bit hash of their bytes.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ WINDOW = 100
 GRAM = 32
 #: Windows handled at once; anchors never span such blocks, which changes segments but no result.
 BLOCK = 1 << 22
+#: Different segments of one anchor that are still gathered in one task.
+HOT = 20_000
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -173,7 +178,7 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, w
 
 
 _SPANS = "bucket int, blob binary, doc_id long, spans binary"
-_FOUND = "doc_id long, spans binary, wanted binary"
+_FOUND = "doc_id long, spans binary, wanted binary, hot binary"
 _ANCHOR = np.dtype([("h", "<u4"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("len", "<u2")])
 _WANTED = np.dtype([("at", "<u4"), ("len", "<u2"), ("h", "<u8")])
 _WIDTH = 2 * WINDOW - GRAM
@@ -242,12 +247,15 @@ def _anchor(buckets: int):
     return run
 
 
-def _settle(batches):
-    """Repeats of whole segments, and the segments that must be compared by their bytes."""
+def _settle(batches, most: int):
+    """Repeats of whole segments, and the segments that must be compared by their bytes, those of hot anchors apart."""
     parts: dict[int, list[np.ndarray]] = {}
 
-    def batch(ids, spans, wanted):
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(spans, pa.binary()), pa.array(wanted, pa.binary())], names=["doc_id", "spans", "wanted"])
+    def batch(*rows):
+        """rows: lists of (ids, values), one for each kind."""
+        ids = [i for kind in rows for i in kind[0]]
+        values = [[v if k == at else None for at, kind in enumerate(rows) for v in kind[1]] for k in range(3)]
+        return pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(v, pa.binary()) for v in values)], names=["doc_id", "spans", "wanted", "hot"])
 
     for b in batches:
         ids, spans = [], []
@@ -257,7 +265,7 @@ def _settle(batches):
             else:
                 ids.append(d)
                 spans.append(s)
-        yield batch(ids, spans, [None] * len(ids))
+        yield batch((ids, spans), ([], []), ([], []))
     for bucket in sorted(parts):
         r = np.concatenate(parts.pop(bucket))
         r = r[np.lexsort((r["at"], r["doc"], r["seg"], r["h"]))]
@@ -266,25 +274,51 @@ def _settle(batches):
         start, end = runs(np.cumsum(first))
         head = np.repeat(start, end - start)
         again = (r["doc"] != r["doc"][head]) | (r["at"] != r["at"][head])
-        ids, spans = _by_doc(r["doc"][again], _spans(r["at"][again].astype(np.int64), r["len"][again]))
         heads, of = r[first], np.cumsum(anchor)[first]
-        several = np.bincount(of)[of] > 1
-        heads = heads[several]
+        count = np.bincount(of)[of]
         w = np.empty(len(heads), _WANTED)
         w["at"], w["len"], w["h"] = heads["at"], heads["len"], mix(heads["h"].astype(np.uint64) + np.uint64(bucket << 32))
-        more, wanted = _by_doc(heads["doc"], w)
-        yield batch(ids + more, spans + [None] * len(more), [None] * len(ids) + wanted)
+        few, many = (count > 1) & (count <= most), count > most
+        yield batch(_by_doc(r["doc"][again], _spans(r["at"][again].astype(np.int64), r["len"][again])), *(_by_doc(heads["doc"][x], w[x]) for x in (few, many)))
+
+
+def _packed_windows(batches):
+    """(doc_id, at) of repeated windows as packed spans."""
+    for b in batches:
+        ids, blobs = _window_spans(b.column("doc_id").to_numpy(zero_copy_only=False), b.column("at").to_numpy(zero_copy_only=False))
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "spans"])
+
+
+def _window_spans(doc: np.ndarray, start: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Windows that touch, joined, by document."""
+    if not len(doc):
+        return [], []
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    near = np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] <= start[:-1] + WINDOW)]
+    s, e = runs(np.cumsum(~near))
+    return _by_doc(doc[s], np.stack([start[s], start[e - 1] + WINDOW], 1).astype("<u4"))
+
+
+_GATHERED = "bucket int, blob binary, h binary, doc_id long, at long"
 
 
 def _gather(buckets: int):
-    """The bytes of the wanted segments, packed by anchor."""
+    """The bytes of the wanted segments, packed by anchor; of hot anchors' segments the hash of each window."""
 
     def run(batches):
         for b in batches:
-            got, keys = [], []
-            for d, t, lists in zip(*(b.column(i).to_pylist() for i in range(3))):
+            got, keys, hashes, docs, ats = [], [], [], [], []
+            for d, t, wanted, hot in zip(*(b.column(i).to_pylist() for i in range(4))):
                 raw = t.encode("utf-8", "surrogatepass")
-                w = np.concatenate([np.frombuffer(x, _WANTED) for x in lists])
+                for x in (x for blob in hot for x in np.frombuffer(blob, _WANTED)):
+                    at = range(int(x["at"]), min(int(x["at"]) + int(x["len"]), len(raw)) - WINDOW + 1)
+                    hashes += [xxhash.xxh3_128_digest(raw[s : s + WINDOW]) for s in at]
+                    docs += [d] * len(at)
+                    ats += at
+                if not wanted:
+                    continue
+                w = np.concatenate([np.frombuffer(x, _WANTED) for x in wanted])
                 w = w[w["at"].astype(np.int64) + w["len"] <= len(raw)]
                 r = np.zeros(len(w), _SEGMENT)
                 r["doc"], r["at"], r["len"] = d, w["at"], w["len"]
@@ -292,14 +326,19 @@ def _gather(buckets: int):
                 r["text"] = source[w["at"].astype(np.int64)[:, None] + np.arange(_WIDTH)]
                 got.append(r)
                 keys.append(w["h"])
-            if not got:
-                continue
-            r, key = np.concatenate(got), np.concatenate(keys)
-            bucket = (key % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, r = bucket[order], r[order]
-            s, e = runs(bucket)
-            yield pa.record_batch([pa.array(bucket[s], pa.int32()), pa.array([r[i:j].tobytes() for i, j in zip(s, e)], pa.binary())], names=["bucket", "blob"])
+            s, blobs = [], []
+            if got:
+                r, key = np.concatenate(got), np.concatenate(keys)
+                bucket = (key % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, r = bucket[order], r[order]
+                first, last = runs(bucket)
+                s, blobs = bucket[first].tolist(), [r[i:j].tobytes() for i, j in zip(first, last)]
+            n, m = len(s), len(hashes)
+            yield pa.record_batch(
+                [pa.array(s + [None] * m, pa.int32()), pa.array(blobs + [None] * m, pa.binary()), pa.array([None] * n + hashes, pa.binary()), pa.array([None] * n + docs, pa.int64()), pa.array([None] * n + ats, pa.int64())],
+                names=["bucket", "blob", "h", "doc_id", "at"],
+            )
 
     return run
 
@@ -314,27 +353,25 @@ def _compare(batches):
         r = np.concatenate(parts.pop(bucket))
         texts = [x[:n].tobytes() for x, n in zip(r["text"], r["len"])]
         doc, start = repeated_windows(texts, r["doc"].astype(np.int64), r["at"].astype(np.int64))
-        if not len(doc):
-            continue
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        near = np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] <= start[:-1] + WINDOW)]
-        s, e = runs(np.cumsum(~near))
-        spans = np.stack([start[s], start[e - 1] + WINDOW], 1).astype("<u4")
-        ids, blobs = _by_doc(doc[s], spans)
+        ids, blobs = _window_spans(doc, start)
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "spans"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): for each document with repeated bytes a list of packed spans, which may overlap."""
-    n = partitions(docs.sparkSession)
+    n, most = partitions(docs.sparkSession), HOT
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    found = source.mapInArrow(_anchor(4 * n), _SPANS).repartition(n, "bucket").mapInArrow(_settle, _FOUND)
+    found = source.mapInArrow(_anchor(4 * n), _SPANS).repartition(n, "bucket").mapInArrow(lambda batches: _settle(batches, most), _FOUND)
     found = save(found, "found")
-    wanted = found.where("wanted is not null").groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted"))
-    segments_ = source.where("text is not null").join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_gather(4 * n), "bucket int, blob binary")
-    rest = segments_.repartition(n, "bucket").mapInArrow(_compare, "doc_id long, spans binary")
-    both = found.where("spans is not null").select("doc_id", "spans").unionByName(rest)
+
+    lists = found.where("wanted is not null or hot is not null").groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted"), F.collect_list("hot").alias("hot"))
+    texts = source.where("text is not null").join(lists.hint("merge"), "doc_id").select("doc_id", "text", "wanted", "hot")
+    gathered = save(texts.mapInArrow(_gather(4 * n), _GATHERED), "gathered")
+    rest = gathered.where("blob is not null").select("bucket", "blob").repartition(n, "bucket").mapInArrow(_compare, "doc_id long, spans binary")
+    windows = gathered.where("h is not null").select("h", "doc_id", "at")
+    first = windows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = windows.join(first, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+    both = found.where("spans is not null").select("doc_id", "spans").unionByName(rest).unionByName(later.select("doc_id", "at").mapInArrow(_packed_windows, "doc_id long, spans binary"))
     return both.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
 
