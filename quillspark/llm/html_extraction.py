@@ -326,10 +326,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     size = wrappers.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
     at = source.columns.index(html)
     schema = source.withColumns({"text": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")}).schema
-    tagged = source.withColumn("_host", hosts)
+    tagged = source.withColumn("_quill_host", hosts)
 
     def rows(b, extractor):
-        page, host = b.column(at).to_pylist(), b.column("_host").to_pylist()
+        page, host = b.column(at).to_pylist(), b.column("_quill_host").to_pylist()
         texts = [extractor(h, i).text(blocks(p)) for i, (h, p) in enumerate(zip(host, page))]
         keep = [b.column(i) for i in range(len(schema.names) - 2)]
         return pa.record_batch([*keep, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
@@ -352,7 +352,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     def run_joined(batches):
         for b in batches:
-            wrapper, made = b.column("_wrapper"), {}
+            wrapper, made = b.column("_quill_wrapper"), {}
 
             def extractor(host, i):
                 if host not in made:
@@ -361,7 +361,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
             yield rows(b, extractor)
 
-    return tagged.join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")), "_host").select(*source.columns, "_host", "_wrapper").mapInArrow(run_joined, schema)
+    return tagged.join(wrappers.select(F.col("host").alias("_quill_host"), F.col("wrapper").alias("_quill_wrapper")), "_quill_host").select(*source.columns, "_quill_host", "_quill_wrapper").mapInArrow(run_joined, schema)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,8 +281,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 24,
     smallest doc_id reachable by links, itself included; kept is doc_id = component_id. A null, empty or
     wordless text has an empty set and links with nothing. Documents with equal sets are one node from the
     start, so a group of copies of any size costs one signature. A doc_id that occurs in several rows gives as
-    many result rows. A null doc_id is an error of the input: such rows come back with null component_id.
-    Extra columns of `docs` are ignored.
+    many result rows. A row without doc_id shows the group of an equal set, but names and links none; its kept is
+    null. Extra columns of `docs` are ignored.
     """
     t = match_threshold(k, percent / 100)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

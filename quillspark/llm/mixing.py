@@ -103,9 +103,9 @@ def mix(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, seed:
     cells = save(cells, "counts")
     raked = save(rake(cells, targets, keep=keep), "raked")
     small = raked.count() <= MAX_CELLS
-    raked = raked.select(*[F.col(m).alias(f"_k_{m}") for m in margins], F.coalesce(F.try_divide(F.col("weight"), F.col("n_tokens").cast("double")), F.lit(0.0)).alias("weight"), "probability")
-    on = [keys[m] == F.col(f"_k_{m}") for m in margins]
-    out = tagged.join(F.broadcast(raked) if small else raked, on, "left").drop(*[f"_k_{m}" for m in margins])
+    raked = raked.select(*[F.col(m).alias(f"_quill_k_{m}") for m in margins], F.coalesce(F.try_divide(F.col("weight"), F.col("n_tokens").cast("double")), F.lit(0.0)).alias("weight"), "probability")
+    on = [keys[m] == F.col(f"_quill_k_{m}") for m in margins]
+    out = tagged.join(F.broadcast(raked) if small else raked, on, "left").drop(*[f"_quill_k_{m}" for m in margins])
     return out.withColumn("sampled", _uniform(doc_id, seed) < F.col("probability"))
 
 

@@ -299,8 +299,8 @@ def remove_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     source = docs.drop(*made)
     found = repeated_paragraphs(source, percent)
     later = (F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at"))
-    by_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.count(F.lit(1)).alias("_shared"), F.collect_list(F.when(later, F.col("at"))).alias("_gone"), F.array_sort(F.collect_set(F.when(later, F.col("first_doc")))).alias("_sources"))
-    joined = source.join(by_doc.hint("merge"), source["doc_id"].cast("long") == by_doc["_doc"], "left").drop("_doc")
+    by_doc = found.groupBy(F.col("doc_id").alias("_quill_doc")).agg(F.count(F.lit(1)).alias("_quill_shared"), F.collect_list(F.when(later, F.col("at"))).alias("_quill_gone"), F.array_sort(F.collect_set(F.when(later, F.col("first_doc")))).alias("_quill_sources"))
+    joined = source.join(by_doc.hint("merge"), source["doc_id"].cast("long") == by_doc["_quill_doc"], "left").drop("_quill_doc")
     at = joined.columns.index("text")
     schema = source.withColumns({k: F.lit(None).cast(t) for k, t in made.items()}).schema
 

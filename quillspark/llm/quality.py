@@ -252,7 +252,7 @@ def score(docs: DataFrame, field: LineField, text: str = "text", name: str = "sc
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the documents scored below the threshold; the columns stay as they were."""
     field = train(docs, labels)
-    return score(docs, field, name="_quality").where(F.col("_quality") >= threshold).select(*docs.columns)
+    return score(docs, field, name="_quill_quality").where(F.col("_quill_quality") >= threshold).select(*docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,16 +58,16 @@ def shard(docs: DataFrame, shards: int | list[str] = SHARDS, slots: int = SLOTS,
 
     Rows with equal keys share a shard, a null key counts as an empty text, an empty table stays empty.
     """
-    table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots))), "_slot long, _shard int")
+    table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots))), "_quill_slot long, _quill_shard int")
     placed = docs.drop("slot", "shard").withColumn("slot", slot_of(key, slots))
-    return placed.join(F.broadcast(table), placed["slot"] == table["_slot"]).drop("_slot").withColumnRenamed("_shard", "shard")
+    return placed.join(F.broadcast(table), placed["slot"] == table["_quill_slot"]).drop("_quill_slot").withColumnRenamed("_quill_shard", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int | list[str] = SHARDS, slots: int = SLOTS, key: str = "doc_id", files: int = 8) -> None:
     """One folder for each shard. A shard's rows are dealt over `files` tasks, so no task holds a whole shard."""
     n = shards if isinstance(shards, int) else len(shards)
-    placed = shard(docs, shards, slots, key).withColumn("_file", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(files)))
-    placed.repartition(n * files, "shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
+    placed = shard(docs, shards, slots, key).withColumn("_quill_file", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(files)))
+    placed.repartition(n * files, "shard", "_quill_file").drop("_quill_file").write.partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

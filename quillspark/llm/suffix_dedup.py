@@ -409,8 +409,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     source = docs.drop(*made)
-    spans = repeated_spans(source).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = source.join(spans.hint("merge"), source["doc_id"].cast("long") == spans["_doc"], "left").drop("_doc")
+    spans = repeated_spans(source).select(F.col("doc_id").alias("_quill_doc"), F.col("spans").alias("_quill_spans"))
+    joined = source.join(spans.hint("merge"), source["doc_id"].cast("long") == spans["_quill_doc"], "left").drop("_quill_doc")
     at = joined.columns.index("text")
     schema = source.withColumns({k: F.lit(None).cast("string" if k == "kept_sha256" else "long") for k in made}).schema
 

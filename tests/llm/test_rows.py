@@ -251,7 +251,7 @@ def test_sharding_rows(frame, tmp_path):
     table = sharding.lookup_table(8, 1009)
     for r in got:
         slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:8], 16) % 1009
-        assert (r.slot, r.shard) == (slot, table[slot])
+        assert (r.slot, r.shard, r["_slot"]) == (slot, table[slot], "z")
     assert len(got) == 202
     assert sharding.shard(df.limit(0), 8, 1009).count() == 0
     sharding.write_shards(df.select("doc_id"), str(tmp_path / "out"), 4, 211, files=2)
@@ -271,3 +271,27 @@ def test_queries_match_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda x: sorted(tuple(map(str, r)) for r in x[sorted(got.columns)].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_helper_columns_leave_others_alone(frame, rng):
+    """Columns of the caller with the names of helpers stay as they are."""
+    from quillspark.llm import paragraph_dedup, suffix_dedup
+
+    text = prose(rng, 90)
+    names = ["_doc", "_spans", "_host", "_quality", "_shard", "_gone", "cluster", "size", "block", "id", "component", "rep"]
+    df = frame([(i, text, "http://h.example/", "en", *["k"] * len(names)) for i in (1, 2)], "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} string" for n in names))
+    labels, items = frame([(1, 1), (2, 0)], "doc_id long, quality int"), frame([(1, "a b")], "item_id long, text string")
+    from quillspark.llm import minhash_neardup
+
+    for out in (
+        suffix_dedup.remove_repeats(df),
+        paragraph_dedup.remove_repeats(df),
+        minhash_neardup.deduplicate(df),
+        sharding.shard(df),
+        quality.score(df, quality.train(df, labels)),
+        decontamination.scan(df, items),
+        html_extraction.extract(df.withColumnRenamed("text", "html"), "source"),
+        mixing.mix(df),
+        language_id.identify(df, language_id.train(df)),
+    ):
+        assert all(r[n] == "k" for r in out.collect() for n in names)
