@@ -1,10 +1,12 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line, or a part of a longer line cut where the content itself says so: before a word whose
-three-word hash is the least within `REACH` words either way. A passage that is repeated inside different lines
-is therefore cut in the same places. Paragraphs are posted by the bands of their MinHash signature; those that
-collide are verified by the exact Jaccard similarity of their five-word shingles, and of each component of
-links only the first paragraph stays.
+Paragraphs are of two kinds. Lines are posted whole by the bands of their MinHash signature; those that collide are
+verified by the exact Jaccard similarity of their five-word shingles. For passages inside lines, or over several
+lines, the text is also cut into parts where the content itself says so, whatever the lines: before a word whose
+three-word hash is the least within `REACH` words either way. A passage that is repeated inside different texts is
+therefore cut in the same places, and equal parts meet by their hash. Every word is in a part. Of each component of
+links only the first paragraph stays. What is removed then grows over the words before and after it as long as they
+are those around the first paragraph, so that a passage goes to its ends, or up to an edited word.
 """
 
 from __future__ import annotations
@@ -13,22 +15,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Forest, mix, partitions, runs, save, word_hashes
+from .common import LOWER, Forest, mix, partitions, runs, save, shingle_hashes, word_hashes
 from .components import components
 from .minhash_neardup import multipliers
 
 SHINGLE = 5
 PERCENT = 80
 REACH = 5
-#: Words that a part of a line, or a whole line, must have to be compared; shorter ones, such as notices and headings, stay.
+#: A part of fewer words takes words of the next part in, up to so many; a line of fewer words is compared in parts alone.
 PART_WORDS = 8
-LINE_WORDS = 20
+LINE_WORDS = SHINGLE
 #: Paragraphs in one block of a band's list.
 CELL = 512
 _M = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -41,23 +44,26 @@ def tune_bands(similarity: float, recall: float = 0.99, rows: int = 4, bands: in
 
 
 class Paragraphs:
-    """The paragraphs of a text: word ranges, the words' hashes, and which are compared."""
+    """The paragraphs of a text: the words' hashes, and word ranges of what is compared.
+
+    `compared` has an even number for each part and an odd one for each line, so neighbours of a kind are 2 apart.
+    """
 
     def __init__(self, text: str | None):
         self.raw = (text or "").encode("utf-8", "surrogatepass")
         self.ids, self.at, self.to = word_hashes(self.raw.translate(LOWER))
         ids, n = self.ids, len(self.ids)
         if not n:
-            self.starts = self.ends = self.compared = np.zeros(0, np.int64)
+            self.cuts = self.starts = self.ends = self.compared = np.zeros(0, np.int64)
             return
         breaks = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
         line = np.searchsorted(breaks, self.at)
-        first = np.r_[True, line[1:] != line[:-1], True]
-        cut = first.copy()
+        lines = np.flatnonzero(np.r_[True, line[1:] != line[:-1], True])
+        cut = np.zeros(n, bool)
+        cut[0] = True
         if n > 2 * REACH:
             h = np.full(n + 2 * REACH, _TOP)
-            three = mix(mix(mix(ids[:-2]) * _M + ids[1:-1]) * _M + ids[2:])
-            h[REACH : REACH + n - 2] = np.where(line[2:] == line[:-2], three, _TOP)
+            h[REACH : REACH + n - 2] = mix(mix(mix(ids[:-2]) * _M + ids[1:-1]) * _M + ids[2:])
             part, width = h, 1  # the least of the next REACH values
             while 2 * width <= REACH:
                 part = np.minimum(part[:-width], part[width:])
@@ -65,25 +71,32 @@ class Paragraphs:
             if width < REACH:
                 part = np.minimum(part[: width - REACH], part[REACH - width :])
             own = h[REACH : REACH + n]
-            cut[:n] |= (own < part[:n]) & (own < part[REACH + 1 : REACH + 1 + n])
-        self.starts = np.flatnonzero(cut[:n])
-        self.ends = np.r_[self.starts[1:], n]
-        whole = first[self.starts] & first[self.ends]
-        self.compared = np.flatnonzero(self.ends - self.starts >= np.where(whole, LINE_WORDS, PART_WORDS))
+            cut |= (own < part[:n]) & (own < part[REACH + 1 : REACH + 1 + n])
+        self.cuts = np.r_[np.flatnonzero(cut), n]
+        ends = np.minimum(np.maximum(self.cuts[1:], self.cuts[:-1] + PART_WORDS), n)
+        starts = np.maximum(np.minimum(self.cuts[:-1], ends - PART_WORDS), 0)
+        long = np.flatnonzero(lines[1:] - lines[:-1] >= LINE_WORDS)
+        self.starts, self.ends = np.r_[starts, lines[long]], np.r_[ends, lines[long + 1]]
+        self.compared = np.r_[2 * np.arange(len(starts)), 2 * long + 1]
 
     def __len__(self):
         return len(self.starts)
 
+    def where(self) -> dict[int, int]:
+        """Places in `starts` and `ends` by the numbers in `compared`."""
+        return {c: k for k, c in enumerate(self.compared.tolist())}
+
+    def around(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words before, in and after a paragraph; those around it over two parts and three; a passage that went on further would share the part beside it."""
+        s, e = self.starts[k], self.ends[k]
+        left = self.cuts[max(0, np.searchsorted(self.cuts, s) - 2)]
+        right = self.cuts[min(len(self.cuts) - 1, np.searchsorted(self.cuts, e, "right") + 2)]
+        return self.ids[left:s], self.ids[s:e], self.ids[e:right]
+
     def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all five-word windows of the text, and the range of them in each compared paragraph."""
-        n = len(self.ids)
-        if n < SHINGLE or not len(self.compared):
-            z = np.zeros(0, np.int64)
-            return z.astype(np.uint64), z, z
-        h = np.full(n - SHINGLE + 1, np.uint64(SHINGLE))
-        for j in range(SHINGLE):
-            h = mix(h * _M + self.ids[j : n - SHINGLE + 1 + j])
-        return h, self.starts[self.compared], self.ends[self.compared] - SHINGLE + 1
+        """Hashes of all five-word windows of the text, and the range of them in each paragraph; those of a line are its own."""
+        h = shingle_hashes(self.ids, SHINGLE)
+        return h, self.starts, np.maximum(self.ends - SHINGLE + 1, self.starts + 1)
 
 
 def _ranges(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -108,14 +121,19 @@ def _post(bands: int, rows: int, buckets: int):
             column = b.column("text")
             for d, i in order:
                 p = Paragraphs(column[i].as_py())
-                h, s, e = p.shingles()
-                if not len(s):
+                if not len(p):
                     continue
-                cuts = _ranges(h, s, e)
-                h = np.r_[h, np.uint64(2**64 - 1)]
-                mins.append(np.stack([np.minimum.reduceat(np.r_[h * mul[k] + add[k]], cuts)[::2] for k in range(bands * rows)], 1))
+                h, s, e = p.shingles()
+                whole = np.flatnonzero(p.compared & 1)
+                low = np.zeros((len(p), bands * rows), np.uint64)
+                if len(whole):
+                    cuts = _ranges(h, s[whole], e[whole])
+                    h = np.r_[h, _TOP]
+                    for k in range(bands * rows):
+                        low[whole, k] = np.minimum.reduceat(h * mul[k] + add[k], cuts)[::2]
+                mins.append(low)
                 texts.append(_digest(p))
-                docs.append(np.full(len(s), d, np.int64))
+                docs.append(np.full(len(p), d, np.int64))
                 ats.append(p.compared)
             if not texts:
                 continue
@@ -128,13 +146,15 @@ def _post(bands: int, rows: int, buckets: int):
             again = np.empty(int((~once).sum()), _PLACE)
             again["doc"], again["at"], again["text"] = doc[~once], at[~once], text[~once]
             parts = []
-            for band in range(bands):
-                key = np.full(len(text), np.uint64(band + 1))
+            line = (at & 1).astype(bool)
+            for band in range(bands + 1):  # parts have a band of their own, with the hash of the words for its key
+                own = np.flatnonzero(once & (line if band < bands else ~line))
+                key = np.full(len(own), np.uint64(band + 1))
                 for r in range(rows):
-                    key = mix(key * _M + (low[:, band * rows + r] >> np.uint64(16)))
-                part = np.empty(len(first), _ENTRY)
-                part["key"], part["text"], part["doc"], part["at"], part["band"], part["many"] = key[once] & np.uint64(0xFFFFFFFF), text[once], doc[once], at[once], band, many[once]
-                parts.append((part, ((key[once] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)))
+                    key = mix(key * _M + (low[own, band * rows + r] >> np.uint64(16))) if band < bands else mix(text[own])
+                part = np.empty(len(own), _ENTRY)
+                part["key"], part["text"], part["doc"], part["at"], part["band"], part["many"] = key & np.uint64(0xFFFFFFFF), text[own], doc[own], at[own], band, many[own]
+                parts.append((part, ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)))
             entry, bucket = np.concatenate([p for p, _ in parts]), np.concatenate([k for _, k in parts])
             order = np.argsort(bucket, kind="stable")
             entry, bucket = entry[order], bucket[order]
@@ -148,43 +168,46 @@ def _post(bands: int, rows: int, buckets: int):
 
 
 def _digest(p: Paragraphs) -> np.ndarray:
-    """A 64-bit hash of each compared paragraph's words, in order."""
+    """A 64-bit hash of each paragraph's words, in order, and its kind; from one running sum, as paragraphs overlap."""
     n = len(p.ids)
-    place = np.arange(n) - np.repeat(p.starts, p.ends - p.starts)
-    h = mix(p.ids + mix(place.astype(np.uint64) + np.uint64(1)))
-    sums = np.add.reduceat(h, p.starts)
-    return mix(sums + (p.ends - p.starts).astype(np.uint64))[p.compared]
+    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (_M, _BACK))
+    total = np.r_[np.uint64(0), np.cumsum(p.ids * power[:n])]
+    sums = (total[p.ends] - total[p.starts]) * back[p.starts]
+    return mix(mix(sums + (p.ends - p.starts).astype(np.uint64)) + (p.compared & 1).astype(np.uint64))
 
 
-def _meet(batches):
+def _meet(bands: int):
     """Places of texts that occur more than once (key null), and texts that share a band with another text."""
-    parts: dict[int, list[np.ndarray]] = {}
 
     def batch(doc, at, node, keys):
         return pa.record_batch([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32), pa.int32()), pa.array(node.view("<i8"), pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "at", "node", "key"])
 
-    for b in batches:
-        for bucket, blob, places in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if blob is not None:
-                parts.setdefault(bucket, []).append(np.frombuffer(blob, _ENTRY))
-            else:
-                p = np.frombuffer(places, _PLACE)
-                yield batch(np.ascontiguousarray(p["doc"]), p["at"], np.ascontiguousarray(p["text"]), [None] * len(p))
-    for bucket in sorted(parts):
-        r = np.concatenate(parts.pop(bucket))
-        r = r[np.lexsort((r["at"], r["doc"], r["text"], r["key"], r["band"]))]
-        band, key, text = r["band"], r["key"], r["text"]
-        new_key = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
-        new_text = new_key | np.r_[True, text[1:] != text[:-1]]
-        of = np.cumsum(new_text) - 1
-        several = ((np.bincount(of)[of] > 1) | (np.bincount(of, r["many"])[of] > 0)) & (band == 0)
-        heads = np.flatnonzero(new_text)
-        lists = (np.cumsum(new_key) - 1)[heads]
-        mixed = heads[np.bincount(lists)[lists] > 1]
-        places = np.flatnonzero(several)
-        rows = np.r_[places, mixed]
-        name = mix(key[mixed].astype(np.uint64) + (np.uint64(bucket) << np.uint64(40)) + (band[mixed].astype(np.uint64) << np.uint64(32)))
-        yield batch(np.ascontiguousarray(r["doc"][rows]), r["at"][rows], np.ascontiguousarray(r["text"][rows]), [None] * len(places) + name.view(np.int64).tolist())
+    def run(batches):
+        parts: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for bucket, blob, places in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if blob is not None:
+                    parts.setdefault(bucket, []).append(np.frombuffer(blob, _ENTRY))
+                else:
+                    p = np.frombuffer(places, _PLACE)
+                    yield batch(np.ascontiguousarray(p["doc"]), p["at"], np.ascontiguousarray(p["text"]), [None] * len(p))
+        for bucket in sorted(parts):
+            r = np.concatenate(parts.pop(bucket))
+            r = r[np.lexsort((r["at"], r["doc"], r["text"], r["key"], r["band"]))]
+            band, key, text = r["band"], r["key"], r["text"]
+            new_key = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
+            new_text = new_key | np.r_[True, text[1:] != text[:-1]]
+            of = np.cumsum(new_text) - 1
+            several = ((np.bincount(of)[of] > 1) | (np.bincount(of, r["many"])[of] > 0)) & (band % bands == 0)
+            heads = np.flatnonzero(new_text & (band < bands))
+            lists = (np.cumsum(new_key) - 1)[heads]
+            mixed = heads[np.bincount(lists)[lists] > 1]
+            places = np.flatnonzero(several)
+            rows = np.r_[places, mixed]
+            name = mix(key[mixed].astype(np.uint64) + (np.uint64(bucket) << np.uint64(40)) + (band[mixed].astype(np.uint64) << np.uint64(32)))
+            yield batch(np.ascontiguousarray(r["doc"][rows]), r["at"][rows], np.ascontiguousarray(r["text"][rows]), [None] * len(places) + name.view(np.int64).tolist())
+
+    return run
 
 
 def _sets(batches):
@@ -194,7 +217,7 @@ def _sets(batches):
         for d, t, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
             p = Paragraphs(t)
             h, s, e = p.shingles()
-            where = {int(c): k for k, c in enumerate(p.compared)}
+            where = p.where()
             for w in wanted:
                 k = where.get(w["at"])
                 if k is not None:
@@ -251,7 +274,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     n = partitions(spark)
     bands, rows = tune_bands(percent / 100, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    met = save(source.mapInArrow(_post(bands, rows, 4 * n), _POSTED).repartition(n, "bucket").mapInArrow(_meet, _OUT), "met")
+    met = save(source.mapInArrow(_post(bands, rows, 4 * n), _POSTED).repartition(n, "bucket").mapInArrow(_meet(bands), _OUT), "met")
     shared = met.where("key is not null")
     sizes = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
     wanted = shared.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -269,12 +292,83 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     return named.join(first, "class").select("doc_id", "at", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
 
 
-def cut(paragraphs: Paragraphs, gone: list[int]) -> str:
-    """The text without some paragraphs; a line that loses all its words goes with its line break."""
-    p, raw = paragraphs, paragraphs.raw
-    drop = np.zeros(len(p.ids), bool)
+def _contexts(batches):
+    """The words before, in and after the wanted paragraphs; parts are exact copies, so theirs are left out."""
+    for b in batches:
+        out: list[list] = [[] for _ in range(5)]
+        for d, t, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
+            p = Paragraphs(t)
+            where = p.where()
+            for w in wanted:
+                k = where.get(w)
+                if k is not None:
+                    for c, x in zip(out, (d, w, *(x.tobytes() if i != 1 or w & 1 else b"" for i, x in enumerate(p.around(k))))):
+                        c.append(x)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["first_doc", "first_at", "before", "inside", "after"])
+
+
+def with_contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`found` with the words before, in and after the first paragraph, those around it null where the paragraph beside one has its first beside that first."""
+    whole = Window.partitionBy("doc_id", F.col("at") % 2).orderBy("at", "first_doc", "first_at")
+    here = F.struct(F.col("at"), F.col("first_doc"), F.col("first_at"))
+    beside = lambda other, step: F.coalesce(other["at"] == F.col("at") + step, F.lit(False)) & (other["first_doc"] == F.col("first_doc")) & (other["first_at"] == F.col("first_at") + step)
+    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at"))
+    ends = found.withColumn("prior", F.lag(here).over(whole)).withColumn("next", F.lead(here).over(whole))
+    ends = ends.select("*", later.alias("later"), (later & ~F.coalesce(beside(F.col("prior"), -2), F.lit(False))).alias("left"), (later & ~F.coalesce(beside(F.col("next"), 2), F.lit(False))).alias("right")).drop("prior", "next")
+    ends = save(ends, "ends")
+    grown = ends.where("left or right")
+    wanted = grown.groupBy(F.col("first_doc").alias("_first")).agg(F.collect_set("first_at").alias("wanted"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    contexts = source.join(wanted.hint("merge"), source.doc_id == F.col("_first")).select("doc_id", "text", "wanted").mapInArrow(_contexts, "first_doc long, first_at int, before binary, inside binary, after binary")
+    # rows that repeat a doc_id are one document, so one of their contexts will do
+    contexts = contexts.groupBy("first_doc", "first_at").agg(F.min(F.struct("before", "inside", "after")).alias("c"))
+    grown = grown.join(contexts, ["first_doc", "first_at"], "left").select(*ends.columns, F.when(F.col("left"), F.col("c.before")).alias("before"), F.col("c.inside").alias("inside"), F.when(F.col("right"), F.col("c.after")).alias("after"))
+    rest = ends.where("not (left or right)").select("*", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("inside"), F.lit(None).cast("binary").alias("after"))
+    return grown.unionByName(rest).drop("left", "right")
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first items two arrays share."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    return n if same.all() else int(same.argmin())
+
+
+def _more(ids: np.ndarray, at: int, first: np.ndarray, there: int) -> int:
+    """How many words before `at` are those of the first text before the place where that one has the five words that begin at `at`.
+
+    Of several such places the one nearest to `there` counts: the ends of near copies may be off by some words.
+    """
+    head = ids[at : at + SHINGLE]
+    where = [q for q in np.flatnonzero(first == head[0]).tolist() if np.array_equal(first[q : q + SHINGLE], head)]
+    q = min(where, key=lambda x: abs(x - there), default=0)
+    return _equal(ids[:at][::-1], first[:q][::-1])
+
+
+def doomed(p: Paragraphs, gone: list[dict]) -> np.ndarray:
+    """Which words go: those of the paragraphs `gone` and equal words around them and their first ones."""
+    drop, where = np.zeros(len(p.ids), bool), p.where()
     for g in gone:
-        drop[p.starts[g] : p.ends[g]] = True
+        k = where.get(g["at"])
+        if k is None:
+            continue
+        s, e = p.starts[k], p.ends[k]
+        before, inside, after = (None if g[x] is None else np.frombuffer(g[x], np.uint64) for x in ("before", "inside", "after"))
+        low, high = s, e
+        if before is not None:
+            low -= _more(p.ids, s, np.r_[before, inside], len(before)) if len(inside) else _equal(p.ids[:s][::-1], before[::-1])
+        if after is not None:
+            if g["own"] is not None and len(inside):  # words are held against earlier ones alone
+                first = where.get(g["own"])
+                after = after[: max(0, s - p.ends[first])] if first is not None else after[:0]
+            high += _more(p.ids[::-1], len(p.ids) - e, np.r_[inside, after][::-1], len(after)) if len(inside) else _equal(p.ids[e:], after)
+        drop[low:high] = True
+    return drop
+
+
+def cut(paragraphs: Paragraphs, drop: np.ndarray) -> str:
+    """The text without some words; a line that loses all its words goes with its line break."""
+    p, raw = paragraphs, paragraphs.raw
     out, at = [], 0
     for line in raw.split(b"\n"):
         lo, hi = np.searchsorted(p.at, (at, at + len(line)))
@@ -290,16 +384,17 @@ def cut(paragraphs: Paragraphs, gone: list[int]) -> str:
 def remove_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` with text cut, and n_lines, n_shared, n_removed, source_docs and kept_sha256.
 
-    n_lines counts the lines of the input, n_shared the paragraphs that have a near duplicate, n_removed those of them that are not the first of
+    n_lines counts the lines of the input, n_shared the paragraphs (lines and parts) that have a near duplicate, n_removed those of them that are not the first of
     their component by (doc_id, place); source_docs are the sorted documents where the first ones stand. A null
     text has no lines and stays null. Rows without doc_id share nothing. Rows that repeat a doc_id are taken
     as the same document. Columns of the new names are replaced, all others stay.
     """
     made = {"n_lines": "long", "n_shared": "long", "n_removed": "long", "source_docs": "array<bigint>", "kept_sha256": "string"}
     source = docs.drop(*made)
-    found = repeated_paragraphs(source, percent)
-    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at"))
-    by_doc = found.groupBy(F.col("doc_id").alias("_quill_doc")).agg(F.count(F.lit(1)).alias("_quill_shared"), F.collect_list(F.when(later, F.col("at"))).alias("_quill_gone"), F.array_sort(F.collect_set(F.when(later, F.col("first_doc")))).alias("_quill_sources"))
+    found = with_contexts(source, repeated_paragraphs(source, percent))
+    later = F.col("later")
+    gone = F.struct("at", F.when(F.col("doc_id") == F.col("first_doc"), F.col("first_at")).alias("own"), "before", "inside", "after")
+    by_doc = found.groupBy(F.col("doc_id").alias("_quill_doc")).agg(F.count(F.lit(1)).alias("_quill_shared"), F.collect_list(F.when(later, gone)).alias("_quill_gone"), F.array_sort(F.collect_set(F.when(later, F.col("first_doc")))).alias("_quill_sources"))
     joined = source.join(by_doc.hint("merge"), source["doc_id"].cast("long") == by_doc["_quill_doc"], "left").drop("_quill_doc")
     at = joined.columns.index("text")
     schema = source.withColumns({k: F.lit(None).cast(t) for k, t in made.items()}).schema
@@ -312,8 +407,7 @@ def remove_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 new = t
                 if gone and t:
                     p = Paragraphs(t)
-                    gone = [g for g in gone if g < len(p)]
-                    new = cut(p, gone)
+                    new = cut(p, doomed(p, gone))
                 texts.append(new)
                 for c, x in zip(cols, (t.count("\n") + 1 if t else 0, shared or 0, len(gone or []), sources or [], hashlib.sha256((new or "").encode("utf-8", "surrogatepass")).hexdigest())):
                     c.append(x)

@@ -176,6 +176,35 @@ def test_paragraphs_catch_inner_passages_and_leave_the_rest(frame, rng):
     assert paragraph_dedup.remove_repeats(frame([], "doc_id long, text string")).count() == 0
 
 
+def test_paragraphs_of_exact_copies_go_whole(frame, rng):
+    """Copied documents of lines of any length, copied lines, and the words of passages inside other text."""
+    widths, rows, want = (3, 6, 12, 20, 25, 60, 300), [], {}
+    for i, w in enumerate(widths):
+        text = "\n".join(prose(rng, w) for _ in range(10))
+        rows += [(i, text), (100 + i, text)]
+    lines = [prose(rng, n) for n in (5, 9, 15, 20, 20, 20, 20, 30)]
+    rows += [(20 + i, f"{prose(rng, 40)}\n{line}\n{prose(rng, 40)}") for i, line in enumerate(lines)]
+    around = [(prose(rng, 40), prose(rng, 40)) for _ in lines]
+    rows += [(120 + i, f"{a}\n{line}\n{b}") for i, (line, (a, b)) in enumerate(zip(lines, around))]
+    passages = [prose(rng, rng.randrange(51, 81)) for _ in range(60)]
+    rows += [(300 + i, f"{prose(rng, 30)} {p} {prose(rng, 30)}") for i, p in enumerate(passages)]
+    rows += [(400 + i, f"{prose(rng, 30)} {p} {prose(rng, 30)}") for i, p in enumerate(passages)]
+    rows += [(500, "of it"), (501, "of it")]
+    got = {r.doc_id: r for r in paragraph_dedup.remove_repeats(frame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == t for i, t in rows if i < 100 or 300 <= i < 400)
+    assert [got[100 + i].text.split() for i in range(len(widths))] == [[]] * len(widths) and got[501].text == ""
+    for i, (line, (a, b)) in enumerate(zip(lines, around)):
+        kept = got[120 + i].text.split("\n")
+        assert len(kept) == 2 and a.startswith(kept[0]) and b.endswith(kept[1]) and len(" ".join(kept).split()) >= 76
+    gone = [(len(t.split()) - len(got[i].text.split())) / len(passages[i - 400].split()) for i, t in rows if 400 <= i < 500]
+    assert sum(x >= 1 for x in gone) >= 0.98 * len(gone) and max(gone) < 1.1
+    near = [(600 + i, f"{prose(rng, 30)} {' '.join(w[:k] + ['edit'] + w[k + 1:])} {prose(rng, 30)}") for i, w in enumerate(p.split() for p in passages) for k in [rng.randrange(30, 40)]]
+    rows += near
+    got = {r.doc_id: r.text for r in paragraph_dedup.remove_repeats(frame(rows, "doc_id long, text string")).collect()}
+    left = [len(got[i].split()) for i, _ in near]
+    assert all("edit" in got[i] for i, _ in near) and sum(x <= 61 for x in left) >= 0.75 * len(left)
+
+
 def test_paragraphs_near_copies_of_whole_lines(frame, rng):
     line = " ".join(f"word{i}" for i in range(24))
     assert len(paragraph_dedup.Paragraphs(line).compared) >= 1
