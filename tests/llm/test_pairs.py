@@ -212,6 +212,22 @@ def test_paragraphs_near_copies_of_whole_lines(frame, rng):
     assert {(r.doc_id, r.first_doc) for r in got} == {(1, 1), (2, 1)}
 
 
+def test_paragraphs_edited_lines_against_brute_force(frame, rng):
+    """Lines with a few changed words, of whole-line Jaccard 0.8 to 0.9, are removed whole, and no line below 0.8 is."""
+    pairs = [(line := prose(rng, n), edited(rng, line, k)) for n, k in ((60, 1), (60, 2), (100, 2), (120, 2), (200, 4), (200, 3), (80, 6)) for _ in range(25)]
+    rows = [(i, prose(rng, 20) + "\n" + a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, prose(rng, 20) + "\n" + b) for i, (_, b) in enumerate(pairs)]
+    got = {r.doc_id: r.text for r in paragraph_dedup.remove_repeats(frame(rows, "doc_id long, text string")).collect()}
+    alike = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = shingles(a, 5), shingles(b, 5)
+        whole = "\n" not in got[1000 + i]
+        if len(x & y) >= 0.8 * len(x | y):
+            alike.append(whole)
+        else:
+            assert not whole
+    assert len(alike) > 60 and sum(alike) >= 0.99 * len(alike) and len(alike) < len(pairs)
+
+
 def test_word_hashes_do_not_depend_on_place_or_blocks(rng):
     text = "  " + prose(rng, 3000).replace(" a", "\n\ta") + "é\x1fz  "
     raw = text.encode()
