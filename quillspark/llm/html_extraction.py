@@ -271,6 +271,12 @@ class Extractor:
             paths = self.shapes[shape] = frozenset(n[0] for n in nodes if n[0] in merged)
             if len(self.shapes) > 10_000:
                 self.shapes.clear()
+        if not paths:
+            # a page of another template: its own article, main or densest element, without the texts common to its host
+            common = {(n[0], n[4]) for n in self.wrapper.nodes if n[4] is not None and n[2] >= 3}
+            page = [b for b in page if ("/".join(b.path), b.text) not in common]
+            nodes = fold(page)
+            paths = {n[0] for n, keep in zip(nodes, Wrapper(nodes, 1).article()) if keep}
         return "\n".join(b.text for b in page if "/".join(b.path) in paths)
 
 

@@ -168,6 +168,20 @@ def test_html_extraction(frame):
     assert html_extraction.extract(frame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(frame, rows):
+    return {r.page_id: r.text for r in html_extraction.extract(frame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")).collect()}
+
+
+def test_html_mixed_templates_of_a_host(frame):
+    """Pages of every template of a host have their text, without the host's menus and notices."""
+    bodies = [lambda i: f"<article><p>Story {i}</p></article>", lambda i: f"<main><p>Main {i}</p></main>", lambda i: f'<div id="text"><p>Division {i} and more</p></div>', lambda i: f"Plain {i}"]
+    got = texts_of(frame, [("http://m.example/", page("T", bodies[i % 4](i), 2)) for i in range(24)])
+    assert got == {i: (f"Story {i}", f"Main {i}", f"Division {i} and more", f"Plain {i}")[i % 4] for i in range(24)}
+    two = lambda i: f'<div class="old"><p>{"many old words " * 9}{i}</p></div>' if i % 3 else f'<section><p>{"few new words " * 4}{i}</p></section>'
+    got = texts_of(frame, [("http://n.example/", page("T", two(i), 2)) for i in range(12)])
+    assert got == {i: ("many old words " * 9 if i % 3 else "few new words " * 4) + str(i) for i in range(12)}
+
+
 def test_wrapper_alignment_makes_slots_optionals_and_repeats():
     a, b = (html_extraction.fold(html_extraction.blocks(t)) for t in ("<div><h1>A</h1><p>x<p>y</div><p>same", "<div><h1>B</h1><h2>new</h2><p>z</div><p>same"))
     nodes, places = html_extraction.align(a, b)
