@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from .common import Shared, partitions, save
 
 # Element names by their role in a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i img ins kbd label mark math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover object q rp rt ruby s samp semantics small span strike strong sub sup time tt u var video wbr".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea title canvas video audio".split())
-BOILERPLATE = frozenset("nav header footer aside form button select menu dialog head fieldset figcaption".split())
+RAW = frozenset("script style noscript template svg iframe textarea title annotation annotation-xml".split())
+BOILERPLATE = frozenset("nav header footer aside form button select menu dialog head fieldset".split())
 MAIN = ("article", "main")
-#: Words in class, id or role of an element that is not part of the article.
+#: Elements that no class, id or role marks.
+UNMARKED = frozenset(("html", "body", *MAIN))
+#: Whole tokens of class, id or role of an element that is not part of the article, unless it holds the article.
 MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header legal login masthead menu nav navbar navigation newsletter notice overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 #: Elements that a new block closes implicitly, by the new element's name.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -33,6 +35,7 @@ _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_BARE = re.compile(r"[^.!?]*")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -46,21 +49,25 @@ class Block:
         self.path, self.text = path, text
 
 
+def _bare(element: str) -> str:
+    """The name of an element."""
+    return _BARE.match(element)[0]
+
+
 def _element(name: str, attributes: str) -> str:
-    """An element as the wrapper sees it: its name, an exclamation mark if it is marked as no article, and its class words."""
+    """An element as the wrapper sees it: its name, ! if it is hidden, ? if its class, id or role marks it as no article, and its class words."""
     if not attributes or attributes.isspace():
         return name
-    words, marked = [], False
+    words, hidden, marked = [], False, False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
-            found = _NAME.findall(value)
-            marked |= any(w in MARKS for w in found)
+            marked |= name not in UNMARKED and not MARKS.isdisjoint(value.split())
             if key == "class":
-                words += found
+                words += _NAME.findall(value)
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            marked = True
-    return name + "!" * marked + "".join(f".{w}" for w in words[:4])
+            hidden = True
+    return name + "!" * hidden + "?" * marked + "".join(f".{w}" for w in words[:4])
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -102,7 +109,7 @@ def blocks(page: str | None) -> list[Block]:
                 continue
             flush()
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].split(".")[0].rstrip("!") == name:
+                if _bare(stack[i]) == name:
                     del stack[i:]
                     break
             continue
@@ -120,7 +127,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         closes, stops = _CLOSES.get(name, {"p"}), _STOPS.get(name, frozenset())
         for i in range(len(stack) - 1, -1, -1):
-            bare = stack[i].split(".")[0].rstrip("!")
+            bare = _bare(stack[i])
             if bare in stops:
                 break
             if bare in closes:
@@ -230,15 +237,24 @@ class Wrapper:
         """Which slots belong to the article.
 
         Never those below a boilerplate element. Of the rest, those below an article or main element if the host
-        has one; else those below the deepest element that holds most of the differing text.
+        has one; else those below the deepest element that holds most of the differing text. A marked element
+        counts as boilerplate, but not if it is around an article or main element or holds most of that text.
         """
         paths = [n[0].split("/") for n in self.nodes]
-        open_ = [not any("!" in e or e.split(".")[0] in BOILERPLATE for e in p) for p in paths]
+        seen = [not any("!" in e or _bare(e) in BOILERPLATE for e in p) for p in paths]
+        marked = [[tuple(p[: i + 1]) for i, e in enumerate(p) if "?" in e and not any(_bare(x) in MAIN for x in p[i + 1 :])] for p in paths]
+        open_ = [o and not m for o, m in zip(seen, marked)]
         for name in MAIN:
-            inside = [o and any(e.split(".")[0].rstrip("!") == name for e in p) for o, p in zip(open_, paths)]
+            inside = [o and any(_bare(e) == name for e in p) for o, p in zip(open_, paths)]
             if any(inside):
                 return inside
-        mass = [n[3] * n[2] * (n[4] is None or self.pages < 3) if o else 0 for n, o in zip(self.nodes, open_)]
+        mass = [n[3] * n[2] * (n[4] is None or self.pages < 3) if o else 0 for n, o in zip(self.nodes, seen)]
+        held: dict[tuple, float] = {}
+        for ms, m in zip(marked, mass):
+            for e in ms:
+                held[e] = held.get(e, 0) + m
+        open_ = [o and all(held[e] and held[e] >= 0.6 * sum(mass) for e in ms) for o, ms in zip(seen, marked)]
+        mass = [m * o for m, o in zip(mass, open_)]
         total = sum(mass)
         best: tuple[str, ...] = ()
         while total:

@@ -182,6 +182,19 @@ def test_html_mixed_templates_of_a_host(frame):
     assert got == {i: ("many old words " * 9 if i % 3 else "few new words " * 4) + str(i) for i in range(12)}
 
 
+def test_html_marks_are_whole_tokens_and_spare_the_article(frame):
+    """No class word empties an article; boilerplate inside and beside it still goes."""
+    rows = []
+    for k, around in enumerate((
+        '<body class="no-sidebar"><article>{}</article>', '<article class="post comments-open share">{}</article>', '<div id="main-with-sidebar">{}</div>',
+        '<div class="legal">{}</div>', '<div class="related"><article>{}</article></div>', '<body class="social"><div class="notice">{}</div>', '<div class="header-fixed tags">{}</div>',
+    )):
+        rows += [(f"http://h{k}.example/", around.format(f'<p>Long text number {i} of the page</p><div class="share">Tell all</div>') + '<div class="sidebar">side</div><footer>f</footer>') for i in range(4)]
+    assert texts_of(frame, rows) == {i: f"Long text number {i % 4} of the page" for i in range(len(rows))}
+    inline = '<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data="a">object text</object> <canvas>canvas text</canvas>.</p><figure><img src="a"><figcaption>A caption</figcaption></figure></article>'
+    assert texts_of(frame, [("http://i.example/", inline)]) == {0: "So x=2 and object text canvas text.\nA caption"}
+
+
 def test_wrapper_alignment_makes_slots_optionals_and_repeats():
     a, b = (html_extraction.fold(html_extraction.blocks(t)) for t in ("<div><h1>A</h1><p>x<p>y</div><p>same", "<div><h1>B</h1><h2>new</h2><p>z</div><p>same"))
     nodes, places = html_extraction.align(a, b)
