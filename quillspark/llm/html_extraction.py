@@ -145,9 +145,12 @@ def blocks(page: str | None) -> list[Block]:
 # None where it differs. A node that fewer pages have than the wrapper is optional.
 
 
-def fold(page: list[Block]) -> list[list]:
-    """A page as a wrapper of its own: neighbouring repetitions of one or several slots become repeated groups."""
-    nodes: list[list] = [["/".join(b.path), 1, 1, len(b.text), b.text if len(b.text) <= 200 else None] for b in page]
+def fold(page: list[Block], members: bool = False) -> list[list]:
+    """A page as a wrapper of its own: neighbouring repetitions of one or several slots become repeated groups.
+
+    With `members` each node also has the numbers of its blocks.
+    """
+    nodes: list[list] = [["/".join(b.path), 1, 1, len(b.text), b.text if len(b.text) <= 200 else None, *([[i]] if members else [])] for i, b in enumerate(page)]
     width = 1
     while width <= min(6, len(nodes) // 2):
         i, out = 0, []
@@ -158,6 +161,8 @@ def fold(page: list[Block]) -> list[list]:
             while len(group) == width and [n[0] for n in nodes[j : j + width]] == shape:
                 for a, b in zip(group, nodes[j : j + width]):
                     a[1], a[3], a[4] = 2, a[3] + b[3], None
+                    if members:
+                        a[5] += b[5]
                 j += width
             if j > i + width or len(group) < width:
                 out += group
@@ -170,12 +175,8 @@ def fold(page: list[Block]) -> list[list]:
     return nodes
 
 
-def align(a: list[list], b: list[list]) -> tuple[list[list], list[int]]:
-    """The wrapper of two wrappers, and the place in it of each node of `b`.
-
-    Nodes with equal paths are matched in order, as many as possible; a text that differs becomes a slot, a node
-    without partner an optional one.
-    """
+def pairs(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
+    """Nodes of two wrappers in one order, those with equal paths together, as many as possible; None where one has no partner."""
     low = 0
     while low < min(len(a), len(b)) and a[low][0] == b[low][0]:
         low += 1
@@ -188,30 +189,38 @@ def align(a: list[list], b: list[list]) -> tuple[list[list], list[int]]:
         row, below = best[i], best[i + 1]
         for j in range(len(y) - 1, -1, -1):
             row[j] = below[j + 1] + 1 if x[i][0] == y[j][0] else max(below[j], row[j + 1])
-    out: list[list] = []
-    places: list[int] = []
-
-    def both(p, q):
-        pages = p[2] + q[2]
-        out.append([p[0], max(p[1], q[1]), pages, (p[3] * p[2] + q[3] * q[2]) / pages, p[4] if p[4] == q[4] else None])
-        places.append(len(out) - 1)
-
-    for p, q in zip(a[:low], b[:low]):
-        both(p, q)
+    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(low)]
     i = j = 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            both(x[i], y[j])
+            out.append((low + i, low + j))
             i, j = i + 1, j + 1
         elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(list(x[i]))
+            out.append((low + i, None))
             i += 1
         else:
-            places.append(len(out))
-            out.append(list(y[j]))
+            out.append((None, low + j))
             j += 1
-    for p, q in zip(a[len(a) - high :], b[len(b) - high :]):
-        both(p, q)
+    return out + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
+
+
+def align(a: list[list], b: list[list]) -> tuple[list[list], list[int]]:
+    """The wrapper of two wrappers, and the place in it of each node of `b`.
+
+    Nodes with equal paths are matched in order, as many as possible; a text that differs becomes a slot, a node
+    without partner an optional one.
+    """
+    out: list[list] = []
+    places: list[int] = []
+    for i, j in pairs(a, b):
+        if j is not None:
+            places.append(len(out))
+        if i is None or j is None:
+            out.append(list(b[j] if i is None else a[i]))
+            continue
+        p, q = a[i], b[j]
+        pages = p[2] + q[2]
+        out.append([p[0], max(p[1], q[1]), pages, (p[3] * p[2] + q[3] * q[2]) / pages, p[4] if p[4] == q[4] else None])
     return out, places
 
 
@@ -274,26 +283,28 @@ class Extractor:
 
     def __init__(self, wrapper: Wrapper):
         self.wrapper, self.inside = wrapper, wrapper.article()
-        self.shapes: dict[tuple, frozenset] = {}
+        self.kept = frozenset(n[0] for n, keep in zip(wrapper.nodes, self.inside) if keep)
+        self.shapes: dict[tuple, list] = {}
 
     def text(self, page: list[Block]) -> str:
-        shape = tuple(dict.fromkeys(b.path for b in page))
-        paths = self.shapes.get(shape)
-        if paths is None:
-            nodes = fold(page)
-            _, places = align(self.wrapper.nodes, nodes)
-            # the wrapper was inferred from this page too, so each of its slots has a place there
-            merged = {n[0] for n, keep in zip(self.wrapper.nodes, self.inside) if keep}
-            paths = self.shapes[shape] = frozenset(n[0] for n in nodes if n[0] in merged)
+        """What the page has in the slots of the article, by their places in the wrapper; a node without a place counts by its path.
+
+        A page with nothing there is of another template: it has its own article, main or densest element, without the texts common to its host.
+        """
+        nodes = fold(page, members=True)
+        shape = tuple(n[0] for n in nodes)
+        places = self.shapes.get(shape)
+        if places is None:
             if len(self.shapes) > 10_000:
                 self.shapes.clear()
-        if not paths:
-            # a page of another template: its own article, main or densest element, without the texts common to its host
-            common = {(n[0], n[4]) for n in self.wrapper.nodes if n[4] is not None and n[2] >= 3}
-            page = [b for b in page if ("/".join(b.path), b.text) not in common]
-            nodes = fold(page)
-            paths = {n[0] for n, keep in zip(nodes, Wrapper(nodes, 1).article()) if keep}
-        return "\n".join(b.text for b in page if "/".join(b.path) in paths)
+            places = self.shapes[shape] = [i for i, j in pairs(self.wrapper.nodes, nodes) if j is not None]
+        keep = [n[0] in self.kept if i is None else self.inside[i] for n, i in zip(nodes, places)]
+        if not any(keep):
+            common = [i is not None and self.wrapper.nodes[i][4] is not None and self.wrapper.nodes[i][2] >= 3 for i in places]
+            nodes = [n for n, c in zip(nodes, common) if not c]
+            keep = Wrapper(nodes, 1).article()
+        blocks_ = sorted(b for n, k in zip(nodes, keep) if k for b in n[5])
+        return "\n".join(page[b].text for b in blocks_)
 
 
 def _infer(batches):

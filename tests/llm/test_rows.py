@@ -195,6 +195,13 @@ def test_html_marks_are_whole_tokens_and_spare_the_article(frame):
     assert texts_of(frame, [("http://i.example/", inline)]) == {0: "So x=2 and object text canvas text.\nA caption"}
 
 
+def test_html_slots_are_matched_by_place(frame):
+    """A notice that all pages share stays out though the article has paragraphs of the same path; optional and repeated groups are matched in order."""
+    body = lambda i: "<div>" + "".join(f"<p>Paragraph {k} of page {i} with some words</p>" for k in range(1 + i % 3)) + ("<h2>Optional %d</h2><p>Further text %d</p>" % (i, i) if i % 2 else "") + "<ul><li>Links</li></ul><p>All rights are reserved here.</p></div>"
+    got = texts_of(frame, [("http://p.example/", body(i)) for i in range(12)])
+    assert got == {i: "\n".join([f"Paragraph {k} of page {i} with some words" for k in range(1 + i % 3)] + ([f"Optional {i}", f"Further text {i}"] if i % 2 else [])) for i in range(12)}
+
+
 def test_wrapper_alignment_makes_slots_optionals_and_repeats():
     a, b = (html_extraction.fold(html_extraction.blocks(t)) for t in ("<div><h1>A</h1><p>x<p>y</div><p>same", "<div><h1>B</h1><h2>new</h2><p>z</div><p>same"))
     nodes, places = html_extraction.align(a, b)
