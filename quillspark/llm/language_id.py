@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import Shared, held_out
 
-#: Bounds of what is learned from: languages, the most frequent ones, texts in all, and landmarks in all.
-MAX_LANGUAGES = 200
+#: Bounds of what is learned from: texts and landmarks in all, but no fewer of each language than these.
 MAX_TRAIN = 1600
 LANDMARKS = 96
+LANGUAGE_TEXTS = 8
+LANGUAGE_LANDMARKS = 2
 RIDGE = 0.05
 #: n-grams of 1 and 2 bytes have places of their own, longer ones share hashed places.
 _PLACES = (256, 1 << 16, 1 << 17, 1 << 17)
@@ -67,7 +68,7 @@ class KernelModel:
         chosen: list[int] = []
         for turn in range(max(map(len, by_label), default=0)):  # the languages take turns
             chosen += [rows[turn] for rows in by_label if turn < len(rows)]
-        chosen = chosen[:landmarks]
+        chosen = chosen[: max(landmarks, LANGUAGE_LANDMARKS * len(self.labels))]
         self.place = np.full(_OFFSETS[-1], -1, np.int32)
         if not chosen:
             return
@@ -106,14 +107,14 @@ class KernelModel:
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS) -> KernelModel:
     """A model from rows (doc_id, text, lang) that are not held out; null languages and texts without a letter teach nothing.
 
-    At most `max_train` texts are used, about as many of each language, drawn by a hash of doc_id. Workers send
+    About `max_train` texts are used, as many of each language and at least 8 where it has them, drawn by a hash of doc_id. Workers send
     n-gram numbers, not texts; their number for each text is bounded.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return KernelModel([], [])
-    each = max_train / len(counts)
+    each = max(max_train / len(counts), LANGUAGE_TEXTS)
     pairs = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * each / n))]
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(draw < F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("lang")), F.lit(0.0)))
@@ -126,7 +127,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARK
 
     got = picked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     got = got.mapInArrow(spectra, "doc_id long, lang string, spectrum binary").where("spectrum is not null")
-    table = got.limit(int(2 * max_train) + 200).toPandas()
+    table = got.limit(int(2 * max(max_train, each * len(counts))) + 200).toPandas()
     table["order"] = [(x * 0x9E3779B97F4A7C15) & (2**64 - 1) for x in table["doc_id"].fillna(-1).astype("int64").tolist()]
     table = table.sort_values(["order", "spectrum"]).groupby("lang", sort=True).head(int(each) + 1)
     return KernelModel([np.frombuffer(s, np.int32) for s in table["spectrum"]], table["lang"].tolist(), landmarks)

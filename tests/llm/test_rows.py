@@ -168,6 +168,16 @@ def test_html_extraction(frame):
     assert html_extraction.extract(frame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_every_language_is_learned(frame):
+    """More languages than 200 and than landmarks: each is learned, and its texts are told from the others'."""
+    rows = [(d, " ".join(chr(0x4E00 + 40 * k + (7 * d + j) % 40) * 2 for j in range(30)), f"l{k:03}") for k in range(210) for d in range(k * 12, k * 12 + 12)]
+    df = frame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert len(model.labels) == 210
+    got = language_id.identify(df, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.99 * len(got)
+
+
 def texts_of(frame, rows):
     return {r.page_id: r.text for r in html_extraction.extract(frame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")).collect()}
 
