@@ -1,19 +1,27 @@
 """Main-text extraction with wrappers inferred as union-free regular expressions.
 
-The pages of a host are written as token streams: block tags and text. Neighbouring repetitions inside a page
-fold into repeated groups. The streams are aligned one after another with the host's wrapper; a mismatch becomes
-a text slot, where texts differ, or an optional group, where tokens are missing on one side. Wrappers of parts of
-a host's pages are aligned with one another in the same way, so a host of any size is inferred from all of its
-pages. The wrapper decides which of its slots belong to the article; a page's text is what it has in these slots.
+The pages of a host that share a skeleton, the outer elements of their texts, are written as token streams: the
+elements around each text block, and the text itself where the host repeats it. Neighbouring repetitions inside a
+page fold into repeated groups. The streams are aligned one after another with the wrapper of their template; a
+mismatch becomes a text slot, where texts differ, or an optional group, where tokens are missing on one side.
+Wrappers of parts of the pages are aligned with one another in the same way, so a host of any size is inferred from
+all of its pages. The wrapper decides which of its slots belong to the article; a page's text is what it has there.
+
+A text is constant if at least `COMMON_PAGES` pages of the host whose longest other texts differ have it below the same
+elements, and at least half of those that have any text there. Constant texts are tokens of their
+own, so they are no article, wherever they stand, unless they make up nearly all of a template's text.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as _html
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +35,19 @@ BOILERPLATE = frozenset("nav header footer aside form button select menu dialog
 MAIN = ("article", "main")
 #: Elements that no class, id or role marks.
 UNMARKED = frozenset(("html", "body", *MAIN))
-#: Whole tokens of class, id or role of an element that is not part of the article, unless it holds the article.
-MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header legal login masthead menu nav navbar navigation newsletter notice overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+#: Tokens of class, id or role of an element that is not part of the article, unless it holds the article; also as the first or last part of a compound.
+MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer header legal login masthead menu nav navbar navigation newsletter notice overlay pager pagination popup promo promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+#: Parts of a compound token that tell of an element around or without such a thing.
+BESIDE = frozenset("content free has layout main no open page with without wrapper".split())
 #: Elements that a new block closes implicitly, by the new element's name.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w:.-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _BARE = re.compile(r"[^.!?]*")
 _NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -54,6 +65,12 @@ def _bare(element: str) -> str:
     return _BARE.match(element)[0]
 
 
+def _marks(token: str) -> bool:
+    """Whether a class, id or role tells of something beside the article."""
+    parts = _PART.split(token)
+    return token in MARKS or (len(parts) > 1 and (parts[0] in MARKS or parts[-1] in MARKS) and BESIDE.isdisjoint(parts))
+
+
 def _element(name: str, attributes: str) -> str:
     """An element as the wrapper sees it: its name, ! if it is hidden, ? if its class, id or role marks it as no article, and its class words."""
     if not attributes or attributes.isspace():
@@ -62,12 +79,12 @@ def _element(name: str, attributes: str) -> str:
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
-            marked |= name not in UNMARKED and not MARKS.isdisjoint(value.split())
-            if key == "class":
+            marked |= name not in UNMARKED and any(map(_marks, value.split()))
+            if key == "class" and name not in ("html", "body"):
                 words += _NAME.findall(value)
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
-    return name + "!" * hidden + "?" * marked + "".join(f".{w}" for w in words[:4])
+    return name + "!" * hidden + "?" * marked + "".join(f".{w}" for w in words)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -140,98 +157,158 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-# A wrapper is a list of nodes [path, count, pages, chars, text]: the path of elements of a text slot, whether it
-# is repeated (2) or single (1), the number of pages that have it, their mean characters, and the common text, or
-# None where it differs. A node that fewer pages have than the wrapper is optional.
+#: Pages with different main blocks that must have a text before it counts as constant.
+COMMON_PAGES = 3
+#: So many of a page's longest other texts tell whether two pages that share a text are copies.
+MAIN_TEXTS = 3
+#: Constant texts that hold more than this share of a template's text are its article: its pages are near copies.
+COPIES = 0.8
+#: Between the path and the hash in the token of a constant text.
+_CONSTANT = "\x01"
+#: Outer elements of a path that tell templates of a host apart.
+_OUTER = 3
+
+
+def _hash(*parts: str) -> int:
+    """A signed 64-bit hash."""
+    h = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
+    return h - (h >> 63 << 64)
+
+
+def _place(host: str, block: Block) -> str:
+    """The host and the bare elements of a block, as constant texts see them."""
+    return "\0".join((host, *map(_bare, block.path)))
+
+
+def tokens(page: list[Block], host: str, constant) -> list[str]:
+    """The token of each block: its path, and of texts whose hash is in `constant` the hash too."""
+    out = []
+    for b in page:
+        path = "/".join(b.path)
+        h = _hash(_place(host, b), b.text) if constant else 0
+        out.append(f"{path}{_CONSTANT}{h}" if constant and h in constant else path)
+    return out
+
+
+def skeleton(page: list[Block]) -> int:
+    """What tells the templates of a host apart: the set of the outer elements of the blocks' paths, but for lists of links."""
+    return _hash(*sorted({"/".join(b.path[:_OUTER]) for b in page}))
+
+
+# A wrapper is a list of nodes [token, count, pages, chars]: the token of a slot or constant text, whether it is
+# repeated (2) or single (1), the number of pages that have it and their mean characters. A node that fewer pages
+# have than the wrapper is optional.
 
+_BASE, _RING = 1_000_003, (1 << 61) - 1
 
-def fold(page: list[Block], members: bool = False) -> list[list]:
-    """A page as a wrapper of its own: neighbouring repetitions of one or several slots become repeated groups.
 
-    With `members` each node also has the numbers of its blocks.
+def fold(page: list[Block], names: list[str] | None = None) -> list[list]:
+    """A page as a wrapper of its own: neighbouring repetitions of one or any number of slots become repeated groups.
+
+    A fifth item of each node has the numbers of its blocks.
     """
-    nodes: list[list] = [["/".join(b.path), 1, 1, len(b.text), b.text if len(b.text) <= 200 else None, *([[i]] if members else [])] for i, b in enumerate(page)]
-    width = 1
-    while width <= min(6, len(nodes) // 2):
-        i, out = 0, []
-        while i < len(nodes):
-            group = nodes[i : i + width]
-            shape = [n[0] for n in group]
-            j = i + width
-            while len(group) == width and [n[0] for n in nodes[j : j + width]] == shape:
-                for a, b in zip(group, nodes[j : j + width]):
-                    a[1], a[3], a[4] = 2, a[3] + b[3], None
-                    if members:
-                        a[5] += b[5]
-                j += width
-            if j > i + width or len(group) < width:
-                out += group
-                i = j
-            else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-        width += 1
-    return nodes
+    out: list[list] = []
+    number: dict[str, int] = {}
+    where: dict[str, list[int]] = {}
+    sums, powers = [0], [1]  # hashes of the first tokens of `out`, so that ranges compare at once
+    for i, name in enumerate(names if names is not None else tokens(page, "", ())):
+        at = where.setdefault(name, [])
+        out.append([name, 1, 1, len(page[i].text), [i]])
+        sums.append((sums[-1] * _BASE + number.setdefault(name, len(number) + 1)) % _RING)
+        if len(powers) < len(sums):
+            powers.append(powers[-1] * _BASE % _RING)
+        end = len(out)
+        width = 0
+        for q in reversed(at):
+            w = end - 1 - q
+            if 2 * w > end:
+                break
+            if not (sums[end] - sums[end - w] * powers[w] - sums[end - w] + sums[end - 2 * w] * powers[w]) % _RING:
+                width = w
+                break
+        at.append(end - 1)
+        if width:
+            for a, b in zip(out[end - 2 * width : end - width], out[end - width :]):
+                a[1], a[3] = 2, a[3] + b[3]
+                a[4] += b[4]
+                where[b[0]].pop()
+            del out[end - width :], sums[end - width + 1 :]
+    return out
 
 
-def pairs(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
-    """Nodes of two wrappers in one order, those with equal paths together, as many as possible; None where one has no partner."""
+def pairs(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
+    """Places of two token lists in one order, equal tokens together, as many as possible; None where one has no partner.
+
+    A longest common subsequence with the rows of its table as bits of whole numbers, so long pages cost little.
+    Of a long table every k-th row is kept, and the rows between are made again when the way back reaches them.
+    """
     low = 0
-    while low < min(len(a), len(b)) and a[low][0] == b[low][0]:
+    while low < min(len(a), len(b)) and a[low] == b[low]:
         low += 1
     high = 0
-    while high < min(len(a), len(b)) - low and a[-1 - high][0] == b[-1 - high][0]:
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
         high += 1
     x, y = a[low : len(a) - high], b[low : len(b) - high]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i][0] == y[j][0] else max(below[j], row[j + 1])
-    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(low)]
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            out.append((low + i, low + j))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append((low + i, None))
-            i += 1
+    have: dict[str, int] = {}
+    for i, name in enumerate(x):
+        have[name] = have.get(name, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    step = max(64, int(len(y) ** 0.5) + 1)
+
+    def rows(v: int, names: list[str]) -> list[int]:
+        made = []
+        for name in names:
+            u = v & have.get(name, 0)
+            v = ((v + u) | (v - u)) & full
+            made.append(v)
+        return made
+
+    starts, v = [], full
+    for c in range(0, len(y), step):
+        starts.append(v)
+        v = rows(v, y[c : c + step])[-1]
+    middle: list[tuple[int | None, int | None]] = []
+    i, j, block, table = len(x), len(y), -1, []
+    while i and j:
+        if (j - 1) // step != block:
+            block = (j - 1) // step
+            table = [starts[block], *rows(starts[block], y[block * step : block * step + step])]
+        k = j - block * step
+        if table[k] >> (i - 1) & 1:
+            i -= 1
+            middle.append((low + i, None))
         else:
-            out.append((None, low + j))
-            j += 1
-    return out + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
-
+            j -= 1
+            if table[k - 1] >> (i - 1) & 1:
+                i -= 1
+                middle.append((low + i, low + j))
+            else:
+                middle.append((None, low + j))
+    middle += [(low + k, None) for k in range(i - 1, -1, -1)] + [(None, low + k) for k in range(j - 1, -1, -1)]
+    return [(k, k) for k in range(low)] + middle[::-1] + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
 
-def align(a: list[list], b: list[list]) -> tuple[list[list], list[int]]:
-    """The wrapper of two wrappers, and the place in it of each node of `b`.
 
-    Nodes with equal paths are matched in order, as many as possible; a text that differs becomes a slot, a node
-    without partner an optional one.
-    """
+def align(a: list[list], b: list[list]) -> list[list]:
+    """The wrapper of two wrappers: equal tokens are matched in order, as many as possible; a node without partner is an optional one."""
     out: list[list] = []
-    places: list[int] = []
-    for i, j in pairs(a, b):
-        if j is not None:
-            places.append(len(out))
+    for i, j in pairs([n[0] for n in a], [n[0] for n in b]):
         if i is None or j is None:
-            out.append(list(b[j] if i is None else a[i]))
+            out.append((b[j] if i is None else a[i])[:4])
             continue
         p, q = a[i], b[j]
-        pages = p[2] + q[2]
-        out.append([p[0], max(p[1], q[1]), pages, (p[3] * p[2] + q[3] * q[2]) / pages, p[4] if p[4] == q[4] else None])
-    return out, places
+        count = p[2] + q[2]
+        out.append([p[0], max(p[1], q[1]), count, (p[3] * p[2] + q[3] * q[2]) / count])
+    return out
 
 
 class Wrapper:
-    """The wrapper of a host, and how many pages it has seen."""
+    """The wrapper of a template, and how many pages it has seen."""
 
     def __init__(self, nodes: list[list] | None = None, pages: int = 0):
         self.nodes, self.pages = nodes or [], pages
 
     def add(self, other: "Wrapper") -> None:
-        self.nodes = align(self.nodes, other.nodes)[0] if self.pages else other.nodes
+        self.nodes = align(self.nodes, other.nodes) if self.pages else [n[:4] for n in other.nodes]
         self.pages += other.pages
 
     def dump(self) -> str:
@@ -243,27 +320,39 @@ class Wrapper:
         return cls(nodes, pages)
 
     def article(self) -> list[bool]:
-        """Which slots belong to the article.
+        """Which nodes belong to the article.
 
-        Never those below a boilerplate element. Of the rest, those below an article or main element if the host
-        has one; else those below the deepest element that holds most of the differing text. A marked element
-        counts as boilerplate, but not if it is around an article or main element or holds most of that text.
+        Never those below a boilerplate element. Of the rest, those below an article or main element if the
+        template has one; else those below the deepest element that holds most of the differing text. A marked
+        element counts as boilerplate, but not if it is around an article or main element or holds most of that
+        text. Constant texts are left out, unless they are nearly all that there is.
         """
-        paths = [n[0].split("/") for n in self.nodes]
+        paths = [n[0].split(_CONSTANT)[0].split("/") for n in self.nodes]
+        fixed = [_CONSTANT in n[0] for n in self.nodes]
+        size = [n[3] * n[2] for n in self.nodes]
         seen = [not any("!" in e or _bare(e) in BOILERPLATE for e in p) for p in paths]
         marked = [[tuple(p[: i + 1]) for i, e in enumerate(p) if "?" in e and not any(_bare(x) in MAIN for x in p[i + 1 :])] for p in paths]
         open_ = [o and not m for o, m in zip(seen, marked)]
+
+        def without_constants(inside: list[bool]) -> list[bool]:
+            slots = sum(s for s, k, f in zip(size, inside, fixed) if k and not f)
+            if slots < (1 - COPIES) * sum(s for s, k in zip(size, inside) if k) and self.pages >= COMMON_PAGES:
+                return inside
+            return [k and not f for k, f in zip(inside, fixed)]
+
         for name in MAIN:
-            inside = [o and any(_bare(e) == name for e in p) for o, p in zip(open_, paths)]
+            inside = without_constants([o and any(_bare(e) == name for e in p) for o, p in zip(open_, paths)])
             if any(inside):
                 return inside
-        mass = [n[3] * n[2] * (n[4] is None or self.pages < 3) if o else 0 for n, o in zip(self.nodes, seen)]
+        mass = [s * (o and not f) for s, o, f in zip(size, seen, fixed)]
         held: dict[tuple, float] = {}
         for ms, m in zip(marked, mass):
             for e in ms:
                 held[e] = held.get(e, 0) + m
         open_ = [o and all(held[e] and held[e] >= 0.6 * sum(mass) for e in ms) for o, ms in zip(seen, marked)]
         mass = [m * o for m, o in zip(mass, open_)]
+        if not sum(mass):  # constants alone
+            mass = [s * o for s, o in zip(size, open_)]
         total = sum(mass)
         best: tuple[str, ...] = ()
         while total:
@@ -275,71 +364,150 @@ class Wrapper:
             if top is None or below[top] < 0.6 * total:
                 break
             best = top
-        return [o and tuple(p[: len(best)]) == best and (self.pages < 3 or n[4] is None or n[2] < 3) for n, o, p in zip(self.nodes, open_, paths)]
+        return without_constants([o and tuple(p[: len(best)]) == best for o, p in zip(open_, paths)])
 
 
 class Extractor:
-    """Matches pages with the wrapper of their host; pages of one shape are aligned once."""
+    """Matches pages with the wrapper of their template; pages of one shape are aligned once."""
 
-    def __init__(self, wrapper: Wrapper):
-        self.wrapper, self.inside = wrapper, wrapper.article()
-        self.kept = frozenset(n[0] for n, keep in zip(wrapper.nodes, self.inside) if keep)
+    def __init__(self, wrapper: Wrapper, host: str):
+        self.wrapper, self.host, self.inside = wrapper, host, wrapper.article()
+        self.names = [n[0] for n in wrapper.nodes]
+        self.constant = frozenset(int(n.split(_CONSTANT)[1]) for n in self.names if _CONSTANT in n)
         self.shapes: dict[tuple, list] = {}
 
     def text(self, page: list[Block]) -> str:
-        """What the page has in the slots of the article, by their places in the wrapper; a node without a place counts by its path.
+        """What the page has in the slots of the article, by their places in the wrapper.
 
-        A page with nothing there is of another template: it has its own article, main or densest element, without the texts common to its host.
+        Every page has a place for each of its nodes, as its wrapper was made from it too; where an alignment of
+        many pages took another way, so that a node has none, it is decided as its page alone would. A page with
+        nothing there has its own article, main or densest element, without the constant texts of its host.
         """
-        nodes = fold(page, members=True)
+        nodes = fold(page, tokens(page, self.host, self.constant))
         shape = tuple(n[0] for n in nodes)
         places = self.shapes.get(shape)
         if places is None:
             if len(self.shapes) > 10_000:
                 self.shapes.clear()
-            places = self.shapes[shape] = [i for i, j in pairs(self.wrapper.nodes, nodes) if j is not None]
-        keep = [n[0] in self.kept if i is None else self.inside[i] for n, i in zip(nodes, places)]
-        if not any(keep):
-            common = [i is not None and self.wrapper.nodes[i][4] is not None and self.wrapper.nodes[i][2] >= 3 for i in places]
-            nodes = [n for n, c in zip(nodes, common) if not c]
-            keep = Wrapper(nodes, 1).article()
-        blocks_ = sorted(b for n, k in zip(nodes, keep) if k for b in n[5])
-        return "\n".join(page[b].text for b in blocks_)
-
-
-def _infer(batches):
-    """Wrappers of the pages of one task, one for each host."""
-    found: dict[str, Wrapper] = {}
+            places = self.shapes[shape] = [i for i, j in pairs(self.names, list(shape)) if j is not None]
+        keep = [i is not None and self.inside[i] for i in places]
+        if None in places or not any(keep):
+            own = [n for n in nodes if _CONSTANT not in n[0]]
+            inside = iter(Wrapper(own, 1).article())
+            alone = [_CONSTANT not in n[0] and next(inside) for n in nodes]
+            nothing = not any(keep)
+            keep = [a if nothing or i is None else k for k, a, i in zip(keep, alone, places)]
+        return "\n".join(page[b].text for b in sorted(b for n, k in zip(nodes, keep) if k for b in n[4]))
+
+
+def _count(batches):
+    """(text, place, main): hashes of each block's text with its path, of the path, and of the page's longest other texts; text is null where the page's path alone counts."""
     for b in batches:
-        for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-            found.setdefault(host or "", Wrapper()).add(Wrapper(fold(blocks(page)), 1))
-    hosts = list(found)
-    yield pa.record_batch([pa.array(hosts, pa.string()), pa.array([found[h].dump() for h in hosts], pa.string())], names=["host", "wrapper"])
+        seen: set[tuple[int, int, int]] = set()
+        for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+            page = blocks(html)
+            longest = heapq.nlargest(MAIN_TEXTS + 1, {x.text for x in page}, key=lambda t: (len(t), t))
+            mains = {t: _hash(*[x for x in longest if x != t][:MAIN_TEXTS]) for t in (*longest, "")}
+            for x in page:
+                place = _place(host, x)
+                seen.add((_hash(place, x.text), _hash(place), mains.get(x.text, mains[""])))
+                seen.add((None, _hash(place), mains[""]))
+        yield pa.record_batch([pa.array([s[k] for s in seen], pa.int64()) for k in range(3)], names=["text", "place", "main"])
+
+
+def constant_texts(pages: DataFrame) -> DataFrame:
+    """(text): the hashes of the constant texts of all hosts, counted over all pages (host, html)."""
+    rows = pages.select("host", "html").mapInArrow(_count, "text long, place long, main long")
+    counts = save(rows.distinct().groupBy("text", "place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_PAGES), "often")
+    often, around = counts.where("text is not null"), counts.where("text is null").select("place", F.col("n").alias("of"))
+    return often.join(around, "place").where("2 * n >= of").select("text", "place")
+
+
+def _infer(known):
+    """Wrappers of the pages of one task, one for each template of a host."""
+
+    def run(batches):
+        found: dict[tuple[str, int], Wrapper] = {}
+        constant = known() if known else None
+
+        def made():
+            keys = list(found)
+            return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([found[k].dump() for k in keys], pa.string())], names=["host", "template", "wrapper"])
+
+        for b in batches:
+            lists = b.column("constant").to_pylist() if constant is None else [constant] * b.num_rows
+            for host, html, c in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), lists):
+                page = blocks(html)
+                names = tokens(page, host, c if constant is not None else frozenset(c or ()))
+                found.setdefault((host, skeleton(page)), Wrapper()).add(Wrapper(fold(page, names), 1))
+            if len(found) > 5000:
+                yield made()
+                found.clear()
+        yield made()
+
+    return run
 
 
 def _merge(batches):
-    """Wrappers of a host, aligned with one another; the rows come sorted by host."""
-    host, whole = None, None
+    """Wrappers of a template, aligned with one another; the rows come sorted by host and template."""
+    key, whole = None, None
+
+    def made(done):
+        return pa.record_batch([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.string())], names=["host", "template", "wrapper"])
+
     for b in batches:
         done = []
-        for h, w in zip(b.column("host").to_pylist(), b.column("wrapper").to_pylist()):
-            if whole is None or h != host:
+        for h, t, w in zip(*(b.column(k).to_pylist() for k in ("host", "template", "wrapper"))):
+            if whole is None or (h, t) != key:
                 if whole is not None:
-                    done.append((host, whole.dump()))
-                host, whole = h, Wrapper()
+                    done.append((*key, whole.dump()))
+                key, whole = (h, t), Wrapper()
             whole.add(Wrapper.load(w))
-        yield pa.record_batch([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())], names=["host", "wrapper"])
-    done = [(host, whole.dump())] if whole is not None else []
-    yield pa.record_batch([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())], names=["host", "wrapper"])
+        yield made(done)
+    yield made([(*key, whole.dump())] if whole is not None else [])
+
+
+#: Constant texts of up to so many are broadcast; beyond that pages are joined with those of their host.
+MAX_CONSTANTS = 1_000_000
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from all pages (host, html): each task infers its part, then the parts are aligned in two steps, so that a hot host is dealt over many tasks first."""
-    n = partitions(pages.sparkSession)
-    parts = pages.select("host", "html").mapInArrow(_infer, "host string, wrapper string")
+    """(host, template, wrapper) from all pages (host, html): each task infers its part, then the parts are aligned in two steps, so that a hot host is dealt over many tasks first."""
+    spark = pages.sparkSession
+    n, schema = partitions(spark), "host string, template long, wrapper string"
+    source = pages.select("host", "html")
+    constant = save(constant_texts(source), "constants")
+    if constant.count() <= MAX_CONSTANTS:
+        shared = Shared(spark, np.array([r["text"] for r in constant.select("text").distinct().toLocalIterator()], np.int64))
+        parts = source.mapInArrow(_infer(lambda: frozenset(shared.load().tolist())), schema)
+    else:
+        places = source.mapInArrow(_places, "host string, template long, place long").distinct()
+        known = places.join(constant, "place").groupBy("host", "template").agg(F.collect_set("text").alias("constant"))
+        parts = with_template(source).join(known, ["host", "template"], "left").select("host", "html", "constant").mapInArrow(_infer(None), schema)
     dealt = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(n)))
-    once = dealt.repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInArrow(_merge, "host string, wrapper string")
-    return once.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, "host string, wrapper string")
+    once = dealt.repartition(n, "host", "template", "salt").sortWithinPartitions("host", "template", "salt", "wrapper").select("host", "template", "wrapper").mapInArrow(_merge, schema)
+    return once.repartition(n, "host", "template").sortWithinPartitions("host", "template", "wrapper").mapInArrow(_merge, schema)
+
+
+def _places(batches):
+    """(host, template, place) of each path that a page has."""
+    for b in batches:
+        seen = set()
+        for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+            page = blocks(html)
+            seen |= {(host, skeleton(page), _hash(_place(host, x))) for x in page}
+        yield pa.record_batch([pa.array([s[k] for s in seen], (pa.string(), pa.int64(), pa.int64())[k]) for k in range(3)], names=["host", "template", "place"])
+
+
+def with_template(pages: DataFrame, html: str = "html", name: str = "template") -> DataFrame:
+    """`pages` with the number of each page's template."""
+    at = pages.columns.index(html)
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([*b.columns, pa.array([skeleton(blocks(t)) for t in b.column(at).to_pylist()], pa.int64())], names=[*b.schema.names, name])
+
+    return pages.mapInArrow(run, pages.withColumn(name, F.lit(None).cast("long")).schema)
 
 
 #: Wrappers of up to so many characters in all are broadcast; beyond that pages are joined with theirs.
@@ -351,32 +519,35 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     A null or empty page gives an empty text; pages without a host are taken as one host. Character references
     are decoded and white space inside a block is one space. Columns of these names are replaced, all others
-    stay. An empty table stays empty.
+    stay. Repeated rows have equal texts; an empty table stays empty.
     """
     source = pages.drop("text", "n_chars")
     hosts = F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", ""), F.lit(""))
     wrappers = save(infer_wrappers(pages.select(hosts.alias("host"), F.col(html).cast("string").alias("html"))), "wrappers")
     size = wrappers.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
-    at = source.columns.index(html)
     schema = source.withColumns({"text": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")}).schema
     tagged = source.withColumn("_quill_host", hosts)
 
     def rows(b, extractor):
-        page, host = b.column(at).to_pylist(), b.column("_quill_host").to_pylist()
-        texts = [extractor(h, i).text(blocks(p)) for i, (h, p) in enumerate(zip(host, page))]
+        texts, html_at = [], b.schema.names.index(html)
+        for i, (host, p) in enumerate(zip(b.column("_quill_host").to_pylist(), b.column(html_at).to_pylist())):
+            page = blocks(p)
+            texts.append(extractor(host, skeleton(page), i).text(page) if page else "")
         keep = [b.column(i) for i in range(len(schema.names) - 2)]
         return pa.record_batch([*keep, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     if size <= MAX_BROADCAST:
-        shared = Shared(pages.sparkSession, {r["host"]: r["wrapper"] for r in wrappers.toLocalIterator()})
+        shared = Shared(pages.sparkSession, {(r["host"], r["template"]): r["wrapper"] for r in wrappers.toLocalIterator()})
 
         def run(batches):
             known, made = shared.load(), {}
 
-            def extractor(host, _):
-                if host not in made:
-                    made[host] = Extractor(Wrapper.load(known[host]))
-                return made[host]
+            def extractor(host, template, _):
+                if (host, template) not in made:
+                    if len(made) > 5000:
+                        made.clear()
+                    made[host, template] = Extractor(Wrapper.load(known[host, template]), host)
+                return made[host, template]
 
             for b in batches:
                 yield rows(b, extractor)
@@ -387,14 +558,16 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
         for b in batches:
             wrapper, made = b.column("_quill_wrapper"), {}
 
-            def extractor(host, i):
-                if host not in made:
-                    made[host] = Extractor(Wrapper.load(wrapper[i].as_py()))
-                return made[host]
+            def extractor(host, template, i):
+                if (host, template) not in made:
+                    made[host, template] = Extractor(Wrapper.load(wrapper[i].as_py()), host)
+                return made[host, template]
 
             yield rows(b, extractor)
 
-    return tagged.join(wrappers.select(F.col("host").alias("_quill_host"), F.col("wrapper").alias("_quill_wrapper")), "_quill_host").select(*source.columns, "_quill_host", "_quill_wrapper").mapInArrow(run_joined, schema)
+    named = wrappers.select(F.col("host").alias("_quill_host"), F.col("template").alias("_quill_template"), F.col("wrapper").alias("_quill_wrapper"))
+    joined = with_template(tagged, html, "_quill_template").join(named, ["_quill_host", "_quill_template"])
+    return joined.select(*source.columns, "_quill_host", "_quill_wrapper").mapInArrow(run_joined, schema)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -212,16 +213,77 @@ def test_html_slots_are_matched_by_place(frame):
     assert got == {i: "\n".join([f"Paragraph {k} of page {i} with some words" for k in range(1 + i % 3)] + ([f"Optional {i}", f"Further text {i}"] if i % 2 else [])) for i in range(12)}
 
 
+def test_html_reproduced_losses(frame):
+    """One page with an article empties no other; what all pages share is no article, under the same path or inside the article."""
+    rows = [("http://q.example/", "<html><body><div class='content'>" + "".join(f"<p>Words {i} of part {k} stand here</p>" for k in range(3)) + "</div></body></html>") for i in range(5)]
+    rows.append(("http://q.example/", "<html><body><article><p>Other words</p></article></body></html>"))
+    want = {i: "\n".join(f"Words {i} of part {k} stand here" for k in range(3)) for i in range(5)} | {5: "Other words"}
+    assert texts_of(frame, rows) == want
+    notice = "<p>This site requires registration to view.</p>"
+    rows = [("http://r.example/", f"<html><body><div>{notice if i % 2 else ''}<p>Story {i} begins</p>{'' if i % 2 else notice}<p>Story {i} ends</p></div></body></html>") for i in range(6)]
+    assert texts_of(frame, rows) == {i: f"Story {i} begins\nStory {i} ends" for i in range(6)}
+    rows = [("http://s.example/", f"<html><body><article><h1>Title {i}</h1><div>Subscribe now to our paper</div><p>Body {i} of it</p></article></body></html>") for i in range(5)]
+    assert texts_of(frame, rows) == {i: f"Title {i}\nBody {i} of it" for i in range(5)}
+
+
+def test_html_copies_keep_their_text(frame):
+    """Copies and near copies of a page that hold most of a host are no template text."""
+    body = lambda i: "<article>" + "".join(f"<p>Paragraph {k} {'edited ' + str(i) if k == i % 9 else 'as it was'} and more words</p>" for k in range(9)) + "</article>"
+    rows = [("http://t.example/", page("T", body(40), 2))] * 30 + [("http://t.example/", page("T", f"<article><p>Own text {i} of a page</p></article>", 2)) for i in range(4)]
+    got = texts_of(frame, rows)
+    assert all(len(got[i].split("\n")) == 9 for i in range(30)) and all(got[30 + i] == f"Own text {i} of a page" for i in range(4))
+    got = texts_of(frame, [("http://u.example/", page("T", body(i), 2)) for i in range(30)])
+    assert all(len(t.split("\n")) == 9 for t in got.values())
+
+
+def test_html_compound_marks(frame):
+    rows = [("http://v.example/", f'<div class="page-with-sidebar"><div data-id="ad"><p>Text {i} of the article here</p></div><div class="cookie-banner">We use {i} cookies</div><ul id="related_posts"><li>See {i}</li></ul></div><div class="comment-list"><p>Reader {i} says</p></div>') for i in range(4)]
+    assert texts_of(frame, rows) == {i: f"Text {i} of the article here" for i in range(4)}
+
+
+def test_html_tables_of_copies_long_pages_and_ties(frame):
+    """A long page of any structure keeps each of its blocks once and in order; repeated rows get equal texts; odd markup does no harm."""
+    r = random.Random(3)
+    parts = [f"<{t}>block {i}</{t}>" for i in range(4000) for t in [r.choice(["p", "h2", "h3", "blockquote", "section"])]]
+    long = "<article>" + "".join(parts) + "</article>"
+    odd = ["<p", "<<>>&#xZZ;&", "<div><div><div>", "</p></p>text</b>", "<!-- open", "<a=b>x", "\x00\x01" + "y"]
+    rows = [("http://w.example/", long)] * 2 + [("http://w.example/1", f"<article><p>short {i}</p><h3>x{i}</h3></article>") for i in range(3)] + [("http://x.example/", o) for o in odd] + [(None, "<p>no host")] * 2
+    got = texts_of(frame, rows)
+    assert got[0] == got[1] == "\n".join(f"block {i}" for i in range(4000)) and got[2] == "short 0\nx0"
+    assert got[len(rows) - 1] == got[len(rows) - 2] == "no host"
+
+
+def brute_pairs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_alignment_is_a_longest_one():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(0, 90))] for _ in range(2))
+        got = html_extraction.pairs(a, b)
+        assert [i for i, _ in got if i is not None] == list(range(len(a))) and [j for _, j in got if j is not None] == list(range(len(b)))
+        both = [(i, j) for i, j in got if i is not None and j is not None]
+        assert all(a[i] == b[j] for i, j in both) and len(both) == brute_pairs(a, b)
+
+
 def test_wrapper_alignment_makes_slots_optionals_and_repeats():
     a, b = (html_extraction.fold(html_extraction.blocks(t)) for t in ("<div><h1>A</h1><p>x<p>y</div><p>same", "<div><h1>B</h1><h2>new</h2><p>z</div><p>same"))
-    nodes, places = html_extraction.align(a, b)
-    assert [(n[0], n[1], n[2], n[4]) for n in nodes] == [("div/h1", 1, 2, None), ("div/h2", 1, 1, "new"), ("div/p", 2, 2, None), ("p", 1, 2, "same")] and places == [0, 1, 2, 3]
+    assert [n[:3] for n in html_extraction.align(a, b)] == [["div/h1", 1, 2], ["div/h2", 1, 1], ["div/p", 2, 2], ["p", 1, 2]]
+    wide = html_extraction.fold(html_extraction.blocks("".join(f"<h{k}>t</h{k}>" for k in (1, 2, 3, 4, 5, 6)) * 4 + "<p>z"))
+    wide8 = html_extraction.fold(html_extraction.blocks("".join(f"<{k}>t</{k}>" for k in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "div")) * 5))
+    assert [(n[0], n[1], len(n[4])) for n in wide] == [(f"h{k}", 2, 4) for k in range(1, 7)] + [("p", 1, 1)] and [len(n[4]) for n in wide8] == [5] * 8
 
 
 def test_html_joined_wrappers_give_the_same(frame, monkeypatch):
     df = frame([(i, f"http://h{i % 3}.example/", page("T", f"<article><p>Body {i}</p></article>", 2)) for i in range(30)], "page_id long, url string, html string")
     want = {tuple(r) for r in html_extraction.extract(df).collect()}
     monkeypatch.setattr(html_extraction, "MAX_BROADCAST", -1)
+    monkeypatch.setattr(html_extraction, "MAX_CONSTANTS", -1)
     assert {tuple(r) for r in html_extraction.extract(df).collect()} == want
 
 
