@@ -3,7 +3,7 @@
 Every window of `WINDOW` bytes has an anchor: the `GRAM`-byte string in it with the least hash, the leftmost of
 equals. Equal windows have equal anchors, so windows are compared only among the segments that share one. A
 segment is the run of windows that one anchor occurrence governs. Segments with equal bytes are settled by
-their hash; where segments of one anchor differ, their bytes are gathered and a suffix array is built in two
+their hash (64 bits, next to over 32 of their anchor's); where segments of one anchor differ, their bytes are gathered and a suffix array is built in two
 stages: suffixes smaller than their successors are sorted directly, the others are induced by scanning the
 buckets of first bytes. Adjacent common prefixes of at least `WINDOW` bytes give the remaining repeats.
 
@@ -224,9 +224,11 @@ def _anchor(buckets: int):
             h, seg, doc, at, size = (np.concatenate(x) for x in (hs, segs, docs, ats, lens))
             order = np.argsort(mix(h + mix(seg)), kind="stable")
             h, seg, doc, at, size = (x[order] for x in (h, seg, doc, at, size))
-            again = np.r_[False, (h[1:] == h[:-1]) & (seg[1:] == seg[:-1])]
+            first, ends = runs(np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])]))
+            head = np.repeat(first, ends - first)  # the earliest, as documents and starts came in order
+            again = (doc != doc[head]) | (at != at[head])  # rows that repeat a document are no repeats in it
             ids, blobs = _by_doc(doc[again], _spans(at[again], size[again]))
-            h, seg, doc, at, size = (x[~again] for x in (h, seg, doc, at, size))
+            h, seg, doc, at, size = (x[first] for x in (h, seg, doc, at, size))
             bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             r = np.empty(len(h), _ANCHOR)
             r["h"], r["seg"], r["doc"], r["at"], r["len"] = h & np.uint64(0xFFFFFFFF), seg, doc, at, size
@@ -361,13 +363,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): for each document with repeated bytes a list of packed spans, which may overlap."""
     n, most = partitions(docs.sparkSession), HOT
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    found = source.mapInArrow(_anchor(4 * n), _SPANS).repartition(n, "bucket").mapInArrow(lambda batches: _settle(batches, most), _FOUND)
+    found = source.mapInArrow(_anchor(4 * n), _SPANS).repartitionById(n, F.col("bucket")).mapInArrow(lambda batches: _settle(batches, most), _FOUND)
     found = save(found, "found")
 
     lists = found.where("wanted is not null or hot is not null").groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted"), F.collect_list("hot").alias("hot"))
     texts = source.where("text is not null").join(lists.hint("merge"), "doc_id").select("doc_id", "text", "wanted", "hot")
     gathered = save(texts.mapInArrow(_gather(4 * n), _GATHERED), "gathered")
-    rest = gathered.where("blob is not null").select("bucket", "blob").repartition(n, "bucket").mapInArrow(_compare, "doc_id long, spans binary")
+    rest = gathered.where("blob is not null").select("bucket", "blob").repartitionById(n, F.col("bucket")).mapInArrow(_compare, "doc_id long, spans binary")
     windows = gathered.where("h is not null").select("h", "doc_id", "at")
     first = windows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = windows.join(first, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
@@ -405,7 +407,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     the same document. All strings are judged on the input. A null text counts as empty and stays null. Where a
     cut splits a character, its remaining bytes are left out of the text, though they count in the digest. Rows
     without doc_id match nothing. doc_id names a document: rows that repeat one with the same text share its
-    result. Columns of the new names are replaced, all others stay.
+    result, however they are dealt over partitions; rows that repeat one with another text count as further
+    versions of it, and what goes from one version goes from the same places of the others. Columns of the new
+    names are replaced, all others stay.
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     source = docs.drop(*made)

@@ -154,6 +154,17 @@ def test_suffix_dedup_rows_without_or_with_repeated_ids(frame, rng):
     assert sorted((r.doc_id or 0, r.n_removed > 0) for r in got) == [(0, False), (1, False), (1, False), (2, True)]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_suffix_dedup_repeated_rows_in_any_partitions(frame, corpus, parts):
+    """Rows that occur twice or three times give the document's own result as often, wherever they stand."""
+    rows = [r for r in corpus if r[1] is None or len(r[1]) < 2000] + [(7000, "ab" * 150 + "c"), (7001, "x" + "ab" * 80)]
+    df = frame(rows + rows[::2] + rows[::4], "doc_id long, text string")
+    df = df.coalesce(1) if parts == 1 else df.repartition(parts)
+    want = brute_repeats(rows)
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert sorted(got) == sorted((d, want[d]) for d, _ in rows + rows[::2] + rows[::4])
+
+
 def test_two_stage_suffix_array():
     g = np.random.default_rng(2)
     for trial in range(60):
