@@ -74,6 +74,10 @@ class Shared:
     def load(self):
         return pickle.loads(self._bytes.value)
 
+    def close(self) -> None:
+        """Free it on driver and executors, once nothing reads it any more."""
+        self._bytes.destroy()
+
 
 def partitions(spark: SparkSession) -> int:
     """The configured number of shuffle partitions."""

@@ -1,7 +1,9 @@
 """Benchmark decontamination with a broadcast hash set of the test windows.
 
 Test items become windows of ten normalised words; a document's windows are looked up by hash, verified word by
-word, and the words of every hit are marked. Documents or only their marked spans can be removed.
+word, and the words of every hit are marked. Documents or only their marked spans can be removed. A benchmark of
+more than `BLOCK_WINDOWS` windows is scanned block by block, with what was found so far in a table in between, so
+that driver and workers never hold more than one block.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Shared
+from .common import LOWER, Shared, drop, save
 
 WINDOW = 10
-#: Windows in one broadcast block; a larger benchmark is scanned in several blocks.
-BLOCK_WINDOWS = 500_000
+#: Windows in one broadcast block, about 30 bytes each besides the word list; a larger benchmark is scanned in several blocks.
+BLOCK_WINDOWS = 1_000_000
+#: Bytes of a text whose words are looked up at once.
+BLOCK_BYTES = 1 << 20
 #: Lower-cases A-Z and turns every ASCII character but digits and letters into a space.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -40,33 +44,54 @@ def _fold(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowIndex:
-    """Windows of some test items: a word list, and for each length the sorted hashes, the words and the items of the windows."""
+    """Windows of some test items: a word list, the items' words in a row, and for each length the sorted hashes, the places and the items of the windows."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = {}
+        self.window = window
+        flat, found = [], {}
+        at = 0
         for item, words in items:
             if words:
-                ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-                n = min(window, len(ids))
-                for i in range(len(ids) - n + 1):
-                    found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
-        self.by_length = {}
-        for n, windows in sorted(found.items()):
-            rows = np.array(list(windows), np.int64).reshape(-1, n)
-            h = _fold(rows.ravel(), np.arange(len(rows)) * n, n)
-            order = np.argsort(h, kind="stable")
-            sets = list(windows.values())
-            self.by_length[n] = h[order], rows[order], [sorted(sets[i]) for i in order]
-
-    def scan(self, words: list[bytes]) -> tuple[list[list[int]], list[int]]:
+                flat.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), np.int32, len(words)))
+                found.setdefault(min(window, len(words)), []).append((item, at, len(words)))
+                at += len(words)
+        self.words = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        self.by_length = {n: self._windows(n, of) for n, of in sorted(found.items())}
+
+    def _windows(self, n: int, of: list[tuple[int | None, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows by hash: hashes, places in the words, and bounds in the list of their items, which is the last."""
+        sizes = np.array([k - n + 1 for _, _, k in of])
+        place = np.concatenate([np.arange(at, at + k - n + 1) for _, at, k in of])
+        item = np.repeat([0 if i is None else i for i, _, _ in of], sizes)
+        named = np.repeat([i is not None for i, _, _ in of], sizes)
+        h = _fold(self.words.astype(np.int64), place, n)
+        rows = np.stack([self.words[place + j] for j in range(n)])
+        order = np.lexsort((item, *rows, h))
+        h, place, item, named, rows = h[order], place[order], item[order], named[order], rows[:, order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (rows[:, 1:] != rows[:, :-1]).any(0)]
+        window = np.cumsum(new) - 1
+        once = named & (np.r_[True, item[1:] != item[:-1]] | new | np.r_[True, ~named[:-1]])
+        bounds = np.r_[0, np.cumsum(np.bincount(window[once], minlength=int(new.sum())))]
+        return h[new], place[new], bounds, item[once]
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """The words of a text by their numbers, -1 for those of no item; long texts are cut in blocks between words."""
+        raw, out, at = text.encode("utf-8", "surrogatepass").translate(_WORDS) if text else b"", [], 0
+        while at < len(raw):
+            end = raw.find(b" ", at + BLOCK_BYTES) if at + BLOCK_BYTES < len(raw) else -1
+            words = raw[at : end if end >= 0 else len(raw)].split()
+            out.append(np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words)))
+            at = end if end >= 0 else len(raw)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def scan(self, ids: np.ndarray) -> tuple[list[list[int]], list[int]]:
         """Maximal hit runs [start, end) in words, and the sorted items with a hit window."""
-        if not words or not self.by_length:
+        if not len(ids) or not self.by_length:
             return [], []
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.r_[0, np.cumsum(ids < 0)]
-        hits, items = [], set()
-        for n, (hashes, rows, of) in self.by_length.items():
+        starts, ends, items = [], [], set()
+        for n, (hashes, place, bounds, of) in self.by_length.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(unknown[n:] == unknown[:-n])
@@ -74,69 +99,85 @@ class WindowIndex:
                 continue
             h = _fold(ids, at, n)
             low = np.searchsorted(hashes, h)
-            maybe = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
-            for k in maybe:
-                p, i = at[k], low[k]
-                while i < len(hashes) and hashes[i] == h[k]:
-                    if (rows[i] == ids[p : p + n]).all():
-                        hits.append((int(p), int(p) + n))
-                        items.update(of[i])
-                        break
-                    i += 1
-        runs: list[list[int]] = []
-        for s, e in sorted(hits):
-            if runs and s <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], e)
-            else:
-                runs.append([s, e])
-        return runs, sorted(items)
+            left = np.arange(len(at))
+            while len(left):  # again only for windows whose hash another window has too
+                left = left[low[left] < len(hashes)]
+                left = left[hashes[low[left]] == h[left]]
+                p, q = at[left], place[low[left]]
+                same = np.ones(len(left), bool)
+                for j in range(n):
+                    same &= ids[p + j] == self.words[q + j]
+                starts.append(p[same])
+                ends.append(p[same] + n)
+                for w in np.unique(low[left[same]]):
+                    items.update(of[bounds[w] : bounds[w + 1]].tolist())
+                left = left[~same]
+                low[left] += 1
+        s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+        return _merged(np.stack([s, e], 1).tolist()), sorted(items)
 
 
 def indexes(benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS):
-    """Indexes of the benchmark, block by block; the driver holds one block at a time."""
+    """Indexes of the benchmark, block by block; the driver holds one block at a time. Of an item with more windows a block has a part."""
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         words = words_of(row[1])
-        block.append((row[0], words))
-        size += max(1, len(words) - window + 1)
-        if size >= block_windows:
-            yield WindowIndex(block, window)
-            block, size = [], 0
+        for at in range(0, max(1, len(words) - window + 1), block_windows):
+            part = words[at : at + block_windows + window - 1]
+            block.append((row[0], part))
+            size += max(1, len(part) - window + 1)
+            if size >= block_windows:
+                yield WindowIndex(block, window)
+                block, size = [], 0
     if block:
         yield WindowIndex(block, window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """`docs` with n_words long, hit_runs array<array<int>> and hit_items array<long>.
-
-    hit_runs are the maximal runs [start, end) of words inside occurrences of windows; hit_items the sorted
-    items that have a window in the text. A null text has no words. Columns of these names are replaced; all
-    other columns stay. An empty benchmark hits nothing.
-    """
-    out = docs.drop("n_words", "hit_runs", "hit_items").withColumns({"n_words": F.lit(0).cast("long"), "hit_runs": F.lit(None).cast("array<array<int>>"), "hit_items": F.lit(None).cast("array<long>")})
+def _scan(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], window: int, text: str, block_windows: int) -> DataFrame:
+    """`docs` with three further columns of the given names, as scan() describes them."""
+    out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(None).cast("array<array<int>>"), names[2]: F.lit(None).cast("array<long>")})
     at = out.columns.index(text)
     schema = out.schema
-    for index in [*indexes(benchmark, window, block_windows)] or [WindowIndex([])]:
-        shared = Shared(docs.sparkSession, index)
+    blocks = indexes(benchmark, window, block_windows)
+    index, first = next(blocks, WindowIndex([])), True
+    while index is not None:
+        shared, index = Shared(docs.sparkSession, index), None
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, first=first):
             index = shared.load()
             for b in batches:
                 counts, runs, items = [], [], []
-                before = zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())
+                before = repeat(([], [])) if first else zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())
                 for t, (r, i) in zip(b.column(at), before):
-                    words = words_of(t.as_py())
-                    new, found = index.scan(words)
-                    counts.append(len(words))
-                    runs.append(_merged((r or []) + new) if r else new)
+                    ids = index.ids(t.as_py())
+                    new, found = index.scan(ids)
+                    counts.append(len(ids))
+                    runs.append(_merged(r + new) if r else new)
                     items.append(sorted({*i, *found}) if i else found)
                 made = [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.int64()))]
                 yield pa.record_batch([*b.columns[:-3], *made], names=b.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        scanned = out.mapInArrow(run, schema)
+        index = next(blocks, None)
+        if index is None:
+            return scanned
+        before, out, first = out, save(scanned, "scanned"), False
+        shared.close()
+        drop(before)
     return out
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """`docs` with n_words long, hit_runs array<array<int>> and hit_items array<long>.
+
+    hit_runs are the maximal runs [start, end) of words inside occurrences of windows; hit_items the sorted ids of
+    the items that have a window in the text. An item without an id marks words too, but names none. A null text
+    has no words. Columns of these names are replaced; all other columns stay. Repeated rows have equal results,
+    and repeated items count once. An empty benchmark hits nothing, an empty table stays empty.
+    """
+    return _scan(docs.drop("n_words", "hit_runs", "hit_items"), benchmark, ("n_words", "hit_runs", "hit_items"), window, text, block_windows)
+
+
 def _merged(runs: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for s, e in sorted(map(list, runs)):
@@ -161,11 +202,12 @@ def cut(text: str, runs: list[list[int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, text: str = "text") -> DataFrame:
     """`docs` without contaminated documents, or with remove="spans" without the hit words; the columns stay as they were.
 
-    A null text is never contaminated; a text made of hits alone becomes empty.
+    A null text is never contaminated; a text made of hits alone becomes empty. Columns of any name stay, but for those that begin with _quill_.
     """
-    marked = scan(docs, benchmark, window, text)
+    names = ("_quill_n_words", "_quill_hit_runs", "_quill_hit_items")
+    marked = _scan(docs.drop(*names), benchmark, names, window, text, BLOCK_WINDOWS)
     if remove == "documents":
-        return marked.where(F.size("hit_runs") == 0).select(*docs.columns)
+        return marked.where(F.size(names[1]) == 0).select(*docs.columns)
     if remove != "spans":
         raise ValueError("remove: documents or spans")
     at = marked.columns.index(text)
@@ -203,7 +245,7 @@ dat AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, leng
 doc_windows AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM dat),
 hits AS (SELECT d.doc_id, d.i, d.n, t.item_id FROM doc_windows d JOIN item_windows t ON d.n = t.n AND d.win = t.win),
 hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+hit_items AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
     sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)
