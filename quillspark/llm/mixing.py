@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import drop, save
 
-#: Up to so many cells are raked in one partition and broadcast to the documents; more stay distributed.
+#: Up to so many cells are raked in one partition and broadcast to the documents; more are summed and joined by shuffles.
 MAX_CELLS = 100_000
 #: Targets: shares proportional to a power of the shares in the corpus; below 1 small groups gain.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -49,15 +49,15 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, keep: float = KE
     A value missing from a dict has target 0; a target without tokens is ignored and the rest shares its part.
     keep: the share of all tokens that the sample holds on average, as far as probabilities up to 1 allow.
     """
-    margins = list(targets)
-    whole = W.partitionBy()
-    n = cells.count()
-    small = n <= MAX_CELLS
+    raked = _rake_together if cells.count() <= MAX_CELLS else _rake_apart
+    return raked(cells, targets, rounds, keep, calibrations).select(*targets, "n_docs", "n_tokens", "weight", "probability")
 
-    def together(df: DataFrame) -> DataFrame:
-        return df.coalesce(1) if small else df
 
-    df = together(cells).withColumn("weight", F.col("n_tokens").cast("double"))
+def _rake_together(cells: DataFrame, targets: dict, rounds: int, keep: float, calibrations: int) -> DataFrame:
+    """Windows over one partition, which holds all cells."""
+    margins = list(targets)
+    whole = W.partitionBy()
+    df = cells.coalesce(1).withColumn("weight", F.col("n_tokens").cast("double"))
     for m in margins:
         df = df.withColumn(f"_t_{m}", _share(F.sum("weight").over(W.partitionBy(m)), targets[m], m))
         # each value counts once, by its cells' equal parts
@@ -65,12 +65,12 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, keep: float = KE
         df = df.withColumn(f"_t_{m}", F.col(f"_t_{m}") / F.sum("_part").over(whole) * F.sum("weight").over(whole)).drop("_part")
     df = save(df, "cells")
     for i in range(rounds):
-        df = together(df) if i % 5 == 0 else df
+        df = df.coalesce(1) if i % 5 == 0 else df
         for m in margins:
             df = df.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_t_{m}"), F.sum("weight").over(W.partitionBy(m))), F.lit(0.0)))
-        if i % 5 == 4 or i == rounds - 1 or not small:
+        if i % 5 == 4 or i == rounds - 1:
             df = save(df, "cells")
-    df = together(df).withColumn("_ratio", F.coalesce(F.try_divide(F.col("weight"), F.col("n_tokens").cast("double")), F.lit(0.0))).withColumn("_scale", F.lit(keep))
+    df = df.coalesce(1).withColumn("_ratio", _ratio()).withColumn("_scale", F.lit(keep))
     budget = F.lit(keep) * F.sum("n_tokens").over(whole)
     for _ in range(calibrations):
         full = F.col("_ratio") * F.col("_scale") >= 1
@@ -78,7 +78,42 @@ def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS, keep: float = KE
         rest = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(whole)
         df = df.withColumn("_next", F.coalesce(F.try_divide(budget - fixed, rest), F.col("_scale")))
         df = df.withColumn("_scale", F.greatest("_next", "_scale")).drop("_next")
-    return df.withColumn("probability", F.least(F.lit(1.0), F.col("_ratio") * F.col("_scale"))).select(*margins, "n_docs", "n_tokens", "weight", "probability")
+    return df.withColumn("probability", F.least(F.lit(1.0), F.col("_ratio") * F.col("_scale")))
+
+
+def _rake_apart(cells: DataFrame, targets: dict, rounds: int, keep: float, calibrations: int) -> DataFrame:
+    """The same with sums that are aggregated in part before they meet and then joined, so no task holds all cells or those of one value; only single numbers reach the driver."""
+
+    def kept(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        out = save(df, "cells")
+        if before is not None:
+            drop(before)
+        return out
+
+    df = kept(cells.withColumn("weight", F.col("n_tokens").cast("double")))
+    tokens_ = df.agg(F.sum("weight")).first()[0] or 0.0
+    aims = {}
+    for m in targets:
+        aim = df.groupBy(m).agg(_share(F.sum("weight"), targets[m], m).alias("_aim")) if isinstance(targets[m], (int, float)) else df.select(m).distinct().withColumn("_aim", _share(F.lit(0.0), targets[m], m))
+        share = aim.agg(F.sum("_aim")).first()[0] or 0.0
+        aims[m] = save(aim.withColumn("_aim", F.try_divide(F.col("_aim"), F.lit(float(share))) * tokens_), "aims")
+    for _ in range(rounds):
+        for m in targets:
+            totals = df.groupBy(m).agg(F.sum("weight").alias("_sum")).join(aims[m], m)
+            factor = F.coalesce(F.try_divide(F.col("weight") * F.col("_aim"), F.col("_sum")), F.lit(0.0))
+            df = kept(df.join(totals, m).withColumn("weight", factor).select(*cells.columns, "weight"), df)
+    df, scale = kept(df.withColumn("_ratio", _ratio()), df), float(keep)
+    for _ in range(calibrations):
+        full = F.col("_ratio") * F.lit(scale) >= 1
+        fixed, rest = df.agg(F.sum(F.when(full, F.col("n_tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if rest:
+            scale = max(scale, (keep * tokens_ - fixed) / rest)
+    return df.withColumn("probability", F.least(F.lit(1.0), F.col("_ratio") * F.lit(scale)))
+
+
+def _ratio() -> Column:
+    """Raked tokens for each token."""
+    return F.coalesce(F.try_divide(F.col("weight"), F.col("n_tokens").cast("double")), F.lit(0.0))
 
 
 def _uniform(doc_id: str, seed: int) -> Column:
@@ -86,32 +121,41 @@ def _uniform(doc_id: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
-def mix(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", topic: Column | None = None) -> DataFrame:
-    """`docs` with columns topic, n_tokens, weight (raked tokens for each token), probability and sampled.
+_MADE = ("topic", "n_tokens", "weight", "probability", "sampled")
 
-    Columns of these names are replaced; all others stay. A null source or language is a group of its own, a
-    null or empty text has no tokens and a probability of 0, except where every token is kept. Copies of a row
-    share their fate; an empty table stays empty.
-    """
+
+def _mixed(docs: DataFrame, targets: dict | None, keep: float, seed: int, doc_id: str, text: str, topic: Column | None) -> DataFrame:
+    """`docs` with the columns of mix() under names that begin with _quill_."""
     targets = targets or POWERS
-    made = ("topic", "n_tokens", "weight", "probability", "sampled")
-    tagged = docs.drop(*made).withColumn("n_tokens", tokens(text))
-    tagged = tagged.withColumn("topic", topic if topic is not None else form_topic(text))
     margins = list(targets)
-    keys = {m: F.coalesce(F.col(m).cast("string"), F.lit("(none)")) for m in margins}
-    cells = tagged.groupBy(*[c.alias(m) for m, c in keys.items()]).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    cells = save(cells, "counts")
-    raked = save(rake(cells, targets, keep=keep), "raked")
+    clear = docs.drop(*[c for c in docs.columns if c.startswith("_quill_")])
+    tagged = clear.withColumn("_quill_n_tokens", tokens(text))
+    tagged = tagged.withColumn("_quill_topic", topic if topic is not None else form_topic(text, "_quill_n_tokens"))
+    keys = {m: F.coalesce(F.col("_quill_topic" if m == "topic" else m).cast("string"), F.lit("(none)")) for m in margins}
+    cells = tagged.groupBy(*[c.alias(m) for m, c in keys.items()]).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("_quill_n_tokens").alias("n_tokens"))
+    raked = save(rake(save(cells, "counts"), targets, keep=keep), "raked")
     small = raked.count() <= MAX_CELLS
-    raked = raked.select(*[F.col(m).alias(f"_quill_k_{m}") for m in margins], F.coalesce(F.try_divide(F.col("weight"), F.col("n_tokens").cast("double")), F.lit(0.0)).alias("weight"), "probability")
+    raked = raked.select(*[F.col(m).alias(f"_quill_k_{m}") for m in margins], _ratio().alias("_quill_weight"), F.col("probability").alias("_quill_probability"))
     on = [keys[m] == F.col(f"_quill_k_{m}") for m in margins]
     out = tagged.join(F.broadcast(raked) if small else raked, on, "left").drop(*[f"_quill_k_{m}" for m in margins])
-    return out.withColumn("sampled", _uniform(doc_id, seed) < F.col("probability"))
+    return out.withColumn("_quill_sampled", _uniform(doc_id, seed) < F.col("_quill_probability"))
+
+
+def mix(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", topic: Column | None = None) -> DataFrame:
+    """`docs` with columns topic, n_tokens, weight (raked tokens for each token), probability and sampled.
+
+    topic: an expression over the columns of `docs`, such as a topic column of theirs; without one, the form of
+    the text stands in. Columns of the made names are replaced, topic after it was read; all others stay. A null
+    source, language or topic is a group of its own, a null or empty text has no tokens and a probability of 0,
+    except where every token is kept. Copies of a row share their fate; an empty table stays empty.
+    """
+    mixed = _mixed(docs, targets, keep, seed, doc_id, text, topic)
+    return mixed.select(*[c for c in docs.columns if c not in _MADE and not c.startswith("_quill_")], *[F.col(f"_quill_{c}").alias(c) for c in _MADE])
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of `docs`, with its own columns."""
-    return mix(docs.select("*"), **options).where("sampled").select(*docs.columns)
+def sample(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", topic: Column | None = None) -> DataFrame:
+    """The sampled rows of `docs`, with its own columns as they are, but for those that begin with _quill_."""
+    return _mixed(docs, targets, keep, seed, doc_id, text, topic).where("_quill_sampled").select(*[c for c in docs.columns if not c.startswith("_quill_")])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

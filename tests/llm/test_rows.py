@@ -30,16 +30,18 @@ def brute_hits(text, items):
         for i in range(len(w) - n + 1 if n else 0):
             if tuple(w[i : i + n]) in windows:
                 hit.update(range(i, i + n))
-                found.add(item)
+                found |= {item} - {None}
     return len(w), len(hit), sorted(found)
 
 
 @pytest.fixture
 def contaminated(rng):
     items = [(i, prose(rng, 5 + 4 * i)) for i in range(8)] + [(90, "Éa-b"), (91, None), (92, "..."), (93, "")]
+    items += [items[5], (94, items[6][1]), (None, prose(rng, 12)), (None, items[3][1])]
     docs = [(i, prose(rng, 60)) for i in range(20)]
     docs += [(100 + i, f"{prose(rng, 9)}. {t.upper()}! {prose(rng, 9)}") for i, (_, t) in enumerate(items[:9])]
     docs += [(200, items[5][1]), (201, None), (202, ""), (203, "?!"), (204, "word " * 30_000), (205, " ".join(items[6][1].split()[4:17]))]
+    docs += [(206, "x " + items[14][1]), (207, prose(rng, 400_000) + " " + items[7][1] + " " + prose(rng, 10)), docs[3], docs[25]]
     return docs, items
 
 
@@ -51,9 +53,29 @@ def test_decontamination_matches_brute_force(frame, contaminated, block):
     assert {r.doc_id: (r.n_words, sum(e - s for s, e in r.hit_runs), r.hit_items) for r in got} == {d: brute_hits(t, items) for d, t in docs}
 
 
+def test_decontamination_holds_one_block_at_a_time(frame, contaminated, monkeypatch):
+    docs, items = contaminated
+    alive, most = set(), []
+
+    class Counted(decontamination.WindowIndex):
+        def __init__(self, *a):
+            super().__init__(*a)
+            alive.add(id(self))
+            most.append(len(alive))
+
+        def __del__(self):
+            alive.discard(id(self))
+
+    monkeypatch.setattr(decontamination, "WindowIndex", Counted)
+    df = frame(docs[:20], "doc_id long, text string")
+    decontamination.scan(df, frame(items, "item_id long, text string"), block_windows=10)
+    assert len(most) >= 8 and max(most) <= 2  # the one that is shipped, and the next while it is made
+
+
 def test_decontamination_removes_documents_or_spans(frame, contaminated):
     docs, items = contaminated
-    df, b = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
+    df, b = frame([d for d in docs if d[0] != 207], "doc_id long, text string"), frame(items, "item_id long, text string")
+    docs = [d for d in docs if d[0] != 207]
     bad = {d for d, t in docs if brute_hits(t, items)[1]}
     kept = decontamination.decontaminate(df, b).collect()
     assert {r.doc_id for r in kept} == {d for d, _ in docs} - bad and kept[0].__fields__ == ["doc_id", "text"]
@@ -314,13 +336,51 @@ def test_mixing_unknown_targets_get_nothing(frame, rng):
     assert all((r.probability == 0) == (r.source != "a" or not r.n_tokens) or r.n_tokens == 0 for r in got)
 
 
-def test_mixing_distributed_cells_give_the_same(frame, rng, monkeypatch):
-    df = frame(mixed(rng, 120), "doc_id long, source string, lang string, text string")
-    want = {r.doc_id: round(r.probability, 9) for r in mixing.mix(df, {"source": 0.5, "lang": 1.0}).collect()}
-    monkeypatch.setattr(mixing, "MAX_CELLS", 0)
-    monkeypatch.setattr(mixing.rake, "__defaults__", (20, 0.7, 2))
-    got = {r.doc_id: round(r.probability, 9) for r in mixing.mix(df, {"source": 0.5, "lang": 1.0}).collect()}
-    assert set(got) == set(want)
+def brute_mix(rows, targets, keep):
+    """(probability, weight) of each document by loops over cells."""
+    cells = collections.defaultdict(float)
+    for _, source, lang, text in rows:
+        cells[source or "(none)", lang or "(none)"] += len((text or "").split())
+    weight = dict(cells)
+    total = sum(cells.values())
+    aims = []
+    for k, target in enumerate(targets):
+        values = {c[k] for c in cells}
+        aim = {v: target.get(v, 0.0) if isinstance(target, dict) else sum(x for c, x in cells.items() if c[k] == v) ** target for v in values}
+        aims.append({v: a / sum(aim.values()) * total for v, a in aim.items()})
+    for _ in range(mixing.ROUNDS):
+        for k, aim in enumerate(aims):
+            sums = collections.defaultdict(float)
+            for c, w in weight.items():
+                sums[c[k]] += w
+            weight = {c: w * aim[c[k]] / sums[c[k]] if sums[c[k]] else 0.0 for c, w in weight.items()}
+    ratio = {c: weight[c] / cells[c] if cells[c] else 0.0 for c in cells}
+    scale = keep
+    for _ in range(mixing.CALIBRATIONS):
+        full = {c for c in cells if ratio[c] * scale >= 1}
+        rest = sum(weight[c] for c in cells if c not in full)
+        if rest:
+            scale = max(scale, (keep * total - sum(cells[c] for c in full)) / rest)
+    return {c: (min(1.0, ratio[c] * scale), ratio[c]) for c in cells}
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_mixing_matches_brute_force(frame, rng, monkeypatch, apart):
+    """Both ways of raking give the margins and probabilities of plain loops, also for ties, repeated rows and rows without text."""
+    rows = mixed(rng, 120) + mixed(rng, 20)[:5]
+    df = frame(rows, "doc_id long, source string, lang string, text string")
+    if apart:
+        monkeypatch.setattr(mixing, "MAX_CELLS", 0)
+        monkeypatch.setattr(mixing, "ROUNDS", 4)
+        monkeypatch.setattr(mixing.rake, "__defaults__", (4, mixing.KEEP, mixing.CALIBRATIONS))
+    for targets in ({"source": 0.5, "lang": 1.0}, {"source": {"a": 2.0, "b": 1.0, "(none)": 1.0}, "lang": {"en": 1.0, "de": 1.0}}):
+        want = brute_mix(rows, list(targets.values()), 0.6)
+        got = mixing.mix(df, targets, keep=0.6).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            p, w = want[r.source or "(none)", r.lang or "(none)"]
+            assert r.probability == pytest.approx(p, rel=1e-9, abs=1e-12) and r.weight == pytest.approx(w, rel=1e-9, abs=1e-12)
+            assert r.sampled == (int(hashlib.md5(f"{r.doc_id}|{mixing.SEED}".encode()).hexdigest()[:13], 16) / 2**52 < r.probability)
 
 
 def brute_table(shards, slots):
@@ -379,6 +439,29 @@ def test_queries_match_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_made_columns_of_the_caller_stay(frame, rng):
+    """Operators that promise the caller's columns keep them, whatever they are called."""
+    names = ["n_words", "hit_runs", "hit_items", "topic", "n_tokens", "weight", "probability", "sampled", "score", "kept", "component_id", "n_shingles", "n_docs", "lang_pred", "quality"]
+    df = frame([(i, prose(rng, 40), "s", "en", *[f"{n}{i}" for n in names]) for i in range(6)], "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} string" for n in names))
+    labels, items = frame([(i, i % 2) for i in range(6)], "doc_id long, quality int"), frame([(1, "a b")], "item_id long, text string")
+    from quillspark.llm import minhash_neardup
+
+    for out in (mixing.sample(df, keep=1.0), decontamination.decontaminate(df, items), decontamination.decontaminate(df, items, "spans"), quality.keep_good(df, labels, 0.0), minhash_neardup.deduplicate(df)):
+        rows = out.collect()
+        assert out.columns == df.columns and len(rows) == 6
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_mixing_takes_the_callers_topic(frame, rng):
+    df = frame([(i, "s", "en", prose(rng, 50), "sport" if i % 3 else "news") for i in range(300)], "doc_id long, source string, lang string, text string, topic string")
+    got = mixing.mix(df, {"source": 1.0, "topic": {"sport": 1.0, "news": 1.0}}, topic=F.col("topic")).collect()
+    total = sum(r.n_tokens for r in got)
+    assert {r.topic for r in got} == {"sport", "news"}
+    for name in ("sport", "news"):
+        assert sum(r.n_tokens * r.weight for r in got if r.topic == name) == pytest.approx(total / 2, rel=1e-6)
+    assert mixing.sample(df, topic=F.upper("topic")).where("topic not in ('sport', 'news')").count() == 0
+
+
 def test_helper_columns_leave_others_alone(frame, rng):
     """Columns of the caller with the names of helpers stay as they are."""
     from quillspark.llm import paragraph_dedup, suffix_dedup
