@@ -3,7 +3,8 @@
 A text is the set of its byte n-grams of lengths 1 to 4 after lower-casing (a blended-spectrum presence
 representation). The kernel of two texts is the size of the intersection over the root of the product of the
 sizes. Landmark texts give a Nyström map, kernel ridge regression is solved once for each language against the
-rest, and a batch is scored by two matrix products: n-gram presence by landmarks, kernel values by weights.
+rest, and a batch is scored by two matrix products: presence of n-grams in the texts by their presence in the
+landmarks, then kernel values by weights.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ _OFFSETS = np.cumsum((0, *_PLACES))
 _LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 UNKNOWN = "und"
+#: Texts that are scored together.
+BATCH = 256
+#: Columns of a presence matrix that are laid out at once.
+WIDE = 4096
 
 
 def has_letter(text: str | None) -> bool:
@@ -89,19 +94,33 @@ class KernelModel:
         self.weights = root @ np.linalg.solve(gram, (phi * weight[:, None]).T @ y)
 
     def kernel(self, spectra: list[np.ndarray]) -> np.ndarray:
-        """Kernel values of some texts with all landmarks."""
+        """Kernel values of some texts with all landmarks: the texts' presence matrix times that of the landmarks.
+
+        Only columns of n-grams that the texts have are laid out, a block of them at a time.
+        """
+        at = [self.place[s] for s in spectra]
+        at = [a[a >= 0] for a in at]
+        row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+        column = np.concatenate(at) if at else np.zeros(0, np.int64)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        used, column = np.unique(column, return_inverse=True)
+        cuts = np.searchsorted(column, np.arange(0, len(used) + WIDE, WIDE))
         out = np.zeros((len(spectra), self.presence.shape[1]))
-        for r, s in enumerate(spectra):
-            at = self.place[s]
-            out[r] = self.presence[at[at >= 0]].sum(0) / np.sqrt(max(1, len(s)))
-        return out
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if hi > lo:
+                some = used[k * WIDE : (k + 1) * WIDE]
+                x = np.zeros((len(spectra), len(some)))
+                x[row[lo:hi], column[lo:hi] - k * WIDE] = 1
+                out += x @ self.presence[some]
+        return out / np.sqrt([max(1, len(s)) for s in spectra])[:, None]
 
     def predict(self, spectra: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
         if not self.labels:
             return [UNKNOWN] * len(spectra), np.zeros(len(spectra))
         f = self.kernel(spectra) @ self.weights
         best = f.argmax(1)
-        return [self.labels[i] for i in best], np.clip(f.max(1), 0.0, 1.0)
+        return [self.labels[i] for i in best], np.clip(f.max(1), 0.0, 1.0).round(9)  # sums differ by batch in their last bits
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS) -> KernelModel:
@@ -137,7 +156,8 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
     """`docs` with lang_pred and score (0 to 1).
 
     A null text or one without a letter is `und` with score 0; so is everything if nothing was learned. Columns
-    of these names are replaced, all others stay. The whole text counts, however long.
+    of these names are replaced, all others stay. The whole text counts, however long. Of languages with equal
+    values the first by name is predicted, and repeated rows have equal results.
     """
     source = docs.drop("lang_pred", "score")
     at = source.columns.index(text)
@@ -148,8 +168,8 @@ def identify(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFra
         for b in batches:
             texts = b.column(at)
             lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            for lo in range(0, b.num_rows, 256):
-                part = [(i, t) for i in range(lo, min(lo + 256, b.num_rows)) if has_letter(t := texts[i].as_py())]
+            for lo in range(0, b.num_rows, BATCH):
+                part = [(i, t) for i in range(lo, min(lo + BATCH, b.num_rows)) if has_letter(t := texts[i].as_py())]
                 if part:
                     names, values = model.predict([spectrum.of(t) for _, t in part])
                     for (i, _), name, value in zip(part, names, values):

@@ -115,6 +115,26 @@ def test_language_kernel_is_the_set_kernel():
     assert model.kernel([a])[0, 1] == pytest.approx(len(set(a) & set(b)) / (len(a) * len(b)) ** 0.5, rel=1e-5)
 
 
+def test_language_batches_match_text_by_text(rng, monkeypatch):
+    """The block product gives the kernel of plain sets, and predictions do not depend on the batch, also with ties and repeated texts."""
+    s = language_id.Spectrum()
+    texts = [" ".join(rng.choice(LANGS[x]) for _ in range(rng.randrange(1, 40))) for x in ("aa", "bb", "cc") for _ in range(25)] + ["q"] * 3
+    spectra = [s.of(t) for t in texts]
+    model = language_id.KernelModel(spectra, ["aa"] * 25 + ["bb"] * 25 + ["cc"] * 28, 12)
+    sets, marks = [set(x.tolist()) for x in spectra], []
+    for wide in (7, 4096):
+        monkeypatch.setattr(language_id, "WIDE", wide)
+        got = model.kernel(spectra)
+        marks = marks or [next(i for i, t in enumerate(sets) if abs(len(t) ** 0.5 * float(model.presence[:, j].max()) - 1) < 1e-5 and {int(model.place[g]) for g in t} == set(model.presence[:, j].nonzero()[0].tolist())) for j in range(12)]
+        for i, x in enumerate(sets):
+            for j, m in enumerate(marks):
+                assert got[i, j] == pytest.approx(len(x & sets[m]) / (len(x) * len(sets[m])) ** 0.5, rel=1e-5)
+    whole = model.predict(spectra)
+    for i, x in enumerate(spectra):
+        one = model.predict([x])
+        assert one[0][0] == whole[0][i] and one[1][0] == pytest.approx(whole[1][i], abs=1e-8)
+
+
 def test_language_n_grams_cross_block_borders():
     s = language_id.Spectrum()
     text = "ab" * (1 << 19) + "cdefgh" * 10
