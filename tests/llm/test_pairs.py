@@ -95,7 +95,7 @@ def test_embeddings_match_brute_force(frame):
     for i in range(260):
         v = base[i % 30] + g.normal(size=16) * (0.02, 0.2, 0.4)[i % 3]
         rows.append((i, [float(np.float32(x)) for x in v], i % 4))
-    rows += [(300 + i, rows[7][1], 3) for i in range(40)] + [(400, None, 1), (401, [0.0] * 16, 1), (402, [1.0, None] * 8, 1), (403, [float("nan")] * 16, 1), (404, rows[0][1], None), (405, [], 1), (406, [1.0, 2.0, 3.0], 1), (407, [1.0, 2.0, 3.0], 1)]
+    rows += [(300 + i, rows[7][1], 3) for i in range(40)] + [(400, None, 1), (401, [0.0] * 16, 1), (402, [1.0, None] * 8, 1), (403, [float("nan")] * 16, 1), (404, rows[0][1], None), (405, [], 1), (406, [1.0, 2.0, 3.0], 1), (407, [1.0, 2.0, 3.0], 1), (408, [3e30, -2e30], 2), (409, [3.0, -2.0], 2)]
     got = embedding_neardup.near_duplicates(frame([(i, v, y, 0) for i, v, y in rows], "vec_id long, embedding array<float>, label int, kept int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_vectors(rows)
     assert embedding_neardup.near_duplicates(frame([], "vec_id long, embedding array<float>, label int")).count() == 0
@@ -118,8 +118,25 @@ def test_cross_polytope_recall():
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.93 * x + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
     salt = np.zeros(1500, np.uint64)
-    a, b = embedding_neardup.bucket_keys(x, salt), embedding_neardup.bucket_keys(y, salt)
-    assert (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() > 0.998
+    for n in (1000, 10**6, 10**8):
+        tables, k = embedding_neardup.plan(n, 64, 0.93)
+        a, b = embedding_neardup.bucket_keys(x, salt, tables, k), embedding_neardup.bucket_keys(y, salt, tables, k)
+        assert (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() > 0.998
+
+
+def test_cross_polytope_strangers_stay_few():
+    """However many vectors a group has, an unrelated one is met by few; measured on random vectors too."""
+    for d in (8, 64, 768):
+        for n in (10**3, 10**5, 10**7, 10**9):
+            tables, k = embedding_neardup.plan(n, d, 0.93)
+            assert embedding_neardup.strangers(n, d, k, tables) <= embedding_neardup.STRANGERS or k == 8
+    g = np.random.default_rng(6)
+    for n in (4000, 16_000, 64_000):
+        x = embedding_neardup.units(g.normal(size=(n, 64)))
+        tables, k = embedding_neardup.plan(n, 64, 0.93)
+        keys = embedding_neardup.bucket_keys(x, np.zeros(n, np.uint64), tables, k)
+        _, size = np.unique(keys, return_counts=True)
+        assert (size.astype(float) * (size - 1)).sum() / n <= 1.5 * embedding_neardup.STRANGERS
 
 
 def brute_repeats(corpus, window=100):
