@@ -1,10 +1,12 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Documents are posted under each coordinate-value pair of their MinHash signature. Two documents that agree on
-at least `t` of `k` coordinates must meet in a list of one of the first k - t + 1 coordinates (the prefix), so
-only those are posted. A list counts the agreeing coordinates of its members; a pair is merged at the first
-list in which it meets and skipped in later ones. Pairs above the match threshold tie their documents into
-clusters; inside a cluster every pair is confirmed on the full shingle sets.
+Documents are posted under coordinate-value pairs of their MinHash signature. In one order of all pairs, two
+documents that agree on at least `t` of `k` coordinates have one of their first k - t + 1 pairs in common (the
+prefix), so only those are posted. Pairs that stand in very many documents, such as those of a shared notice, come
+last in that order, so that only documents that hardly have others are posted under them. A list counts the agreeing
+coordinates of its members; two documents are merged at the first list in which they meet and skipped in later ones.
+Those above the match threshold tie their documents into clusters; inside a cluster every pair is confirmed on the
+full shingle sets.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, PACKED, Forest, WordHashes, mix, pack, partitions, runs, save, shingle_hashes, unpack
+from .common import LOWER, PACKED, Forest, Shared, WordHashes, mix, pack, partitions, runs, save, shingle_hashes, unpack
 from .components import components
 
 #: Documents in one block of a cluster.
 CELL = 256
+#: Members of a list from which on its coordinate-value pair comes last in the order; more where a corpus would have more than MAX_HOT such pairs.
+HOT_LIST = 8192
+MAX_HOT = 1_000_000
 
 
 def match_threshold(k: int, similarity: float, miss: float = 1e-4) -> int:
@@ -72,23 +77,75 @@ def signatures(docs: DataFrame, n: int, k: int, doc_id: str = "doc_id", text: st
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def _post(k: int, prefix: int, buckets: int):
-    record = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sig", "<u4", (k,)), ("at", "<u1")])
+def _pair_keys(sig: np.ndarray) -> np.ndarray:
+    """(documents, coordinates) 64-bit keys of coordinate-value pairs."""
+    return mix(sig.astype(np.uint64) * np.uint64(256) + np.arange(sig.shape[1], dtype=np.uint64))
+
+
+def _signatures_of(batch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, k), batch.column("doc_id").to_numpy(zero_copy_only=False)
+
+
+def hot_pairs(sigs: DataFrame, k: int) -> np.ndarray:
+    """Sorted keys of the coordinate-value pairs of more than about HOT_LIST documents.
+
+    Each batch counts all of its pairs and passes on those that are frequent in it; a pair that is missed only makes
+    a list longer. At most MAX_HOT keys reach the driver.
+    """
+    n = sigs.count()
+    most = max(HOT_LIST, k * n // MAX_HOT)
+    share = most / max(1, n) / 2
+
+    def count(batches):
+        for b in batches:
+            if b.num_rows:
+                key, size = np.unique(_pair_keys(_signatures_of(b, k)[0]), return_counts=True)
+                often = size >= max(2, share * b.num_rows)
+                yield pa.record_batch([pa.array(key[often].view(np.int64), pa.int64()), pa.array(size[often], pa.int64())], names=["key", "n"])
+
+    if n <= most:
+        return np.zeros(0, np.uint64)
+    rows = sigs.select("doc_id", "sig").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return np.sort(np.array([r["key"] for r in rows.select("key").toLocalIterator()], np.int64).view(np.uint64))
+
+
+def _prefix(sig: np.ndarray, prefix: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, coordinates of the prefix, and which coordinates are hot, of each document."""
+    keys = _pair_keys(sig)
+    is_hot = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys if len(hot) else np.zeros(keys.shape, bool)
+    return keys, np.argsort(is_hot, 1, kind="stable")[:, :prefix], is_hot
+
+
+def _post(k: int, prefix: int, buckets: int, hot):
+    record = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sig", "<u4", (k,)), ("at", "<u1"), ("hot", "?", (k,))])
 
     def post(batches):
+        known = hot.load()
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(-1, k)
-            doc = b.column("doc_id").to_numpy(zero_copy_only=False)
-            out = np.empty(len(doc) * prefix, record)
-            for i in range(prefix):
-                part = out[i * len(doc) : (i + 1) * len(doc)]
-                part["key"] = mix(sig[:, i].astype(np.uint64) * np.uint64(256) + np.uint64(i))
-                part["doc"], part["sig"], part["at"] = doc, sig, i
+            sig, doc = _signatures_of(b, k)
+            keys, first, is_hot = _prefix(sig, prefix, known)
+            rows, at = np.repeat(np.arange(len(doc)), prefix), first.ravel()
+            cold = ~is_hot[rows, at]
+            rows, at = rows[cold], at[cold]
+            out = np.empty(len(rows), record)
+            out["key"], out["doc"], out["sig"], out["at"], out["hot"] = keys[rows, at], doc[rows], sig[rows], at, is_hot[rows]
             yield pack(out, out["key"], buckets)
 
-    return post, record
+    def post_hot(batches):
+        known = hot.load()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig, doc = _signatures_of(b, k)
+            keys, first, is_hot = _prefix(sig, prefix, known)
+            rows, at = np.repeat(np.arange(len(doc)), prefix), first.ravel()
+            warm = is_hot[rows, at]
+            rows, at = rows[warm], at[warm]
+            yield pa.record_batch([pa.array(keys[rows, at].view(np.int64), pa.int64()), pa.array(doc[rows], pa.int64()), pa.array([sig[r].tobytes() for r in rows], pa.binary())], names=["cluster", "doc_id", "sig"])
+
+    return post, post_hot, record
 
 
 def _merge(k: int, t: int, record):
@@ -98,6 +155,8 @@ def _merge(k: int, t: int, record):
         r = r[np.argsort(r["key"], kind="stable")]
         starts, ends = runs(r["key"])
         size = ends - starts
+        # coordinates that come before a record's own in the order; only lists of pairs that are not hot are here
+        before = ~r["hot"] & (np.arange(k)[None] < r["at"][:, None])
         for m in np.unique(size[(size > 1) & (size <= 24)]):  # all lists of one size together
             s = starts[size == m]
             p, q = np.triu_indices(int(m), 1)
@@ -106,11 +165,10 @@ def _merge(k: int, t: int, record):
                 at = s[c : c + step, None]
                 i, j = (at + p).ravel(), (at + q).ravel()
                 same = r["sig"][i] == r["sig"][j]
-                before = np.arange(k)[None] < r["at"][i][:, None]
-                ok = (same.sum(1) >= t) & ~(same & before).any(1)
+                ok = (same.sum(1) >= t) & ~(same & before[i]).any(1)
                 yield from zip(r["doc"][i[ok]].tolist(), r["doc"][j[ok]].tolist())
         for s, e in zip(starts[size > 24], ends[size > 24]):
-            sig, doc, at = r["sig"][s:e], r["doc"][s:e].tolist(), int(r["at"][s])
+            sig, doc, early_at = r["sig"][s:e], r["doc"][s:e].tolist(), before[s:e]
             tree = np.arange(len(doc))
             for i in range(len(doc) - 1):  # members of one tree needn't be compared any more
                 j = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
@@ -119,7 +177,7 @@ def _merge(k: int, t: int, record):
                 same = sig[j] == sig[i]
                 near = same.sum(1) >= t
                 if near.any():
-                    early = same[near, :at].any(1)
+                    early = (same[near] & early_at[i]).any(1)
                     j = j[near]
                     yield from ((doc[i], doc[x]) for x in j[~early])
                     tree[np.isin(tree, tree[j])] = tree[i]
@@ -138,9 +196,36 @@ def _merge(k: int, t: int, record):
 
 def candidates(sigs: DataFrame, k: int, t: int) -> DataFrame:
     """Links (a, b) that connect whatever pairs agree on at least t of k coordinates."""
-    n = partitions(sigs.sparkSession)
-    post, record = _post(k, k - t + 1, 4 * n)
-    return sigs.select("doc_id", "sig").mapInArrow(post, PACKED).repartition(n, "bucket").mapInArrow(_merge(k, t, record), "a long, b long")
+    spark = sigs.sparkSession
+    n = partitions(spark)
+    found = hot_pairs(sigs, k)
+    hot = Shared(spark, found)
+    post, post_hot, record = _post(k, k - t + 1, 4 * n, hot)
+    source = sigs.select("doc_id", "sig")
+    out = source.mapInArrow(post, PACKED).repartitionById(n, F.col("bucket")).mapInArrow(_merge(k, t, record), "a long, b long")
+    if not len(found):
+        return out
+    posted = save(source.mapInArrow(post_hot, "cluster long, doc_id long, sig binary"), "hot")
+    sizes = posted.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"))
+    return out.unionByName(linked(save(posted.join(sizes, "cluster"), "hotlists"), "sig", _agreeing(t), HOT_CELL))
+
+
+#: Signatures in one block of a hot list.
+HOT_CELL = 2048
+
+
+def _agreeing(t: int):
+    """Which pairs of two lists of signatures, or of one with itself, agree on at least t coordinates."""
+
+    def ok(left: list[bytes], right: list[bytes] | None) -> np.ndarray:
+        a = np.array([np.frombuffer(s, "<u4") for s in left])
+        b = a if right is None else np.array([np.frombuffer(s, "<u4") for s in right])
+        both = np.zeros((len(a), len(b)), np.uint8)
+        for i in range(a.shape[1]):
+            both += a[:, i, None] == b[None, :, i]
+        return both >= t
+
+    return ok
 
 
 def _pairs(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None) -> np.ndarray:
@@ -168,36 +253,50 @@ def _pairs(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None) -> np.ndar
     return out
 
 
-def _confirm(percent: int):
-    """Exact links of the block pairs of clusters: 100 * intersection >= percent * union."""
+def _similar(percent: int):
+    """Which pairs of two lists of shingle sets, or of one with itself, have 100 * intersection >= percent * union."""
+
+    def ok(left: list[bytes], right: list[bytes] | None) -> np.ndarray:
+        sets = [np.frombuffer(s, "<u8") for s in left]
+        others = sets if right is None else [np.frombuffer(s, "<u8") for s in right]
+        na, nb = (np.array([len(s) for s in x]) for x in (sets, others))
+        if len(sets) * len(others) == 1 or (right is None and len(sets) == 2):
+            both = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in others] for x in sets])
+        else:
+            both = _pairs(sets, None if right is None else others)
+        return 100 * both >= percent * (na[:, None] + nb[None] - both)
+
+    return ok
+
+
+def _confirm(similar, most: int):
+    """Links of the block pairs of clusters, as edges of a spanning forest; the last column but one is what is compared. most: rows compared at once."""
+
+    def edges(ok: np.ndarray, a: list, b: list, forest: Forest):
+        for i, j in zip(*np.nonzero(ok)):
+            if a[i] != b[j] and forest.join(a[i], b[j]):
+                yield a[i], b[j]
 
     def links(cell: list[tuple]):
         left = [(d, s) for d, side, s in cell if side != 1]
         right = [(d, s) for d, side, s in cell if side == 1]
-        sets = [np.frombuffer(s, "<u8") for _, s in left]
-        others = [np.frombuffer(s, "<u8") for _, s in right]
         if not left or (cell[0][1] != 2 and not right):
             return
-        if len(left) == 2 and not right:
-            both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2)
-        else:
-            both = _pairs(sets, others or None)
-        na = np.array([len(s) for s in sets])
-        nb = np.array([len(s) for s in others]) if right else na
-        ok = 100 * both >= percent * (na[:, None] + nb[None] - both)
-        if not right:
-            ok = np.triu(ok, 1)
-        names = [d for d, _ in (right or left)]
         forest = Forest()
-        for i, j in zip(*np.nonzero(ok)):
-            if forest.join(left[i][0], names[j]):
-                yield left[i][0], names[j]
+        if not right and len(left) <= most:
+            names = [d for d, _ in left]
+            yield from edges(np.triu(similar([s for _, s in left], None), 1), names, names, forest)
+            return
+        for i in range(0, len(left), most):
+            for j in range(0 if right else i, len(right or left), most):
+                p, q = left[i : i + most], (right or left)[j : j + most]
+                yield from edges(similar([s for _, s in p], [s for _, s in q]), [d for d, _ in p], [d for d, _ in q], forest)
 
     def confirm(batches):
         key, cell, a, b = None, [], [], []
         for batch in batches:
-            c = batch.to_pydict()
-            for cluster, x, y, side, doc, s in zip(c["cluster"], c["x"], c["y"], c["side"], c["doc_id"], c["shingles"]):
+            columns = (batch.column(i).to_pylist() for i in range(6))
+            for cluster, x, y, side, doc, s in zip(*columns):
                 if (cluster, x, y) != key:
                     for p, q in links(cell):
                         a.append(p)
@@ -214,64 +313,72 @@ def _confirm(percent: int):
     return confirm
 
 
-def _with_hub(percent: int):
+def _with_hub(similar):
     """Links of documents with the hub of their cluster."""
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for hub, h, doc, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = np.frombuffer(h, "<u8"), np.frombuffer(s, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if hub != doc and 100 * both >= percent * (len(x) + len(y) - both):
-                    a.append(hub)
-                    b.append(doc)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            hub, h, doc, s, cluster = (batch.column(i).to_pylist() for i in range(5))
+            near = [i for i in range(len(doc)) if hub[i] != doc[i] and similar([h[i]], [s[i]])[0, 0]]
+            yield pa.record_batch([pa.array([c[i] for i in near], pa.int64()) for c in (hub, doc, cluster)], names=["a", "b", "cluster"])
 
     return run
 
 
-def confirmed(docs: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect all pairs of a cluster whose full shingle sets are similar enough.
+def linked(members: DataFrame, what: str, similar, cell: int) -> DataFrame:
+    """Links (a, b) that connect all similar pairs of each cluster of `members` (cluster, doc_id, size, first, what).
 
-    docs: doc_id, text. clusters: id, component. In a cluster of more than one block of about 256 documents,
-    each is first compared with the cluster's hub, its smallest id. Documents that link with the hub are of one
-    component and need no comparison among themselves; the others are compared with one another and with those.
-    These comparisons are dealt over cells, one for each pair of blocks, so no task holds more than two blocks.
-    """
-    parts = partitions(docs.sparkSession)
+    size and first: how many members the cluster has, and the smallest doc_id of them.
 
-    def sets(batches):
-        words = WordHashes()
-        for b in batches:
-            got = [word_set(t.as_py(), n, words).tobytes() for t in b.column("text")]
-            yield pa.record_batch([b.column("doc_id"), b.column("cluster"), b.column("size"), pa.array(got, pa.binary())], names=["doc_id", "cluster", "size", "shingles"])
-
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    dealt = clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "size")
-    # merge: the same plan at every size, whatever the number of clusters
-    got = save(docs.join(dealt.hint("merge"), "doc_id").select("doc_id", "text", "cluster", "size").mapInArrow(sets, "doc_id long, cluster long, size long, shingles binary"), "shingles")
-    large = got.where(F.col("size") > CELL).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / CELL)))
-    hubs = got.where((F.col("size") > CELL) & (F.col("doc_id") == F.col("cluster"))).select("cluster", F.col("shingles").alias("hub"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CELL) - 1)).alias("salt"))
-    with_hub = save(large.join(hubs.dropDuplicates(["cluster", "salt"]), ["cluster", "salt"]).select("cluster", "hub", "doc_id", "shingles").mapInArrow(_with_hub(percent), "a long, b long"), "hublinks")
-    settled = with_hub.select(F.col("b").alias("doc_id"), F.lit(True).alias("settled")).distinct()
-    marked = got.join(settled, "doc_id", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    shares = marked.groupBy("cluster").agg(F.ceil(F.count_if(~F.col("settled")) / CELL).cast("int").alias("open"), F.ceil(F.count_if("settled") / CELL).cast("int").alias("shut"))
+    In a cluster of more than one block of about `cell` documents, each is first compared with the cluster's hub,
+    its smallest id. Documents that link with the hub are of one component and need no comparison among
+    themselves; the others are compared with one another and with those. These comparisons are dealt over cells,
+    one for each pair of blocks, so no task holds more than two blocks.
+    """
+    parts = partitions(members.sparkSession)
+    blocks = F.ceil(F.col("size") / cell)
+    large = members.where(F.col("size") > cell).withColumn("salt", F.pmod(F.xxhash64("doc_id"), blocks))
+    hubs = members.where((F.col("size") > cell) & (F.col("doc_id") == F.col("first"))).select("cluster", F.col(what).alias("hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
+    pairs = large.join(hubs.dropDuplicates(["cluster", "salt"]), ["cluster", "salt"]).select("first", "hub", "doc_id", what, "cluster")
+    found = save(pairs.mapInArrow(_with_hub(similar), "a long, b long, cluster long"), "hublinks")
+    settled = found.select("cluster", F.col("b").alias("doc_id"), F.lit(True).alias("settled")).distinct()
+    marked = members.join(settled, ["cluster", "doc_id"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    shares = marked.groupBy("cluster").agg(F.ceil(F.count_if(~F.col("settled")) / cell).cast("int").alias("open"), F.ceil(F.count_if("settled") / cell).cast("int").alias("shut"))
     placed = marked.join(shares, "cluster")
     block = F.when(F.col("settled"), F.col("open") + F.pmod(F.xxhash64("doc_id"), F.col("shut"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("open"))).cast("int")
     # open blocks meet all blocks, settled ones only the open blocks
     others = F.when(F.col("settled"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("shut") - 1))
-    cells = placed.where("open > 0").withColumn("block", block).select("doc_id", "shingles", "cluster", "block", F.explode(others).alias("other"))
+    cells = placed.where("open > 0").withColumn("block", block).select("doc_id", what, "cluster", "block", F.explode(others).alias("other"))
     cells = cells.select(
         "cluster",
         F.least("block", "other").alias("x"),
         F.greatest("block", "other").alias("y"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         "doc_id",
-        "shingles",
+        what,
     )
-    rest = cells.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "side", "doc_id").mapInArrow(_confirm(percent), "a long, b long")
-    return with_hub.unionByName(rest)
+    rest = cells.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "side", "doc_id").mapInArrow(_confirm(similar, 2 * cell), "a long, b long")
+    return found.select("a", "b").unionByName(rest)
+
+
+def confirmed(docs: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all pairs of a cluster whose full shingle sets are similar enough.
+
+    docs: doc_id, text. clusters: id, component.
+    """
+
+    def sets(batches):
+        words = WordHashes()
+        for b in batches:
+            got = [word_set(t.as_py(), n, words).tobytes() for t in b.column("text")]
+            yield pa.record_batch([*b.columns[:4], pa.array(got, pa.binary())], names=["cluster", "doc_id", "size", "first", "shingles"])
+
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
+    named = clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "size", "first")
+    # merge: the same plan at every size, whatever the number of clusters
+    got = docs.join(named.hint("merge"), "doc_id").select("cluster", "doc_id", "size", "first", "text")
+    got = save(got.mapInArrow(sets, "cluster long, doc_id long, size long, first long, shingles binary"), "shingles")
+    return linked(got, "shingles", _similar(percent), CELL)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -44,6 +44,20 @@ def test_minhash_large_near_group(frame, rng):
     assert got == groups(rows, 3, 85)
 
 
+@pytest.mark.parametrize("hot", [3, 60])
+def test_minhash_hot_lists(frame, rng, monkeypatch, hot):
+    """A notice that stands in all documents, and a large near group: frequent coordinates come last in the order and lose no link."""
+    monkeypatch.setattr(minhash_neardup, "HOT_LIST", hot)
+    monkeypatch.setattr(minhash_neardup, "HOT_CELL", 16)
+    notice, base = prose(rng, 60), prose(rng, 70)
+    rows = [(i, f"{notice} {prose(rng, 1 + i % 40)}") for i in range(250)] + [(1000 + i, edited(rng, f"{notice} {base}", i % 4)) for i in range(150)]
+    rows += [(2000 + i, rows[i][1] + " x") for i in range(0, 250, 9)]
+    sigs = minhash_neardup.signatures(frame(rows, "doc_id long, text string"), 3, 24)
+    assert len(minhash_neardup.hot_pairs(sigs, 24)) > 0
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_neardup.near_duplicates(frame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == groups(rows, 3, 85)
+
+
 def test_minhash_repeated_rows_and_empty(frame):
     text = "a b c d e f g"
     got = minhash_neardup.near_duplicates(frame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")).collect()
