@@ -25,12 +25,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A folder below spark.checkpoint.dir that driver and executors share; removed when the driver ends.
 
-    Only where spark.checkpoint.dir is unset, as in tests on one machine, a temporary folder stands in.
+    Where spark.checkpoint.dir is unset, a temporary folder stands in on a local master, as in tests; on a cluster
+    executors could not see it, so an error is raised.
     """
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         path = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         _SCRATCH[app] = path

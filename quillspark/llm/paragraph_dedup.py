@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Forest, mix, partitions, runs, save, shingle_hashes, word_hashes
+from .common import LOWER, mix, partitions, runs, save, shingle_hashes, word_hashes
 from .components import components
-from .minhash_neardup import multipliers
+from .minhash_neardup import _confirm, _similar, multipliers
 
 SHINGLE = 5
 PERCENT = 80
@@ -226,45 +226,6 @@ def _sets(batches):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["key", "block", "blocks", "node", "shingles"])
 
 
-def _verify(percent: int):
-    """Links between the texts of a cell."""
-
-    def links(rows: list[tuple]):
-        left = [r for r in rows if r[0] != 1]
-        right = [r for r in rows if r[0] == 1]
-        if not left or (not right and left[0][0] != 2):
-            return
-        sets = [frozenset(np.frombuffer(r[2], "<u8").tolist()) for r in left]
-        others = [frozenset(np.frombuffer(r[2], "<u8").tolist()) for r in right] if right else sets
-        names = right or left
-        forest = Forest()
-        for i, x in enumerate(sets):
-            for j in range(0 if right else i + 1, len(others)):
-                a, b = left[i][1], names[j][1]
-                y = others[j]
-                if a != b and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and forest.root(a) != forest.root(b):
-                    both = len(x & y)
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        forest.join(a, b)
-                        yield a, b
-
-    def run(batches):
-        at, rows = None, []
-        for b in batches:
-            found = []
-            c = b.to_pydict()
-            for key, x, y, *r in zip(c["key"], c["x"], c["y"], c["side"], c["node"], c["shingles"]):
-                if (key, x, y) != at:
-                    found += links(rows)
-                    at, rows = (key, x, y), []
-                rows.append(r)
-            yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        found = [*links(rows)]
-        yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return run
-
-
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float = 0.99) -> DataFrame:
     """(doc_id, at, first_doc, first_at) of every paragraph that has a near duplicate, and the place of the first of its component.
 
@@ -274,7 +235,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     n = partitions(spark)
     bands, rows = tune_bands(percent / 100, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    met = save(source.mapInArrow(_post(bands, rows, 4 * n), _POSTED).repartition(n, "bucket").mapInArrow(_meet(bands), _OUT), "met")
+    met = save(source.mapInArrow(_post(bands, rows, 4 * n), _POSTED).repartitionById(n, F.col("bucket")).mapInArrow(_meet(bands), _OUT), "met")
     shared = met.where("key is not null")
     sizes = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
     wanted = shared.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -283,7 +244,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, recall: float =
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     cells = cells.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "node", "shingles")
-    links = cells.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(_verify(percent), "a long, b long")
+    links = cells.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(_confirm(_similar(percent), CELL), "a long, b long")
     labels = save(components(links), "labels")
     places = met.where("key is null").select("doc_id", "at", "node").unionByName(shared.join(labels, shared.node == labels.id, "left_semi").select("doc_id", "at", "node")).distinct()
     named = places.join(labels, places.node == labels.id, "left").select("doc_id", "at", F.coalesce("component", "node").alias("class"))

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import embedding_neardup, minhash_neardup, paragraph_dedup, suffix_dedup
@@ -270,6 +271,47 @@ def test_paragraphs_edited_lines_against_brute_force(frame, rng):
     assert len(alike) > 60 and sum(alike) >= 0.99 * len(alike) and len(alike) < len(pairs)
 
 
+def test_paragraph_components_match_brute_force(frame, rng):
+    """Lines with Jaccard 0.8 or more share a component, also over chains; short and repeated lines and repeated rows too."""
+    lines = [prose(rng, n) for n in (5, 6, 8, 15, 15, 30, 60, 60, 90, 120)]
+    lines += [lines[3], lines[0], lines[6]]
+    for i in (5, 6, 7, 8, 9):
+        x = lines[i]
+        for _ in range(4):  # chains of edits
+            x = edited(rng, x, 1)
+            lines.append(x)
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = paragraph_dedup.repeated_paragraphs(frame(rows + rows[:4], "doc_id long, text string")).where("at % 2 = 1").collect()
+    forest, sets = Forest(), [shingles(x, 5) for x in lines]
+    linked = set()
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j]):
+                forest.join(j, i)
+                linked |= {i, j}
+    want = {i: forest.root(i) for i in linked}
+    found = {r.doc_id: r.first_doc for r in got if r.doc_id in linked}
+    assert sum(found.get(i) == f for i, f in want.items()) >= 0.95 * len(want)
+    assert all(forest.root(r.doc_id) == forest.root(r.first_doc) for r in got)
+
+
+def test_paragraph_recall_is_asserted(frame, rng):
+    """Of single pairs of lines at Jaccard 0.8 to 0.85 at least 98 % meet in a band."""
+    bands, rows = paragraph_dedup.tune_bands(0.8)
+    mul, add = minhash_neardup.multipliers(bands * rows)
+    met = n = 0
+    while n < 400:
+        a = prose(rng, 60)
+        b = edited(rng, a, 1)
+        x, y = shingles(a, 5), shingles(b, 5)
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            n += 1
+            sig = [np.array([[xxhash.xxh3_64_intdigest(b' '.join(s)) for s in sorted(z)]], np.uint64).T * mul + add for z in (x, y)]
+            u, v = (s.min(0).reshape(bands, rows) for s in sig)
+            met += bool((u == v).all(1).any())
+    assert met >= 0.98 * n
+
+
 def test_word_hashes_do_not_depend_on_place_or_blocks(rng):
     text = "  " + prose(rng, 3000).replace(" a", "\n\ta") + "é\x1fz  "
     raw = text.encode()

@@ -49,3 +49,18 @@ def test_run_is_the_stages_together(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "slot", "shard"] and out.count() > 0
     assert out.groupBy("doc_id").count().where(F.col("count") > 1).count() == 0
+
+
+def test_stages_take_nulls_empty_tables_and_clashing_columns(spark):
+    """Null ids, texts, sources and languages, rows that occur twice, no rows at all, and columns that the stages' own names clash with."""
+    names = ["score", "kept", "n_words", "hit_runs", "topic", "weight", "sampled", "quality", "component_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "a text without id " * 9, "en", "src0", 1), (900_001, None, "en", "src0", 0), (900_002, "", None, None, None), (900_003, "x", None, "src1", 1)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(docs.limit(5)).select("*", *[F.concat(F.lit(n), F.coalesce("n_chars", F.lit(0)).cast("string")).alias(n) for n in names])
+    for rows in (docs, docs.limit(0)):
+        kept = rows
+        for name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, SF)
+            assert kept.columns == docs.columns + (["slot", "shard"] if name == "sharding" else [])
+        out = kept.collect()
+        assert all(r[n] == f"{n}{r.n_chars or 0}" for r in out for n in names) and (len(out) > 5) == (rows is docs)
