@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.signals import names_match
 from ..functions.text import any_phrase, clean_list, distinct_ci, normalize_key, null_if_blank
-from ..plans.session import checkpointed
+from ..plans.session import row_numbers
 
 
 def _c(x) -> Column:
@@ -58,20 +59,8 @@ def first_by_key(rows: DataFrame, keys: list, order: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list, name: str = "id", pattern: str = "row_%04d", buckets: int = 512) -> DataFrame:
-    """WIN3: sequential ids in the order of some columns.
-
-    Rows are range-partitioned, numbered inside their partition and moved up by the counts of the partitions
-    before, so no task sorts all rows.
-    """
-    keyed = rows.withColumn("_k", F.struct(*order))
-    # checkpointed: range bounds come from a sample, and a second evaluation could draw others
-    dealt = checkpointed(keyed.repartitionByRange(buckets, "_k").withColumn("_p", F.spark_partition_id()))
-    n = F.row_number().over(W.partitionBy("_p").orderBy("_k"))
-    inside = dealt.withColumn("_n", n)
-    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    out = inside.join(F.broadcast(before), "_p")
-    return out.withColumn(name, F.format_string(pattern, F.col("_n") + F.col("_b"))).drop("_k", "_p", "_n", "_b")
+    """WIN3: sequential ids in the order of some columns."""
+    return row_numbers(rows, order, "_number", buckets).withColumn(name, F.format_string(pattern, F.col("_number"))).drop("_number")
 
 
 def top_per_key(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
@@ -145,9 +134,27 @@ def better_preparation(current, name, contexts, margin: int = 35) -> Column:
 
 
 def first_name_in(rows: DataFrame, names: DataFrame, text: str, name: str, order: str, key: str = "id") -> DataFrame:
-    """JN5: for each row the first name that is a substring of its text; the names are a small table."""
-    pairs = rows.join(F.broadcast(names), F.contains(F.lower(F.col(text)), F.lower(F.col(name))))
-    return first_by_key(pairs, [key], order)
+    """JN5: for each row the first name that is a substring of its text.
+
+    Up to MAX_NAMES names are a literal list, searched in order by one pass over the rows; of more, those whose
+    first word the text has are compared, by a join on words.
+    """
+    n = names.limit(MAX_NAMES + 1).count()
+    if n <= MAX_NAMES:
+        table = names.sparkSession.createDataFrame([[[r.asDict(True) for r in names.orderBy(order).collect()]]], T.StructType([T.StructField("_names", T.ArrayType(names.schema))]))
+        found = F.get(F.filter("_names", lambda x: F.contains(F.lower(F.col(text)), F.lower(x[name]))), 0)
+        return rows.crossJoin(F.broadcast(table)).withColumn("_found", found).where("_found is not null").select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names.columns])
+    # a name inside a text has its inner text inside words of it, so its first three characters are there
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.lower(F.substring(F.col(text), i, 3)))
+    parts = rows.select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
+    named = names.where(F.length(name) >= 3).withColumn("_gram", F.lower(F.substring(name, 1, 3)))
+    short = names.where(F.length(name) < 3)
+    near = parts.join(named, "_gram").drop("_gram").unionByName(rows.select(key).crossJoin(short))
+    return first_by_key(rows.join(near, key).where(F.contains(F.lower(F.col(text)), F.lower(F.col(name)))), [key], order)
+
+
+#: Names that first_name_in takes as a literal list.
+MAX_NAMES = 5_000
 
 
 def applicable(rows: DataFrame, cases: DataFrame, ids: str = "applicable_case_ids", case_id: str = "case_id") -> DataFrame:

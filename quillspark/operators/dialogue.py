@@ -73,16 +73,19 @@ def route(df: DataFrame, flags: str, supported: str, asked: str = "asked", text:
 
 
 def synced(server: DataFrame, client: DataFrame, key: str = "session_id") -> DataFrame:
-    """ST2: the server's sessions; where one has no turns, the client's, with unknown roles as assistant, counts of 0 at least, three conditions at most."""
-    empty = F.coalesce(F.size("turns"), F.lit(0)) == 0
+    """ST2: the sessions of server and client; where the server has none or one without turns, the client's, with unknown roles as assistant, counts of 0 at least, three conditions at most."""
+    empty = F.coalesce(F.size("turns"), F.lit(0)) <= 0
     c = client.select(
         key,
         F.filter(F.transform("turns", lambda t: F.struct(F.when(t["role"].isin("user", "assistant"), t["role"]).otherwise("assistant").alias("role"), t["content"].alias("content"))), lambda t: F.trim(t["content"]) != "").alias("_turns"),
         F.greatest("question_count", F.lit(0)).alias("_count"),
         F.slice("suspected_conditions", 1, 3).alias("_suspected"),
     )
-    joined = server.join(c, key, "left")
-    return joined.select(key, F.when(empty & F.col("_turns").isNotNull(), F.col("_turns")).otherwise(F.col("turns")).alias("turns"), F.when(empty & F.col("_count").isNotNull(), F.col("_count")).otherwise(F.col("question_count")).alias("question_count"), F.when(empty & F.col("_suspected").isNotNull(), F.col("_suspected")).otherwise(F.col("suspected_conditions")).alias("suspected_conditions"))
+
+    def either(mine: str, theirs: str) -> Column:
+        return F.when(empty & F.col(theirs).isNotNull(), F.col(theirs)).otherwise(F.col(mine)).alias(mine)
+
+    return server.join(c, key, "full").select(key, either("turns", "_turns"), either("question_count", "_count"), either("suspected_conditions", "_suspected"))
 
 
 def cleared(sessions: DataFrame, ids: DataFrame, key: str = "session_id") -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.text import normalize, synonym, tokenize
+from ..plans.session import stored
 
 DIMENSION = 384
 BIGRAM_WEIGHT = 1.35
@@ -71,22 +72,17 @@ def weight(n: Column, top: Column, idf_: Column) -> Column:
 class TfidfIndex:
     """UD1: exact cosine over TF-IDF weights. postings (key, token, w), norms (key, norm), idfs (token, idf).
 
-    The term counts are the index: they are kept in memory and on disk for as many searches as follow.
+    The term counts are the index: a table in the shared folder for as many searches as follow.
     """
 
     def __init__(self, docs: DataFrame, key: str = "id", text: str = "text", lexicon: Lexicon = DEFAULT):
         self.key, self.lexicon = key, lexicon
-        counts = term_counts(docs, key, text, lexicon).persist(StorageLevel.MEMORY_AND_DISK)
+        self.counts = counts = stored(term_counts(docs, key, text, lexicon), "counts")
         n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
         self.idfs = document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("token", idf(F.col("df"), F.col("n_docs")).alias("idf"))
         self.postings = counts.join(self.idfs, "token").select(key, "token", weight(F.col("n"), F.col("top"), F.col("idf")).alias("w"))
-        self._held = counts
         self.norms = self.postings.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    def close(self) -> None:
-        """Lets go of the kept term counts."""
-        self._held.unpersist()
-
     def query_weights(self, queries: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
         """(query, token, qw, qnorm); tokens unknown to the index weigh as with idf 1 and count in the norm."""
         counts = term_counts(queries.withColumnRenamed(query, "query"), "query", text, self.lexicon)
@@ -96,15 +92,18 @@ class TfidfIndex:
     def search(self, queries: DataFrame, k: int = 10, query: str = "query", text: str = "text") -> DataFrame:
         """TOP1: (query, key, score, rank, matched_terms) of the best k documents of each query.
 
-        Scores are rounded to four places before they are ranked; ties go to the smaller key.
+        Scores are rounded to four places before they are ranked; ties go to the smaller key. The postings are
+        dealt by document for their norms; the sums of each document and query reuse that partitioning, and a
+        task passes on only its best k of each query. The words of the queries are a table of checked size.
         """
-        q = _small(self.query_weights(queries, query, text))
-        dots = self.postings.join(q, "token").groupBy("query", self.key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.first("qnorm").alias("qnorm"))
-        scored = dots.where("dot > 0").join(self.norms, self.key).withColumn("score", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")), 4))
+        q = _small(stored(self.query_weights(queries, query, text), "queries"))
+        normed = self.postings.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(self.key))))
+        dots = normed.join(q, "token").groupBy(self.key, "query").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.first("qnorm").alias("qnorm"), F.first("norm").alias("norm"))
+        scored = dots.where("dot > 0").withColumn("score", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")), 4))
         rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), self.key))
-        best = scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", self.key, "score", "rank").persist(StorageLevel.MEMORY_AND_DISK)
+        best = stored(scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", self.key, "score", "rank"), "best")
         # the matched terms of the few results, not of all pairs
-        terms = best.join(q.select("query", "token"), "query").join(self.postings.select(self.key, "token"), [self.key, "token"])
+        terms = self.counts.select(self.key, "token").join(_small(best.select("query", self.key)), self.key).join(q.select("query", "token"), ["query", "token"])
         terms = terms.groupBy("query", self.key).agg(F.array_join(F.array_sort(F.collect_set("token")), " ").alias("matched_terms"))
         return best.join(terms, ["query", self.key])
 
@@ -152,56 +151,88 @@ def cosine(a, b) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Numbers of the queries that are broadcast at once; more queries are scored in several passes of a block each.
+MAX_QUERY_NUMBERS = 8_000_000
+
+
+def _usable(vector: str) -> Column:
+    """A vector of finite numbers that are not all zero."""
+    v = F.col(vector)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """TOP2: (query, key, score, rank) by exact cosine, clamped to 0 and 1, rounded; zero scores stay, zero queries give nothing.
+    """TOP2: (query, key, score, rank) by exact cosine, clamped to 0 and 1, rounded; zero scores stay.
 
-    Every task scores its block of vectors against the queries by one matrix product and passes on only its best
-    k of each query, so the exchange carries partitions * queries * k rows. Queries are few: they are collected
-    in blocks of at most 2,000.
+    A vector that is null, empty, zero or holds null or non-finite numbers is neither a query nor a result, and
+    only vectors of equal lengths are compared. Every task scores its block of vectors against the queries by one
+    matrix product and passes on only its best k of each query, so the exchange carries partitions * queries * k
+    rows. Queries come in blocks of a checked size; where there are more than one, each block's hits are stored
+    before the next is read.
     """
-    rows = queries.select("query", vector).toLocalIterator()
-    out = None
     schema = "query long, key long, score double"
-    more = True
-    while more:
-        names, block = [], []
-        for row in rows:
-            names.append(row[0])
-            block.append(row[1])
-            if len(block) == 2000:
-                break
-        more = len(block) == 2000
-        if not block:
-            break
-        q = np.array(block, np.float64)
-        norm = np.linalg.norm(q, axis=1)
-        q, names = q[norm > 0] / norm[norm > 0, None], np.array(names)[norm > 0]
-        if not len(q):
-            continue
-
-        def score(batches, q=q, names=names):
-            best: dict[int, pd.DataFrame] = {}
-            held = None
-            for pdf in batches:
-                if not len(pdf):
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
+    source = vectors.where(_usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    out = []
+    for block in _query_blocks(queries.where(_usable(vector) & F.col("query").isNotNull()).select(F.col("query").cast("long").alias("query"), vector)):
+        if out:
+            out[-1] = stored(out[-1], "hits")
+        out.append(ranked(source.mapInPandas(_scorer(block, k, key, vector), schema)))
+    if not out:
+        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Blocks of queries: ids and unit vectors by length; the driver holds one block at a time."""
+    block: dict[int, tuple[list, list]] = {}
+    numbers = 0
+
+    def made():
+        units = {}
+        for n, (names, rows) in block.items():
+            x = np.array(rows, np.float64)
+            x /= np.abs(x).max(1, keepdims=True)
+            units[n] = np.array(names), x / np.linalg.norm(x, axis=1, keepdims=True)
+        return units
+
+    for name, v in queries.toLocalIterator():
+        if numbers + len(v) > MAX_QUERY_NUMBERS and block:
+            yield made()
+            block, numbers = {}, 0
+        names, rows = block.setdefault(len(v), ([], []))
+        names.append(name)
+        rows.append(v)
+        numbers += len(v)
+    if block:
+        yield made()
+
+
+def _scorer(block: dict[int, tuple[np.ndarray, np.ndarray]], k: int, key: str, vector: str):
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            for n, rows in pdf.groupby(pdf[vector].map(len)):
+                if n not in block:
                     continue
-                x = np.array(pdf[vector].tolist(), np.float64)
-                n = np.linalg.norm(x, axis=1)
-                s = np.round(np.clip(q @ (x / np.where(n, n, 1)[:, None]).T, 0, 1), 4)
-                keys = pdf[key].to_numpy()
+                names, q = block[n]
+                x = np.array(rows[vector].tolist(), np.float64)
+                x /= np.abs(x).max(1, keepdims=True)
+                s = np.round(np.clip(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 0, 1), 4)
+                keys = rows[key].to_numpy()
                 order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
                 part = pd.DataFrame({"query": np.repeat(names, order.shape[1]), "key": keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
                 held = part if held is None else pd.concat([held, part])
                 held = held.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query").head(k)
-            if held is not None:
-                yield held
+        if held is not None:
+            yield held
 
-        part = vectors.select(F.col(key).cast("long").alias(key), vector).mapInPandas(score, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query long, key long, score double, rank int")
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return score
 
 
 class HashEmbeddingIndex:

@@ -76,10 +76,11 @@ def group_split(rows: DataFrame, group: str, seed: int = 42, valid: float = 0.08
 
     Groups come in the order of a hash of seed and group, which is deterministic but not any generator's
     shuffle. A group goes whole to the first split that is still below its target, so targets may be overshot.
+    Rows without a group are one group, as two of them may belong together.
     The running sum over groups is computed in two levels, so that no task sorts all groups.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_o", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256)).withColumn("_b", F.substring("_o", 1, 3))
+    sizes = sizes.withColumn("_o", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(group).cast("string"), F.lit(""))), 256)).withColumn("_b", F.substring("_o", 1, 3))
     parts = sizes.groupBy("_b").agg(F.sum("_n").alias("_s"))  # 4,096 rows at most
     offsets = parts.withColumn("_before", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_s").over(W.partitionBy()))
     inside = F.coalesce(F.sum("_n").over(W.partitionBy("_b").orderBy("_o", group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -89,7 +90,8 @@ def group_split(rows: DataFrame, group: str, seed: int = 42, valid: float = 0.08
     filled = run.where("_v").agg(F.sum("_n").alias("_filled"))
     run = run.crossJoin(F.broadcast(filled))
     split = F.when(F.col("_v"), "valid").when(F.col("_p") - F.col("_filled") < want_t, "test").otherwise("train")
-    return rows.join(run.select(group, split.alias("split")), group)
+    named = run.select(F.col(group).alias("_group"), split.alias("split"))
+    return rows.join(named, rows[group].eqNullSafe(named["_group"])).drop("_group")
 
 
 def random_split(rows: DataFrame, key: str, seed: int = 42, valid: float = 0.08, test: float = 0.08) -> DataFrame:

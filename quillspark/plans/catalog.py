@@ -332,16 +332,25 @@ def candidate_explode_export(spark, sf):
 
 
 def benchmark_contamination(spark, sf):
-    """Items that are substrings of a document: found by six inner words, then verified; items of few words are tested directly."""
+    """Items that are substrings of a document: found by hashes of up to six inner words, then verified on the texts; items of one or two words are tested directly."""
     b = table(spark, sf, "benchmark").where("text <> ''").withColumn("words", F.split("text", " "))
     d = table(spark, sf, "documents").select("doc_id", "text")
-    long = F.size("words") >= 8
-    anchored = b.where(long).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("words", 2, 6), " ").alias("anchor"))
-    words = d.withColumn("w", F.split("text", " "))
-    windows = words.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("anchor"))
-    hits = windows.join(retrieval._small(anchored), "anchor").where(F.contains("text", "item")).select("doc_id", "item_id")
-    short = d.join(F.broadcast(b.where(~long).select("item_id", F.col("text").alias("item"))), F.contains(F.col("text"), F.col("item"))).select("doc_id", "item_id")
-    return hits.unionByName(short).distinct()
+    inner = F.least(F.size("words") - 2, F.lit(6))
+    anchored = b.where(F.size("words") >= 3).select("item_id", inner.alias("n"), F.xxhash64(F.array_join(F.slice(F.col("words"), F.lit(2), inner), " ")).alias("anchor"))
+    lengths = sorted(r["n"] for r in anchored.select("n").distinct().collect())  # six at most
+    words = d.select("doc_id", F.split("text", " ").alias("w"))
+
+    def windows(n: int) -> Column:
+        hashed = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+        return F.when(F.size("w") >= n, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    items = b.select("item_id", F.col("text").alias("item"))
+    direct = d.join(retrieval._small(b.where(F.size("words") < 3).select("item_id", F.col("text").alias("item"))), F.contains(F.col("text"), F.col("item"))).select("doc_id", "item_id")
+    if not lengths:
+        return direct.distinct()
+    hashes = words.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), windows(n).alias("of")) for n in lengths])).alias("x")).select("doc_id", "x.n", F.explode("x.of").alias("anchor"))
+    pairs = hashes.join(retrieval._small(anchored), ["n", "anchor"]).select("doc_id", "item_id").distinct()
+    return pairs.join(d, "doc_id").join(retrieval._small(items), "item_id").where(F.contains("text", "item")).select("doc_id", "item_id").unionByName(direct).distinct()
 
 
 def conversation_features(spark, sf):

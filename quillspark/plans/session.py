@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+_FOLDERS: dict[str, str] = {}
 
 
 def session(app: str = "quillspark", master: str | None = None, **conf) -> SparkSession:
@@ -23,9 +29,58 @@ def session(app: str = "quillspark", master: str | None = None, **conf) -> Spark
     return b.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary folder on a local master; on a cluster executors could not see one, so an error is raised."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="quillspark-")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is written there goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_root(spark)}/work-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _FOLDERS[app])
+    return f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """`df` as a table in the shared folder: its lineage is cut, and several uses compute it once."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in spark.checkpoint.dir; only where that is unset, in a temporary folder."""
+    """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def row_numbers(rows: DataFrame, order: list, name: str, buckets: int = 512) -> DataFrame:
+    """`rows` with their numbers, from 1, in the order of some columns.
+
+    Rows are range-partitioned, numbered inside their partition and moved up by the counts of the partitions
+    before, so no task sorts all rows.
+    """
+    keyed = rows.withColumn("_k", F.struct(*order))
+    # checkpointed: range bounds come from a sample, and a second evaluation could draw others
+    dealt = checkpointed(keyed.repartitionByRange(buckets, "_k").withColumn("_p", F.spark_partition_id()))
+    inside = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy("_k")))
+    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return inside.join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_b")).drop("_k", "_p", "_n", "_b")

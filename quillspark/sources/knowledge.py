@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import split_list, split_semicolon, template
+from ..plans.session import row_numbers
 
 
 def _schema(texts: str, lists: str = "") -> T.StructType:
@@ -76,8 +77,11 @@ def read_records(spark: SparkSession, path: str, texts: str, lists: str, prefix:
         return F.coalesce(F.nullif(F.try_variant_get("data", f"$.{name}", "string"), F.lit("")), default)
 
     rows = raw.select(*[text(c).alias(c) for c in columns], *[_listed(F.col("data"), c).alias(c) for c in lists.split()], "file", "line")
-    order = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("file", "line"))
-    return rows.withColumn("ord", order.cast("long")).drop("file", "line")
+    # numbered inside each file, then moved up by the files before; only the list of files meets in one task
+    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("file", F.coalesce(F.sum("_n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_inside", F.row_number().over(W.partitionBy("file").orderBy("line")))
+    return inside.join(F.broadcast(before), "file").withColumn("ord", F.col("_inside") + F.col("_before")).drop("file", "line", "_inside", "_before")
 
 
 def training_records(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +102,9 @@ def chunks(cases: DataFrame, formulas: DataFrame, herbs: DataFrame, training: Da
         null = F.lit(None).cast("string")
         meta = {"content_type": null, "condition_group": null, "applicable_case_ids": F.lit(None).cast("array<string>")} | {k: v for k, v in more.items() if not k.endswith("_id")}
         ids = {k: more.get(k, null).alias(k) for k in ("case_id", "formula_id", "herb_id")}
-        local = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("ord" if "ord" in df.columns else "id"))
+        local = F.col("ord")
+        if "ord" not in df.columns:
+            df = row_numbers(df, [F.col("id")], "ord", 16)
         return df.select("id", F.lit(kind).alias("type"), title.alias("title"), text.alias("text"), (F.col(source) if source else null).alias("source"), (F.col(level) if level else null).alias("evidence_level"), *ids.values(), F.struct(*[v.alias(k) for k, v in meta.items()]).alias("metadata"), (F.lit(number * 10_000_000) + local).cast("long").alias("ord"))
 
     guidance = F.col("content_type") == "disease_guidance"

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import io
+import itertools
+import re
+import zipfile
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import format_metrics  # noqa: F401  (used by exports built on this module)
-from ..plans.session import checkpointed
-from .knowledge import exists
-
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     """SNK1: appends rows; the folder is made if it isn't there."""
@@ -41,16 +41,111 @@ def manifest(df: DataFrame, path: str) -> None:
 
 
 def upsert_vectors(new: DataFrame, path: str, key: str = "id") -> None:
-    """SNK6: new rows replace those of the same key, all others stay; readers see the old table until the new one is whole."""
+    """SNK6: new rows replace those of the same key, all others stay.
+
+    Each write makes a new version beside the old one, then a marker file that names it; read_vectors() reads the
+    version of the newest marker, so a crash at any point leaves the old or the new table whole. The version
+    before stays for readers that are still at it, older ones go.
+    """
     spark = new.sparkSession
-    if exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path)
-        new = old.join(new, key, "left_anti").unionByName(new)
-    held = checkpointed(new)
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    held.write.parquet(beside)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = a.getFileSystem(conf)
-    fs.delete(b, True)
-    fs.rename(a, b)
+    old = _versions(spark, path)
+    if old:
+        before = spark.read.schema(new.schema).parquet(f"{path}/v{old[-1]}")
+        new = before.join(new, key, "left_anti").unionByName(new)
+    number = old[-1] + 1 if old else 1
+    new.write.mode("overwrite").parquet(f"{path}/v{number}")  # left over only if an earlier write of this version broke off
+    fs, at = _files(spark, f"{path}/v{number}.done")
+    fs.create(at, True).close()
+    for n in old[:-1]:
+        for name in (f"{path}/v{n}.done", f"{path}/v{n}"):
+            fs.delete(_files(spark, name)[1], True)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """SNK6: the newest whole version of a table, or None."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _files(spark, f"{path.rstrip('/')}/v*.done")
+    return sorted(int(s.getPath().getName()[1:-5]) for s in fs.globStatus(at) or [])
+
+
+#: Sheets of a workbook and their columns.
+SHEETS = {
+    "chat_summary": "session_id created_at turns user_turns assistant_turns questions last_user_text",
+    "turns": "session_id created_at user_message response_type suspected_conditions red_flags follow_up_question assistant_reply questions_asked max_questions",
+    "candidates": "session_id model status score selected latency breakdown",
+}
+
+
+def workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """SNK8: a workbook (Office Open XML) with a sheet for each table, a header row and one row for each of its rows in their order.
+
+    The rows stream through the driver into the file, so a workbook is as large as its format allows: 1,048,576
+    rows of a sheet and 32,767 characters of a cell. More rows go on in a further sheet, and more characters in a
+    further column of the same name and a number; nothing is cut.
+    """
+    spark = next(iter(sheets.values())).sparkSession
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as book:
+        names: list[str] = []
+        for title, df in sheets.items():
+            for part, rows in enumerate(_sheets(df)):
+                names.append(title if not part else f"{title}_{part + 1}")
+                with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as sheet:
+                    sheet.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+                    for row in rows:
+                        sheet.write(("<row>" + "".join(_cell(v) for v in row) + "</row>").encode("utf-8", "replace"))
+                    sheet.write(b"</sheetData></worksheet>")
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        book.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(len(names))) + "</Types>")
+        book.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
+        book.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(names))) + "</Relationships>")
+    fs, at = _files(spark, path)
+    out = fs.create(at, True)
+    out.write(raw.getvalue())
+    out.close()
+
+
+_CELL, _ROWS = 32_767, 1_048_575
+
+
+def _sheets(df: DataFrame):
+    """Lists of rows of the sheets of a table; the header stands in each."""
+    texts = df.select(*[F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes]).toDF(*df.columns)
+    wide = [c for c, t in texts.dtypes if t == "string"]
+    widths = texts.agg(*[F.max(F.length(c)).alias(c) for c in wide]).first() if wide else {}
+    parts = {c: max(1, -(-(widths[c] or 0) // _CELL)) for c in wide}
+    columns = [F.substring(c, i * _CELL + 1, _CELL).alias(c if not i else f"{c}_{i + 1}") if c in parts and parts[c] > 1 else F.col(c) for c in df.columns for i in range(parts.get(c, 1))]
+    cut = texts.select(*columns)
+    rows = cut.toLocalIterator()
+    first = True
+    while True:
+        some = itertools.islice(rows, _ROWS)
+        head = next(some, None)
+        if head is None and not first:
+            return
+        yield itertools.chain([cut.columns], [] if head is None else [head], some)
+        first = False
+
+
+def _cell(value) -> str:
+    if value is None:
+        return "<c/>"
+    if isinstance(value, bool):
+        return f'<c t="b"><v>{int(value)}</v></c>'
+    if isinstance(value, (int, float)) and value == value and abs(value) != float("inf"):
+        return f"<c><v>{value!r}</v></c>"
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_CONTROL.sub("", str(value)))}</t></is></c>'
+
+
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")

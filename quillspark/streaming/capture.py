@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,15 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import normalize
+from ..plans.session import work_folder
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
-def _work(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def turn_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """Turns from Parquet files as they arrive in a folder; a path of one file streams this file of its folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,7 +43,7 @@ def capture_turns(turns: DataFrame, out: str, checkpoint: str):
 
 def captured(spark: SparkSession, path: str) -> DataFrame:
     """Captures all turns of a folder, then counts turns and pending rows of each conversation."""
-    work = _work(spark)
+    work = work_folder(spark, "stream")
     capture_turns(turn_stream(spark, path), f"{work}/out", f"{work}/checkpoint").awaitTermination()
     turns, pending = spark.read.parquet(f"{work}/out/turns"), spark.read.parquet(f"{work}/out/enrichment")
     counts = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("normalized")).alias("characters"))
@@ -78,7 +72,7 @@ def session_states(turns: DataFrame) -> DataFrame:
 
 def session_counts(spark: SparkSession, path: str) -> DataFrame:
     """The last snapshot of every session after all files of a folder."""
-    work = _work(spark)
+    work = work_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/batch={number}")

@@ -185,3 +185,38 @@ def test_recommendation_and_exports(spark):
     assert (r[0].ramuan, r[0].cara_pengolahan, r[0].dosis_penggunaan, r[0].catatan_kewaspadaan) == ("teh", "p", "y", "hati-hati") and r[1] is None
     cand = spark.createDataFrame([("q", "ok", 0.5, 1), ("q", "ok", 0.5, 0), ("q", "error", 0.9, 2)], "request string, status string, score double, model_ord int")
     assert [x.model_ord for x in dialogue.best_candidate(cand, ["request"]).collect()] == [0]
+
+
+def test_synced_keeps_sessions_of_the_client_alone(spark):
+    kind = "session_id string, turns array<struct<role:string,content:string>>, question_count int, suspected_conditions array<string>"
+    server = spark.createDataFrame([("s", [("user", "hi")], 2, ["a"]), ("e", [], 0, [])], kind)
+    client = spark.createDataFrame([("c", [("bot", "yo"), ("user", " ")], -3, ["p", "q", "r", "t"]), ("e", [("user", "x")], 1, ["b"])], kind)
+    got = {r.session_id: ([tuple(t) for t in r.turns], r.question_count, r.suspected_conditions) for r in dialogue.synced(server, client).collect()}
+    assert got == {"s": ([("user", "hi")], 2, ["a"]), "e": ([("user", "x")], 1, ["b"]), "c": ([("assistant", "yo")], 0, ["p", "q", "r"])}
+    assert dialogue.synced(server.limit(0), client).count() == 2 and dialogue.synced(server, client.limit(0)).count() == 2
+
+
+def test_group_split_keeps_rows_without_group(spark):
+    rows = spark.createDataFrame([(i, None if i % 20 == 3 else f"g{i % 7}") for i in range(80)], "i int, g string")
+    got = split.group_split(rows, "g").collect()
+    assert sorted(r.i for r in got) == list(range(80)) and len({r.split for r in got if r.g is None}) == 1
+
+
+def test_vector_topk_leaves_out_unusable_vectors(spark, monkeypatch):
+    inf, nan = float("inf"), float("nan")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [1.0, 1.0, 1.0]), (8, []), (None, [1.0, 0.0]), (9, [1e200, 1e200])], "id long, embedding array<double>")
+    q = spark.createDataFrame([(10, [1.0, 0.0]), (11, None), (12, [nan, 1.0]), (13, [2.0, 2.0, 2.0]), (14, [0.0, 1e-200])], "query long, embedding array<double>")
+    want = {(10, 1, 1.0), (10, 9, 0.7071), (13, 7, 1.0), (14, 1, 0.0), (14, 9, 0.7071)}
+    assert {(r.query, r.id if "id" in r else r.key, r.score) for r in retrieval.vector_topk(v, q, 5).collect()} == want
+    monkeypatch.setattr(retrieval, "MAX_QUERY_NUMBERS", 2)
+    assert {(r.query, r.key, r.score) for r in retrieval.vector_topk(v, q, 5).collect()} == want
+
+
+def test_first_name_in_is_the_same_for_many_names(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "teh JAHE dan madu"), (2, "x"), (3, None), (4, "kunyit"), (5, "ab")], "id int, text string")
+    names = spark.createDataFrame([(1, "kunyit"), (2, "madu"), (3, "jahe"), (4, "ab")], "o int, name string")
+    got = lambda: {(r.id, r.name) for r in curate.first_name_in(rows, names, "text", "name", "o").collect()}
+    want = {(1, "madu"), (4, "kunyit"), (5, "ab")}
+    assert got() == want
+    monkeypatch.setattr(curate, "MAX_NAMES", 1)
+    assert got() == want

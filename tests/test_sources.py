@@ -53,4 +53,33 @@ def test_sinks(spark, tmp_path):
     v = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
     sinks.upsert_vectors(v, str(tmp_path / "vec"))
     sinks.upsert_vectors(spark.createDataFrame([("b", 2), ("c", 2)], "id string, v int"), str(tmp_path / "vec"))
-    assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "vec")).collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    got = lambda: {(r.id, r.v) for r in sinks.read_vectors(spark, str(tmp_path / "vec")).collect()}
+    assert got() == {("a", 1), ("b", 2), ("c", 2)} and sinks.read_vectors(spark, str(tmp_path / "none2")) is None
+    # a write that broke off before its marker is not seen, and is written over
+    (tmp_path / "vec" / "v3").mkdir()
+    (tmp_path / "vec" / "v3" / "part-0.parquet").write_text("broken")
+    assert got() == {("a", 1), ("b", 2), ("c", 2)}
+    for n in (3, 4):
+        sinks.upsert_vectors(spark.createDataFrame([("c", n)], "id string, v int"), str(tmp_path / "vec"))
+    assert got() == {("a", 1), ("b", 2), ("c", 4)}
+    assert sorted(p.name for p in (tmp_path / "vec").glob("v*") if p.is_dir()) == ["v3", "v4"]
+
+
+def test_workbook(spark, tmp_path, monkeypatch):
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    monkeypatch.setattr(sinks, "_ROWS", 3)
+    monkeypatch.setattr(sinks, "_CELL", 10)
+    a = spark.createDataFrame([(i, f"<{i}> & \x01 text that is long", i / 4, i % 2 == 0, ["x", "y"]) for i in range(5)], "n int, t string, d double, b boolean, l array<string>").coalesce(1)
+    sinks.workbook({"turns": a, "empty": a.limit(0).select("n")}, str(tmp_path / "w.xlsx"))
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        names = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if s.tag.endswith("}sheet")]
+        assert names == ["turns", "turns_2", "empty"]
+        rows = [[["".join(c.itertext()) for c in r] for r in ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter() if r.tag.endswith("}row")] for i in (1, 2, 3)]
+    assert rows[2] == [["n"]] and [len(r) for r in rows] == [4, 3, 1]
+    head = rows[0][0]
+    assert head == rows[1][0] == ["n", "t", "t_2", "t_3", "d", "b", "l"]
+    got = [dict(zip(head, r)) for r in rows[0][1:] + rows[1][1:]]
+    assert [g["t"] + g["t_2"] + g["t_3"] for g in got] == [f"<{i}> &  text that is long" for i in range(5)]
+    assert [(g["n"], g["d"], g["b"], g["l"]) for g in got] == [(str(i), repr(i / 4), str(int(i % 2 == 0)), '["x","y"]') for i in range(5)]
