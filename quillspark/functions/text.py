@@ -203,15 +203,17 @@ def summarize(text, max_sentences: int = 2, max_chars: int = 360) -> Column:
     return F.rtrim(F.substring(F.array_join(F.slice(sentences(text), 1, max_sentences), " "), 1, max_chars))
 
 
-def preparation_steps(text, most: int = 8) -> Column:
-    """STR23: steps between full stops or semicolons; by commas if there are fewer than two; the text itself if none."""
-    def parts(pattern):
-        trimmed = F.transform(F.split(F.coalesce(_c(text), F.lit("")), pattern), lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", ""))
+def preparation_steps(text, most: int = 8, default: str = "") -> Column:
+    """STR23: steps between full stops or semicolons; by commas if there are fewer than two; the text itself, or a default, if none."""
+    whole = F.trim(F.replace(F.coalesce(_c(text), F.lit("")), F.lit(";"), F.lit(".")))
+
+    def parts(mark: str):
+        trimmed = F.transform(F.split(whole, f"[{mark}]"), lambda x: F.regexp_replace(x, rf"^[ {mark}]+|[ {mark}]+$", ""))
         return F.filter(trimmed, lambda x: x != "")
 
-    by_stop, by_comma = parts(r"[;.]"), parts(r"[;.,]")
+    by_stop, by_comma = parts("."), parts(",")
     chosen = F.when(F.size(by_stop) >= 2, by_stop).otherwise(by_comma)
-    return F.when(F.size(chosen) == 0, F.array(F.coalesce(_c(text), F.lit("")))).otherwise(F.slice(chosen, 1, most))
+    return F.when(F.size(chosen) == 0, F.array(F.coalesce(F.nullif(_c(text), F.lit("")), F.lit(default)))).otherwise(F.slice(chosen, 1, most))
 
 
 def as_sentence(text) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parsing import format_latency, format_metrics
-from ..functions.signals import asks_preparation_detail, confused, feedback_label, invalid_temperature
+from ..functions.signals import asks_preparation_detail, confused, duplicate_question, feedback_label, invalid_temperature
 from ..functions.text import normalize, null_if_blank
 
 MAX_QUESTIONS = 3
@@ -36,9 +36,10 @@ def last_turns(df: DataFrame, n: int = 10, conv: str = "conv_id", order: str = "
 
 
 def remember(questions, new, most: int = 8) -> Column:
-    """WIN6, X8: the last questions, with a new one that isn't there yet."""
+    """WIN6, X8: the last questions, with a new one that repeats none of them."""
     q = F.coalesce(_c(questions), F.array().cast("array<string>"))
-    longer = F.when(_c(new).isNull() | F.array_contains(q, _c(new)), q).otherwise(F.array_append(q, _c(new)))
+    n = null_if_blank(new)
+    longer = F.when(n.isNull() | (normalize(n) == "") | duplicate_question(n, q), q).otherwise(F.array_append(q, n))
     return F.slice(longer, F.greatest(F.size(longer) - most + 1, F.lit(1)), most)
 
 
