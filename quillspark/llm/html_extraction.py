@@ -387,7 +387,7 @@ class Extractor:
         shape = tuple(n[0] for n in nodes)
         places = self.shapes.get(shape)
         if places is None:
-            if len(self.shapes) > 10_000:
+            if len(self.shapes) > 1000:
                 self.shapes.clear()
             places = self.shapes[shape] = [i for i, j in pairs(self.names, list(shape)) if j is not None]
         keep = [i is not None and self.inside[i] for i in places]
@@ -400,10 +400,21 @@ class Extractor:
         return "\n".join(page[b].text for b in sorted(b for n, k in zip(nodes, keep) if k for b in n[4]))
 
 
+#: Pages that are held as Python objects at once.
+PAGES = 250
+
+
+def _some(batches):
+    """The rows of the batches, a few at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, PAGES):
+            yield b.slice(at, PAGES)
+
+
 def _count(batches):
     """(text, place, main): hashes of each block's text with its path, of the path, and of the page's longest other texts; text is null where the page's path alone counts."""
-    for b in batches:
-        seen: set[tuple[int, int, int]] = set()
+    for b in _some(batches):
+        seen: set[tuple[int | None, int, int]] = set()
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
             page = blocks(html)
             longest = heapq.nlargest(MAIN_TEXTS + 1, {x.text for x in page}, key=lambda t: (len(t), t))
@@ -434,13 +445,13 @@ def _infer(known):
             keys = list(found)
             return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([found[k].dump() for k in keys], pa.string())], names=["host", "template", "wrapper"])
 
-        for b in batches:
+        for b in _some(batches):
             lists = b.column("constant").to_pylist() if constant is None else [constant] * b.num_rows
             for host, html, c in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), lists):
                 page = blocks(html)
                 names = tokens(page, host, c if constant is not None else frozenset(c or ()))
                 found.setdefault((host, skeleton(page)), Wrapper()).add(Wrapper(fold(page, names), 1))
-            if len(found) > 5000:
+            if len(found) > 1000:
                 yield made()
                 found.clear()
         yield made()
@@ -476,14 +487,15 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     n, schema = partitions(spark), "host string, template long, wrapper string"
     source = pages.select("host", "html")
-    constant = save(constant_texts(source), "constants")
-    if constant.count() <= MAX_CONSTANTS:
-        shared = Shared(spark, np.array([r["text"] for r in constant.select("text").distinct().toLocalIterator()], np.int64))
+    constant = constant_texts(source)
+    known = constant.select("text").distinct().limit(max(0, MAX_CONSTANTS) + 1).toPandas()["text"]
+    if len(known) <= MAX_CONSTANTS:
+        shared = Shared(spark, known.to_numpy(np.int64))
         parts = source.mapInArrow(_infer(lambda: frozenset(shared.load().tolist())), schema)
     else:
         places = source.mapInArrow(_places, "host string, template long, place long").distinct()
-        known = places.join(constant, "place").groupBy("host", "template").agg(F.collect_set("text").alias("constant"))
-        parts = with_template(source).join(known, ["host", "template"], "left").select("host", "html", "constant").mapInArrow(_infer(None), schema)
+        of_template = places.join(constant, "place").groupBy("host", "template").agg(F.collect_set("text").alias("constant"))
+        parts = with_template(source).join(of_template, ["host", "template"], "left").select("host", "html", "constant").mapInArrow(_infer(None), schema)
     dealt = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(n)))
     once = dealt.repartition(n, "host", "template", "salt").sortWithinPartitions("host", "template", "salt", "wrapper").select("host", "template", "wrapper").mapInArrow(_merge, schema)
     return once.repartition(n, "host", "template").sortWithinPartitions("host", "template", "wrapper").mapInArrow(_merge, schema)
@@ -491,7 +503,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 def _places(batches):
     """(host, template, place) of each path that a page has."""
-    for b in batches:
+    for b in _some(batches):
         seen = set()
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
             page = blocks(html)
@@ -504,7 +516,7 @@ def with_template(pages: DataFrame, html: str = "html", name: str = "template")
     at = pages.columns.index(html)
 
     def run(batches):
-        for b in batches:
+        for b in _some(batches):
             yield pa.record_batch([*b.columns, pa.array([skeleton(blocks(t)) for t in b.column(at).to_pylist()], pa.int64())], names=[*b.schema.names, name])
 
     return pages.mapInArrow(run, pages.withColumn(name, F.lit(None).cast("long")).schema)
@@ -544,18 +556,18 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
             def extractor(host, template, _):
                 if (host, template) not in made:
-                    if len(made) > 5000:
+                    if len(made) > 1000:
                         made.clear()
                     made[host, template] = Extractor(Wrapper.load(known[host, template]), host)
                 return made[host, template]
 
-            for b in batches:
+            for b in _some(batches):
                 yield rows(b, extractor)
 
         return tagged.mapInArrow(run, schema)
 
     def run_joined(batches):
-        for b in batches:
+        for b in _some(batches):
             wrapper, made = b.column("_quill_wrapper"), {}
 
             def extractor(host, template, i):
