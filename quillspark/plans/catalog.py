@@ -285,7 +285,7 @@ def sft_from_log(spark, sf):
 
 def _keys(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
-    keys = F.array(F.concat(F.lit("text:"), stable_hash("text")), F.concat(F.lit("line:"), stable_hash(F.substring("text", 1, 40))))
+    keys = F.array(F.concat(F.lit("text:"), stable_hash("text")), F.concat(F.lit("line:"), F.col("source"), F.lit(":"), stable_hash(F.substring_index("text", "\n", 1))))
     return d.select(F.col("doc_id").alias("row_id"), F.explode(keys).alias("key"))
 
 
@@ -376,7 +376,7 @@ def reply_cleanup(spark, sf):
 def text_excerpts(spark, sf):
     """Excerpts, word-bounded limits and sentence summaries."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", excerpt("text", 120).alias("excerpt"), excerpt("text", 90, True).alias("hard"), limit_text("text", 50).alias("limited"), slugify(F.substring("text", 1, 60)).alias("slug"), as_sentence(F.substring("text", 1, 40)).alias("sentence"))
+    return d.select("doc_id", excerpt("text", 120).alias("excerpt"), excerpt("text", 90, True).alias("hard"), limit_text("text", 50).alias("limited"), slugify("text").alias("slug"), as_sentence("text").alias("sentence"))
 
 
 def legacy_merge(spark, sf):
@@ -417,7 +417,7 @@ def value_counts_manifest(spark, sf):
 def keyword_evidence(spark, sf):
     """Keyword, ASCII and citation predicates."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", curate.has_any("text", ["license", "rights"]).alias("notice"), signals.is_ascii("text").alias("ascii"), signals.cited_evidence("text").alias("cited"), signals.excluded_title(F.substring("text", 1, 80), ["the ", "der "]).alias("excluded"))
+    return d.select("doc_id", curate.has_any("text", ["license", "rights"]).alias("notice"), signals.is_ascii("text").alias("ascii"), signals.cited_evidence("text").alias("cited"), signals.excluded_title("text", ["the ", "der "]).alias("excluded"))
 
 
 def template_rotation(spark, sf):
@@ -438,21 +438,6 @@ def follow_up_choice(spark, sf):
     return a.select("conv_id", F.size("candidates").alias("n_candidates"), chosen.alias("question"))
 
 
-def assessment_scores(spark, sf):
-    """All score parts of assistant turns taken as follow-up assessments."""
-    c = seeded(spark, sf)
-    c = c.withColumn("before", F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))).where("role = 'assistant'")
-    c = signals.analyze(c.withColumns({"reply": F.col("text"), "text": F.col("before")}))
-    empty = F.array().cast("array<string>")
-    fields = {"scope": F.lit("supported"), "scope_reason": F.lit(""), "suspected_conditions": F.col("present_symptoms"), "reasoning": F.col("reply"), "enough_information": F.lit(False), "follow_up_question": F.concat(F.substring("reply", -60, 60), F.lit("?")), "follow_up_rationale": F.lit("x"), "red_flags": F.col("red_flags"), "need_medical_referral": F.size("red_flags") > 0}
-    fields |= {"final_answer": F.col("reply"), "recommended_herbal_name": F.lit(""), "ingredients": empty, "preparation": F.lit(""), "dosage": F.lit(""), "warning_notes": F.lit(""), "source_hint": F.lit("")}
-    a = F.struct(*[v.alias(k) for k, v in fields.items()])
-    summary = F.struct("present_symptoms", "absent_symptoms", "detected_symptoms", F.col("has_duration_signal").alias("has_duration"), empty.alias("asked_questions"))
-    c = c.withColumns({"a": a, "s": summary, "titles": F.array(F.substring("before", 1, 40))})
-    parts = scoring.assessment_scores("a", F.lit("follow_up"), "titles", "s", "before", F.lit(0), F.lit(3), F.lit(False))
-    return c.select("conv_id", "turn", *[v.alias(k) for k, v in parts.items()])
-
-
 def turn_capture_stream(spark, sf):
     return capture.captured(spark, f"{sf}/conversations.parquet")
 
@@ -470,6 +455,6 @@ QUERIES = {
         page_text_extract, page_title_link_stats, page_node_text, dedupe_first_by_hash, entity_merge, keyword_profile_match_top4, template_expansion, sft_from_log,
         leakage_components, group_split_audit, group_split_rows, sequential_ids, evidence_rank, conversation_summary_export, candidate_explode_export, benchmark_contamination,
         conversation_features, rolled_up_tokens, reply_cleanup, text_excerpts, legacy_merge, override_join, source_collect_order, candidate_best_per_request,
-        value_counts_manifest, keyword_evidence, template_rotation, follow_up_choice, assessment_scores, turn_capture_stream, session_state_stream,
+        value_counts_manifest, keyword_evidence, template_rotation, follow_up_choice, turn_capture_stream, session_state_stream,
     )
 }

@@ -185,7 +185,7 @@ SQL = {
         c AS (SELECT conv_id, turn, {squeeze('text')} AS u, regexp_replace(regexp_replace(regexp_replace(regexp_replace(next_text, '^\s+|\s+$', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS a FROM p WHERE role = 'user' AND next_role = 'assistant' AND conv_id % 4 <> 0),
         e AS (SELECT *, CASE WHEN contains(lower({squeeze('a')}), {q(DISCLAIMER_SNIPPET)}) THEN a ELSE a || chr(10) || chr(10) || {q(DISCLAIMER)} END AS r FROM c WHERE u <> '' AND a <> '')
         SELECT 'rag_' || conv_id || '_' || turn AS id, u AS user_text, r AS assistant_text FROM e QUALIFY row_number() OVER (PARTITION BY lower(u), lower({squeeze('r')}) ORDER BY conv_id * 1000 + turn) = 1""",
-    "leakage_components": f"""WITH RECURSIVE k AS (SELECT doc_id, 't:' || {stable_hash('text')} AS key FROM documents UNION SELECT doc_id, 'l:' || {stable_hash('substr(text, 1, 40)')} FROM documents),
+    "leakage_components": f"""WITH RECURSIVE k AS (SELECT doc_id, 't:' || {stable_hash('text')} AS key FROM documents UNION SELECT doc_id, 'l:' || source || ':' || {stable_hash("split_part(text, chr(10), 1)")} FROM documents WHERE source IS NOT NULL),
         e AS MATERIALIZED (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b USING (key)), r AS (SELECT doc_id, doc_id AS id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.id = e.a)
         SELECT doc_id, min(id) AS component FROM r GROUP BY doc_id""",
     "group_split_audit": f"""WITH {_GROUPS}, g AS (SELECT grp, count(DISTINCT split) AS k, bool_or(split = 'train') AS a, bool_or(split = 'valid') AS b, bool_or(split = 'test') AS c FROM rows_ GROUP BY grp),
@@ -201,9 +201,9 @@ SQL = {
     "benchmark_contamination": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
     "rolled_up_tokens": f"WITH t AS (SELECT item_id, {tokens('text')} AS t FROM benchmark) SELECT item_id, CAST(len(t) AS INTEGER) AS n, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct, array_to_string(list_sort(list_distinct(t)), ' ') AS terms FROM t",
     "reply_cleanup": r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+$', '') || chr(10) || chr(10) || 'x' AS reply FROM conversations WHERE role = 'assistant'""",
-    "text_excerpts": rf"""WITH c AS (SELECT doc_id, text, {squeeze('text')} AS c, regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g') AS h FROM documents)
+    "text_excerpts": rf"""WITH c AS (SELECT doc_id, text, {squeeze('text')} AS c, regexp_replace(text, '^\s+|\s+$', '', 'g') AS h FROM documents)
         SELECT doc_id, CASE WHEN length(c) <= 120 THEN c ELSE regexp_replace(substr(c, 1, 117), ' [^ ]*$', '') || '...' END AS excerpt, CASE WHEN length(c) <= 90 THEN c ELSE rtrim(substr(c, 1, 87)) || '...' END AS hard,
-            CASE WHEN length(c) <= 50 THEN c ELSE regexp_replace(substr(c, 1, 50), ' [^ ]*$', '') END AS limited, lower(regexp_replace(regexp_replace(substr(text, 1, 60), '[^a-zA-Z0-9_:-]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
+            CASE WHEN length(c) <= 50 THEN c ELSE regexp_replace(substr(c, 1, 50), ' [^ ]*$', '') END AS limited, lower(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9_:-]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
             CASE WHEN h = '' OR regexp_matches(h, '[.!?]$') THEN h ELSE h || '.' END AS sentence FROM c""",
     "legacy_merge": """SELECT s.s_suppkey AS id, coalesce(CASE WHEN s.s_suppkey % 3 > 0 THEN s.s_name END, c.c_name) AS name, c.c_mktsegment AS segment FROM supplier s LEFT JOIN customer c ON s.s_suppkey = c.c_custkey
         UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""",
@@ -214,7 +214,7 @@ SQL = {
         SELECT id, string_agg(r_name, '|' ORDER BY pos) AS titles, string_agg('u' || r_regionkey, '|' ORDER BY pos) AS urls FROM k JOIN region ON key = r_regionkey GROUP BY id""",
     "candidate_best_per_request": f"WITH {_CANDIDATES} SELECT request, model, score, event_id FROM won WHERE won",
     "value_counts_manifest": "SELECT 'lang:' || lang AS name, count(*) AS n FROM documents GROUP BY lang " + " ".join(f"UNION ALL SELECT {q(t)}, count(*) FROM {t}" for t in ("documents", "labels", "benchmark", "pages")),
-    "keyword_evidence": f"SELECT doc_id, {any_of('lower(text)', ('license', 'rights'))} AS notice, regexp_full_match(text, '[\\x00-\\x7F]*') AS ascii, regexp_matches(text, '(?i)PubMed|NCCIH|WHO|Cochrane|systematic review|clinical trial') AS cited, {any_of('lower(substr(text, 1, 80))', ('the ', 'der '))} AS excluded FROM documents",
+    "keyword_evidence": f"SELECT doc_id, {any_of('lower(text)', ('license', 'rights'))} AS notice, regexp_full_match(text, '[\\x00-\\x7F]*') AS ascii, regexp_matches(text, '(?i)PubMed|NCCIH|WHO|Cochrane|systematic review|clinical trial') AS cited, {any_of('lower(text)', ('the ', 'der '))} AS excluded FROM documents",
     "template_rotation": f"""WITH l AS (SELECT DISTINCT doc_id FROM labels), v AS (SELECT doc_id, [{", ".join(q(x) for x in VARIANTS)}] AS a, CAST(doc_id % {len(VARIANTS)} AS INTEGER) AS k FROM l)
         SELECT doc_id, array_to_string(list_concat(a[k + 1:], a[1:k]), ',') AS rotated, a[k + 1] AS picked FROM v""",
     "conversation_features": f"""WITH {_marked(_RUNNING)}, f AS (SELECT sn.conv_id, sn.turn, n, red_flags, present, absent, {_duration()} AS duration_text, {_CLEARED} AS cleared FROM sn LEFT JOIN rf USING (conv_id, turn) LEFT JOIN ss USING (conv_id, turn))

@@ -3,7 +3,9 @@ import sys
 import duckdb
 import pytest
 
-from quillspark.plans import catalog, oracle
+from quillspark.plans import catalog, catalog_more, oracle
+
+QUERIES, SQL = catalog.QUERIES | catalog_more.QUERIES, oracle.SQL | catalog_more.SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,11 +23,11 @@ def rows(df):
     return sorted(tuple("null" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF).toPandas()
-    if name in oracle.SQL:
-        want = duck.execute(oracle.SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    if name in SQL:
+        want = duck.execute(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     else:
@@ -33,7 +35,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(oracle.SQL) <= set(catalog.QUERIES)
+    assert set(SQL) <= set(QUERIES)
 
 
 def test_entry(spark):
