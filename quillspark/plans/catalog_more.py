@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, scoring, signals, text, wording
 from ..functions.lexicon import DEFAULT
-from ..operators import catalogs, curate, dialogue, replies, split
+from ..operators import bundle, catalogs, curate, dialogue, replies, split
+from ..operators.retrieval import TfidfIndex
 from ..sources import knowledge, sinks
 from .catalog import seeded, table
 from .oracle import _MARKS, _RUNNING, _SEEDED, _duration, _marked, any_of, norm, q, squeeze, stable_hash, tokens
@@ -40,8 +42,6 @@ def _joined(c) -> F.Column:
 
 def _sql_template(pattern: str, **parts: str) -> str:
     """A template as SQL; null counts as empty."""
-    import re
-
     out = []
     for literal, name in re.findall(r"([^{]*)(?:\{(\w+)\})?", pattern):
         out += [q(literal)] if literal else []
@@ -548,3 +548,104 @@ def assessment_scores(spark, sf):
 def recommendation_scores(spark, sf):
     """All score parts of final assessments with a recommendation."""
     return _scored(spark, sf, "recommendation", _CARD)
+
+
+# Retrieval for a conversation
+
+
+def _bundle_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks made of documents, cases and queries made of benchmark items."""
+    b = table(spark, sf, "benchmark").where("text <> ''").withColumn("w", F.split("text", " "))
+    word = lambda i: F.coalesce(F.get("w", i - 1), F.lit(""))
+    name = F.concat(F.lit("case_"), F.col("item_id").cast("string"))
+    complaint = F.concat_ws(" ", F.when(F.col("item_id") % 4 == 0, "ringan").otherwise("x"), word(1), word(2), word(3))
+    cases = b.where("item_id % 2 = 0").select(name.alias("case_id"), complaint.alias("keluhan_ringan"), F.concat_ws(" ", word(4), word(5)).alias("ramuan_rekomendasi"), F.array(word(6), word(7)).alias("items"))
+    cases = cases.withColumn("text", F.concat_ws(" ", "keluhan_ringan", "ramuan_rekomendasi", F.array_join("items", " ")))
+    asked = F.concat_ws(" ", "text", F.when(F.col("item_id") % 4 == 1, "ringan"))
+    queries = b.where("item_id % 2 = 1").select(F.col("item_id").alias("query"), asked.alias("text"), F.array(F.concat(F.lit("case_"), (F.col("item_id") - F.col("item_id") % 4).cast("string")), F.lit("none")).alias("hinted_case_ids"), F.slice(text.tokenize("text"), 1, 3).alias("detected_symptoms"))
+    d = table(spark, sf, "documents").withColumn("w", F.split("text", "[ \\n]"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("case", "formula", "herb", "training", "anamnesis")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    level = F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 7 == 0, "clinical_guideline_reference")
+    case = F.concat(F.lit("case_"), (F.col("doc_id") % 40).cast("string"))
+    meta = F.struct(F.when(F.col("doc_id") % 2 == 0, "disease_guidance").alias("content_type"), F.when(F.col("doc_id") % 4 == 0, "penyakit_tropis").alias("condition_group"), F.array(case).alias("applicable_case_ids"))
+    chunks = d.select(F.concat(F.lit("d"), F.format_string("%09d", "doc_id")).alias("id"), kind.alias("type"), F.concat_ws(" ", F.get("w", 0), F.get("w", 1)).alias("title"), "text", level.alias("evidence_level"), F.when(kind == "case", case).alias("case_id"), meta.alias("metadata"), F.col("doc_id").alias("ord"))
+    return chunks, cases, queries
+
+
+def _search_sql(name: str, queries: str, k: int) -> str:
+    """CTEs of a search of (query, text) rows over the chunks' index; the last has query, id, score, matched_terms, rank."""
+    return f"""{name}k AS (SELECT query, unnest({tokens('text')}) AS token FROM {queries}), {name}c AS (SELECT query, token, count(*) AS n FROM {name}k GROUP BY ALL), {name}t AS (SELECT query, max(n) AS top FROM {name}c GROUP BY query),
+    {name}w AS (SELECT query, token, (0.5::DOUBLE + 0.5::DOUBLE * (n / top)) * coalesce(idf, 1.0::DOUBLE) AS qw FROM {name}c JOIN {name}t USING (query) LEFT JOIN idfs USING (token)), {name}n AS (SELECT query, sqrt(sum(qw * qw)) AS qnorm FROM {name}w GROUP BY query),
+    {name}d AS (SELECT query, id, sum(qw * w) AS dot, string_agg(token, ' ' ORDER BY token) AS matched_terms FROM {name}w JOIN post USING (token) GROUP BY ALL),
+    {name}s AS (SELECT query, id, round(dot / (qnorm * norm), 4) AS score, matched_terms FROM {name}d JOIN {name}n USING (query) JOIN norms USING (id) WHERE dot > 0),
+    {name} AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM {name}s QUALIFY rank <= {k})"""
+
+
+def _hint_sql(x: str) -> str:
+    return f"array_to_string({tokens(x)}, ' ')"
+
+
+_BUNDLE = f"""b AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark WHERE text <> ''),
+cs0 AS (SELECT 'case_' || item_id AS case_id, concat_ws(' ', CASE WHEN item_id % 4 = 0 THEN 'ringan' ELSE 'x' END, coalesce(w[1], ''), coalesce(w[2], ''), coalesce(w[3], '')) AS keluhan_ringan, coalesce(w[4], '') || ' ' || coalesce(w[5], '') AS ramuan, [coalesce(w[6], ''), coalesce(w[7], '')] AS items FROM b WHERE item_id % 2 = 0),
+cs AS (SELECT *, keluhan_ringan || ' ' || ramuan || ' ' || array_to_string(items, ' ') AS text FROM cs0),
+qs AS (SELECT item_id AS query, concat_ws(' ', text, CASE WHEN item_id % 4 = 1 THEN 'ringan' END) AS text, ['case_' || (item_id - item_id % 4), 'none'] AS hinted, ({tokens('text')})[1:3] AS symptoms FROM b WHERE item_id % 2 = 1),
+ch0 AS (SELECT *, regexp_split_to_array(text, '[ \\n]') AS w FROM documents),
+ch AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, ['case', 'formula', 'herb', 'training', 'anamnesis'][CAST(doc_id % 5 AS INTEGER) + 1] AS type, concat_ws(' ', w[1], w[2]) AS title, text, CASE WHEN doc_id % 3 = 0 THEN 'high' WHEN doc_id % 7 = 0 THEN 'clinical_guideline_reference' END AS evidence_level,
+    CASE WHEN doc_id % 5 = 0 THEN 'case_' || doc_id % 40 END AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'disease_guidance' END AS content_type, CASE WHEN doc_id % 4 = 0 THEN 'penyakit_tropis' END AS condition_group, ['case_' || doc_id % 40] AS cases FROM ch0),
+th AS (SELECT *, {_hint_sql('title')} AS title_hint FROM ch),
+tk AS (SELECT id, unnest({tokens('text')}) AS token FROM ch), cnt AS (SELECT id, token, count(*) AS n FROM tk GROUP BY ALL), tops AS (SELECT id, max(n) AS top FROM cnt GROUP BY id),
+idfs AS (SELECT token, ln((1 + (SELECT count(*) FROM ch)) / (1 + count(*))) + 1 AS idf FROM cnt GROUP BY token),
+post AS MATERIALIZED (SELECT id, token, (0.5::DOUBLE + 0.5::DOUBLE * (n / top)) * idf AS w FROM cnt JOIN tops USING (id) JOIN idfs USING (token)), norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM post GROUP BY id),
+{_search_sql('sa', 'qs', 30)},
+found AS (SELECT query, case_id AS id, keluhan_ringan AS title, round(sa.score + CASE WHEN list_contains(hinted, case_id) THEN 0.8 ELSE 0 END + CASE WHEN contains(lower(qs.text), 'ringan') AND contains(keluhan_ringan, 'ringan') THEN 0.08 ELSE 0 END, 4) AS score, 'curated_case' AS evidence_level, matched_terms, rank AS ord
+    FROM sa JOIN (SELECT id, case_id FROM ch WHERE type = 'case' AND case_id IS NOT NULL) c USING (id) JOIN cs USING (case_id) JOIN qs USING (query) WHERE rank <= 20),
+named AS (SELECT query, unnest(hinted) AS id, unnest(range(len(hinted))) AS pos, text AS asked FROM qs),
+hinted AS (SELECT n.query, n.id, keluhan_ringan AS title, 0.85::DOUBLE AS score, 'curated_case_hint' AS evidence_level, array_to_string(list_sort(list_distinct(list_intersect({tokens('asked')}, {tokens('cs.text')}))), ' ') AS matched_terms, 1000 + pos AS ord FROM named n JOIN cs ON n.id = cs.case_id WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.query = n.query AND f.id = n.id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS rank FROM (SELECT * FROM found UNION ALL SELECT * FROM hinted) QUALIFY rank <= 3),
+best AS (SELECT query, id AS case_id FROM top WHERE rank = 1),
+qc AS (SELECT query, concat_ws(' ', qs.text, keluhan_ringan, ramuan, array_to_string(items, ' ')) AS text, case_id, symptoms, {_hint_sql('ramuan')} AS fh, list_transform(items, lambda s: {_hint_sql('s')}) AS ih FROM qs JOIN best USING (query) JOIN cs USING (case_id)),
+{_search_sql('sb', 'qc', 30)},
+cx AS (SELECT query, id, type, title, evidence_level, matched_terms, rank, CASE WHEN type = 'training' THEN 'training:' || title_hint ELSE id END AS dd, contains(fh, title_hint) OR contains(title_hint, fh) AS same,
+    len(list_filter(ih, lambda x: contains(title_hint, x))) > 0 AS part, list_contains(ih, title_hint) AS whole, len(list_intersect(string_split(matched_terms, ' '), symptoms)) > 0 AS sym, cases, case_id, score FROM (SELECT sb.query, sb.score, sb.rank, sb.matched_terms, th.* EXCLUDE (case_id, text) FROM sb JOIN th USING (id)) JOIN qc USING (query) WHERE type <> 'case'),
+cy AS (SELECT *, round(score + CASE WHEN type = 'formula' AND same THEN 0.9 ELSE 0 END + CASE WHEN whole THEN 0.5 ELSE 0 END + CASE WHEN part THEN 0.25 ELSE 0 END + CASE WHEN type = 'training' AND same THEN 0.45 ELSE 0 END + CASE WHEN type = 'anamnesis' AND list_contains(cases, case_id) THEN 0.55 ELSE 0 END
+    + CASE WHEN evidence_level IN ('high', 'medium') THEN 0.08 ELSE 0 END + CASE WHEN sym THEN 0.08 ELSE 0 END, 4) AS s FROM cx),
+context AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, rank, id) AS k FROM (SELECT * FROM cy QUALIFY row_number() OVER (PARTITION BY query, dd ORDER BY s DESC, rank) = 1) QUALIFY k <= 6),
+gx AS (SELECT sa.query, id, type, title, evidence_level, matched_terms, rank, CASE WHEN type = 'training' THEN 'training:' || title_hint ELSE id END AS dd, round(score + CASE WHEN type = 'training' AND evidence_level IN ('clinical_guideline_reference', 'medical_review_reference') THEN 0.15 ELSE 0 END + CASE WHEN type = 'anamnesis' AND condition_group = 'penyakit_tropis' THEN 0.12 ELSE 0 END
+    + CASE WHEN len(list_intersect(string_split(matched_terms, ' '), symptoms)) > 0 THEN 0.12 ELSE 0 END + CASE WHEN title_hint <> '' AND contains({_hint_sql('qs.text')}, title_hint) THEN 0.2 ELSE 0 END, 4) AS s FROM sa JOIN (SELECT * EXCLUDE (text) FROM th) t USING (id) JOIN qs ON sa.query = qs.query WHERE (type = 'training' AND content_type = 'disease_guidance') OR type = 'anamnesis'),
+guidance AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, rank, id) AS k FROM (SELECT * FROM gx QUALIFY row_number() OVER (PARTITION BY query, dd ORDER BY s DESC, rank) = 1) QUALIFY k <= 5)"""
+
+_ITEM = "query", "id", "type", "title", "score", "evidence_level", "matched_terms", "rank"
+
+
+def _bundle_index(spark, sf):
+    chunks, cases, queries = _bundle_tables(spark, sf)
+    return TfidfIndex(chunks), chunks, cases, queries
+
+
+@query(f"WITH {_BUNDLE} SELECT query, id, 'case' AS type, title, score, evidence_level, matched_terms, CAST(rank AS INTEGER) AS rank FROM top")
+def retrieve_cases(spark, sf):
+    """The best cases of each query, hinted ones appended."""
+    return bundle.retrieve_cases(*_bundle_index(spark, sf)).select(*_ITEM)
+
+
+@query(f"WITH {_BUNDLE} SELECT query, id, type, title, s AS score, evidence_level, matched_terms, CAST(k AS INTEGER) AS rank FROM context")
+def retrieve_context(spark, sf):
+    """Formulas, herbs, training and anamnesis chunks for each query and its best case."""
+    index, chunks, cases, queries = _bundle_index(spark, sf)
+    best = bundle.retrieve_cases(index, chunks, cases, queries).where("rank = 1").select("query", F.col("id").alias("case_id"))
+    return bundle.retrieve_context(index, chunks, cases, queries.join(best, "query")).select(*_ITEM)
+
+
+@query(f"WITH {_BUNDLE} SELECT query, id, type, title, s AS score, evidence_level, matched_terms, CAST(k AS INTEGER) AS rank FROM guidance")
+def retrieve_guidance(spark, sf):
+    """Disease guidance and anamnesis chunks of each query."""
+    index, chunks, _, queries = _bundle_index(spark, sf)
+    return bundle.retrieve_guidance(index, chunks, queries).select(*_ITEM)
+
+
+@query(f"""WITH {_BUNDLE}, u AS (SELECT query, id, 'case' AS type, title, score, evidence_level, matched_terms, rank AS ord FROM top WHERE rank <= 2 UNION ALL SELECT query, id, type, title, s, evidence_level, matched_terms, 100 + k FROM context UNION ALL SELECT query, id, type, title, s, evidence_level, matched_terms, 200 + k FROM guidance WHERE k <= 4),
+    v AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY score DESC, ord) = 1)
+    SELECT query, id, type, title, score, evidence_level, matched_terms, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS INTEGER) AS rank FROM v""")
+def retrieve_bundle(spark, sf):
+    """Cases, context and guidance of each query in one ranking."""
+    return bundle.retrieve_bundle(*_bundle_index(spark, sf))[0].select(*_ITEM)
