@@ -10,6 +10,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,7 +81,7 @@ class TfidfIndex:
         self.key, self.lexicon = key, lexicon
         self.counts = counts = stored(term_counts(docs, key, text, lexicon), "counts")
         n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-        self.idfs = document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("token", idf(F.col("df"), F.col("n_docs")).alias("idf"))
+        self.idfs = stored(document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("token", idf(F.col("df"), F.col("n_docs")).alias("idf")), "idfs")
         self.postings = counts.join(self.idfs, "token").select(key, "token", weight(F.col("n"), F.col("top"), F.col("idf")).alias("w"))
         self.norms = self.postings.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
@@ -114,29 +116,53 @@ def _place(term: str, dimension: int) -> tuple[int, float]:
     return int.from_bytes(d[:4], "little") % dimension, 1.0 if d[4] % 2 == 0 else -1.0
 
 
+class _Places(dict):
+    """Buckets and signed weights of terms, kept between calls up to half a million."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, term: str) -> tuple[int, float]:
+        if len(self) >= 500_000:
+            self.clear()
+        bucket, sign = _place(term, self.dimension)
+        self[term] = found = bucket, sign * (BIGRAM_WEIGHT if "__" in term else 1.0)
+        return found
+
+    def of(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self[t] for t in terms]
+        return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found])
+
+
+def embedded(tokens: pa.ListArray, places: _Places) -> np.ndarray:
+    """Unit vectors of the token lists of some rows; zeros where there are no terms. Every distinct token and pair is hashed once."""
+    n, d = len(tokens), places.dimension
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+    coded = tokens.flatten().dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(n), sizes)
+    bucket, weight_ = places.of(words)
+    out = np.bincount(row * d + bucket[codes], weight_[codes], n * d) if len(codes) else np.zeros(n * d)
+    beside = np.flatnonzero(row[1:] == row[:-1])
+    if len(beside):
+        pairs, at = np.unique(codes[beside] * len(words) + codes[beside + 1], return_inverse=True)
+        bucket, weight_ = places.of([f"{words[p // len(words)]}__{words[p % len(words)]}" for p in pairs.tolist()])
+        out = out + np.bincount(row[beside] * d + bucket[at], weight_[at], n * d)
+    out = out.reshape(n, d)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
+
+
 def hash_embedding(terms, dimension: int = DIMENSION) -> Column:
     """AGG5, UD2: a unit vector of signed counts of tokens and bigrams in hashed buckets; zeros if there are no terms."""
 
-    class Places(dict):
-        def __missing__(self, term: str) -> tuple[int, float]:
-            if len(self) >= 500_000:
-                self.clear()
-            bucket, sign = _place(term, dimension)
-            self[term] = found = bucket, sign * (BIGRAM_WEIGHT if "__" in term else 1.0)
-            return found
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Places()
+        places = _Places(dimension)
         for s in parts:
-            out = []
-            for tokens in s:
-                tokens = [] if tokens is None else list(tokens)
-                at = [known[t] for t in tokens + [f"{a}__{b}" for a, b in zip(tokens, tokens[1:])]]
-                v = np.bincount([a for a, _ in at], [w for _, w in at], dimension) if at else np.zeros(dimension)
-                norm = np.sqrt((v * v).sum())
-                out.append(v / norm if norm else v)
-            yield pd.Series(out)
+            lists = pa.array([None if t is None else list(t) for t in s], pa.list_(pa.string()))
+            yield pd.Series(list(np.concatenate([embedded(lists.slice(i, 1000), places) for i in range(0, len(lists), 1000)])) if len(s) else [], dtype=object)
 
     return embed(terms)
 
@@ -155,13 +181,6 @@ def cosine(a, b) -> Column:
 MAX_QUERY_NUMBERS = 8_000_000
 
 
-def _usable(vector: str) -> Column:
-    """A vector of finite numbers that are not all zero."""
-    v = F.col(vector)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
-
-
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """TOP2: (query, key, score, rank) by exact cosine, clamped to 0 and 1, rounded; zero scores stay.
 
@@ -171,20 +190,25 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
     rows. Queries come in blocks of a checked size; where there are more than one, each block's hits are stored
     before the next is read.
     """
+    source = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
+    return _topk(source, lambda: _matrices, queries.where("query is not null").select(F.col("query").cast("long").alias("query"), vector), k, key)
+
+
+def _topk(source: DataFrame, reader, queries: DataFrame, k: int, key: str) -> DataFrame:
+    """vector_topk for a source (key, what `reader()` turns into vectors)."""
     schema = "query long, key long, score double"
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
-    source = vectors.where(_usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
 
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
     out = []
-    for block in _query_blocks(queries.where(_usable(vector) & F.col("query").isNotNull()).select(F.col("query").cast("long").alias("query"), vector)):
+    for block in _query_blocks(queries):
         if out:
             out[-1] = stored(out[-1], "hits")
-        out.append(ranked(source.mapInPandas(_scorer(block, k, key, vector), schema)))
+        out.append(ranked(source.mapInArrow(_scorer(block, k, reader), schema)))
     if not out:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+        return source.sparkSession.createDataFrame([], schema + ", rank int")
     return reduce(DataFrame.unionByName, out)
 
 
@@ -202,6 +226,8 @@ def _query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np
         return units
 
     for name, v in queries.toLocalIterator():
+        if not v or None in v or not np.isfinite(v).all() or not any(v):
+            continue
         if numbers + len(v) > MAX_QUERY_NUMBERS and block:
             yield made()
             block, numbers = {}, 0
@@ -213,38 +239,71 @@ def _query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np
         yield made()
 
 
-def _scorer(block: dict[int, tuple[np.ndarray, np.ndarray]], k: int, key: str, vector: str):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            for n, rows in pdf.groupby(pdf[vector].map(len)):
-                if n not in block:
-                    continue
-                names, q = block[n]
-                x = np.array(rows[vector].tolist(), np.float64)
-                x /= np.abs(x).max(1, keepdims=True)
-                s = np.round(np.clip(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 0, 1), 4)
-                keys = rows[key].to_numpy()
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-                part = pd.DataFrame({"query": np.repeat(names, order.shape[1]), "key": keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-                held = part if held is None else pd.concat([held, part])
-                held = held.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query").head(k)
-        if held is not None:
-            yield held
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and vectors of the usable rows of a batch (key, vector), by length."""
+    column = batch.column(1)
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    keys = batch.column(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+    start = np.cumsum(size) - size
+    for n in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == n)
+        x = flat[start[at][:, None] + np.arange(n)]
+        good = np.isfinite(x).all(1) & x.any(1)
+        yield keys[at[good]], x[good]
+
+
+def _scorer(block: dict[int, tuple[np.ndarray, np.ndarray]], k: int, reader):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = reader()
+        query, key, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                for keys, x in read(batch.slice(at, 2000)):
+                    if x.shape[1] not in block or not len(x):
+                        continue
+                    names, q = block[x.shape[1]]
+                    x = x / np.abs(x).max(1, keepdims=True)
+                    s = np.round(np.clip(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 0, 1), 4)
+                    order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
+                    query = np.r_[query, np.repeat(names, order.shape[1])]
+                    key, best = np.r_[key, keys[order].ravel()], np.r_[best, np.take_along_axis(s, order, 1).ravel()]
+                    by = np.lexsort((key, -best, query))  # the best k of each query so far
+                    query, key, best = query[by], key[by], best[by]
+                    first = np.searchsorted(query, query)
+                    kept = np.arange(len(query)) - first < k
+                    query, key, best = query[kept], key[kept], best[kept]
+        yield pa.record_batch([pa.array(query), pa.array(key), pa.array(best)], names=["query", "key", "score"])
 
     return score
 
 
 class HashEmbeddingIndex:
-    """UD1: cosine over hashed embeddings."""
+    """UD1: cosine over hashed embeddings; a search embeds and scores the documents in one pass, so no vector leaves its task."""
 
     def __init__(self, docs: DataFrame, key: str = "id", text: str = "text", lexicon: Lexicon = DEFAULT, dimension: int = DIMENSION):
         self.key, self.lexicon, self.dimension = key, lexicon, dimension
-        self.vectors = docs.select(key, hash_embedding(tokenize(text, lexicon), dimension).alias("embedding"))
+        self.tokens = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), tokenize(text, lexicon).alias("tokens"))
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.tokens.select(self.key, hash_embedding("tokens", self.dimension).alias("embedding"))
 
     def search(self, queries: DataFrame, k: int = 10, query: str = "query", text: str = "text") -> DataFrame:
-        q = queries.select(F.col(query).alias("query"), hash_embedding(tokenize(text, self.lexicon), self.dimension).alias("embedding"))
-        return vector_topk(self.vectors, q, k, self.key).withColumnRenamed("key", self.key)
+        q = queries.where(F.col(query).isNotNull()).select(F.col(query).cast("long").alias("query"), hash_embedding(tokenize(text, self.lexicon), self.dimension).alias("embedding"))
+        dimension = self.dimension
+
+        def reader():
+            places = _Places(dimension)
+
+            def read(batch):
+                x = embedded(batch.column(1), places)
+                good = x.any(1)
+                yield batch.column(0).to_numpy(zero_copy_only=False)[good], x[good]
+
+            return read
+
+        return _topk(self.tokens, reader, q, k, self.key).withColumnRenamed("key", self.key)
 
 
 @dataclass(frozen=True)
