@@ -306,6 +306,12 @@ def template(pattern: str, **columns) -> Column:
     return F.concat(*out)
 
 
+def blocks(texts: dict[str, str], wanted: dict[str, Column], **columns) -> Column:
+    """The templates of a dictionary with empty lines between them, but those that aren't wanted."""
+    parts = [F.when(F.coalesce(wanted[k], F.lit(False)), template(t, **columns)) if k in wanted else template(t, **columns) for k, t in texts.items()]
+    return F.array_join(F.array_compact(F.array(*parts)), "\n\n")
+
+
 def bullet_list(items) -> Column:
     return F.array_join(F.transform(_c(items), lambda x: F.concat(F.lit("- "), x)), "\n")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import wording
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.signals import duplicate_question, low_quality_question, needs_immediate_safety, repetitive_question
-from ..functions.text import any_phrase, bullet_list, normalize, null_if_blank, preparation_steps, template
+from ..functions.text import any_phrase, blocks, bullet_list, normalize, null_if_blank, preparation_steps, template
 
 
 def _c(x) -> Column:
@@ -107,12 +107,6 @@ def _numbered(items) -> Column:
     return F.array_join(F.transform(_c(items), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
 
 
-def _blocks(texts: dict[str, str], wanted: dict[str, Column], **columns) -> Column:
-    """The templates of a dictionary with empty lines between them, but those that aren't wanted."""
-    parts = [F.when(F.coalesce(wanted[k], F.lit(False)), template(t, **columns)) if k in wanted else template(t, **columns) for k, t in texts.items()]
-    return F.array_join(F.array_compact(F.array(*parts)), "\n\n")
-
-
 def context_sources(contexts, most: int = 5) -> Column:
     """The first contexts (type, title, score, evidence_level) as a list."""
     def line(x) -> Column:
@@ -200,7 +194,7 @@ def assessed_reply(a, r, contexts, summary) -> Column:
     a, r = _c(a), _c(r)
     suspected = F.coalesce(_listed(a["suspected_conditions"], 3), F.lit(wording.ASSESSED_SUSPECTED))
     card = F.when(r.isNull(), wording.ASSESSED_NO_RECOMMENDATION).otherwise(template(wording.ASSESSED["recommendation"], **_card(r)))
-    return _blocks(
+    return blocks(
         wording.ASSESSED | {"recommendation": "{card}"},
         {},
         summary=summary_text(summary),
@@ -254,7 +248,7 @@ def guidance_reply(disease, anamnesis, summary) -> Column:
     questions = F.when(F.size(d["screening_questions"]) > 0, F.slice(d["screening_questions"], 1, 4)).otherwise(F.slice(n["required_questions"], 1, 4))
     warnings = F.when(F.size(d["warning_signs"]) > 0, F.slice(d["warning_signs"], 1, 4)).otherwise(F.slice(n["red_flag_questions"], 1, 3))
     prevention = F.slice(d["prevention_steps"], 1, 4)
-    return _blocks(
+    return blocks(
         wording.GUIDANCE,
         {"symptoms": F.size(d["symptoms"]) > 0, "overview": _filled(d["overview"]).isNotNull(), "questions": F.size(questions) > 0, "warnings": F.size(warnings) > 0, "diagnosis": _filled(d["diagnosis_summary"]).isNotNull(), "prevention": F.size(prevention) > 0},
         summary=summary_text(summary),

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import dataset_wording as generated
 from ..functions import parsing, scoring, signals, text, wording
 from ..functions.lexicon import DEFAULT
-from ..operators import bundle, catalogs, curate, dialogue, replies, split
+from ..operators import bundle, catalogs, curate, datasets, dialogue, replies, split
 from ..operators.retrieval import TfidfIndex
 from ..sources import knowledge, sinks
 from .catalog import seeded, table
@@ -649,3 +650,96 @@ def retrieve_guidance(spark, sf):
 def retrieve_bundle(spark, sf):
     """Cases, context and guidance of each query in one ranking."""
     return bundle.retrieve_bundle(*_bundle_index(spark, sf))[0].select(*_ITEM)
+
+
+# Generated training data
+
+_TASKS = {"cegah": ("prevention", "Cara mencegah {name} untuk {audience}?"), "tanda": ("red_flag", "Apa tanda bahaya {name}?"), "lain": ("other", "Apa itu {name}?")}
+_PEOPLE = {"umum": "pengguna umum", "ortu": "orang tua"}
+_SYSTEM = {"prevention": "Anda membantu pencegahan.", "": "Anda membantu triase."}
+
+
+def _records(spark, sf) -> DataFrame:
+    """Records made of suppliers, with lists of different lengths."""
+    n = F.col("s_suppkey")
+    items = lambda name, k: F.slice(F.array(*[F.concat(F.lit(f"{name}{i} "), F.col("s_name")) for i in range(7)]), F.lit(1), (n % k).cast("int"))
+    return table(spark, sf, "supplier").select(F.concat(F.lit("s"), n.cast("string")).alias("id"), F.when(n % 4 > 0, F.col("s_name")).otherwise("").alias("formula_name"), F.concat(F.lit("Topic "), n.cast("string")).alias("topic"), items("g", 7).alias("symptoms"), items("w", 6).alias("warning_signs"), items("p", 3).alias("prevention_steps"), items("q", 5).alias("screening_questions"), F.when(n % 2 == 0, "Periksa.").otherwise("").alias("care_recommendation"), F.lit("Aman.").alias("safety_notes"), F.when(n % 3 == 0, "Isi.").otherwise("").alias("overview"), F.when(n % 5 == 0, "Lab.").alias("diagnosis_summary"))
+
+
+def _list_sql(name: str, k: int) -> str:
+    return "[" + ", ".join(f"'{name}{i} ' || s_name" for i in range(7)) + f"][1:CAST(s_suppkey % {k} AS INTEGER)]"
+
+
+_RECORDS = f"""rs AS (SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 4 > 0 THEN s_name ELSE 'Topic ' || s_suppkey END AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Periksa.' ELSE 'Aman.' END AS care, CASE WHEN s_suppkey % 2 = 0 THEN 'Periksa.' ELSE '' END AS own_care, CASE WHEN s_suppkey % 3 = 0 THEN 'Isi.' ELSE '' END AS overview, CASE WHEN s_suppkey % 5 = 0 THEN 'Lab.' END AS diagnosis,
+    {_list_sql('g', 7)} AS symptoms, {_list_sql('w', 6)} AS warnings, {_list_sql('p', 3)} AS prevention, {_list_sql('q', 5)} AS questions, s_suppkey AS n, s_name FROM supplier)"""
+
+
+def _bullets_sql(items: str) -> str:
+    return f"array_to_string(list_transform({items}, lambda x: '- ' || x), chr(10))"
+
+
+def _numbers_sql(items: str) -> str:
+    return f"array_to_string(list_transform({items}, lambda x, i: i || '. ' || x), chr(10))"
+
+
+def _blocks_sql(texts: dict[str, str], wanted: dict[str, str], **parts: str) -> str:
+    return f"concat_ws({q(chr(10) * 2)}, " + ", ".join(f"CASE WHEN {wanted[k]} THEN {_sql_template(t, **parts)} END" if k in wanted else _sql_template(t, **parts) for k, t in texts.items()) + ")"
+
+
+def _by_kind_sql(kind: str, texts: dict[str, str], **parts: str) -> str:
+    return f"CASE {kind} " + " ".join(f"WHEN {q(k)} THEN {_sql_template(t, **parts)}" for k, t in texts.items() if k) + f" ELSE {_sql_template(texts.get('', ''), **parts) or 'NULL'} END"
+
+
+_TRIAGE = _blocks_sql(generated.TRIAGE_ANSWER, {"overview": "overview <> ''", "symptoms": "len(symptoms) > 0", "questions": "len(questions) > 0", "warnings": "len(warnings) > 0", "diagnosis": "diagnosis IS NOT NULL"}, focus=_by_kind_sql("focus", generated.FOCUS), audience="audience", disease="lower(name)", overview="overview", symptoms="array_to_string(symptoms[1:5], ', ')", questions=_bullets_sql("questions[1:4]"), warnings=_bullets_sql("warnings[1:4]"), diagnosis="diagnosis", care="care")
+_PREVENT = _blocks_sql(generated.PREVENTION_ANSWER, {"warnings": "len(warnings) > 0"}, audience="audience", disease="name", steps=f"CASE WHEN len(prevention) > 0 THEN {_bullets_sql('prevention[1:5]')} ELSE {q(generated.NO_PREVENTION)} END", warnings=_bullets_sql("warnings[1:3]"), care="care")
+
+
+@query(f"""WITH {_RECORDS}, p(audience_id, audience) AS (VALUES {', '.join(f'({q(k)}, {q(v)})' for k, v in _PEOPLE.items())}), t(task_id, focus) AS (VALUES {', '.join(f'({q(k)}, {q(f)})' for k, (f, _) in _TASKS.items())})
+    SELECT concat_ws('_', 'sft', id, audience_id, task_id) AS id, id AS source_record_id, audience_id || '_' || task_id AS variant, focus, {_by_kind_sql('focus', _SYSTEM)} AS system, {_by_kind_sql('task_id', {k: x for k, (_, x) in _TASKS.items()}, name="CASE WHEN n % 4 > 0 THEN s_name ELSE '' END", audience='audience')} AS asked, CASE WHEN focus = 'prevention' THEN {_PREVENT} ELSE {_TRIAGE} END AS answer FROM rs, p, t""")
+def disease_dataset(spark, sf):
+    """Chat rows of each record, audience and task, answered by focus."""
+    rows = datasets.variant_chats(_records(spark, sf), _PEOPLE, _TASKS, _SYSTEM, datasets.disease_answer)
+    return rows.select("id", "source_record_id", "variant", "focus", *[F.get("messages", i)["content"].alias(c) for i, c in enumerate(("system", "asked", "answer"))])
+
+
+_VARIANT_NAMES = ", ".join(f"({q(v)})" for v in generated.VARIANTS)
+_KIND = "string_split(v, '_')[-1]"
+
+
+@query(f"""WITH {_RECORDS}, vs(v) AS (VALUES {_VARIANT_NAMES}), t0 AS (SELECT *, 'The ' || s_name AS title, trim(replace(' ' || lower('The ' || s_name) || ' ', ' the ', ' si ')) AS translated FROM rs, vs),
+    t AS (SELECT *, translated || ' / ' || title AS shown, 'satu, b' AS grp, coalesce(nullif(array_to_string(warnings[1:3], ', '), ''), {q(generated.NO_WARNINGS)}) AS wp FROM t0),
+    r AS (SELECT *, 'medlineplus_' || id || '_' || v AS rid, {_by_kind_sql('v', generated.OVERVIEW, title='shown', group='grp', excerpt="'Ringkas ' || s_name", related="'x, y'")} AS ov, {_by_kind_sql('v', generated.CARE, title='shown', warnings='wp')} AS cr FROM t)
+    SELECT rid AS id, translated || ' - ' || {_by_kind_sql('v', generated.TOPIC_LABEL)} AS topic, shown AS formula_name, {_sql_template(generated.TOPIC_DIAGNOSIS, group='grp', institute=q(generated.INSTITUTE))} AS diagnosis_summary, {_by_kind_sql(_KIND, generated.SYSTEM)} AS system, {_by_kind_sql(_KIND, generated.QUESTION, title='shown')} AS asked,
+        {_blocks_sql(generated.TOPIC_ANSWER, {'questions': 'len(questions) > 0', 'warnings': 'len(warnings) > 0', 'prevention': 'len(prevention) > 0'}, overview='ov', care='cr', questions=_numbers_sql('questions[1:5]'), warnings=_bullets_sql('warnings[1:5]'), prevention=_bullets_sql('prevention[1:5]'))} AS answer FROM r""")
+def topic_dataset(spark, sf):
+    """Five records of each topic and their chat rows."""
+    r = _records(spark, sf)
+    name = F.element_at(F.split("id", "s"), -1)
+    t = r.join(table(spark, sf, "supplier").select("s_suppkey", "s_name"), name == F.col("s_suppkey").cast("string"))
+    t = t.select("id", F.concat(F.lit("The "), "s_name").alias("title"), F.lit("u").alias("url"), F.array(F.lit("A"), F.lit("B")).alias("groups"), F.array(F.lit("X"), F.lit("y")).alias("related"), F.lit("").alias("institute"), F.concat(F.lit("Ringkas  "), "s_name").alias("summary"), "symptoms", "warning_signs", "prevention_steps", "screening_questions")
+    records = datasets.topic_records(t, {"A": "satu"}, {"the": "si"}, {})
+    chats = datasets.topic_chats(records).select(F.col("id").alias("cid"), *[F.get("messages", i)["content"].alias(c) for i, c in enumerate(("system", "asked", "answer"))])
+    return records.join(chats, F.col("id") == F.col("cid")).select("id", "topic", "formula_name", "diagnosis_summary", "system", "asked", "answer")
+
+
+_OPEN, _CLOSE = ["Baik.", "Tentu.", "Oke."], ["Salam.", "Terima kasih."]
+
+
+@query(f"""WITH {_RECORDS}, a AS (SELECT *, CAST(n % 7 AS INTEGER) AS k FROM rs), b AS (SELECT *, CASE WHEN len(symptoms) > 0 THEN symptoms[k % len(symptoms) + 1] ELSE name END AS one, CASE WHEN len(symptoms) > 1 THEN symptoms[(k + 1) % len(symptoms) + 1] END AS two,
+        CASE WHEN len(questions) > 0 THEN list_concat(questions[k % len(questions) + 1:], questions[1:k % len(questions)]) ELSE [] END AS rq, CASE WHEN len(warnings) > 0 THEN list_concat(warnings[k % len(warnings) + 1:], warnings[1:k % len(warnings)]) ELSE [] END AS rw FROM a)
+    SELECT id, {_sql_template(generated.COMPLAINT, profile="'Saya'", symptoms="CASE WHEN two IS NOT NULL AND two <> one THEN one || ' dan ' || two ELSE one END", duration="'dua hari'", severity="'ringan'", intent="'khawatir'")} AS asked,
+        {_sql_template(generated.ANAMNESIS, opening=f"({_array(_OPEN)})[k % 3 + 1]", condition='name', questions=_bullets_sql('rq[1:6]'), flags=_bullets_sql('rw[1:3]'), action='own_care', closing=f"({_array(_CLOSE)})[k % 2 + 1]", sources="array_to_string(prevention[1:3], '; ')")} AS answer FROM b""")
+def anamnesis_dataset(spark, sf):
+    """Complaints with two symptoms by number, and answers with rotated questions."""
+    r = _records(spark, sf).withColumns({"primary_symptoms": F.col("symptoms"), "suspected_condition": F.coalesce(F.nullif("formula_name", F.lit("")), F.col("topic")), "required_questions": F.col("screening_questions"), "red_flag_questions": F.col("warning_signs"), "triage_action": F.col("care_recommendation"), "source_titles": F.col("prevention_steps")})
+    k = (F.element_at(F.split("id", "s"), -1).cast("bigint") % 7).cast("int")
+    return r.select("id", datasets.complaint(F.lit("Saya"), F.lit("dua hari"), F.lit("ringan"), F.lit("khawatir"), k).alias("asked"), datasets.anamnesis_answer(k, _OPEN, _CLOSE).alias("answer"))
+
+
+@query(f"""WITH {_RECORDS}, f(focus, prefix) AS (VALUES ('', 'sft'), ('dosis', 'sft_dosis'))
+    SELECT prefix || '_' || id AS id, {_by_kind_sql('focus', generated.CATALOG, symptoms="coalesce(nullif(array_to_string(symptoms, ', '), ''), 'Topic ' || n)", formula=f"CASE WHEN n % 4 > 0 THEN s_name ELSE {q(generated.CATALOG_FORMULA)} END")} AS asked, CASE focus WHEN 'dosis' THEN 'Dosis.' ELSE care END AS answer FROM rs, f""")
+def catalog_dataset(spark, sf):
+    """Two chat rows of each catalogue record."""
+    answer = lambda focus: F.when(F.col(focus) == "dosis", "Dosis.").otherwise(F.coalesce(F.nullif("care_recommendation", F.lit("")), F.col("safety_notes")))
+    rows = datasets.catalog_chats(_records(spark, sf), "system", answer)
+    return rows.select("id", F.get("messages", 1)["content"].alias("asked"), F.get("messages", 2)["content"].alias("answer"))
