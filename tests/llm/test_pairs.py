@@ -312,6 +312,25 @@ def test_paragraph_recall_is_asserted(frame, rng):
     assert met >= 0.98 * n
 
 
+def test_paragraphs_long_texts_ties_and_repeated_rows(frame, rng):
+    """A very long text, lines that repeat inside one text, and rows that occur twice."""
+    line, long = prose(rng, 30), "\n".join(prose(rng, 40) for _ in range(6000))
+    rows = [(1, f"{line}\n{prose(rng, 30)}\n{line}"), (2, long), (2, long), (3, prose(rng, 25) + "\n" + long.split("\n")[3000]), (4, line)]
+    got = {}
+    for r in paragraph_dedup.remove_repeats(frame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert len(got[2]) == 2 and got[2][0] == got[2][1] and got[2][0].text == long and got[2][0].n_lines == 6000
+    assert got[1][0].text == rows[0][1].rsplit("\n", 1)[0] and got[4][0].text == "" and got[4][0].source_docs == [1]
+    assert got[3][0].text == rows[3][1].split("\n")[0] and got[3][0].source_docs == [2]
+
+
+def test_embeddings_repeated_rows_and_extra_columns(frame):
+    v = [[1.0, 0.0, 0.5], [1.0, 0.01, 0.5], [0.0, 1.0, 0.0]]
+    rows = [(1, v[0], 1), (1, v[0], 1), (2, v[1], 1), (3, v[2], 1), (4, v[0], 2)]
+    got = embedding_neardup.near_duplicates(frame([(*r, "x", 9) for r in rows], "vec_id long, embedding array<double>, label int, keys string, same int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_word_hashes_do_not_depend_on_place_or_blocks(rng):
     text = "  " + prose(rng, 3000).replace(" a", "\n\ta") + "é\x1fz  "
     raw = text.encode()

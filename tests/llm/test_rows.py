@@ -191,6 +191,64 @@ def test_chain_marginals_match_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, want_pairs) and z == pytest.approx(want_z)
 
 
+def brute_score(field, text):
+    """A document's score by sums over all label sequences of its lines."""
+    import itertools
+    import math
+
+    x, length = quality.text_features(text)
+    rows = [list(x[i]) + (list(x[i - 1]) if i else [0.0] * len(x[0])) + (list(x[i + 1]) if i + 1 < len(x) else [0.0] * len(x[0])) for i in range(len(x))]
+    unary = [sum(a * b for a, b in zip(r, field.w)) for r in rows]
+    total, good = 0.0, [0.0] * len(x)
+    for y in itertools.product((0, 1), repeat=len(x)):
+        w = math.exp(sum(u for u, k in zip(unary, y) if k) + sum(field.trans[a][b] for a, b in zip(y, y[1:])))
+        total += w
+        good = [g + w * k for g, k in zip(good, y)]
+    q = sum(g / total * n for g, n in zip(good, length)) / sum(length)
+    q = min(max(q, 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-(field.a * math.log(q / (1 - q)) + field.b)))
+
+
+def test_quality_query_matches_brute_force(frame, rng):
+    """Scores of the whole table are those of plain sums, also with ties, repeated rows and rows without text."""
+    docs = [(i, "\n".join((prose(rng, 9) + ".") if rng.random() < (0.8 if i % 3 else 0.2) else junk(rng, 9) for _ in range(rng.randrange(1, 8)))) for i in range(150)]
+    field = quality.train(frame(docs, "doc_id long, text string"), frame([(i, int(bool(i % 3))) for i in range(150)], "doc_id long, quality int"))
+    rows = docs + docs[:7] + [(500, None), (501, ""), (502, docs[0][1]), (503, "\n\n")]
+    got = quality.score(frame(rows, "doc_id long, text string"), field).collect()
+    assert len(got) == len(rows)
+    want = {d: brute_score(field, t) for d, t in rows}
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-5) for r in got)
+
+
+def test_language_query_matches_brute_force(frame, rng):
+    """Predictions of the whole table are those of the kernel expansion over plain sets, also for repeated rows."""
+    rows = [(i, " ".join(rng.choice(LANGS[x]) + rng.choice("xyz") for _ in range(12)), x) for i in range(90) for x in [("aa", "bb", "cc")[i % 3]]]
+    df = frame(rows + rows[:9], "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    s = language_id.Spectrum()
+    marks = [{int(g) for g in model.presence[:, j].nonzero()[0]} for j in range(model.presence.shape[1])]
+    sizes = [1 / float(model.presence[:, j].max()) ** 2 for j in range(len(marks))]
+    want = {}
+    for d, t, _ in rows:
+        mine = s.of(t)
+        places = {int(p) for p in model.place[mine] if p >= 0}
+        kernel = [len(places & m) / (len(mine) * n) ** 0.5 for m, n in zip(marks, sizes)]
+        f = [sum(k * w for k, w in zip(kernel, model.weights[:, c])) for c in range(len(model.labels))]
+        want[d] = (model.labels[max(range(len(f)), key=lambda c: f[c])], min(1.0, max(0.0, max(f))))
+    got = language_id.identify(df, model).collect()
+    assert len(got) == 99
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-5)
+
+
+def test_mixing_long_texts_ties_and_repeated_rows(frame, rng):
+    long = "word | " * 200_000
+    rows = [(1, "a", "en", long), (1, "a", "en", long), (2, "a", "en", "x " * 799), (3, "b", "en", "x " * 800), (4, "b", None, "x " * 149), (5, None, "en", "x " * 150)]
+    got = mixing.mix(frame(rows, "doc_id long, source string, lang string, text string"), keep=0.5).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.topic) for r in got) == [(1, 400_000, "table"), (1, 400_000, "table"), (2, 799, "medium"), (3, 800, "long"), (4, 149, "short"), (5, 150, "medium")]
+    assert len({(r.probability, r.sampled) for r in got if r.doc_id == 1}) == 1
+
+
 def page(title, body, n):
     return f'<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul>' + "".join(f"<li><a href='/{i}'>menu{i}</a></li>" for i in range(n)) + f'</ul></nav><!-- x --><div class="ad">buy</div>{body}<aside>more</aside><div class="comments"><p>first!</p></div><footer>&copy; host</footer></body></html>'
 
