@@ -15,8 +15,9 @@ from ..functions.lexicon import DEFAULT
 from ..operators import bundle, catalogs, curate, datasets, dialogue, replies, split
 from ..operators.retrieval import TfidfIndex
 from ..sources import knowledge, sinks
+from ..streaming import chat
 from .catalog import seeded, table
-from .oracle import _MARKS, _RUNNING, _SEEDED, _duration, _marked, any_of, norm, q, squeeze, stable_hash, tokens
+from .oracle import _MARKS, _RUNNING, _SEEDED, _TEMPERATURE, _duration, _marked, any_of, norm, q, squeeze, stable_hash, tokens
 from .session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -743,3 +744,205 @@ def catalog_dataset(spark, sf):
     answer = lambda focus: F.when(F.col(focus) == "dosis", "Dosis.").otherwise(F.coalesce(F.nullif("care_recommendation", F.lit("")), F.col("safety_notes")))
     rows = datasets.catalog_chats(_records(spark, sf), "system", answer)
     return rows.select("id", F.get("messages", 1)["content"].alias("asked"), F.get("messages", 2)["content"].alias("answer"))
+
+
+# Pages, documents and long texts
+
+#: Character references of the test pages; the ampersand comes last.
+_REFERENCES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&#x27;": "'", "&#39;": "'", "&amp;": "&"}
+
+
+def _decode_sql(x: str) -> str:
+    for a, b in _REFERENCES.items():
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x
+
+
+SQL["page_node_text"] = f"""WITH p AS (SELECT page_id, {squeeze(_decode_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))} AS title,
+    list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg|title)[^>]*>.*?</(script|style|noscript|svg|title)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '(?s)<[^>]*>'), lambda t: {squeeze(_decode_sql('t'))}), lambda t: length(t) > 24) AS t FROM pages)
+    SELECT page_id, title, array_to_string(t, ' ') AS text FROM p"""
+
+
+@query(r"""SELECT doc_id, 'A & ' || lang AS paragraphs, 'x ' || source || '|y' AS items, 'A & ' || lang || ' x ' || source || ' ; y;' AS flat FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def summary_fragments(spark, sf):
+    """Paragraphs, list items and plain text of HTML fragments."""
+    d = table(spark, sf, "documents").where("lang is not null and source is not null")
+    html = F.concat(F.lit("<p>A &amp; "), "lang", F.lit("</p><ul><li> x  "), "source", F.lit(" </li><li>y</li></ul>"))
+    r = d.select("doc_id", parsing.summary_parts(html).alias("s"), parsing.html_to_text(html).alias("flat"))
+    return r.select("doc_id", _joined("s.paragraphs").alias("paragraphs"), _joined("s.list_items").alias("items"), "flat")
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, 'Aloe|Basil' AS titles, 'Aloe' || chr(10) || chr(10) || 'Definition' || chr(10) || trim(t || 'x') || '|Basil' || chr(10) || chr(10) || 'Definition of ' || doc_id AS bodies FROM d""")
+def monograph_split(spark, sf):
+    """Monographs inside whole texts."""
+    d = table(spark, sf, "documents").withColumn("t", F.trim(F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), F.lit("x"))))
+    long = F.concat(F.lit("Preface\n  Aloe  \n\nDefinition\n"), "t", F.lit("\nBasil\n\nDefinition of "), F.col("doc_id").cast("string"))
+    m = d.select("doc_id", parsing.monographs(long).alias("m"))
+    bodies = F.transform("m", lambda x: F.regexp_replace(x["body"], r"^\s*(\S+)[ \t]*\n", "$1\n"))
+    return m.select("doc_id", _joined(F.transform("m", lambda x: x["title"])).alias("titles"), _joined(bodies).alias("bodies"))
+
+
+@query("SELECT doc_id, 'Herb ' || lang AS name, text AS uses, NULL::VARCHAR AS dose FROM documents WHERE lang IS NOT NULL")
+def page_fields(spark, sf):
+    """Descriptions by heading of a JSON page, with whole texts."""
+    d = table(spark, sf, "documents").where("lang is not null")
+    blocks = F.array(F.struct(F.lit("Other").alias("heading"), F.lit("no").alias("description")), F.struct(F.lit("Common Uses").alias("heading"), F.col("text").alias("description")))
+    payload = F.to_json(F.struct(F.concat(F.lit("Herb "), "lang").alias("name"), blocks.alias("blocks")))
+    r = d.select("doc_id", parsing.field_blocks(payload, {"uses": "uses", "dose": "dose"}).alias("r"))
+    return r.select("doc_id", "r.name", "r.uses", "r.dose")
+
+
+@F.pandas_udf("binary")
+def _docx(texts):
+    """Word-processor files with a paragraph for each line of a text."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def one(t):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">' + "".join(f"<w:p><w:t>{escape(x)}</w:t></w:p>" for x in t.split("\n")) + "</w:document>")
+        return out.getvalue()
+
+    return texts.map(one)
+
+
+@query("""WITH d AS (SELECT doc_id AS path, regexp_replace(coalesce(source, 'none'), '\\s+', ' ', 'g') AS s FROM documents)
+    SELECT path, 'intro' AS heading, 'Start ' || s AS body FROM d UNION ALL SELECT path, 'gejala', 'demam ' || s || '|batuk' FROM d UNION ALL SELECT path, 'pencegahan', 'cuci' FROM d""")
+def document_sections(spark, sf):
+    """Sections of word-processor files below their headings."""
+    s = F.regexp_replace(F.coalesce("source", F.lit("none")), r"\s+", " ")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.concat(F.lit("Start "), s, F.lit("\n\nGejala:\n demam "), s, F.lit("\nbatuk\nPencegahan umum\ncuci")).alias("t"))
+    paragraphs = d.select("path", parsing.docx_paragraphs(_docx("t")).alias("paragraphs"))
+    return knowledge.doc_sections(paragraphs, ["gejala", "pencegahan"]).select("path", "heading", _joined("body").alias("body"))
+
+
+_SENTENCES = lambda x: rf"string_split(regexp_replace({squeeze(x)}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT *, list_filter(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^\s*(?:[-*•·]|[0-9]+[.)])\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(sumber|penulis|editor|tanggal)\b')) AS c FROM d),
+    u AS (SELECT *, list_filter(c, lambda x, i: list_position(c, x) = i)[1:5] AS pts FROM p)
+    SELECT doc_id, rtrim(substr(array_to_string(({_SENTENCES('text')})[1:2], ' '), 1, 360)) AS summary, array_to_string(CASE WHEN len(pts) > 0 THEN pts ELSE ({_SENTENCES("array_to_string(l, ' ')")})[1:5] END, '|') AS points FROM u""")
+def sentence_texts(spark, sf):
+    """Summaries and points of whole texts."""
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", text.summarize("text").alias("summary"), _joined(text.to_points(F.split("text", "\n"), 5)).alias("points"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[0-9?]', '', 'g') AS t FROM conversations), s AS (SELECT conv_id, turn, 'Apa ' || trim(regexp_replace(t, '\s+', ' ', 'g')) AS a FROM c)
+    SELECT conv_id, turn, CASE WHEN length(a) + 1 > 6 THEN a || '?|Sejak kapan?' ELSE 'Sejak kapan?' END AS questions FROM s""")
+def question_lists(spark, sf):
+    """Questions of a reply, without numbers."""
+    c = table(spark, sf, "conversations")
+    t = F.trim(F.regexp_replace(F.regexp_replace("text", "[0-9?]", ""), r"\s+", " "))
+    return c.select("conv_id", "turn", _joined(text.split_questions(F.concat(F.lit("1. Apa "), t, F.lit("? 2) Sejak kapan? ya")), 2)).alias("questions"))
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || substr(sha256('42:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.08::DOUBLE THEN 'valid' WHEN ('0x' || substr(sha256('42:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.16::DOUBLE THEN 'test' ELSE 'train' END AS split FROM documents")
+def random_split_rows(spark, sf):
+    return split.random_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 40")
+def newest_events(spark, sf):
+    return catalogs.newest(table(spark, sf, "events").select("event_id", "event_type"), "event_id")
+
+
+@query("SELECT doc_id, text FROM documents")
+def combined_files(spark, sf):
+    """All rows of several files."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    paths = [work_folder(spark, "part") for _ in range(2)]
+    for i, p in enumerate(paths):
+        sinks.write_jsonl(d.where(F.col("doc_id") % 2 == i), p)
+    return catalogs.combined(spark, paths, "doc_id bigint, text string")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(ceil(value)) AS DOUBLE) AS total FROM events GROUP BY 1")
+def daily_events(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil("value")).cast("double").alias("total"))
+
+
+# The chat as a stream
+
+
+@query(f"""WITH {_MARKS}, f AS (SELECT sn.conv_id || '_' || sn.turn AS session_id, conv_id % 4 AS n_hits, (turn * 7 % 10) / 20.0::DOUBLE AS best, n, text, red_flags, present IS NOT NULL AND present <> '' OR hinted IS NOT NULL AS told, CASE conv_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'unsupported' WHEN 2 THEN NULL ELSE 'supported' END AS scope, turn % 3 = 0 AS refer, turn % 5 = 0 AS enough
+        FROM sn LEFT JOIN rf USING (conv_id, turn) LEFT JOIN ss USING (conv_id, turn) LEFT JOIN hc USING (conv_id, turn)),
+    r AS (SELECT *, CASE WHEN {any_of('n', signals.CONFUSION)} THEN 'clarification' WHEN {_TEMPERATURE} IS NOT NULL THEN 'clarification' WHEN red_flags IS NOT NULL THEN 'red_flag' WHEN n_hits = 0 OR NOT (told OR best >= 0.28) THEN 'out_of_scope' WHEN coalesce(scope = 'critical', false) OR refer THEN 'medical_referral'
+        WHEN coalesce(scope = 'unsupported', false) THEN 'out_of_scope' WHEN scope IS NULL OR NOT enough THEN 'follow_up' ELSE 'recommendation' END AS response_type FROM f)
+    SELECT session_id, response_type, CASE response_type WHEN 'clarification' THEN 'anamnesis_clarification' WHEN 'red_flag' THEN 'red_flag_guardrail' WHEN 'follow_up' THEN 'anamnesis_follow_up_1' WHEN 'recommendation' THEN 'final_recommendation' ELSE response_type END AS stage, CASE WHEN response_type = 'follow_up' THEN 1 ELSE 0 END AS question_count,
+        response_type NOT IN ('clarification', 'follow_up') AS completed, CASE WHEN response_type = 'red_flag' THEN red_flags ELSE '' END AS red_flags FROM r""")
+def chat_first_turns(spark, sf):
+    """The routed chat as a stateful stream, over sessions of a single turn."""
+    work = work_folder(spark, "chat")
+    c = seeded(spark, sf)
+    scope = F.when(F.col("conv_id") % 5 == 0, "critical").when(F.col("conv_id") % 5 == 1, "unsupported").when(F.col("conv_id") % 5 == 2, F.lit(None).cast("string")).otherwise("supported")
+    given = {"session_id": F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "message": F.col("text"), "n_hits": (F.col("conv_id") % 4).cast("int"), "best_score": F.col("turn") * 7 % 10 / 20.0, "scope": scope, "refer": F.col("turn") % 3 == 0, "enough": F.col("turn") % 5 == 0, "question": F.lit("Sejak kapan?"), "turn": F.col("turn").cast("bigint")}
+    columns = [x.split(" ", 1) for x in chat.TURN.split(", ")]
+    c.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in columns]).write.parquet(f"{work}/in")
+    chat.run_chat(spark.readStream.schema(chat.TURN).parquet(f"{work}/in"), f"{work}/out", f"{work}/check").awaitTermination()
+    r = spark.read.parquet(f"{work}/out/responses")
+    return r.select("session_id", "response_type", "stage", "question_count", "completed", _joined("red_flags").alias("red_flags"))
+
+
+# Catalogues
+
+_PROFILES = {"fever": {"keywords": ["est", "the"], "context": "hot", "complaints": ["demam", "panas"]}, "cough": {"keywords": ["der", "une", "and"], "context": "", "complaints": ["batuk"]}}
+
+
+def _catalog(spark, sf) -> dict[str, DataFrame]:
+    d = table(spark, sf, "documents").where("text is not null")
+    key = F.concat(F.lit("Herba "), (F.col("doc_id") % 150).cast("string"))
+    sources = d.select(F.when(F.col("doc_id") % 3 > 0, key).otherwise("").alias("display"), key.alias("scientific"), F.array(F.concat(F.lit("n"), F.col("doc_id").cast("string"))).alias("aliases"), F.col("text").alias("text"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.when(F.col("doc_id") % 7 == 0, "high").when(F.col("doc_id") % 2 == 0, "medium").otherwise("low").alias("level"), F.col("doc_id").alias("ord"))
+    legacy = {
+        "herbs": spark.createDataFrame([("herba_1", "kept", "old"), ("zz_old", "lama", "buku")], "key string, ringkasan_manfaat string, sumber_utama string"),
+        "formulas": spark.createDataFrame([("Ramuan tua", "akar", "fever", "low", 1)], "nama_formula string, komposisi string, gejala_target string, evidence_level string, ord int"),
+        "cases": spark.createDataFrame([("mual lama", "Ramuan tua", "akar", 1)], "keluhan_ringan string, ramuan_rekomendasi string, bahan string, ord int"),
+    }
+    return catalogs.build_catalog(sources, _PROFILES, legacy, {"tanya": "Apa itu {title}?"}, "sys")
+
+
+def _key_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+_HITS = " UNION ALL ".join(f"SELECT mk, {q(p)} AS profile, {' + '.join(f'CAST(contains(lower(txt), {q(k)}) AS INTEGER)' for k in v['keywords'])} AS hits FROM m" for p, v in _PROFILES.items())
+_CATALOG_SQL = f"""s AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Herba ' || doc_id % 150 ELSE '' END AS display, 'Herba ' || doc_id % 150 AS scientific, nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS text, 'u' || doc_id AS url, CASE WHEN doc_id % 7 = 0 THEN 'high' WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'low' END AS level FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, {_key_sql('scientific')} AS mk FROM s),
+tx AS (SELECT mk, string_agg(text, ' ' ORDER BY o) AS txt FROM (SELECT mk, text, min(doc_id) AS o FROM k WHERE text IS NOT NULL GROUP BY ALL) GROUP BY mk),
+m AS (SELECT k.mk, arg_min(display, doc_id) FILTER (display <> '') AS display, arg_min(scientific, doc_id) AS scientific, any_value(coalesce(txt, '')) AS txt, string_agg(url, ' ' ORDER BY doc_id) AS url, arg_min(level, (CASE level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) * 1000000000 + doc_id) AS level, min(doc_id) AS ord FROM k LEFT JOIN tx USING (mk) GROUP BY k.mk),
+h AS (SELECT mk, profile, hits, CASE WHEN hits >= 3 THEN 'high' WHEN hits = 2 THEN 'medium' ELSE 'low_to_medium' END AS evidence, row_number() OVER (PARTITION BY mk ORDER BY hits DESC, profile) AS rank FROM ({_HITS}) WHERE hits > 0 QUALIFY rank <= 4)"""
+
+
+@query(f"""WITH {_CATALOG_SQL}, lim AS (SELECT *, {squeeze('txt')} AS c FROM m), r AS (SELECT mk AS key, coalesce(display, scientific) AS nama_lokal, scientific AS nama_latin, CASE WHEN length(c) <= 400 THEN c ELSE regexp_replace(substr(c, 1, 400), ' [^ ]*$', '') END AS ringkasan_manfaat, level AS evidence_level, url AS sumber_utama FROM lim),
+    b AS (SELECT r.key, nama_lokal, nama_latin, coalesce(nullif(r.ringkasan_manfaat, ''), l.a) AS ringkasan_manfaat, evidence_level, r.sumber_utama FROM r LEFT JOIN (VALUES ('herba_1', 'kept', 'old')) l(key, a, b) ON r.key = l.key UNION ALL SELECT 'zz_old', NULL, NULL, 'lama', NULL, 'buku')
+    SELECT 'herb_' || lpad(CAST(row_number() OVER (ORDER BY lower(nama_lokal) NULLS FIRST, coalesce(nama_latin, ''), key) AS VARCHAR), 4, '0') AS id, key, nama_lokal, nama_latin, ringkasan_manfaat, evidence_level, sumber_utama FROM b""")
+def catalog_herbs(spark, sf):
+    """Herbs merged from sources, with legacy rows, numbered by name."""
+    return _catalog(spark, sf)["herbs"].select("id", "key", "nama_lokal", "nama_latin", "ringkasan_manfaat", "evidence_level", "sumber_utama")
+
+
+@query(f"""WITH {_CATALOG_SQL} SELECT coalesce(display, scientific) || ' untuk ' || profile AS nama_formula, coalesce(display, scientific) AS komposisi, profile AS gejala_target, CASE profile WHEN 'fever' THEN 'hot' ELSE '' END AS konteks_penggunaan, evidence AS evidence_level FROM h JOIN m USING (mk) UNION ALL SELECT 'Ramuan tua', 'akar', 'fever', '', 'low'""")
+def catalog_formulas(spark, sf):
+    """Formulas of each source and profile that match, after the legacy ones."""
+    return _catalog(spark, sf)["formulas"].select("nama_formula", "komposisi", "gejala_target", "konteks_penggunaan", "evidence_level")
+
+
+@query(f"""WITH {_CATALOG_SQL}, f AS (SELECT coalesce(display, scientific) || ' untuk ' || profile AS nama, coalesce(display, scientific) AS bahan, profile FROM h JOIN m USING (mk) UNION ALL SELECT 'Ramuan tua', 'akar', 'fever')
+    SELECT w AS keluhan_ringan, nama AS ramuan_rekomendasi, bahan FROM f JOIN (VALUES ('fever', 'demam'), ('fever', 'panas'), ('cough', 'batuk')) v(profile, w) USING (profile) UNION ALL SELECT 'mual lama', 'Ramuan tua', 'akar'""")
+def catalog_cases(spark, sf):
+    """Cases of each formula and wording of its complaint, after the legacy ones."""
+    return _catalog(spark, sf)["cases"].select("keluhan_ringan", "ramuan_rekomendasi", "bahan")
+
+
+@query(f"""WITH {_CATALOG_SQL}, f AS (SELECT coalesce(display, scientific) || ' untuk ' || profile AS nama, profile FROM h JOIN m USING (mk) UNION ALL SELECT 'Ramuan tua', 'fever')
+    SELECT 'herb' AS topic, count(*) + 1 AS n FROM m UNION ALL SELECT 'formula', count(*) FROM f UNION ALL SELECT 'case', sum(CASE profile WHEN 'fever' THEN 2 ELSE 1 END)::BIGINT + 1 FROM f""")
+def catalog_records(spark, sf):
+    """Training records by topic, each with a chat row."""
+    c = _catalog(spark, sf)
+    chats = c["chat"].select(F.col("source_record_id").alias("id")).join(c["records"].select("id", "topic"), "id")
+    return chats.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
