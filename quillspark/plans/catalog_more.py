@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dataset_wording as generated
 from ..functions import parsing, scoring, signals, text, wording
@@ -793,7 +794,7 @@ def page_fields(spark, sf):
     return r.select("doc_id", "r.name", "r.uses", "r.dose")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _docx(texts):
     """Word-processor files with a paragraph for each line of a text."""
     import io
@@ -911,7 +912,7 @@ def _key_sql(x: str) -> str:
 
 
 _HITS = " UNION ALL ".join(f"SELECT mk, {q(p)} AS profile, {' + '.join(f'CAST(contains(lower(txt), {q(k)}) AS INTEGER)' for k in v['keywords'])} AS hits FROM m" for p, v in _PROFILES.items())
-_CATALOG_SQL = f"""s AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Herba ' || doc_id % 150 ELSE '' END AS display, 'Herba ' || doc_id % 150 AS scientific, nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') AS text, 'u' || doc_id AS url, CASE WHEN doc_id % 7 = 0 THEN 'high' WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'low' END AS level FROM documents WHERE text IS NOT NULL),
+_CATALOG_SQL = f"""s AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Herba ' || doc_id % 150 ELSE '' END AS display, 'Herba ' || doc_id % 150 AS scientific, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') AS text, 'u' || doc_id AS url, CASE WHEN doc_id % 7 = 0 THEN 'high' WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'low' END AS level FROM documents WHERE text IS NOT NULL),
 k AS (SELECT *, {_key_sql('scientific')} AS mk FROM s),
 tx AS (SELECT mk, string_agg(text, ' ' ORDER BY o) AS txt FROM (SELECT mk, text, min(doc_id) AS o FROM k WHERE text IS NOT NULL GROUP BY ALL) GROUP BY mk),
 m AS (SELECT k.mk, arg_min(display, doc_id) FILTER (display <> '') AS display, arg_min(scientific, doc_id) AS scientific, any_value(coalesce(txt, '')) AS txt, string_agg(url, ' ' ORDER BY doc_id) AS url, arg_min(level, (CASE level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) * 1000000000 + doc_id) AS level, min(doc_id) AS ord FROM k LEFT JOIN tx USING (mk) GROUP BY k.mk),

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import signals
 from ..functions.lexicon import DEFAULT, Lexicon
+from ..functions.signals import DUPLICATE, FEVER_NOTE, FEVER_TERMS, NEGATIVE_ANSWERS, SAFETY_NOTE, SAFETY_TERMS, SUPPORT, normalize_literal
 from ..functions.text import normalize
 
 MAX_QUESTIONS = 3
@@ -86,20 +87,20 @@ class Session:
         for before in map(_plain, self.asked):
             old = facts.tokens(before)
             common = len(words & old) / max(1, min(len(words), len(old)))
-            if before and (before in q or q in before or (words and old and common >= signals.DUPLICATE)):
+            if before and (before in q or q in before or (words and old and common >= DUPLICATE)):
                 return
         self.asked = [*self.asked, question.strip()][-REMEMBERED:]
 
 
 def _plain(text: str | None) -> str:
-    return signals.normalize_literal(text or "")
+    return normalize_literal(text or "")
 
 
 def _note(message: str, question: str) -> str | None:
     """FLT12: what a bare denial stands for."""
-    if message not in signals.NEGATIVE_ANSWERS:
+    if message not in NEGATIVE_ANSWERS:
         return None
-    for terms, note in ((signals.SAFETY_TERMS, signals.SAFETY_NOTE), (signals.FEVER_TERMS, signals.FEVER_NOTE)):
+    for terms, note in ((SAFETY_TERMS, SAFETY_NOTE), (FEVER_TERMS, FEVER_NOTE)):
         if any(t in question for t in terms):
             return _plain(note)
     return None
@@ -120,7 +121,7 @@ class Turn:
 
     def supported(self) -> bool:
         """FLT16."""
-        return (self.row.n_hits or 0) > 0 and (self.facts.complaint(self.text) or (self.row.best_score or 0.0) >= signals.SUPPORT)
+        return (self.row.n_hits or 0) > 0 and (self.facts.complaint(self.text) or (self.row.best_score or 0.0) >= SUPPORT)
 
     def refer(self) -> bool:
         return self.row.scope in ("critical", "internal_medicine") or self.row.refer is True
