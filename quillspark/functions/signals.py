@@ -65,6 +65,26 @@ def duration_text(norm, lexicon: Lexicon = DEFAULT) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(_c(norm), p, 0)), F.lit("")) for p in lexicon.durations])
 
 
+def has_intensity(norm, lexicon: Lexicon = DEFAULT) -> Column:
+    """FLT6: a phrase of intensity."""
+    return any_phrase(norm, lexicon.intensity)
+
+
+def has_progression(norm, lexicon: Lexicon = DEFAULT) -> Column:
+    """FLT6: a phrase of progression."""
+    return any_phrase(norm, lexicon.progression)
+
+
+def has_duration(norm, lexicon: Lexicon = DEFAULT) -> Column:
+    """FLT7: a match of a duration pattern, or one of the duration words."""
+    return duration_text(norm, lexicon).isNotNull() | any_phrase(norm, lexicon.duration_words)
+
+
+def asks_recommendation(norm, lexicon: Lexicon = DEFAULT) -> Column:
+    """FLT7: a request for a recommendation."""
+    return any_phrase(norm, lexicon.recommendation)
+
+
 def safety_clearance(norm, lexicon: Lexicon = DEFAULT) -> Column:
     """FLT8: a clearance prefix before any red-flag phrase, as one alternation."""
     one, two = ("|".join(re.escape(x) for x in xs) for xs in (lexicon.clearances, lexicon.red_flags))
@@ -98,10 +118,10 @@ def analyze(df: DataFrame, text: str = "text", lexicon: Lexicon = DEFAULT) -> Da
             "present_symptoms": present,
             "absent_symptoms": absent,
             "duration_text": duration,
-            "has_intensity_signal": any_phrase("normalized", lexicon.intensity),
-            "has_progression_signal": any_phrase("normalized", lexicon.progression),
+            "has_intensity_signal": has_intensity("normalized", lexicon),
+            "has_progression_signal": has_progression("normalized", lexicon),
             "has_safety_clearance_signal": safety_clearance("normalized", lexicon),
-            "asks_for_recommendation": any_phrase("normalized", lexicon.recommendation),
+            "asks_for_recommendation": asks_recommendation("normalized", lexicon),
         }
     )
     return df.withColumns(

@@ -216,6 +216,32 @@ def preparation_steps(text, most: int = 8, default: str = "") -> Column:
     return F.when(F.size(chosen) == 0, F.array(F.coalesce(F.nullif(_c(text), F.lit("")), F.lit(default)))).otherwise(F.slice(chosen, 1, most))
 
 
+def export_text(text) -> Column:
+    """STR29: without carriage returns, at most one empty line in a row, trimmed; a dash where nothing is left."""
+    c = strip_ends(F.regexp_replace(F.replace(F.coalesce(_c(text), F.lit("")), F.lit("\r"), F.lit("")), r"\n{3,}", "\n\n"))
+    return F.when(c == "", F.lit("-")).otherwise(c)
+
+
+# References of the characters that markup reserves; the ampersand comes first.
+XML_REFERENCES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;", "\n": "&#10;"}
+HTML_REFERENCES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#039;"}
+
+
+def escaped(text, references: dict[str, str] = XML_REFERENCES) -> Column:
+    """STR29: with references in place of reserved characters."""
+    c = F.coalesce(_c(text), F.lit(""))
+    for a, b in references.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def file_name(text, default: str = "percakapan-herbal") -> Column:
+    """STR29: a lower-case file name of letters, digits and hyphens, accents stripped; a default where nothing is left."""
+    c = F.regexp_replace(_ascii(F.coalesce(_c(text), F.lit(""))), r"[^a-zA-Z0-9\s-]+", "")
+    c = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\s+", "-"), r"-+", "-"), r"^-|-$", ""))
+    return F.when(c == "", F.lit(default)).otherwise(c)
+
+
 def as_sentence(text) -> Column:
     """STR24: with a full stop unless it ends in one of .!?"""
     c = strip_ends(_c(text))

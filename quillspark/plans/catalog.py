@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import parsing, scoring, signals
-from ..functions.lexicon import DEFAULT
-from ..functions.text import any_phrase, as_sentence, clean_reply, excerpt, limit_text, normalize, slugify, stable_hash, tokenize
+from ..functions.text import as_sentence, clean_reply, excerpt, limit_text, normalize, slugify, stable_hash, tokenize
 from ..operators import curate, dialogue, replies, retrieval, split
 from ..streaming import capture
 
@@ -136,9 +135,9 @@ def signal_flags(spark, sf):
     return c.select(
         "conv_id",
         "turn",
-        any_phrase("n", DEFAULT.intensity).alias("intensity"),
-        any_phrase("n", DEFAULT.progression).alias("progression"),
-        any_phrase("n", DEFAULT.recommendation).alias("recommendation"),
+        signals.has_intensity("n").alias("intensity"),
+        signals.has_progression("n").alias("progression"),
+        signals.asks_recommendation("n").alias("recommendation"),
         signals.confused("n").alias("confused"),
         signals.invalid_temperature("n").alias("invalid_temperature"),
         signals.feedback_label("text").alias("feedback"),

@@ -208,6 +208,16 @@ def preparation_and_references(spark, sf):
     return c.select("conv_id", "turn", _joined(text.preparation_steps("text", default="none")).alias("steps"), urls.alias("urls"), text.is_heading("text", ["la ", "the "]).alias("heading"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(replace(text, chr(13), ''), '\n{3,}', chr(10) || chr(10), 'g') AS t, text, 'Say: ' || coalesce(source, '') || '  -- ' || coalesce(lang, '') || '!' AS f FROM documents)
+    SELECT doc_id, coalesce(nullif(regexp_replace(t, '^\s+|\s+$', '', 'g'), ''), '-') AS exported, replace(replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;'), chr(10), '&#10;') AS xml,
+        lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '[^a-zA-Z0-9\s-]+', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')) AS name FROM d""")
+def export_texts(spark, sf):
+    """Whole texts for export, with references, and file names."""
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("Say: "), F.coalesce("source", F.lit("")), F.lit("  -- "), F.coalesce("lang", F.lit("")), F.lit("!"))
+    return d.select("doc_id", text.export_text("text").alias("exported"), text.escaped("text").alias("xml"), text.file_name(name).alias("name"))
+
+
 # Rules of the dialogue
 
 @query(f"""WITH {_MARKS}, f AS (SELECT sn.conv_id, sn.turn, conv_id % 4 AS n_hits, (turn * 7 % 10) / 20.0::DOUBLE AS best, coalesce(present, '') <> '' AS has_present, hinted IS NOT NULL AS has_hint, turn % 4 AS asked, {_duration()} IS NOT NULL AS duration, {any_of('n', DEFAULT.intensity)} AS detail,
