@@ -5,7 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # Fixed values, in natural order: the lists below must equal those of the domain for right results.
-STOPWORDS = tuple("aku ada adalah agar akan atau badan bagaimana bagi bisa dan dengan di diderita ini itu jadi juga kalau karena ke keluhan kena lagi mau mengalami mohon nya obat pada rekomendasi saya sedang sejak sudah tapi terasa tidak tolong untuk yang".split())
+STOPWORDS = (
+    "aku", "ada", "adalah", "agar", "akan", "atau", "badan", "bagaimana", "bagi", "bisa", "dan", "dengan", "di", "diderita", "ini", "itu", "jadi",
+    "juga", "kalau", "karena", "ke", "keluhan", "kena", "lagi", "mau", "mengalami", "mohon", "nya", "obat", "pada", "rekomendasi", "saya", "sedang",
+    "sejak", "sudah", "tapi", "terasa", "tidak", "tolong", "untuk", "yang",
+)
 SYNONYMS = {
     "kerongkongan": "tenggorokan", "radang": "nyeri", "sakit": "nyeri", "gatal": "iritasi", "mulas": "diare", "mencret": "diare", "bab": "diare",
     "cair": "diare", "enek": "mual", "eneg": "mual", "masuk": "kurang", "angin": "fit", "capek": "lelah", "lesu": "lelah", "malas": "nafsu",

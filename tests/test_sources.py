@@ -83,3 +83,22 @@ def test_workbook(spark, tmp_path, monkeypatch):
     got = [dict(zip(head, r)) for r in rows[0][1:] + rows[1][1:]]
     assert [g["t"] + g["t_2"] + g["t_3"] for g in got] == [f"<{i}> &  text that is long" for i in range(5)]
     assert [(g["n"], g["d"], g["b"], g["l"]) for g in got] == [(str(i), repr(i / 4), str(int(i % 2 == 0)), '["x","y"]') for i in range(5)]
+
+
+class Remote:
+    """A session on a cluster, without spark.checkpoint.dir."""
+
+    class conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    class sparkContext:
+        master, applicationId = "spark://somewhere:7077", "remote"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from quillspark.plans.session import shared_root
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Remote)
