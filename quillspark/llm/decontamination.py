@@ -8,7 +8,6 @@ that driver and workers never hold more than one block.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
@@ -221,10 +220,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     return marked.mapInArrow(run, marked.schema).select(*docs.columns)
 
 
-def digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

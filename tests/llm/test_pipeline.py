@@ -64,3 +64,13 @@ def test_stages_take_nulls_empty_tables_and_clashing_columns(spark):
             assert kept.columns == docs.columns + (["slot", "shard"] if name == "sharding" else [])
         out = kept.collect()
         assert all(r[n] == f"{n}{r.n_chars or 0}" for r in out for n in names) and (len(out) > 5) == (rows is docs)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from quillspark.llm import common
+    from tests.test_sources import Remote
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Remote)
