@@ -71,7 +71,8 @@ def top_per_key(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
 def match_profiles(rows: DataFrame, text: Column, profiles: dict[str, list[str]], k: int = 4, key: str = "id") -> DataFrame:
     """JN9, X12: (key, profile, hits, evidence, rank): profiles with a keyword in the text, the k with most hits.
 
-    The profiles are a literal list, so the match is an array expression over one scan in place of a cross join.
+    The profiles are a literal list, so the match is an array expression over one scan in place of a cross join, and
+    the best are cut inside the row.
     """
     low = F.lower(text)
     def hits(words):
@@ -80,10 +81,12 @@ def match_profiles(rows: DataFrame, text: Column, profiles: dict[str, list[str]]
             n = n + F.contains(low, F.lit(w)).cast("int")
         return n
 
-    found = F.array(*[F.struct(F.lit(p).alias("profile"), hits(ws).alias("hits")) for p, ws in profiles.items()])
-    pairs = rows.select(key, F.explode(F.filter(found, lambda x: x["hits"] > 0)).alias("m")).select(key, "m.profile", "m.hits")
+    # most hits first, then by name: both ascend in the struct, so the row's own array is sorted and cut without an exchange
+    found = F.array(*[F.struct((-hits(ws)).alias("less"), F.lit(p).alias("profile")) for p, ws in profiles.items()])
+    best = F.slice(F.array_sort(F.filter(found, lambda x: x["less"] < 0)), 1, k)
+    pairs = rows.select(key, F.posexplode(best).alias("pos", "m")).select(key, "m.profile", (-F.col("m.less")).alias("hits"), (F.col("pos") + 1).alias("rank"))
     level = F.when(F.col("hits") >= 3, "high").when(F.col("hits") == 2, "medium").otherwise("low_to_medium")
-    return top_per_key(pairs.withColumn("evidence", level), key, [F.desc("hits"), F.col("profile")], k)
+    return pairs.withColumn("evidence", level)
 
 
 def with_legacy(rows: DataFrame, legacy: DataFrame, key: str, columns: list[str]) -> DataFrame:
