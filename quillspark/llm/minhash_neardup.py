@@ -415,3 +415,16 @@ def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 24) ->
 
 def op9_minhash_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=85)
+
+
+#: Shared shingles of different sets, and components by following links.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w),
+sets AS MATERIALIZED (SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY s),
+t AS MATERIALIZED (SELECT rep, n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.g = b.g AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT rep, rep AS id FROM sets UNION SELECT r.rep, l.b FROM reach r JOIN links l ON r.id = l.a),
+named AS (SELECT sets.s, min(reach.id) AS component_id FROM sets JOIN reach USING (rep) GROUP BY sets.s)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(c.component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN named c ON len(s.s) > 0 AND list_sort(s.s) = c.s
+"""

@@ -6,12 +6,12 @@ from .decontamination import OP2_SQL, op2_decontamination
 from .embedding_neardup import OP7_SQL, op7_embedding_neardup
 from .html_extraction import op5_html_extraction
 from .language_id import op1_language_id
-from .minhash_neardup import op9_minhash_neardup
+from .minhash_neardup import OP9_SQL, op9_minhash_neardup
 from .mixing import op6_mixing, op6_sql
 from .paragraph_dedup import op4_substring_dedup
 from .quality import op3_quality
 from .sharding import op10_sharding, op10_sql
-from .suffix_dedup import op8_suffix_dedup
+from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -28,4 +28,4 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_mixing": op6_sql(), "op7_embedding_neardup": OP7_SQL, "op10_sharding": op10_sql()}
+    return {"op2_decontamination": OP2_SQL, "op6_mixing": op6_sql(), "op7_embedding_neardup": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_minhash_neardup": OP9_SQL, "op10_sharding": op10_sql()}

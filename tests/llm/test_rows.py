@@ -502,7 +502,7 @@ def test_sharding_rows(frame, tmp_path):
     assert df.sparkSession.read.parquet(str(tmp_path / "out")).count() == 202
 
 
-@pytest.mark.parametrize("name", ["op2_decontamination", "op6_mixing", "op7_embedding_neardup", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op2_decontamination", "op6_mixing", "op7_embedding_neardup", "op8_suffix_dedup", "op9_minhash_neardup", "op10_sharding"])
 def test_queries_match_sql(spark, name):
     import duckdb
 
