@@ -10,6 +10,7 @@ from .line_rules import op11_quality_rules, op11_sql
 from .minhash_neardup import OP9_SQL, op9_minhash_neardup
 from .mixing import op6_mixing, op6_sql
 from .paragraph_dedup import op4_substring_dedup
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op3_quality
 from .sharding import op10_sharding, op10_sql
 from .suffix_dedup import OP8_SQL, op8_suffix_dedup
@@ -26,8 +27,9 @@ QUERIES = {
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_sharding": op10_sharding,
     "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_mixing": op6_sql(), "op7_embedding_neardup": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_minhash_neardup": OP9_SQL, "op10_sharding": op10_sql(), "op11_quality_rules": op11_sql()}
+    return {"op2_decontamination": OP2_SQL, "op6_mixing": op6_sql(), "op7_embedding_neardup": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_minhash_neardup": OP9_SQL, "op10_sharding": op10_sql(), "op11_quality_rules": op11_sql(), "op12_prefix_trie": OP12_SQL}
