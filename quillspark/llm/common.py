@@ -152,8 +152,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def word_hashes(raw: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, starts and ends of the words of a text, which are runs without ASCII white space.
+def word_hashes(raw: bytes, block: int = 1 << 20, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, starts and ends of the words of a text, which are runs without ASCII white space (or the bytes marked in `space`).
 
     The hashes come from one running sum over the bytes, so no word becomes an object of its own. Long texts are
     taken in blocks that end at white space.
@@ -162,16 +162,16 @@ def word_hashes(raw: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarra
     out, at = [], 0
     while at < len(b):
         end = min(len(b), at + block)
-        while end < len(b) and not _SPACE[b[end]]:
-            more = np.flatnonzero(_SPACE[b[end : end + block]])
+        while end < len(b) and not space[b[end]]:
+            more = np.flatnonzero(space[b[end : end + block]])
             end = end + int(more[0]) if len(more) else min(len(b), end + block)
         part = b[at:end]
         if len(part) >= len(_powers[0]):
             n = 2 * len(part) + 1
             for i, x in enumerate((_STEP, pow(_STEP, -1, 2**64))):
                 _powers[i] = np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)])
-        space = np.r_[True, _SPACE[part], True]
-        edge = np.flatnonzero(space[1:] != space[:-1])
+        between = np.r_[True, space[part], True]
+        edge = np.flatnonzero(between[1:] != between[:-1])
         s, e = edge[::2], edge[1::2]
         total = np.r_[np.uint64(0), np.cumsum(_BYTES[part] * _powers[0][: len(part)])]
         out.append((mix((total[e] - total[s]) * _powers[1][s] + (e - s).astype(np.uint64)), s + at, e + at))
