@@ -8,7 +8,7 @@ of count and length that no other pair of the block dominates. As scores rise wi
 length, these give a block's exact maximal score under any corpus statistics, so segments can be added at any time.
 
 A search broadcasts the terms of a block of queries and passes once over the segments. For a query, the block
-ends of its terms' lists cut a segment into intervals; each list's pointer moves over its block ends alone (shallow
+ends of its terms' lists, and the documents of rare terms, cut a segment into intervals; each list's pointer moves over its block ends alone (shallow
 moves) and adds the block's maximum to the interval's bound. Only intervals whose bound reaches the threshold, the
 k-th best score so far, have their blocks decompressed and scored in full. The threshold starts at the k-th score
 over a bounded sample of segments, is never above the true one, and ties stay in, so no result is lost.
@@ -36,6 +36,8 @@ STRIPES = 16
 PRIMING = 32
 #: Terms of the queries that are broadcast at once.
 MAX_TERMS = 200_000
+#: A list of at most this many documents in a segment is decoded first, so that each of its documents is an interval of its own.
+SPARSE = 32
 #: Intervals that are scored before the threshold is looked at again, at first; then twice as many each time.
 WAVE = 16
 
@@ -170,6 +172,13 @@ class _List:
         self.first, self.last, self.most, self.top = first, last, most, int(most.max())
         self._where, self._raw, self._seg, self._done = where, raw, seg, {}
 
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last document and maximal impact of each step of the list's pointer: a block, or a document of a sparse list."""
+        if len(self.last) == 1 and self._where[1][0] <= SPARSE:
+            docs, impacts = self.block(0)
+            return docs, docs, impacts
+        return self.first, self.last, self.most
+
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents of block i and their impacts."""
         if i not in self._done:
@@ -256,15 +265,17 @@ def search_segment(seg: Segment, query: list[tuple[int, int]], best: Best) -> No
     lists = [(seg.lists[t], w) for t, w in query if w and t in seg.lists]
     if sum(x.top * w for x, w in lists) < best.threshold:
         return
-    ends = np.unique(np.concatenate([x.last for x, _ in lists]))
+    steps = [x.steps() for x, _ in lists]
+    ends = np.concatenate([last for _, last, _ in steps] + [first.astype(np.int64) - 1 for first, last, _ in steps if first is last])
+    ends = np.unique(ends[ends >= 0])
     bound = np.zeros(len(ends), np.int64)
     moves = []
-    for x, w in lists:  # shallow moves
-        at = np.searchsorted(x.last, ends)
-        on = np.flatnonzero(at < len(x.last))
-        on = on[x.first[at[on]] <= ends[on]]
-        bound[on] += w * x.most[at[on]]
-        moves.append((on, at[on]))
+    for (x, w), (first, last, most) in zip(lists, steps):  # shallow moves
+        at = np.searchsorted(last, ends)
+        on = np.flatnonzero(at < len(last))
+        on = on[first[at[on]] <= ends[on]]
+        bound[on] += w * most[at[on]]
+        moves.append((on, at[on] if len(x.last) > 1 else np.zeros(len(on), np.int64)))
     order = np.argsort(-bound, kind="stable")
     done, size = 0, WAVE
     while done < len(order) and bound[order[done]] >= best.threshold:
