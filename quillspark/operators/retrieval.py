@@ -74,11 +74,13 @@ def weight(n: Column, top: Column, idf_: Column) -> Column:
 class TfidfIndex:
     """UD1: exact cosine over TF-IDF weights. postings (key, token, w), norms (key, norm), idfs (token, idf).
 
-    The term counts are the index: a table in the shared folder for as many searches as follow.
+    The term counts are the index: a table in the shared folder for as many searches as follow. Documents without
+    key count in no statistic and are never found.
     """
 
     def __init__(self, docs: DataFrame, key: str = "id", text: str = "text", lexicon: Lexicon = DEFAULT):
         self.key, self.lexicon = key, lexicon
+        docs = docs.where(F.col(key).isNotNull())
         self.counts = counts = stored(term_counts(docs, key, text, lexicon), "counts")
         n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
         self.idfs = stored(document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("token", idf(F.col("df"), F.col("n_docs")).alias("idf")), "idfs")
@@ -190,13 +192,19 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id",
     rows. Queries come in blocks of a checked size; where there are more than one, each block's hits are stored
     before the next is read.
     """
-    source = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), vector)
-    return _topk(source, lambda: _matrices, queries.where("query is not null").select(F.col("query").cast("long").alias("query"), vector), k, key)
+    source = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast(plain_key(vectors, key)).alias(key), vector)
+    return _topk(source, lambda: _matrices, queries.where("query is not null").select(F.col("query").cast(plain_key(queries, "query")).alias("query"), vector), k, key)
+
+
+def plain_key(df: DataFrame, key: str) -> str:
+    """The kind in which a key travels: long for whole numbers, else text."""
+    return "long" if isinstance(df.schema[key].dataType, T.IntegralType) else "string"
 
 
 def _topk(source: DataFrame, reader, queries: DataFrame, k: int, key: str) -> DataFrame:
     """vector_topk for a source (key, what `reader()` turns into vectors)."""
-    schema = "query long, key long, score double"
+    kinds = plain_key(queries, "query"), plain_key(source, key)
+    schema = f"query {kinds[0]}, key {kinds[1]}, score double"
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
 
     def ranked(found: DataFrame) -> DataFrame:
@@ -206,7 +214,7 @@ def _topk(source: DataFrame, reader, queries: DataFrame, k: int, key: str) -> Da
     for block in _query_blocks(queries):
         if out:
             out[-1] = stored(out[-1], "hits")
-        out.append(ranked(source.mapInArrow(_scorer(block, k, reader), schema)))
+        out.append(ranked(source.mapInArrow(_scorer(block, k, reader, kinds), schema)))
     if not out:
         return source.sparkSession.createDataFrame([], schema + ", rank int")
     return reduce(DataFrame.unionByName, out)
@@ -222,7 +230,7 @@ def _query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np
         for n, (names, rows) in block.items():
             x = np.array(rows, np.float64)
             x /= np.abs(x).max(1, keepdims=True)
-            units[n] = np.array(names), x / np.linalg.norm(x, axis=1, keepdims=True)
+            units[n] = np.array(names, object), x / np.linalg.norm(x, axis=1, keepdims=True)
         return units
 
     for name, v in queries.toLocalIterator():
@@ -253,10 +261,16 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield keys[at[good]], x[good]
 
 
-def _scorer(block: dict[int, tuple[np.ndarray, np.ndarray]], k: int, reader):
+def _scorer(block: dict[int, tuple[np.ndarray, np.ndarray]], k: int, reader, kinds: tuple[str, str]):
+    def places(keys: np.ndarray) -> np.ndarray:
+        """The keys' places in their order."""
+        return np.unique(keys, return_inverse=True)[1]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader()
-        query, key, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        asked = np.array(list(dict.fromkeys(n for names, _ in block.values() for n in names)), object)
+        number = {n: i for i, n in enumerate(asked)}
+        query, key, best = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 for keys, x in read(batch.slice(at, 2000)):
@@ -265,15 +279,17 @@ def _scorer(block: dict[int, tuple[np.ndarray, np.ndarray]], k: int, reader):
                     names, q = block[x.shape[1]]
                     x = x / np.abs(x).max(1, keepdims=True)
                     s = np.round(np.clip(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 0, 1), 4)
-                    order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-                    query = np.r_[query, np.repeat(names, order.shape[1])]
+                    keys = np.asarray(keys, object)
+                    order = np.lexsort((np.broadcast_to(places(keys), s.shape), -s), axis=1)[:, :k]
+                    query = np.r_[query, np.repeat([number[n] for n in names], order.shape[1])]
                     key, best = np.r_[key, keys[order].ravel()], np.r_[best, np.take_along_axis(s, order, 1).ravel()]
-                    by = np.lexsort((key, -best, query))  # the best k of each query so far
+                    by = np.lexsort((places(key), -best, query))  # the best k of each query so far
                     query, key, best = query[by], key[by], best[by]
                     first = np.searchsorted(query, query)
                     kept = np.arange(len(query)) - first < k
                     query, key, best = query[kept], key[kept], best[kept]
-        yield pa.record_batch([pa.array(query), pa.array(key), pa.array(best)], names=["query", "key", "score"])
+        types = [pa.int64() if kind == "long" else pa.string() for kind in kinds]
+        yield pa.record_batch([pa.array(asked[query].tolist(), types[0]), pa.array(key.tolist(), types[1]), pa.array(best)], names=["query", "key", "score"])
 
     return score
 
@@ -283,14 +299,14 @@ class HashEmbeddingIndex:
 
     def __init__(self, docs: DataFrame, key: str = "id", text: str = "text", lexicon: Lexicon = DEFAULT, dimension: int = DIMENSION):
         self.key, self.lexicon, self.dimension = key, lexicon, dimension
-        self.tokens = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), tokenize(text, lexicon).alias("tokens"))
+        self.tokens = docs.where(F.col(key).isNotNull()).select(F.col(key).cast(plain_key(docs, key)).alias(key), tokenize(text, lexicon).alias("tokens"))
 
     @property
     def vectors(self) -> DataFrame:
         return self.tokens.select(self.key, hash_embedding("tokens", self.dimension).alias("embedding"))
 
     def search(self, queries: DataFrame, k: int = 10, query: str = "query", text: str = "text") -> DataFrame:
-        q = queries.where(F.col(query).isNotNull()).select(F.col(query).cast("long").alias("query"), hash_embedding(tokenize(text, self.lexicon), self.dimension).alias("embedding"))
+        q = queries.where(F.col(query).isNotNull()).select(F.col(query).cast(plain_key(queries, query)).alias("query"), hash_embedding(tokenize(text, self.lexicon), self.dimension).alias("embedding"))
         dimension = self.dimension
 
         def reader():
