@@ -18,7 +18,7 @@ from ..operators.retrieval import TfidfIndex
 from ..sources import knowledge, sinks
 from ..streaming import chat
 from .catalog import seeded, table
-from .oracle import _MARKS, _RUNNING, _SEEDED, _TEMPERATURE, _duration, _marked, any_of, norm, q, squeeze, stable_hash, tokens
+from .oracle import _CLEARED, _DETAIL, _FEEDBACK, _MARKS, _RUNNING, _SEEDED, _TEMPERATURE, _duration, _marked, any_of, norm, q, squeeze, stable_hash, tokens
 from .session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -900,6 +900,102 @@ def chat_first_turns(spark, sf):
     return r.select("session_id", "response_type", "stage", "question_count", "completed", _joined("red_flags").alias("red_flags"))
 
 
+#: Questions of which no two share most of their words.
+_ASKS = ("Apakah ada sesak atau nyeri hebat?", "Ada ruam atau kaku leher?", "Sejak kapan keluhan muncul?")
+_SAID = {3: "jelaskan cara membuat ramuan", 4: "kurang cocok", 5: "tidak ada"}
+_CLIENT = {"message": "saya batuk sejak kemarin", "suspected": ("c1", "c2", "c3", "c4")}
+_SAFE, _FEVER = (signals.normalize_literal(n) for n in (signals.SAFETY_NOTE, signals.FEVER_NOTE))
+_CHAT_NOTES = ["", f" {_SAFE}", f" {_FEVER}", f" {_SAFE} {_FEVER}", f" {_FEVER} {_SAFE}"]
+
+
+def _chat_input(spark, sf) -> DataFrame:
+    """Whole conversations as turns: assessments by their numbers, bare denials, requests and feedback between seeded texts; a sixth of them is cleared at turn 2."""
+    c, mark = seeded(spark, sf), (F.col("conv_id") + F.col("turn")) % 6
+    message = F.col("text")
+    for k, said in _SAID.items():
+        message = F.when(mark == k, F.lit(said)).otherwise(message)
+    kind = (F.col("conv_id") + 3 * F.col("turn")) % 8
+    given = {
+        "session_id": F.col("conv_id").cast("string"), "turn": F.col("turn"), "message": message, "n_hits": (F.col("conv_id") % 9).cast("int"), "best_score": F.col("turn") * 7 % 10 / 20.0,
+        "scope": F.when(kind == 0, "critical").when(kind == 1, "unsupported").when(kind > 2, "supported"), "enough": F.col("turn") % 5 == 4, "question": F.element_at(F.array(*map(F.lit, _ASKS)), (F.col("turn") % 3 + 1).cast("int")),
+        "suspected": F.array(F.concat(F.lit("s"), F.col("turn").cast("string")), F.lit("a"), F.lit("b"), F.lit("c")), "recommendation": F.concat(F.lit("r"), F.col("turn").cast("string")), "event": F.when((F.col("conv_id") % 6 == 3) & (F.col("turn") == 2), "clear"),
+    }
+    return c.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in (x.split(" ", 1) for x in chat.TURN.split(", "))])
+
+
+def _chat_clients(spark, sf) -> DataFrame:
+    """The clients' copies of a sixth of the sessions; half of these ended with a recommendation."""
+    ids = table(spark, sf, "conversations").where("conv_id % 6 = 4").select("conv_id").distinct()
+    done = F.col("conv_id") % 12 == 10
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.lit(_CLIENT["message"]).alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit(_ASKS[0]).alias("content")))
+    return ids.select(
+        F.col("conv_id").cast("string").alias("session_id"), turns.alias("turns"), F.lit(2).cast("bigint").alias("question_count"), F.when(done, "final_recommendation").otherwise("anamnesis_follow_up_2").alias("stage"),
+        done.alias("completed"), F.array(*map(F.lit, _CLIENT["suspected"])).alias("suspected_conditions"), F.array(F.lit(_ASKS[0]), F.lit(" ")).alias("asked"), F.when(done, "old").alias("recommendation"),
+    )
+
+
+def _chat_sql(restore: bool) -> str:
+    known = f"conv_id % 6 = 4 AND {str(restore).lower()}"
+    said = " ".join(f"WHEN {k} THEN {q(v)}" for k, v in _SAID.items())
+    notes = ", ".join(q(n) for n in _CHAT_NOTES)
+    texts = f"""{_SEEDED.split(', sn AS')[0]},
+msg AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 {said} ELSE text END AS text, conv_id % 6 = 3 AND turn = 2 AS clears, count(*) FILTER (WHERE conv_id % 6 = 3 AND turn = 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM seeded),
+m AS MATERIALIZED (SELECT *, {norm('text')} AS n, row_number() OVER (PARTITION BY conv_id, seg ORDER BY turn) AS i FROM msg),
+lines AS (SELECT conv_id, seg, i, turn, n FROM m WHERE NOT clears UNION ALL SELECT DISTINCT conv_id, 0, 0, -1, {q(_CLIENT['message'])} FROM m WHERE {known}),
+fresh AS (SELECT *, n <> '' AND n IS DISTINCT FROM lag(n) OVER (PARTITION BY conv_id, seg, n <> '' ORDER BY i) AS adds FROM lines),
+so_far AS (SELECT conv_id, turn, coalesce(string_agg(CASE WHEN adds THEN n END, ' ') OVER (PARTITION BY conv_id, seg ORDER BY i), '') AS n FROM fresh),
+sn AS (SELECT conv_id, turn * 8 + c AS turn, trim(n || [{notes}][c + 1]) AS n FROM so_far, (SELECT unnest(range(5)) AS c) WHERE turn >= 0)"""
+    return f"""WITH RECURSIVE {_marked(texts)},
+facts AS MATERIALIZED (SELECT sn.conv_id, sn.turn // 8 AS turn, sn.turn % 8 AS combo, coalesce(red_flags, '') AS red_flags, coalesce(present, '') <> '' OR hinted IS NOT NULL AS complaint, {_duration()} IS NOT NULL OR {any_of('n', DEFAULT.duration_words)} AS duration, {_CLEARED} AS clearance, {any_of('n', (*DEFAULT.intensity, *DEFAULT.progression))} AS detail
+    FROM sn LEFT JOIN rf USING (conv_id, turn) LEFT JOIN ss USING (conv_id, turn) LEFT JOIN hc USING (conv_id, turn)),
+t AS MATERIALIZED (SELECT conv_id, seg, i, turn, clears, n, conv_id % 9 AS hits, (turn * 7 % 10) / 20.0::DOUBLE AS best, CASE (conv_id + 3 * turn) % 8 WHEN 0 THEN 'critical' WHEN 1 THEN 'unsupported' WHEN 2 THEN NULL ELSE 'supported' END AS scope, turn % 5 = 4 AS enough, [{', '.join(q(a) for a in _ASKS)}][turn % 3 + 1] AS question,
+    {_FEEDBACK} AS feedback, {_DETAIL} AS detail_asked, {any_of('n', signals.CONFUSION)} AS confused, {_TEMPERATURE} IS NOT NULL AS hot, n IN ({', '.join(q(a) for a in signals.NEGATIVE_ANSWERS)}) AS bare FROM m),
+r AS (SELECT DISTINCT conv_id, seg, 0::BIGINT AS i, NULL::BIGINT AS turn, 0 AS combo, CASE WHEN {known} AND seg = 0 THEN [{q(_ASKS[0])}] ELSE []::VARCHAR[] END AS asked, CASE WHEN {known} AND seg = 0 THEN 2 ELSE 0 END AS qc,
+        CASE WHEN {known} AND seg = 0 THEN CASE WHEN conv_id % 12 = 10 THEN 'final_recommendation' ELSE 'anamnesis_follow_up_2' END ELSE 'initial' END AS stage, {known} AND seg = 0 AND conv_id % 12 = 10 AS completed, CASE WHEN {known} AND seg = 0 AND conv_id % 12 = 10 THEN 'old' END AS rec,
+        CASE WHEN {known} AND seg = 0 THEN 'c1|c2|c3' ELSE '' END AS suspected, NULL::VARCHAR AS kind, ''::VARCHAR AS flags, NULL::VARCHAR AS feedback, NULL::VARCHAR AS before FROM t
+    UNION ALL
+    SELECT conv_id, seg, i, turn, combo, CASE WHEN kind = 'follow_up' AND NOT list_contains(asked, question) THEN list_append(asked, question) ELSE asked END, CASE kind WHEN 'cleared' THEN 0 WHEN 'follow_up' THEN qc + 1 ELSE qc END,
+        CASE kind WHEN 'cleared' THEN 'initial' WHEN 'confused' THEN 'anamnesis_clarification' WHEN 'hot' THEN 'anamnesis_clarification' WHEN 'red_flag' THEN 'red_flag_guardrail' WHEN 'out_of_scope' THEN 'out_of_scope' WHEN 'medical_referral' THEN 'medical_referral' WHEN 'follow_up' THEN 'anamnesis_follow_up_' || (qc + 1) WHEN 'recommendation' THEN 'final_recommendation' ELSE stage END,
+        CASE WHEN kind IN ('red_flag', 'out_of_scope', 'medical_referral', 'recommendation') THEN true WHEN kind = 'cleared' THEN false ELSE completed END, CASE WHEN kind = 'recommendation' THEN 'r' || turn ELSE rec END, CASE kind WHEN 'follow_up' THEN 's' || turn || '|a|b' WHEN 'cleared' THEN '' ELSE suspected END, kind, red_flags, feedback, CASE WHEN len(asked) > 0 THEN asked[len(asked)] END
+    FROM (SELECT x.*, f.red_flags, CASE WHEN clears THEN 'cleared' WHEN early IS NOT NULL THEN early WHEN f.red_flags <> '' THEN 'red_flag' WHEN hits = 0 OR NOT (f.complaint OR best >= 0.28) THEN 'out_of_scope' WHEN qc >= 3 THEN 'recommendation' WHEN scope = 'critical' THEN 'medical_referral' WHEN scope = 'unsupported' THEN 'out_of_scope'
+            WHEN coalesce(scope = 'supported', false) AND qc > 0 AND f.complaint AND f.duration AND f.clearance AND (f.detail OR qc >= 2) THEN 'recommendation' WHEN scope IS NULL OR NOT enough THEN 'follow_up' ELSE 'recommendation' END AS kind
+        FROM (SELECT y.* EXCLUDE (combo), CASE WHEN clears OR early IS NOT NULL OR note = 0 OR combo IN (3, 4) OR combo = note THEN combo WHEN combo = 0 THEN note ELSE combo + 2 END AS combo
+            FROM (SELECT r.combo, r.asked, r.qc, r.stage, r.completed, r.rec, r.suspected, t.*, CASE WHEN r.completed AND r.stage = 'final_recommendation' AND t.detail_asked THEN 'preparation_detail' WHEN r.completed AND r.stage = 'final_recommendation' AND t.feedback IS NOT NULL THEN 'feedback' WHEN t.confused THEN 'confused' WHEN t.hot THEN 'hot' END AS early,
+                CASE WHEN NOT t.bare OR len(r.asked) = 0 THEN 0 WHEN {any_of('lower(r.asked[len(r.asked)])', signals.SAFETY_TERMS)} THEN 1 WHEN {any_of('lower(r.asked[len(r.asked)])', signals.FEVER_TERMS)} THEN 2 ELSE 0 END AS note
+                FROM r JOIN t ON t.conv_id = r.conv_id AND t.seg = r.seg AND t.i = r.i + 1) y) x LEFT JOIN facts f ON f.conv_id = x.conv_id AND f.turn = x.turn AND f.combo = x.combo))
+SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, CASE WHEN kind IN ('confused', 'hot') THEN 'clarification' ELSE kind END AS response_type, CASE kind WHEN 'preparation_detail' THEN 'preparation_detail_after_recommendation' WHEN 'feedback' THEN 'recommendation_feedback' ELSE stage END AS stage, CAST(qc AS INTEGER) AS question_count, completed,
+    CASE WHEN kind = 'medical_referral' THEN 's' || turn || '|a|b|c' ELSE suspected END AS suspected, CASE WHEN kind = 'red_flag' THEN flags ELSE '' END AS red_flags, CASE kind WHEN 'follow_up' THEN [{', '.join(q(a) for a in _ASKS)}][turn % 3 + 1] WHEN 'confused' THEN before END AS question,
+    CASE WHEN kind = 'feedback' THEN feedback END AS feedback, CASE WHEN kind IN ('preparation_detail', 'feedback', 'recommendation') THEN rec END AS recommendation FROM r WHERE kind IS NOT NULL"""
+
+
+def _chat_run(spark, sf, restore: bool) -> tuple[DataFrame, DataFrame]:
+    """The turns, in two files that the stream reads one after the other, and the responses."""
+    work, turns = work_folder(spark, "chat"), _chat_input(spark, sf)
+    for part in ("turn < 3", "turn >= 3"):
+        turns.where(part).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = spark.readStream.schema(chat.TURN).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    chat.run_chat(stream, f"{work}/out", f"{work}/check", clients=_chat_clients(spark, sf) if restore else None).awaitTermination()
+    return spark.read.parquet(f"{work}/in"), spark.read.parquet(f"{work}/out/responses").drop("batch")
+
+
+@query(_chat_sql(False))
+def chat_sessions(spark, sf):
+    """Whole conversations through the stateful stream, over two batches: budget, repeated questions, notes on bare denials, feedback, clear events."""
+    return _chat_run(spark, sf, False)[1].withColumns({c: _joined(c) for c in ("suspected", "red_flags")})
+
+
+@query(_chat_sql(True))
+def chat_restored(spark, sf):
+    """The same with a sixth of the sessions restored from their clients' copies before the first turn."""
+    return _chat_run(spark, sf, True)[1].withColumns({c: _joined(c) for c in ("suspected", "red_flags")})
+
+
+@query(f"""SELECT sha256(session_id || '|' || turn) AS id, session_id, turn, feedback AS feedback_label, 'kurang cocok' AS user_message, recommendation, 'pending_review' AS status FROM ({_chat_sql(True)}) WHERE response_type = 'feedback'""")
+def chat_feedback(spark, sf):
+    """Rows for review of the turns that gave feedback on a recommendation."""
+    return chat.feedback_rows(*_chat_run(spark, sf, True)).select("id", "session_id", "turn", "feedback_label", "user_message", "recommendation", "status")
+
+
 # Catalogues
 
 _PROFILES = {"fever": {"keywords": ["est", "the"], "context": "hot", "complaints": ["demam", "panas"]}, "cough": {"keywords": ["der", "une", "and"], "context": "", "complaints": ["batuk"]}}

@@ -1,3 +1,7 @@
+import json
+import random
+import time
+
 import pandas as pd
 import pytest
 
@@ -67,3 +71,58 @@ def test_stream_gives_the_same_in_any_batches(spark, tmp_path, files):
     assert got.count() == len(rows) and spark.read.parquet(str(tmp_path / "out" / "feedback")).count() == 1
     asked = chat.feedback_rows(spark.read.parquet(str(tmp_path / "in")), got).collect()
     assert [(r.session_id, r.feedback_label, r.user_message, r.recommendation, r.status) for r in asked] == [("plain", "not_helpful", "kurang cocok", "teh jahe", "pending_review")]
+
+
+def test_remembered_phrases_are_those_of_the_whole_text():
+    """Phrases across messages, denials and patterns count as if all that was said stood in one text."""
+    rng, facts = random.Random(4), chat.Facts()
+    words = ["tidak ada", "demam", "tinggi", "sesak", "sejak", "3", "hari", "ke", "mual", "nyeri", "hebat", "bukan", "dada", "selama", "kurang lebih dua puluh", "minggu", "tidak", "makin berat", "batuk", "darah"]
+    for _ in range(200):
+        session, said = chat.Session(), []
+        for _ in range(rng.randrange(1, 12)):
+            message = " ".join(rng.choices(words, k=rng.randrange(4)))
+            session.say(message, facts)
+            if message and (not said or said[-1] != message):
+                said.append(message)
+            session.notes = [chat._plain(chat.SAFETY_NOTE)] if rng.random() < 0.3 else []
+            assert session.everything(facts) == facts.known(" ".join((*said, *session.notes)))
+
+
+def test_state_is_as_large_as_the_lexicon():
+    facts, session = chat.Facts(), chat.Session()
+    for i in range(300):
+        session.say(f"saya demam tinggi hari ke {i}", facts)
+    assert len(session.tail.split()) <= facts.reach and len(session.known.seen) < 20
+
+
+def test_batch_gives_what_the_stream_gives(spark, tmp_path):
+    rows = [tuple(r.get(n) for n in NAMES) for turns in CASES.values() for r in turns] + [tuple(turn("plain", 7, None, event="clear")[n] for n in NAMES), tuple(turn("plain", 8, "saya mual")[n] for n in NAMES)]
+    spark.createDataFrame(rows, chat.TURN).coalesce(1).write.parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    chat.run_chat(spark.readStream.schema(chat.TURN).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "responses")).drop("batch")
+    key = lambda r: (r.session_id, r.turn)
+    assert sorted(got.collect(), key=key) == sorted(chat.chat_batch(table).collect(), key=key)
+    assert [(r.response_type, r.question_count) for r in sorted(got.where("session_id = 'plain' and turn > 6").collect(), key=key)] == [("cleared", 0), ("follow_up", 1)]
+
+
+def test_idle_sessions_close_and_leave_no_state(spark, tmp_path):
+    spark.createDataFrame([tuple(r[n] for n in NAMES) for r in (turn("a", 1, "saya mual"), turn("b", 1, "batuk"), turn("c", 1, None, event="clear"))], chat.TURN).coalesce(1).write.parquet(str(tmp_path / "in"))
+    client = json.dumps({"turns": [{"role": "user", "content": "saya mual sejak kemarin"}], "question_count": 2, "suspected_conditions": ["x"] * 5})
+    query = chat.run_chat(spark.readStream.schema(chat.TURN).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), idle_ms=1500, once=False)
+    try:
+        deadline, closed, most = time.time() + 90, set(), 0
+        while time.time() < deadline and (closed != {"a", "b"} or rows):
+            time.sleep(1)
+            progress = query.lastProgress
+            rows = progress["stateOperators"][0]["numRowsTotal"] if progress and progress["stateOperators"] else 1
+            most = max(most, rows)
+            if (tmp_path / "out" / "responses").exists():
+                closed = {r.session_id for r in spark.read.schema(chat.OUT).parquet(str(tmp_path / "out" / "responses")).where("response_type = 'closed'").collect()}
+    finally:
+        query.stop()
+    assert closed == {"a", "b"} and rows == 0
+    again = chat.restored(json.loads(client), chat.Facts())
+    assert (again.question_count, again.suspected, again.stage) == (2, ["x"] * 3, "initial") and "mual" in again.known.seen
+    late = chat.chat_batch(spark.createDataFrame([tuple(turn("d", 1, "tidak ada", client=client)[n] for n in NAMES)], chat.TURN)).first()
+    assert late.question_count == 3 and late.stage == "anamnesis_follow_up_3"
