@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import phrases
 from ..functions.signals import names_match
 from ..functions.text import any_phrase, clean_list, distinct_ci, normalize_key, null_if_blank
-from ..plans.session import row_numbers
+from ..plans.session import row_numbers, stored
 
 
 def _c(x) -> Column:
@@ -136,28 +136,20 @@ def better_preparation(current, name, contexts, margin: int = 35) -> Column:
     )
 
 
-def first_name_in(rows: DataFrame, names: DataFrame, text: str, name: str, order: str, key: str = "id") -> DataFrame:
-    """JN5: for each row the first name that is a substring of its text.
+def first_name_in(rows: DataFrame, names: DataFrame, text: str, name: str, order: str) -> DataFrame:
+    """JN5: each row with the first name, by `order`, that is a substring of its text; rows without any are left out.
 
-    Up to MAX_NAMES names are a literal list, searched in order by one pass over the rows; of more, those whose
-    first word the text has are compared, by a join on words.
+    All names are one automaton, which reads a text once however many there are (see functions/phrases.py); case
+    doesn't count. Of equal names the first counts, null and empty names match nothing; repeated rows stay. A
+    name's columns replace those of the same name.
     """
-    n = names.limit(MAX_NAMES + 1).count()
-    if n <= MAX_NAMES:
-        table = names.sparkSession.createDataFrame([[[r.asDict(True) for r in names.orderBy(order).collect()]]], T.StructType([T.StructField("_names", T.ArrayType(names.schema))]))
-        found = F.get(F.filter("_names", lambda x: F.contains(F.lower(F.col(text)), F.lower(x[name]))), 0)
-        return rows.crossJoin(F.broadcast(table)).withColumn("_found", found).where("_found is not null").select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names.columns])
-    # a name inside a text has its inner text inside words of it, so its first three characters are there
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.lower(F.substring(F.col(text), i, 3)))
-    parts = rows.select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
-    named = names.where(F.length(name) >= 3).withColumn("_gram", F.lower(F.substring(name, 1, 3)))
-    short = names.where(F.length(name) < 3)
-    near = parts.join(named, "_gram").drop("_gram").unionByName(rows.select(key).crossJoin(short))
-    return first_by_key(rows.join(near, key).where(F.contains(F.lower(F.col(text)), F.lower(F.col(name)))), [key], order)
-
-
-#: Names that first_name_in takes as a literal list.
-MAX_NAMES = 5_000
+    spark = rows.sparkSession
+    some = names.where(F.coalesce(F.length(name), F.lit(0)) > 0).withColumn("_low", F.lower(name))
+    ranked = some.groupBy("_low").agg(F.min(F.struct(F.col(order).alias("o"), F.struct(*names.columns).alias("x"))).alias("b"))
+    numbered = stored(row_numbers(ranked.select("_low", F.col("b.o").alias("_o"), F.col("b.x").alias("_x")), [F.col("_o"), F.col("_low")], "_rank"), "names")
+    hits = phrases.first_of(rows, F.lower(F.col(text)), phrases.automaton(numbered, "_low", "_rank"), "_rank").where("_rank is not null")
+    columns = [c for c in rows.columns if c not in names.columns]
+    return hits.join(numbered.select("_rank", "_x"), "_rank").select(*columns, *[F.col("_x")[c].alias(c) for c in names.columns])
 
 
 def applicable(rows: DataFrame, cases: DataFrame, ids: str = "applicable_case_ids", case_id: str = "case_id") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.signals import valid_chat
 from ..functions.text import clean_reply, dedupe_form, ensure_disclaimer, null_if_blank, squeeze, stable_hash
-from ..plans.session import checkpointed
+from ..plans.session import stored
+from .components import connected
 
 
 def _c(x) -> Column:
@@ -52,23 +53,15 @@ def leakage_keys(row_id, source_record_id, messages, index) -> Column:
 def key_components(pairs: DataFrame, row: str = "row_id", key: str = "key") -> DataFrame:
     """TRN2: (row, component): rows that share keys, directly or through others; component is the smallest row.
 
-    A key passes on the smallest label of its rows and a row takes the smallest of its keys, then the label of
-    its label; a key that many rows share costs one row for each of them, never pairs. Every round is
-    checkpointed; only the number of changes comes to the driver.
+    A row whose keys are all null is a component of its own; rows without id are left out. Every row of a key is
+    linked with the key's smallest row, so a key that many rows share costs one link for each of them, never pairs.
     """
-    pairs = checkpointed(pairs.select(row, key).where(F.col(key).isNotNull()).distinct())
-    labels = pairs.select(row, F.col(row).alias("component")).distinct()
-    while True:
-        low = pairs.join(labels, row).groupBy(key).agg(F.min("component").alias("m"))
-        best = pairs.join(low, key).groupBy(row).agg(F.min("m").alias("m"))
-        of = labels.select(F.col(row).alias("m"), F.col("component").alias("jump"))
-        new = labels.join(best, row, "left").select(row, "component", F.least("component", "m").alias("m"))
-        new = new.join(of, "m", "left").select(row, F.col("component").alias("before"), F.least("m", "jump").alias("component"))
-        new = checkpointed(new)
-        changed = new.where("before <> component").limit(1).count()
-        labels = new.select(row, "component")
-        if not changed:
-            return labels
+    pairs = stored(pairs.select(row, key).where(F.col(row).isNotNull()).distinct(), "pairs")
+    low = pairs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("a"))
+    links = pairs.join(low, key).select("a", F.col(row).alias("b"))
+    found = connected(links)
+    rows = pairs.select(row).distinct()
+    return rows.join(found.withColumnRenamed("id", row), row, "left").select(row, F.coalesce("component", row).alias("component"))
 
 
 def group_split(rows: DataFrame, group: str, seed: int = 42, valid: float = 0.08, test: float = 0.08) -> DataFrame:

@@ -14,12 +14,15 @@ from ..functions import dataset_wording as generated
 from ..functions import parsing, scoring, signals, text, wording
 from ..functions.lexicon import DEFAULT
 from ..operators import bundle, catalogs, curate, datasets, dialogue, replies, split
+from ..operators.components import connected, grown
 from ..operators.retrieval import TfidfIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import knowledge, sinks
 from ..streaming import chat
-from .catalog import seeded, table
+from . import oracle
+from .catalog import _keys, seeded, table
 from .oracle import _CLEARED, _DETAIL, _FEEDBACK, _MARKS, _RUNNING, _SEEDED, _TEMPERATURE, _duration, _marked, any_of, norm, q, squeeze, stable_hash, tokens
-from .session import work_folder
+from .session import stored, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,6 +102,38 @@ def vector_upsert(spark, sf):
     return sinks.read_vectors(spark, path)
 
 
+@query("""WITH v AS (SELECT 'vec-' || vec_id AS key, CASE WHEN vec_id % 5 = 0 THEN list_reverse(CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+    s AS (SELECT 'q-' || a.vec_id AS query, b.key, round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), b.e))), 4) AS score FROM embeddings a, v b WHERE a.vec_id % 100 = 0)
+    SELECT query, key, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def stored_vector_search(spark, sf):
+    """A stored index with text keys, filled in two batches of which the second replaces a fifth of the vectors; up to 2,000 vectors lie in one list, so it is exact."""
+    path, e = work_folder(spark, "index"), table(spark, sf, "embeddings")
+    v = e.select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "vec_id")
+    index = VectorIndex.create(v.drop("vec_id"), path)
+    index.insert(v.where("vec_id % 5 = 0").select("id", F.reverse("embedding").alias("embedding")))
+    asked = v.where("vec_id % 100 = 0").select(F.regexp_replace("id", "^vec", "q").alias("query"), "embedding")
+    return VectorIndex(spark, path).search_vectors(asked, 10).drop("tokens")
+
+
+@query("""SELECT printf('doc_%04d', row_number() OVER (ORDER BY doc_id)) AS id, row_number() OVER (ORDER BY doc_id) AS ord, coalesce(text, '') AS overview FROM documents""")
+def line_ids(spark, sf):
+    """Records without ids get their line's number, and all of them an order, from one file that is read in blocks."""
+    path = work_folder(spark, "lines")
+    table(spark, sf, "documents").coalesce(1).sortWithinPartitions("doc_id").select(F.col("text").alias("overview")).write.option("ignoreNullFields", "false").json(path)
+    return knowledge.read_records(spark, f"{path}/*.json", "id overview", "", "doc").select("id", "ord", "overview")
+
+
+@query(oracle.SQL["leakage_components"])
+def grown_components(spark, sf):
+    """Components of half of the links, to which the other half is added."""
+    pairs = _keys(spark, sf)
+    low = pairs.groupBy("key").agg(F.min("row_id").alias("a"))
+    links = pairs.join(low, "key").select("a", F.col("row_id").alias("b"))
+    labels = stored(connected(links.where("b % 2 = 0")), "labels")
+    found = grown(labels, links.where("b % 2 = 1"))
+    return pairs.select("row_id").distinct().join(found, F.col("row_id") == F.col("id"), "left").select(F.col("row_id").alias("doc_id"), F.coalesce("component", "row_id").alias("component"))
+
+
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM pages) AS pages, 'x' AS note")
 def manifest_round_trip(spark, sf):
     path = work_folder(spark, "manifest")

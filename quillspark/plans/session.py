@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,6 +31,23 @@ def session(app: str = "quillspark", master: str | None = None, **conf) -> Spark
     return b.getOrCreate()
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings for what is started inside, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+#: A query that ends when all has been read must not go on with batches that fire timers only.
+ENDS = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset, a temporary folder on a local master; on a cluster executors could not see one, so an error is raised."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,15 +79,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """`df` as a table in the shared folder: its lineage is cut, and several uses compute it once."""
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quill_path = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+def unstored(df: DataFrame) -> None:
+    """Deletes a table of stored() that nothing reads any more."""
+    _remove(df.sparkSession, df._quill_path)
 
 
 def row_numbers(rows: DataFrame, order: list, name: str, buckets: int = 512) -> DataFrame:
@@ -78,8 +96,8 @@ def row_numbers(rows: DataFrame, order: list, name: str, buckets: int = 512) ->
     before, so no task sorts all rows.
     """
     keyed = rows.withColumn("_k", F.struct(*order))
-    # checkpointed: range bounds come from a sample, and a second evaluation could draw others
-    dealt = checkpointed(keyed.repartitionByRange(buckets, "_k").withColumn("_p", F.spark_partition_id()))
+    # stored: range bounds come from a sample, and a second evaluation could draw others
+    dealt = stored(keyed.repartitionByRange(buckets, "_k").withColumn("_p", F.spark_partition_id()), "dealt")
     inside = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy("_k")))
     counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,28 +63,53 @@ def _listed(data: Column, name: str) -> Column:
     return F.coalesce(trimmed, F.when(text.isNotNull(), split_list(text)), F.array().cast("array<string>"))
 
 
+def numbered_lines(lines: DataFrame, valid: Column) -> DataFrame:
+    """(file, line, ord, value): lines of text files with their numbers, from 0, in their file, and the valid ones alone with theirs, from 1, over all files.
+
+    lines: value, file and block, where a block is a split of a file, so a large file is read by many tasks. Rows are
+    numbered inside their block as they are read and moved up by the lines of the blocks before; of each block
+    only two counts meet in one task.
+    """
+    marked = lines.withColumn("valid", F.coalesce(valid, F.lit(False)))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict = {}
+        for b in batches:
+            file, block, ok = (b.column(c).to_pylist() for c in ("file", "block", "valid"))
+            line, place = [], []
+            for f, k, v in zip(file, block, ok):
+                n, m = counts.get((f, k), (0, 0))
+                line.append(n)
+                place.append(m + 1)
+                counts[f, k] = n + 1, m + v
+            yield pa.record_batch([b.column("file"), b.column("block"), b.column("value"), b.column("valid"), pa.array(line, pa.int64()), pa.array(place, pa.int64())], names=["file", "block", "value", "valid", "line", "ord"])
+
+    inside = marked.select("file", "block", "value", "valid").mapInArrow(number, "file string, block long, value string, valid boolean, line long, ord long").where("valid")
+    counts = marked.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("m"))
+    above = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("file", "block", F.coalesce(F.sum("n").over(above.partitionBy("file")), F.lit(0)).alias("lines"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("rows"))
+    return inside.join(before, ["file", "block"]).select("file", (F.col("line") + F.col("lines")).alias("line"), (F.col("ord") + F.col("rows")).alias("ord"), "value")
+
+
 def read_records(spark: SparkSession, path: str, texts: str, lists: str, prefix: str | None = None, defaults: dict[str, str] | None = None) -> DataFrame:
     """SRC4, SRC5: records of JSON-lines files with defaults; lists may be texts. ord is the order by file and line.
 
-    A record without id gets `{prefix}_{line:04d}`, or the file's name in place of the prefix. Lines keep their
-    order inside a file because each file is one split: the catalogues are small.
+    A record without id gets `{prefix}_{line:04d}`, or the file's name in place of the prefix. Blank lines and lines
+    that are no JSON count as lines but give no record.
     """
     columns = ["id"] + [c for c in texts.split() if c != "id"]
     if not exists(spark, path):
         return spark.createDataFrame([], _schema(" ".join(columns), lists).add("ord", T.LongType()))
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    raw = raw.where(F.trim("value") != "").withColumn("data", F.try_parse_json("value")).where("data is not null")
-    stem = F.regexp_replace(F.regexp_replace("file", r"\.jsonl?$", ""), r"^.*/", "") if prefix is None else F.lit(prefix)
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    raw = numbered_lines(lines, (F.trim("value") != "") & F.try_parse_json("value").isNotNull()).withColumn("data", F.try_parse_json("value"))
+    # a path has its special characters coded
+    name = F.url_decode(F.replace(F.regexp_replace("file", r"^.*/", ""), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_replace(name, r"\.jsonl?$", "") if prefix is None else F.lit(prefix)
     def text(name: str) -> Column:
         default = F.format_string("%s_%04d", stem, F.col("line") + 1) if name == "id" else F.lit((defaults or {}).get(name, ""))
         return F.coalesce(F.nullif(F.try_variant_get("data", f"$.{name}", "string"), F.lit("")), default)
 
-    rows = raw.select(*[text(c).alias(c) for c in columns], *[_listed(F.col("data"), c).alias(c) for c in lists.split()], "file", "line")
-    # numbered inside each file, then moved up by the files before; only the list of files meets in one task
-    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("file", F.coalesce(F.sum("_n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_inside", F.row_number().over(W.partitionBy("file").orderBy("line")))
-    return inside.join(F.broadcast(before), "file").withColumn("ord", F.col("_inside") + F.col("_before")).drop("file", "line", "_inside", "_before")
+    return raw.select(*[text(c).alias(c) for c in columns], *[_listed(F.col("data"), c).alias(c) for c in lists.split()], "ord")
 
 
 def training_records(spark: SparkSession, path: str) -> DataFrame:

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import io
 import itertools
+import json
 import re
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import stored, unstored
+from .files import files, remove
+
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     """SNK1: appends rows; the folder is made if it isn't there."""
@@ -40,41 +46,97 @@ def manifest(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def upsert_vectors(new: DataFrame, path: str, key: str = "id") -> None:
-    """SNK6: new rows replace those of the same key, all others stay.
+#: Hash buckets of a new vector table.
+BUCKETS = 64
+
+
+def upsert_vectors(new: DataFrame, path: str, key: str = "id", buckets: int = BUCKETS) -> None:
+    """SNK6: new rows replace those of the same key, all others stay; one row a key.
 
-    Each write makes a new version beside the old one, then a marker file that names it; read_vectors() reads the
-    version of the newest marker, so a crash at any point leaves the old or the new table whole. The version
-    before stays for readers that are still at it, older ones go.
+    Of new rows with one key the greatest counts, by the columns in their order; rows without key are left out. The
+    table lies in hash buckets of the key, and a manifest names each bucket's folder: only the buckets that new
+    rows fall into are written anew, the others keep their files. The new manifest takes the next number, which
+    only one writer can get: who comes second merges again with what the first has written. Readers follow the
+    newest manifest, so a crash at any point leaves the old or the new table whole; what the manifest before names stays for
+    readers that are still at it, and what only older ones named goes.
     """
     spark = new.sparkSession
-    old = _versions(spark, path)
-    if old:
-        before = spark.read.schema(new.schema).parquet(f"{path}/v{old[-1]}")
-        new = before.join(new, key, "left_anti").unionByName(new)
-    number = old[-1] + 1 if old else 1
-    new.write.mode("overwrite").parquet(f"{path}/v{number}")  # left over only if an earlier write of this version broke off
-    fs, at = _files(spark, f"{path}/v{number}.done")
-    fs.create(at, True).close()
-    for n in old[:-1]:
-        for name in (f"{path}/v{n}.done", f"{path}/v{n}"):
-            fs.delete(_files(spark, name)[1], True)
+    others = [c for c in new.columns if c != key]
+    one = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*others)).alias("_x")).select(*[F.col(key) if c == key else F.col("_x")[c].alias(c) for c in new.columns])
+    while True:
+        number, table = _manifest(spark, path)
+        n = table["buckets"] if table else buckets
+        rows = stored(one.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), "upsert")
+        touched = sorted(r["_bucket"] for r in rows.select("_bucket").distinct().collect())  # at most as many as buckets
+        folders = dict(table["folders"]) if table else {}
+        old = [folders[str(b)] for b in touched if str(b) in folders]
+        merged = rows
+        if old:
+            before = spark.read.schema(new.schema).parquet(*[f"{path}/{f}" for f in old])
+            merged = before.join(rows.select(key), key, "left_anti").withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).unionByName(rows)
+        if touched:
+            name = f"data-{uuid.uuid4().hex}"
+            merged.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{name}")
+            folders |= {str(b): f"{name}/_bucket={b}" for b in touched}
+        unstored(rows)
+        if _commit(spark, path, number + 1, {"buckets": n, "folders": folders}):
+            break
+    _forget(spark, path, number)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
-    """SNK6: the newest whole version of a table, or None."""
-    found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
-
-
-def _files(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, at = _files(spark, f"{path.rstrip('/')}/v*.done")
-    return sorted(int(s.getPath().getName()[1:-5]) for s in fs.globStatus(at) or [])
+    """SNK6: the newest whole state of a table, or None."""
+    _, table = _manifest(spark, path)
+    return spark.read.parquet(*[f"{path}/{f}" for f in table["folders"].values()]) if table and table["folders"] else None
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    fs, at = files(spark, f"{path.rstrip('/')}/manifest-*.json")
+    return sorted(int(s.getPath().getName()[9:-5]) for s in fs.globStatus(at) or [])
+
+
+def _manifest(spark: SparkSession, path: str, number: int | None = None) -> tuple[int, dict | None]:
+    """The number and content of a manifest, the newest one if none is named; 0 and None where there is none."""
+    found = _manifests(spark, path)
+    if not found:
+        return 0, None
+    number = number or found[-1]
+    fs, at = files(spark, f"{path}/manifest-{number}.json")
+    stream = fs.open(at)
+    try:
+        return number, json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, path: str, number: int, table: dict) -> bool:
+    """Writes a manifest beside its place and moves it there; False where another writer was first."""
+    fs, draft = files(spark, f"{path}/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(json.dumps(table).encode())
+    out.close()
+    _, place = files(spark, f"{path}/manifest-{number}.json")
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(place).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        # without the option to overwrite, it fails where the place is taken
+        context.rename(fs.makeQualified(draft), fs.makeQualified(place), spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        return True
+    except Py4JJavaError as error:
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in str(error.java_exception):
+            return False
+        raise
+
+
+def _forget(spark: SparkSession, path: str, keep_from: int) -> None:
+    """Deletes manifests before a number, and the folders that no later one names."""
+    found = _manifests(spark, path)
+    kept = {f for n in found if n >= keep_from for f in _manifest(spark, path, n)[1]["folders"].values()}
+    for n in found:
+        if n < keep_from:
+            gone = set(_manifest(spark, path, n)[1]["folders"].values()) - kept
+            remove(spark, *[f"{path}/{f}" for f in gone], f"{path}/manifest-{n}.json")
 
 
 #: Sheets of a workbook and their columns.
@@ -110,7 +172,7 @@ def workbook(sheets: dict[str, DataFrame], path: str) -> None:
         book.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         book.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
         book.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(names))) + "</Relationships>")
-    fs, at = _files(spark, path)
+    fs, at = files(spark, path)
     out = fs.create(at, True)
     out.write(raw.getvalue())
     out.close()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import normalize
-from ..plans.session import work_folder
+from ..plans.session import ENDS, settings, work_folder
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
@@ -51,23 +51,29 @@ def captured(spark: SparkSession, path: str) -> DataFrame:
     return counts.join(waiting, "conv_id", "left").na.fill(0, ["pending"])
 
 
+#: Milliseconds after which the state of an idle session goes.
+IDLE_MS = 6 * 3600 * 1000
 _STATE = "turns bigint, questions bigint, users bigint"
 _OUT = "conv_id bigint, turns bigint, questions bigint, users bigint, completed boolean"
 
 
 def _session(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     turns, questions, users = state.get if state.exists else (0, 0, 0)
     for f in frames:
         turns += len(f)
         users += int((f["role"] == "user").sum())
         questions += int(((f["role"] == "assistant") & f["text"].fillna("").str.strip().str.endswith("?")).sum())
     state.update((turns, questions, users))
+    state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame([(key[0], turns, questions, users, min(questions, 3) >= 3)], columns=["conv_id", "turns", "questions", "users", "completed"])
 
 
 def session_states(turns: DataFrame) -> DataFrame:
-    """ST1, ST4: a snapshot of the counts of a session for each batch that has turns of it."""
-    return turns.groupBy("conv_id").applyInPandasWithState(_session, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """ST1, ST4: a snapshot of the counts of a session for each batch that has turns of it; the state of a session without turns for IDLE_MS goes."""
+    return turns.groupBy("conv_id").applyInPandasWithState(_session, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def session_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +83,8 @@ def session_counts(spark: SparkSession, path: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/batch={number}")
 
-    q = session_states(turn_stream(spark, path)).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+    with settings(spark, ENDS):
+        q = session_states(turn_stream(spark, path)).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.read.parquet(f"{work}/out")
     last = rows.groupBy("conv_id").agg(F.max_by(F.struct("turns", "questions", "users", "completed"), "number").alias("s"))

@@ -25,6 +25,7 @@ from ..functions import signals
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.signals import DUPLICATE, FEVER_NOTE, FEVER_TERMS, NEGATIVE_ANSWERS, SAFETY_NOTE, SAFETY_TERMS, SUPPORT, normalize_literal
 from ..functions.text import normalize
+from ..plans.session import ENDS, settings
 
 MAX_QUESTIONS = 3
 REMEMBERED = 8
@@ -398,8 +399,7 @@ def feedback_rows(turns: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-#: Settings of a query: where the state is, and whether batches without rows, which only fire timers, go on for ever.
-_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+_ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def run_chat(turns: DataFrame, out: str, checkpoint: str, lexicon: Lexicon = DEFAULT, clients: DataFrame | None = None, idle_ms: int = IDLE_MS, ttl_ms: int = TTL_MS, once: bool = True):
@@ -415,14 +415,6 @@ def run_chat(turns: DataFrame, out: str, checkpoint: str, lexicon: Lexicon = DEF
         told.write.mode("overwrite").parquet(f"{out}/feedback/batch={number}")
         batch.unpersist()
 
-    conf = turns.sparkSession.conf
-    wanted = dict(list(_SETTINGS.items())[: 2 if once else 1])
-    before = {k: conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            conf.set(k, v)
+    with settings(turns.sparkSession, _ROCKSDB | (ENDS if once else {})):
         made = chat(turns, lexicon, clients, idle_ms, ttl_ms).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
         return made.trigger(availableNow=True).start() if once else made.trigger(processingTime="1 second").start()
-    finally:
-        for k, v in before.items():
-            conf.set(k, v) if v is not None else conf.unset(k)

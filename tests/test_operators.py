@@ -1,10 +1,14 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import phrases
 from quillspark.operators import curate, dialogue, retrieval, split
+from quillspark.operators.components import connected, grown
+from quillspark.plans.session import stored
 
 
 def brute_tfidf(docs, queries, k):
@@ -90,7 +94,20 @@ def test_components_with_a_hub(spark):
             a, b = root(seen.setdefault(key, row)), root(row)
             parent[max(a, b)] = min(a, b)
     got = split.key_components(spark.createDataFrame(pairs, "row_id long, key string")).collect()
-    assert {r.row_id: r.component for r in got} == {x: root(x) for x in parent}
+    # the row whose key is null is a component of its own
+    assert {r.row_id: r.component for r in got} == {x: root(x) for x in parent} | {500: 500}
+
+
+def test_components_grow_by_batches(spark):
+    rng = random.Random(2)
+    links = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(260)] + [("x", "x"), (None, "y"), ("z", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    labels = connected(frame(links[:150]))
+    for i in (150, 200, 240):
+        labels = grown(stored(labels), frame(links[i : i + (50 if i == 150 else 40)]))
+    assert rows(labels) == rows(connected(frame(links)))
+    assert connected(frame([])).count() == 0 and rows(grown(connected(frame([])), frame(links[:20]))) == rows(connected(frame(links[:20])))
 
 
 def test_group_split_fills_whole_groups(spark):
@@ -212,11 +229,21 @@ def test_vector_topk_leaves_out_unusable_vectors(spark, monkeypatch):
     assert {(r.query, r.key, r.score) for r in retrieval.vector_topk(v, q, 5).collect()} == want
 
 
-def test_first_name_in_is_the_same_for_many_names(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, "teh JAHE dan madu"), (2, "x"), (3, None), (4, "kunyit"), (5, "ab")], "id int, text string")
-    names = spark.createDataFrame([(1, "kunyit"), (2, "madu"), (3, "jahe"), (4, "ab")], "o int, name string")
-    got = lambda: {(r.id, r.name) for r in curate.first_name_in(rows, names, "text", "name", "o").collect()}
-    want = {(1, "madu"), (4, "kunyit"), (5, "ab")}
-    assert got() == want
-    monkeypatch.setattr(curate, "MAX_NAMES", 1)
-    assert got() == want
+def test_first_name_in_any_number_of_names(spark, monkeypatch):
+    rows = [(1, "teh JAHE dan madu"), (1, "teh JAHE dan madu"), (None, "kunyit"), (3, None), (4, "kunyit"), (5, "ab"), (6, "nothing")]
+    names = [(1, "kunyit"), (2, "madu"), (3, "jahe"), (4, "ab"), (5, "madu"), (6, ""), (7, None), (0, "zz")] + [(100 + i, f"name{i}") for i in range(3000)]
+    want = [(None, "kunyit", 1), (1, "madu", 2), (1, "madu", 2), (4, "kunyit", 1), (5, "ab", 4)]
+    for most in (500_000, 7):
+        monkeypatch.setattr(phrases, "MAX_PHRASES", most)
+        some = names if most > 7 else names[:20]
+        got = curate.first_name_in(spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame(some, "o int, name string"), "text", "name", "o")
+        assert sorted(((r.id, r.name, r.o) for r in got.collect()), key=lambda r: (r[0] is not None, r)) == want
+
+
+def test_all_phrases_by_one_automaton(spark):
+    known = [(i, p) for i, p in enumerate(("he", "she", "hers", "his", "ers", "x"))]
+    automata = phrases.automaton(spark.createDataFrame(known, "n int, p string"), "p", "n")
+    got = phrases.all_of(spark.createDataFrame([("ushers",), ("",), (None,), ("this he",)], "t string"), F.col("t"), automata, "found").collect()
+    assert [r.found for r in got] == [[0, 1, 2, 4], [], None, [0, 3]]
+
+

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from quillspark.operators.retrieval import TfidfIndex
@@ -55,14 +57,71 @@ def test_sinks(spark, tmp_path):
     sinks.upsert_vectors(spark.createDataFrame([("b", 2), ("c", 2)], "id string, v int"), str(tmp_path / "vec"))
     got = lambda: {(r.id, r.v) for r in sinks.read_vectors(spark, str(tmp_path / "vec")).collect()}
     assert got() == {("a", 1), ("b", 2), ("c", 2)} and sinks.read_vectors(spark, str(tmp_path / "none2")) is None
-    # a write that broke off before its marker is not seen, and is written over
-    (tmp_path / "vec" / "v3").mkdir()
-    (tmp_path / "vec" / "v3" / "part-0.parquet").write_text("broken")
-    assert got() == {("a", 1), ("b", 2), ("c", 2)}
-    for n in (3, 4):
-        sinks.upsert_vectors(spark.createDataFrame([("c", n)], "id string, v int"), str(tmp_path / "vec"))
-    assert got() == {("a", 1), ("b", 2), ("c", 4)}
-    assert sorted(p.name for p in (tmp_path / "vec").glob("v*") if p.is_dir()) == ["v3", "v4"]
+
+
+def _table(spark, path):
+    return {(r.id, r.v) for r in sinks.read_vectors(spark, path).collect()}
+
+
+def test_upserts_rewrite_touched_buckets_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/vec"
+    frame = lambda rows: spark.createDataFrame(rows, "id string, v int")
+    assert sinks.read_vectors(spark, path) is None
+    sinks.upsert_vectors(frame([(f"k{i}", i) for i in range(200)]), path, buckets=16)
+    files = lambda: {p.name for p in (tmp_path / "vec").rglob("part-*.parquet")}
+    named = lambda: set(sinks._manifest(spark, path)[1]["folders"].values())
+    before, first = named(), files()
+    # repeated keys: the greatest row counts; rows without key are left out
+    sinks.upsert_vectors(frame([("k3", -5), ("k3", 900), ("k3", None), (None, 1), (None, 2)]), path)
+    want = {(f"k{i}", i) for i in range(200)} - {("k3", 3)} | {("k3", 900)}
+    assert _table(spark, path) == want and len(before & named()) == 15 and first <= files()
+    sinks.upsert_vectors(frame([]), path)
+    sinks.upsert_vectors(frame([("new", 1)]), path)
+    assert _table(spark, path) == want | {("new", 1)}
+    # what only older manifests named is gone, and a crash before the manifest leaves nothing to be seen
+    assert sorted(p.name for p in (tmp_path / "vec").glob("manifest-*")) == ["manifest-3.json", "manifest-4.json"]
+    (tmp_path / "vec" / "data-broken").mkdir()
+    assert _table(spark, path) == want | {("new", 1)}
+
+
+def test_two_writers_lose_no_rows(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/vec"
+    frame = lambda rows: spark.createDataFrame(rows, "id string, v int")
+    sinks.upsert_vectors(frame([("a", 1), ("b", 1)]), path, buckets=1)
+    commit, other = sinks._commit, []
+
+    def late(*given):
+        if not other:  # another writer is done between this one's reading and its commit
+            other.append(1)
+            sinks.upsert_vectors(frame([("b", 2), ("c", 2)]), path)
+        return commit(*given)
+
+    monkeypatch.setattr(sinks, "_commit", late)
+    sinks.upsert_vectors(frame([("a", 3), ("d", 3)]), path)
+    assert _table(spark, path) == {("a", 3), ("b", 2), ("c", 2), ("d", 3)}
+
+
+def test_lines_of_a_file_that_many_tasks_read(spark, tmp_path):
+    lines = [json.dumps({"title": f"t{i}"}) if i % 7 else ["", "  ", "no json", '{"id": "given", "title": "t"}'][i % 4] for i in range(900)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b+c.jsonl").write_text("\r\n".join(lines))
+    (tmp_path / "in" / "b.jsonl").write_text("\n".join(lines[:50]) + "\n")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in was:
+            spark.conf.set(k, "600b")
+        got = K.training_records(spark, f"file://{tmp_path}/in/*.jsonl")
+        tasks = spark.read.text(f"file://{tmp_path}/in").rdd.getNumPartitions()
+        rows = got.orderBy("ord").select("ord", "id", "title").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    want = []
+    for name, some in (("a b+c", lines), ("b", lines[:50])):
+        for i, line in enumerate(some):
+            if line.strip() and line != "no json":
+                want.append((len(want) + 1, json.loads(line).get("id", f"{name}_{i + 1:04d}"), json.loads(line)["title"]))
+    assert tasks > 20 and [tuple(r) for r in rows] == want
 
 
 def test_workbook(spark, tmp_path, monkeypatch):
