@@ -9,7 +9,11 @@ all of its pages. The wrapper decides which of its slots belong to the article;
 
 A text is constant if at least `COMMON_PAGES` pages of the host whose longest other texts differ have it below the same
 elements, and at least half of those that have any text there. Constant texts are tokens of their
-own, so they are no article, wherever they stand, unless they make up nearly all of a template's text.
+own, so they are no article, unless they make up nearly all of a template's text, or are long and stand among the
+article's own slots on fewer than `EVERYWHERE` of the pages.
+
+Class words alone drop nothing below an article: what they mark goes where the wrapper bears them out, because it
+is missing on some pages, holds far less text than the article, or is a repeated group of containers.
 """
 
 from __future__ import annotations
@@ -35,17 +39,21 @@ BOILERPLATE = frozenset("nav header footer aside form button select menu dialog
 MAIN = ("article", "main")
 #: Elements that no class, id or role marks.
 UNMARKED = frozenset(("html", "body", *MAIN))
-#: Tokens of class, id or role of an element that is not part of the article, unless it holds the article; also as the first or last part of a compound.
+#: Tokens of class, id or role of an element that is not part of the article, unless it holds the article; also in a compound with others of them or with NEUTRAL parts.
 MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer header legal login masthead menu nav navbar navigation newsletter notice overlay pager pagination popup promo promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
-#: Parts of a compound token that tell of an element around or without such a thing.
-BESIDE = frozenset("content free has layout main no open page with without wrapper".split())
+#: Parts of a compound token that say nothing of what the element is.
+NEUTRAL = frozenset("area bar block bottom box container global group inner item items link links list panel section site slot top unit widget wrap".split())
+#: Tokens of an element that can be a part of an article too, and counts as none only where it is a repeated group of containers, such as the posts of readers.
+WEAK = frozenset("discussion discussions feedback forum guestbook posts responses reviews talkback thread".split())
+#: Tokens of an inline element whose text is no part of its paragraph.
+ADVERTS = frozenset("ad ads advert advertisement advertising promo sponsor sponsored".split())
 #: Elements that a new block closes implicitly, by the new element's name.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w:.-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_BARE = re.compile(r"[^.!?]*")
+_BARE = re.compile(r"[^.!?~]*")
 _NAME = re.compile(r"[a-z]+")
 _PART = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
@@ -67,28 +75,34 @@ def _bare(element: str) -> str:
 
 def _marks(token: str) -> bool:
     """Whether a class, id or role tells of something beside the article."""
-    parts = _PART.split(token)
-    return token in MARKS or (len(parts) > 1 and (parts[0] in MARKS or parts[-1] in MARKS) and BESIDE.isdisjoint(parts))
+    parts = set(_PART.split(token))
+    return token in MARKS or (parts <= MARKS | NEUTRAL and not MARKS.isdisjoint(parts - {"widget"}))
 
 
 def _element(name: str, attributes: str) -> str:
-    """An element as the wrapper sees it: its name, ! if it is hidden, ? if its class, id or role marks it as no article, and its class words."""
+    """An element as the wrapper sees it: its name, ! if it is hidden, ? if its class, id or role marks it as no article, ~ if a weak token does, and its class words."""
     if not attributes or attributes.isspace():
         return name
-    words, hidden, marked = [], False, False
+    words, hidden, marked, weak = [], False, False, False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
             marked |= name not in UNMARKED and any(map(_marks, value.split()))
+            weak |= name not in UNMARKED and not WEAK.isdisjoint(value.split())
             if key == "class" and name not in ("html", "body"):
                 words += _NAME.findall(value)
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
-    return name + "!" * hidden + "?" * marked + "".join(f".{w}" for w in words)
+    return name + "!" * hidden + "?" * marked + "~" * weak + "".join(f".{w}" for w in words)
+
+
+def _advert(attributes: str) -> bool:
+    """Whether an inline element is an advert."""
+    return "class" in attributes.lower() and any(k.lower() == "class" and not ADVERTS.isdisjoint(v.strip("\"'").lower().split()) for k, v in _ATTRIBUTE.findall(attributes))
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The non-empty text blocks of a page, in order; scripts, styles, comments and markup are gone."""
+    """The non-empty text blocks of a page, in order; scripts, styles, comments, markup and inline adverts are gone."""
     page = page or ""
     out: list[Block] = []
     stack: list[str] = []
@@ -138,6 +152,8 @@ def blocks(page: str | None) -> list[Block]:
                 text.append(" ")
             continue
         if name in INLINE:
+            if name not in VOID and m[3] and _advert(m[3]):
+                at = _beyond(page, name, at)
             continue
         flush()
         if name in VOID or m[3].rstrip().endswith("/"):
@@ -157,8 +173,29 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+def _beyond(page: str, name: str, at: int) -> int:
+    """Where an inline element ends that has begun before `at`; `at` itself if it doesn't end before the next block."""
+    depth, here = 1, at
+    while m := _TOKEN.search(page, here):
+        here = m.end()
+        if not m[2]:
+            continue
+        other = m[2].lower()
+        if other not in INLINE and other not in VOID and other not in RAW:
+            return at
+        if other == name and not m[3].rstrip().endswith("/"):
+            depth += -1 if m[1] else 1
+            if not depth:
+                return here
+    return at
+
+
 #: Pages with different main blocks that must have a text before it counts as constant.
-COMMON_PAGES = 3
+COMMON_PAGES = 2
+#: A text on so large a share of a template's pages is no part of an article even among its slots; shorter texts than this many characters need not be so frequent.
+EVERYWHERE, NOTICE_CHARS = 0.9, 80
+#: What is marked below an article and holds less than this share of its text per page is no part of it.
+BESIDE = 0.25
 #: So many of a page's longest other texts tell whether two pages that share a text are copies.
 MAIN_TEXTS = 3
 #: Constant texts that hold more than this share of a template's text are its article: its pages are near copies.
@@ -330,7 +367,8 @@ class Wrapper:
         paths = [n[0].split(_CONSTANT)[0].split("/") for n in self.nodes]
         fixed = [_CONSTANT in n[0] for n in self.nodes]
         size = [n[3] * n[2] for n in self.nodes]
-        seen = [not any("!" in e or _bare(e) in BOILERPLATE for e in p) for p in paths]
+        posts = self._posts(paths)
+        seen = [not any("!" in e or _bare(e) in BOILERPLATE for e in p) and not any(tuple(p[: i + 1]) in posts for i in range(len(p))) for p in paths]
         marked = [[tuple(p[: i + 1]) for i, e in enumerate(p) if "?" in e and not any(_bare(x) in MAIN for x in p[i + 1 :])] for p in paths]
         open_ = [o and not m for o, m in zip(seen, marked)]
 
@@ -341,7 +379,12 @@ class Wrapper:
             return [k and not f for k, f in zip(inside, fixed)]
 
         for name in MAIN:
-            inside = without_constants([o and any(_bare(e) == name for e in p) for o, p in zip(open_, paths)])
+            below = [o and any(_bare(e) == name for e in p) for o, p in zip(seen, paths)]
+            aside = self._aside(below, marked, size, fixed)
+            inside = [k and not any(e in aside for e in ms) for k, ms in zip(below, marked)]
+            own = {tuple(p) for p, k, f in zip(paths, inside, fixed) if k and not f}
+            prose = [f and k and tuple(p) in own and n[2] < EVERYWHERE * self.pages and n[3] >= NOTICE_CHARS for f, k, p, n in zip(fixed, inside, paths, self.nodes)]
+            inside = [a or b for a, b in zip(without_constants(inside), prose)]
             if any(inside):
                 return inside
         mass = [s * (o and not f) for s, o, f in zip(size, seen, fixed)]
@@ -367,6 +410,23 @@ class Wrapper:
         return without_constants([o and tuple(p[: len(best)]) == best for o, p in zip(open_, paths)])
 
 
+    def _posts(self, paths: list[list[str]]) -> set[tuple]:
+        """Weakly marked elements that are a repeated group of containers."""
+        return {tuple(p[: i + 1]) for n, p in zip(self.nodes, paths) if n[1] == 2 for i, e in enumerate(p[:-1]) if "~" in e and i + 2 <= len(p) - 1}
+
+    def _aside(self, below: list[bool], marked: list[list[tuple]], size: list[float], fixed: list[bool]) -> set[tuple]:
+        """Marked elements below an article that the wrapper bears out as no part of it."""
+        plain = sum(s for s, k, ms, f in zip(size, below, marked, fixed) if k and not ms and not f)
+        out = set()
+        for e in {e for k, ms in zip(below, marked) if k for e in ms}:
+            at = [i for i, (k, ms) in enumerate(zip(below, marked)) if k and e in ms]
+            missing = max(self.nodes[i][2] for i in at) < EVERYWHERE * self.pages
+            group = any(self.nodes[i][1] == 2 and len(self.nodes[i][0].split(_CONSTANT)[0].split("/")) >= len(e) + 2 for i in at)
+            if missing or group or sum(size[i] for i in at if not fixed[i]) < BESIDE * plain:
+                out.add(e)
+        return out
+
+
 class Extractor:
     """Matches pages with the wrapper of their template; pages of one shape are aligned once."""
 

@@ -341,6 +341,54 @@ def test_html_compound_marks(frame):
     assert texts_of(frame, rows) == {i: f"Text {i} of the article here" for i in range(4)}
 
 
+def story(i: int, k: int = 3) -> str:
+    return "".join(f"<p>Story {i} goes on in part {j} with a sentence of {i * 7 + j} words.</p>" for j in range(k))
+
+
+def story_text(i: int, k: int = 3) -> str:
+    return "\n".join(f"Story {i} goes on in part {j} with a sentence of {i * 7 + j} words." for j in range(k))
+
+
+def test_html_class_words_drop_no_prose_below_an_article(frame):
+    """Compounds and sections that only sound like something beside the article stay; what the wrapper bears out as beside it goes."""
+    kept = [("share-price", "p"), ("legal-analysis", "section"), ("menu-prices", "div"), ("comment-period", "div"), ("search-results-study", "div"), ("legal", "section")]
+    rows, want = [], []
+    for k, (word, name) in enumerate(kept):
+        for i in range(6):
+            own = f"The {word} of case {i} is told at such length that no reader takes it for an aside, number {i}."
+            rows.append((f"http://k{k}.example/", f'<article>{story(i)}<{name} class="{word}">{own}</{name}></article>'))
+            want.append(f"{story_text(i)}\n{own}")
+    for i in range(6):
+        beside = "".join(f'<div class="post"><b>Reader {i * j}</b><p>Says {i + j}.</p></div>' for j in range(i + 1))
+        rows.append(("http://posts.example/", f'<article>{story(i)}<section class="discussion">{beside}</section><div class="ad">Buy {i} now</div></article>'))
+        want.append(story_text(i))
+        own = f"We discuss {i} results here. " * 4
+        rows.append(("http://paper.example/", f'<article>{story(i)}<section class="discussion"><h2>Discussion {i}</h2><p>{own}</p><p>And {i} more.</p></section></article>'))
+        want.append(f"{story_text(i)}\nDiscussion {i}\n{own.strip()}\nAnd {i} more.")
+    assert texts_of(frame, rows) == dict(enumerate(want))
+
+
+def test_html_inline_adverts(frame):
+    """An inline advert goes out of its paragraph, with what it nests; one that doesn't end takes nothing along."""
+    cases = [
+        ('Before <span class="ad">Buy <span>two</span> now</span> and after.', "Before and after."),
+        ('Before <span class="ad">never closed', "Before never closed"),
+        ('A <a class="sponsored" href="x">shop</a>, <b class="added">bold</b> <span class="ad"/>end.', "A , bold end."),
+    ]
+    rows = [(f"http://i{k}.example/", f"<article><p>{n} {h}</p><p>{n} closes.</p></article>") for k, (h, _) in enumerate(cases) for n in range(3)]
+    assert texts_of(frame, rows) == {3 * k + n: f"{n} {t}\n{n} closes." for k, (_, t) in enumerate(cases) for n in range(3)}
+
+
+def test_html_small_hosts_and_shared_paragraphs(frame):
+    """Two pages tell what a host repeats; a long paragraph that half of the articles share is theirs, a short one or one on all pages isn't."""
+    notice = "<div>Subscribe to our newsletter today.</div>"
+    rows = [("http://two.example/", f"<article><h1>Title {i}</h1>{notice}{story(i)}</article>") for i in range(2)]
+    assert texts_of(frame, rows) == {i: f"Title {i}\n{story_text(i)}" for i in range(2)}
+    shared = "The committee has published the same long statement on this matter, and many papers have printed it in full."
+    rows = [("http://half.example/", f"<article>{story(i)}{f'<p>{shared}</p>' if i % 2 else ''}<p>Read on.</p></article>") for i in range(8)]
+    assert texts_of(frame, rows) == {i: story_text(i) + (f"\n{shared}" if i % 2 else "") for i in range(8)}
+
+
 def test_html_tables_of_copies_long_pages_and_ties(frame):
     """A long page of any structure keeps each of its blocks once and in order; repeated rows get equal texts; odd markup does no harm."""
     r = random.Random(3)
