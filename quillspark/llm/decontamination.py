@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, Shared, drop, save
 
@@ -43,17 +44,19 @@ def _fold(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowIndex:
-    """Windows of some test items: a word list, the items' words in a row, and for each length the sorted hashes, the places and the items of the windows."""
+    """Windows of some test items: a word list, the items' words in a row, and for each length the sorted hashes, the places and the items of the windows; ids are numbers or texts."""
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | str | None, list[bytes]]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.window = window
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {name: i for i, name in enumerate(self.names)}
         flat, found = [], {}
         at = 0
         for item, words in items:
             if words:
                 flat.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words), np.int32, len(words)))
-                found.setdefault(min(window, len(words)), []).append((item, at, len(words)))
+                found.setdefault(min(window, len(words)), []).append((number.get(item), at, len(words)))
                 at += len(words)
         self.words = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         self.by_length = {n: self._windows(n, of) for n, of in sorted(found.items())}
@@ -84,7 +87,7 @@ class WindowIndex:
             at = end if end >= 0 else len(raw)
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
-    def scan(self, ids: np.ndarray) -> tuple[list[list[int]], list[int]]:
+    def scan(self, ids: np.ndarray) -> tuple[list[list[int]], list[int | str]]:
         """Maximal hit runs [start, end) in words, and the sorted items with a hit window."""
         if not len(ids) or not self.by_length:
             return [], []
@@ -113,13 +116,18 @@ class WindowIndex:
                 left = left[~same]
                 low[left] += 1
         s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
-        return _merged(np.stack([s, e], 1).tolist()), sorted(items)
+        return _merged(np.stack([s, e], 1).tolist()), [self.names[i] for i in sorted(items)]
+
+
+def _kind(benchmark: DataFrame) -> str:
+    """The kind in which item ids travel: long for whole numbers, else text."""
+    return "long" if isinstance(benchmark.schema["item_id"].dataType, T.IntegralType) else "string"
 
 
 def indexes(benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS):
     """Indexes of the benchmark, block by block; the driver holds one block at a time. Of an item with more windows a block has a part."""
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast(_kind(benchmark)), F.col("text").cast("string")).toLocalIterator():
         words = words_of(row[1])
         for at in range(0, max(1, len(words) - window + 1), block_windows):
             part = words[at : at + block_windows + window - 1]
@@ -134,7 +142,8 @@ def indexes(benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLO
 
 def _scan(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], window: int, text: str, block_windows: int) -> DataFrame:
     """`docs` with three further columns of the given names, as scan() describes them."""
-    out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(None).cast("array<array<int>>"), names[2]: F.lit(None).cast("array<long>")})
+    kind = _kind(benchmark)
+    out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(None).cast("array<array<int>>"), names[2]: F.lit(None).cast(f"array<{kind}>")})
     at = out.columns.index(text)
     schema = out.schema
     blocks = indexes(benchmark, window, block_windows)
@@ -153,7 +162,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], wi
                     counts.append(len(ids))
                     runs.append(_merged(r + new) if r else new)
                     items.append(sorted({*i, *found}) if i else found)
-                made = [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.int64()))]
+                made = [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.int64() if kind == "long" else pa.string()))]
                 yield pa.record_batch([*b.columns[:-3], *made], names=b.schema.names)
 
         scanned = out.mapInArrow(run, schema)
@@ -167,7 +176,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], wi
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """`docs` with n_words long, hit_runs array<array<int>> and hit_items array<long>.
+    """`docs` with n_words long, hit_runs array<array<int>> and hit_items, an array of long, or of string where item ids are no whole numbers.
 
     hit_runs are the maximal runs [start, end) of words inside occurrences of windows; hit_items the sorted ids of
     the items that have a window in the text. An item without an id marks words too, but names none. A null text

@@ -27,6 +27,8 @@ CELL = 256
 #: Members of a list from which on its coordinate-value pair comes last in the order; more where a corpus would have more than MAX_HOT such pairs.
 HOT_LIST = 8192
 MAX_HOT = 1_000_000
+#: Members of a list that are still compared in one task; longer ones that are not hot are compared over cells too.
+LONG_LIST = 8192
 
 
 def match_threshold(k: int, similarity: float, miss: float = 1e-4) -> int:
@@ -149,10 +151,10 @@ def _post(k: int, prefix: int, buckets: int, hot):
 
 
 def _merge(k: int, t: int, record):
-    """Pairs of the lists of a partition, as the edges of a spanning forest of each list."""
+    """Pairs of the lists of a partition, as the edges of a spanning forest of each list; the members of long lists come back as (key, document, signature)."""
+    longest = LONG_LIST
 
     def edges(r: np.ndarray):
-        r = r[np.argsort(r["key"], kind="stable")]
         starts, ends = runs(r["key"])
         size = ends - starts
         # coordinates that come before a record's own in the order; only lists of pairs that are not hot are here
@@ -184,12 +186,18 @@ def _merge(k: int, t: int, record):
 
     def merge(batches):
         r = unpack(batches, record)
+        r = r[np.argsort(r["key"], kind="stable")]
+        starts, ends = runs(r["key"])
+        long = np.repeat(ends - starts > longest, ends - starts)
+        for at in np.split(np.flatnonzero(long), np.arange(20_000, int(long.sum()), 20_000)):
+            some = r[at]
+            yield pa.record_batch([pa.array(some["key"].view(np.int64)), pa.array(some["doc"].astype(np.int64)), pa.array([s.tobytes() for s in some["sig"]], pa.binary())], names=["a", "b", "sig"])
         a, b, seen = [], [], Forest()
-        for x, y in edges(r):
+        for x, y in edges(r[~long]):
             if x != y and seen.join(x, y):
                 a.append(x)
                 b.append(y)
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], names=["a", "b", "sig"])
 
     return merge
 
@@ -202,10 +210,11 @@ def candidates(sigs: DataFrame, k: int, t: int) -> DataFrame:
     hot = Shared(spark, found)
     post, post_hot, record = _post(k, k - t + 1, 4 * n, hot)
     source = sigs.select("doc_id", "sig")
-    out = source.mapInArrow(post, PACKED).repartitionById(n, F.col("bucket")).mapInArrow(_merge(k, t, record), "a long, b long")
-    if not len(found):
+    merged = save(source.mapInArrow(post, PACKED).repartitionById(n, F.col("bucket")).mapInArrow(_merge(k, t, record), "a long, b long, sig binary"), "merged")
+    out, long = merged.where("sig is null").select("a", "b"), merged.where("sig is not null").select(F.col("a").alias("cluster"), F.col("b").alias("doc_id"), "sig")
+    if not len(found) and long.isEmpty():
         return out
-    posted = save(source.mapInArrow(post_hot, "cluster long, doc_id long, sig binary"), "hot")
+    posted = save(source.mapInArrow(post_hot, "cluster long, doc_id long, sig binary").unionByName(long), "hot")
     sizes = posted.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"))
     return out.unionByName(linked(save(posted.join(sizes, "cluster"), "hotlists"), "sig", _agreeing(t), HOT_CELL))
 

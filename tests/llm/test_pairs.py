@@ -59,6 +59,22 @@ def test_minhash_hot_lists(frame, rng, monkeypatch, hot):
     assert got == groups(rows, 3, 85)
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_minhash_long_lists_go_over_cells(frame, rng, monkeypatch, near):
+    """A list beyond one task's share, of unlike and of near members, is compared over cells, and no task gets a longer one."""
+    monkeypatch.setattr(minhash_neardup, "HOT_LIST", 10_000)
+    monkeypatch.setattr(minhash_neardup, "LONG_LIST", 20)
+    monkeypatch.setattr(minhash_neardup, "HOT_CELL", 16)
+    notice, base = prose(rng, 60), prose(rng, 70)
+    rows = [(i, f"{notice} {edited(rng, base, i % 3) if near else prose(rng, 10 + i % 40)}") for i in range(120)] + [(1000 + i, prose(rng, 40)) for i in range(30)]
+    rows += [(2000 + i, rows[i][1] + " x") for i in range(0, 120, 9)]
+    seen, plain = [], minhash_neardup.linked
+    monkeypatch.setattr(minhash_neardup, "linked", lambda members, what, *more: seen.append((what, members.count())) or plain(members, what, *more))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_neardup.near_duplicates(frame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == groups(rows, 3, 85)
+    assert dict(seen)["sig"] > 20
+
+
 def test_minhash_repeated_rows_and_empty(frame):
     text = "a b c d e f g"
     got = minhash_neardup.near_duplicates(frame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")).collect()

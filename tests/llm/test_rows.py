@@ -253,6 +253,15 @@ def page(title, body, n):
     return f'<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul>' + "".join(f"<li><a href='/{i}'>menu{i}</a></li>" for i in range(n)) + f'</ul></nav><!-- x --><div class="ad">buy</div>{body}<aside>more</aside><div class="comments"><p>first!</p></div><footer>&copy; host</footer></body></html>'
 
 
+def test_decontamination_takes_text_ids(frame):
+    items = [("q-1", "one two three"), ("q-10", "two three four five six seven eight nine ten eleven"), (None, "six seven"), ("q-2", None)]
+    docs = [(1, "One, two: THREE four five six seven eight nine ten eleven"), (2, "six seven"), (3, None)]
+    for block in (1, 1_000_000):
+        got = decontamination.scan(frame(docs, "doc_id long, text string"), frame(items, "item_id string, text string"), block_windows=block).collect()
+        assert {r.doc_id: (r.hit_items, r.hit_runs) for r in got} == {1: (["q-1", "q-10"], [[0, 11]]), 2: ([], [[0, 2]]), 3: ([], [])}
+    assert [r.doc_id for r in decontamination.decontaminate(frame(docs, "doc_id long, text string"), frame(items, "item_id string, text string")).collect()] == [3]
+
+
 def test_html_extraction(frame):
     rows, want = [], {}
     for i in range(12):
