@@ -19,6 +19,7 @@ Terms are known by a 64-bit hash: a query of 100 terms meets a foreign word amon
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, Shared, runs, save, word_hashes
+from .common import LOWER, Shared, runs, save, scratch_dir, word_hashes
 
 BLOCK = 128
 SEGMENT_BYTES = 8 << 20
@@ -157,9 +158,9 @@ def build(docs: DataFrame, path: str | None = None, mode: str = "errorifexists")
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     made = source.mapInArrow(run, SEGMENT)
-    if path is None:
-        return save(made, "search-index")
-    made.write.mode(mode).option("parquet.block.size", 32 << 20).parquet(path)
+    path = path or f"{scratch_dir(docs.sparkSession)}/search-index-{uuid.uuid4().hex}"
+    # a row is some megabytes, so the size of a row group is looked at after each row
+    made.write.mode(mode).option("parquet.block.size", 16 << 20).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(path)
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
