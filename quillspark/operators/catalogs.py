@@ -117,9 +117,9 @@ def combined(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).json(paths)
 
 
-def newest(rows: DataFrame, time: str, k: int = 40) -> DataFrame:
-    """TOP9: the newest rows."""
-    return rows.orderBy(F.desc(time)).limit(k)
+def newest(rows: DataFrame, time: str, k: int = 40, ties: list[str] | None = None) -> DataFrame:
+    """TOP9: the newest rows; of equally new ones the first by `ties`, by all columns where none are named."""
+    return rows.orderBy(F.desc(time), *(ties if ties is not None else rows.columns)).limit(k)
 
 
 def flat_metadata(metadata: Column, fields: list[str], lists: list[str]) -> Column:

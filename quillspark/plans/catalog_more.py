@@ -194,14 +194,18 @@ def knowledge_health(spark, sf):
     return knowledge.health(knowledge.chunks(*_chunk_sources(spark, sf)))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name || ' fever' AS title, 'A|B' AS groups, 'x|y' AS related FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 4 <> 0")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 4 = 0 THEN 'Vaccine shots' ELSE p_name END AS title, p_type || '|' || p_brand AS groups, array_to_string(string_split(p_name, ' ')[1:2], '|') AS related
+    FROM part WHERE p_partkey % 3 = 0 AND p_type IN ('ECONOMY', 'SMALL') AND p_partkey % 4 <> 0""")
 def xml_topics(spark, sf):
-    """English topics of an XML feed in an allowed group, without excluded titles."""
-    path, n = work_folder(spark, "xml"), table(spark, sf, "nation")
-    lang, title = F.when(F.col("n_nationkey") % 3 == 0, "English").otherwise("Spanish"), F.when(F.col("n_nationkey") % 4 == 0, "Vaccine shots").otherwise(F.concat("n_name", F.lit(" fever")))
-    rows = n.select(F.concat(F.lit('<health-topic id="'), F.col("n_nationkey").cast("string"), F.lit('" title="'), title, F.lit('" language="'), lang, F.lit('" url="u"><full-summary>s</full-summary><group>A</group><group>B</group><group>日</group><related-topic>x</related-topic><related-topic>y</related-topic><related-topic>z</related-topic></health-topic>')).alias("value"))
-    rows.agg(F.concat(F.lit("<health-topics>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</health-topics>")).alias("value")).write.text(path)
-    t = knowledge.topics(spark, path, ["A"], ["shots"], 2)
+    """English topics of an XML feed in an allowed group, without excluded titles; the feed is written row by row."""
+    path, p = work_folder(spark, "xml"), table(spark, sf, "part")
+    lang, title = F.when(F.col("p_partkey") % 3 == 0, "English").otherwise("Spanish"), F.when(F.col("p_partkey") % 4 == 0, "Vaccine shots").otherwise(F.col("p_name"))
+    related = F.array_join(F.transform(F.concat(F.split("p_name", " "), F.array(F.lit("z"))), lambda x: F.concat(F.lit("<related-topic>"), x, F.lit("</related-topic>"))), "")
+    topic = F.concat(F.lit('<health-topic id="'), F.col("p_partkey").cast("string"), F.lit('" title="'), title, F.lit('" language="'), lang, F.lit('" url="u"><full-summary>s</full-summary><group>'), "p_type", F.lit("</group><group>"), "p_brand", F.lit("</group><group>日</group>"), related, F.lit("</health-topic>"))
+    ends = spark.createDataFrame([(-1, "<health-topics>"), (1 << 40, "</health-topics>")], "o long, value string")
+    rows = p.select(F.col("p_partkey").alias("o"), topic.alias("value")).unionByName(ends)
+    rows.coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    t = knowledge.topics(spark, path, ["ECONOMY", "SMALL"], ["shots"], 2)
     return t.select("id", "title", _joined("groups").alias("groups"), _joined("related").alias("related"))
 
 
@@ -438,11 +442,24 @@ def first_names(spark, sf):
     return curate.first_name_in(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), names, "text", "name", "o").select("id", "name")
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'cuci bersih lalu rebus selama lima belas menit' ELSE 'cuci' END AS best FROM nation")
+def _match_sql(a: str, b: str) -> str:
+    x, y = (f"list_distinct(list_filter(string_split({norm(v)}, ' '), lambda t: length(t) > 2))" for v in (a, b))
+    return f"(len(list_intersect({x}, {y})) >= greatest(1, least(len({x}), len({y})) // 2))"
+
+
+def _better_sql(best: str, name: str, preparation: str) -> str:
+    return f"CASE WHEN {_match_sql('p_name', name)} AND length(trim({preparation})) > length({best}) + 35 THEN trim({preparation}) ELSE {best} END"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, p_name, p_brand, p_type, {_better_sql("coalesce(p_type, '')", "p_name || ' tea'", "repeat(' ' || p_type || ' step', CAST(p_partkey % 9 AS INTEGER))")} AS best FROM part),
+    b AS (SELECT *, {_better_sql('best', 'p_brand', "repeat('never ', 60)")} AS second FROM a)
+    SELECT p_partkey AS id, {_better_sql('second', "'the ' || split_part(p_name, ' ', 2)", "repeat(p_brand || ' ', CAST(p_partkey % 13 AS INTEGER))")} AS best FROM b""")
 def better_preparations(spark, sf):
-    """The longest preparation among contexts of a matching name."""
-    context = F.array(F.struct(F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.col("n_name"), F.lit(" tea"))).otherwise("other").alias("name"), F.lit(" cuci bersih lalu rebus selama lima belas menit ").alias("preparation")), F.struct(F.col("n_name").alias("name"), F.lit("cuci sedikit").alias("preparation")))
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), curate.better_preparation(F.lit("cuci"), "n_name", context).alias("best"))
+    """The longest preparation among three contexts of which some have a matching name and some are longer by enough."""
+    times = lambda c, m: F.expr(f"repeat({c}, cast(p_partkey % {m} as int))")
+    given = [(F.concat("p_name", F.lit(" tea")), times("concat(' ', p_type, ' step')", 9)), (F.col("p_brand"), F.expr("repeat('never ', 60)")), (F.concat(F.lit("the "), F.element_at(F.split("p_name", " "), 2)), times("concat(p_brand, ' ')", 13))]
+    context = F.array(*[F.struct(n.alias("name"), p.alias("preparation")) for n, p in given])
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), curate.better_preparation("p_type", "p_name", context).alias("best"))
 
 
 @query("SELECT n_nationkey AS id FROM nation WHERE n_regionkey % 2 = 0 OR n_nationkey % 5 = 0")
@@ -458,10 +475,16 @@ def records_with_source(spark, sf):
     return catalogs.with_source(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id", ["quality", "toxic"])
 
 
-@query("SELECT doc_id, 'a=' || source || ';b=' || lang || '; x' AS metadata, CASE WHEN contains(lower(text), 'leaf') THEN 'daun' WHEN contains(lower(text), 'seed') THEN 'biji' ELSE 'tidak disebutkan' END AS part, nullif(regexp_extract('Latin name: ' || upper(lang[1:1]) || 'aba rosea of', '([A-Z][a-z]+ [a-z]+) of', 1), '') AS latin FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND NOT regexp_matches(lower(text), 'rhizome|root|leaves|flower|fruit|bark')")
+_PARTS = {"rhizome": "rimpang", "root": "akar", "leaf": "daun", "leaves": "daun", "flower": "bunga", "fruit": "buah", "seed": "biji", "bark": "kulit batang"}
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, lang, lower(coalesce(text, '') || CASE doc_id % 11 {' '.join(f"WHEN {i} THEN ' The {w.title()}s'" for i, w in enumerate(_PARTS))} ELSE '' END) AS low FROM documents)
+    SELECT doc_id, concat_ws(';', 'a=' || source, 'b=' || concat_ws('; ', lang, 'x')) AS metadata, CASE {' '.join(f"WHEN contains(low, '{w}') THEN '{p}'" for w, p in _PARTS.items())} ELSE 'tidak disebutkan' END AS part,
+        CASE WHEN lang IS NOT NULL THEN upper(lang[1:1]) || 'aba rosea' END AS latin FROM d""")
 def source_metadata(spark, sf):
-    """Metadata as a map of texts, plant parts and Latin names."""
-    d = table(spark, sf, "documents").where("lang is not null and source is not null and not lower(text) rlike 'rhizome|root|leaves|flower|fruit|bark'")
+    """Metadata as a map of texts, plant parts of whole texts that name each of them, and Latin names."""
+    words = F.element_at(F.create_map(*[x for i, w in enumerate(_PARTS) for x in (F.lit(i), F.lit(f" The {w.title()}s"))]), (F.col("doc_id") % 11).cast("int"))
+    d = table(spark, sf, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.coalesce(words, F.lit(""))))
     m = catalogs.flat_metadata(F.struct(F.col("source").alias("a"), F.array("lang", F.lit("x")).alias("b"), F.lit(None).cast("string").alias("c")), ["a", "b", "c"], ["b"])
     latin = catalogs.scientific_name(F.concat(F.lit("Latin name: "), F.upper(F.substring("lang", 1, 1)), F.lit("aba rosea of")))
     return d.select("doc_id", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("metadata"), catalogs.part_used("text").alias("part"), latin.alias("latin"))
@@ -809,33 +832,43 @@ SQL["page_node_text"] = f"""WITH p AS (SELECT page_id, {squeeze(_decode_sql("reg
     SELECT page_id, title, array_to_string(t, ' ') AS text FROM p"""
 
 
-@query(r"""SELECT doc_id, 'A & ' || lang AS paragraphs, 'x ' || source || '|y' AS items, 'A & ' || lang || ' x ' || source || ' ; y;' AS flat FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_LINES} AS l FROM documents), p AS (SELECT doc_id, list_filter(l, lambda x, i: i % 3 > 0) AS a, list_filter(l, lambda x, i: i % 3 = 0) AS b FROM d)
+    SELECT doc_id, array_to_string(a, '|') AS paragraphs, array_to_string(b, '|') AS items, trim(regexp_replace(array_to_string(a, ' ') || ' ' || CASE WHEN len(b) > 0 THEN array_to_string(b, ' ; ') || ' ;' ELSE '' END, '\\s+', ' ', 'g')) AS flat FROM p""")
 def summary_fragments(spark, sf):
-    """Paragraphs, list items and plain text of HTML fragments."""
-    d = table(spark, sf, "documents").where("lang is not null and source is not null")
-    html = F.concat(F.lit("<p>A &amp; "), "lang", F.lit("</p><ul><li> x  "), "source", F.lit(" </li><li>y</li></ul>"))
-    r = d.select("doc_id", parsing.summary_parts(html).alias("s"), parsing.html_to_text(html).alias("flat"))
+    """Paragraphs, list items and plain text of HTML made of whole texts: every third line is a list item."""
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(F.transform(F.split(escaped, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    p = F.array_join(F.transform(F.filter(lines, lambda x, i: (i + 1) % 3 > 0), lambda x: F.concat(F.lit("<p> "), x, F.lit("</p>\n"))), "")
+    li = F.array_join(F.transform(F.filter(lines, lambda x, i: (i + 1) % 3 == 0), lambda x: F.concat(F.lit("<li>"), x, F.lit(" </LI>"))), "")
+    html = F.concat(p, F.lit("<ul>"), li, F.lit("</ul>"))
+    r = table(spark, sf, "documents").select("doc_id", parsing.summary_parts(html).alias("s"), parsing.html_to_text(html).alias("flat"))
     return r.select("doc_id", _joined("s.paragraphs").alias("paragraphs"), _joined("s.list_items").alias("items"), "flat")
 
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS t FROM documents)
-    SELECT doc_id, 'Aloe|Basil' AS titles, 'Aloe' || chr(10) || chr(10) || 'Definition' || chr(10) || trim(t || 'x') || '|Basil' || chr(10) || chr(10) || 'Definition of ' || doc_id AS bodies FROM d""")
+@query(rf"""WITH d AS (SELECT doc_id, {_LINES}[1:CAST(doc_id % 5 AS INTEGER)] AS l FROM documents)
+    SELECT doc_id, array_to_string(list_transform(l, lambda x, i: 'Herb ' || i || ' of ' || doc_id), '|') AS titles, array_to_string(list_transform(l, lambda x, i: 'Definition ' || x), '|') AS bodies FROM d""")
 def monograph_split(spark, sf):
-    """Monographs inside whole texts."""
-    d = table(spark, sf, "documents").withColumn("t", F.trim(F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), F.lit("x"))))
-    long = F.concat(F.lit("Preface\n  Aloe  \n\nDefinition\n"), "t", F.lit("\nBasil\n\nDefinition of "), F.col("doc_id").cast("string"))
-    m = d.select("doc_id", parsing.monographs(long).alias("m"))
-    bodies = F.transform("m", lambda x: F.regexp_replace(x["body"], r"^\s*(\S+)[ \t]*\n", "$1\n"))
-    return m.select("doc_id", _joined(F.transform("m", lambda x: x["title"])).alias("titles"), _joined(bodies).alias("bodies"))
+    """Monographs of the first lines of a text, as many as its number says."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    some = F.slice(lines, F.lit(1), (F.col("doc_id") % 5).cast("int"))
+    long = F.concat(F.lit("Preface\n"), F.array_join(F.transform(some, lambda x, i: F.concat(F.lit("  Herb "), (i + 1).cast("string"), F.lit(" of "), F.col("doc_id").cast("string"), F.lit(" \n\nDefinition "), x, F.lit("\n"))), ""))
+    m = table(spark, sf, "documents").select("doc_id", parsing.monographs(long).alias("m"))
+    return m.select("doc_id", _joined(F.transform("m", lambda x: x["title"])).alias("titles"), _joined(F.transform("m", lambda x: F.regexp_replace(x["body"], r"^[^\n]*\n\s*", ""))).alias("bodies"))
 
 
-@query("SELECT doc_id, 'Herb ' || lang AS name, text AS uses, NULL::VARCHAR AS dose FROM documents WHERE lang IS NOT NULL")
+@query("""SELECT doc_id, 'Herb ' || lang AS name, CASE WHEN doc_id % 4 IN (0, 2) THEN text WHEN doc_id % 4 = 1 THEN source END AS uses, CASE doc_id % 4 WHEN 2 THEN text WHEN 3 THEN source END AS dose FROM documents""")
 def page_fields(spark, sf):
-    """Descriptions by heading of a JSON page, with whole texts."""
-    d = table(spark, sf, "documents").where("lang is not null")
-    blocks = F.array(F.struct(F.lit("Other").alias("heading"), F.lit("no").alias("description")), F.struct(F.lit("Common Uses").alias("heading"), F.col("text").alias("description")))
-    payload = F.to_json(F.struct(F.concat(F.lit("Herb "), "lang").alias("name"), blocks.alias("blocks")))
-    r = d.select("doc_id", parsing.field_blocks(payload, {"uses": "uses", "dose": "dose"}).alias("r"))
+    """Descriptions by heading of a JSON page, with whole texts: headings in any order, repeated or missing."""
+    kind = F.col("doc_id") % 4
+    first = F.when(kind == 0, "Common Uses").when(kind == 1, "Other").when(kind == 2, "USES, dose")
+    second = F.when(kind == 0, "uses again").when(kind == 1, "How it uses").otherwise("Dose")
+    third = F.struct(F.lit("dose" "d").alias("heading"), F.lit("never").alias("description"))
+    blocks = F.array(F.struct(F.coalesce(first, F.lit("")).alias("heading"), F.col("text").alias("description")), F.struct(second.alias("heading"), F.col("source").alias("description")), third)
+    payload = F.to_json(F.struct(F.concat(F.lit("Herb "), "lang").alias("name"), F.when(kind < 2, F.slice(blocks, 1, 2)).otherwise(blocks).alias("blocks")))
+    r = table(spark, sf, "documents").select("doc_id", parsing.field_blocks(payload, {"uses": "uses", "dose": "dose"}).alias("r"))
     return r.select("doc_id", "r.name", "r.uses", "r.dose")
 
 
@@ -892,9 +925,11 @@ def random_split_rows(spark, sf):
     return split.random_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 40")
+@query("SELECT event_id, event_type FROM events ORDER BY date_trunc('day', ts) DESC, event_id LIMIT 40")
 def newest_events(spark, sf):
-    return catalogs.newest(table(spark, sf, "events").select("event_id", "event_type"), "event_id")
+    """The newest by day; many events share one, and the smaller id counts."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.date_trunc("day", "ts").alias("day"))
+    return catalogs.newest(e, "day", ties=["event_id"]).select("event_id", "event_type")
 
 
 @query("SELECT doc_id, text FROM documents")
