@@ -15,7 +15,7 @@ from ..functions import parsing, scoring, signals, text, wording
 from ..functions.lexicon import DEFAULT
 from ..operators import bundle, catalogs, curate, datasets, dialogue, replies, split
 from ..operators.components import connected, grown
-from ..operators.retrieval import TfidfIndex
+from ..operators.retrieval import TfidfIndex, cosine
 from ..operators.vector_index import VectorIndex
 from ..sources import knowledge, sinks
 from ..streaming import chat
@@ -1066,6 +1066,63 @@ def chat_feedback(spark, sf):
     return chat.feedback_rows(*_chat_run(spark, sf, True)).select("id", "session_id", "turn", "feedback_label", "user_message", "recommendation", "status")
 
 
+# Rules of single texts, answers of models, vectors
+
+
+@query(f"""WITH {_SEEDED.split(', sn AS')[0]}, l AS (SELECT *, {squeeze("coalesce(text, '')")} AS s FROM seeded)
+    SELECT conv_id, turn, NOT (ends_with(lower(s), '?') AND {any_of('lower(text)', signals.CLINICAL_TERMS)}) AS low_quality, array_to_string(list_filter([role, nullif(trim(s[1:9]), ''), CASE WHEN turn % 2 = 0 THEN 'x' END], lambda x: coalesce(trim(x), '') <> ''), '|') AS cleaned,
+        concat_ws(' ', nullif(trim(role), ''), CASE WHEN trim(s[1:260]) <> trim(role) THEN nullif(trim(s[1:260]), '') END, 'tetap') AS note, CASE WHEN turn % 3 = 0 THEN '' ELSE trim(s || ' ' || role) END AS section FROM l""")
+def text_rules(spark, sf):
+    """Weak questions, cleaned lists, safety notes, and sections between headings."""
+    c = seeded(spark, sf).withColumn("s", text.squeeze(F.coalesce("text", F.lit(""))))
+    article = F.concat(F.lit("Intro\n"), F.when(F.col("turn") % 3 == 0, "Use").otherwise("Uses"), F.lit("\n"), "s", F.lit("\n"), "role", F.lit("\nDose\nnever\nUses of it\n"))
+    return c.select(
+        "conv_id",
+        "turn",
+        signals.low_quality_question("text").alias("low_quality"),
+        _joined(text.clean_list(F.array("role", F.concat(F.substring("s", 1, 9), F.lit("")), F.when(F.col("turn") % 2 == 0, " x "), F.lit("  ")))).alias("cleaned"),
+        curate.safety_note("role", "s", "tetap").alias("note"),
+        text.section(article, "Uses", ["Intro", "Uses", "Dose"]).alias("section"),
+    )
+
+
+_BUDGETS = {"follow_up": 3, "recommendation": 5}
+
+
+def _answer_sql(model: str, provider: str) -> str:
+    budget = "CASE kind " + " ".join(f"WHEN {q(k)} THEN {n}" for k, n in _BUDGETS.items()) + f" ELSE {replies.token_budget('other')} END"
+    return f"SELECT request, {q(model)} AS model, {q(provider)} AS provider, 'ok' AS status, array_to_string(regexp_extract_all('one two  three four five six seven ' || kind, '[^ ]+ *')[1:{budget}], '') AS reply, NULL::VARCHAR AS error FROM p"
+
+
+@query(f"""WITH p AS (SELECT event_id AS request, CASE event_id % 3 WHEN 0 THEN 'follow_up' WHEN 1 THEN 'recommendation' ELSE 'other' END AS kind FROM events),
+    a AS ({_answer_sql('m1', 'm1')} UNION ALL {_answer_sql('gone', 'm1')} UNION ALL SELECT request, 'broken', 'broken', 'error', NULL, 'out of order' FROM p) SELECT request, model, provider, status, rtrim(reply) AS reply, error FROM a""")
+def model_answers(spark, sf):
+    """Answers of a recorded model within the budget of each kind, of one that isn't there by the fallback, and errors as rows."""
+    e = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("request"), F.when(F.col("event_id") % 3 == 0, "follow_up").when(F.col("event_id") % 3 == 1, "recommendation").otherwise("other").alias("response_type"))
+    found = replies.generate(e.withColumn("prompt", F.col("response_type")), _Recorded(), ["m1", "gone", "broken"], "m1", _BUDGETS)
+    return found.withColumn("request", F.col("request").cast("long"))
+
+
+class _Recorded(replies.Replay):
+    """Recorded answers, and a model that fails."""
+
+    def __init__(self):
+        super().__init__({("m1", kind): f"one two  three four five six seven {kind}" for kind in ("follow_up", "recommendation", "other")})
+
+    def answer(self, model: str, prompt: str, most: int) -> str:
+        if model == "broken":
+            raise RuntimeError("out of order")
+        return super().answer(model, prompt, most)
+
+
+@query("""SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def neighbour_cosines(spark, sf):
+    """The cosine of each vector with the next one's."""
+    e = table(spark, sf, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after, "vec_id").select("vec_id", F.round(cosine("embedding", "other"), 6).alias("cosine"))
+
+
 # Catalogues
 
 _PROFILES = {"fever": {"keywords": ["est", "the"], "context": "hot", "complaints": ["demam", "panas"]}, "cough": {"keywords": ["der", "une", "and"], "context": "", "complaints": ["batuk"]}}
