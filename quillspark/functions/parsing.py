@@ -205,17 +205,20 @@ class _Items(HTMLParser):
             self.buffer.append(data)
 
 
+def items_of(page: str | None) -> dict[str, list[str]]:
+    """Texts of the paragraphs (p) and list items (li) of an HTML text."""
+    p = _Items()
+    p.feed(page or "")
+    p.close()
+    p.close_item()
+    return p.found
+
+
 @F.pandas_udf(_rows(paragraphs=_TEXTS, list_items=_TEXTS))
 def summary_parts(pages: pd.Series) -> pd.DataFrame:
     """SRC10: paragraphs and list items of an HTML summary."""
-    out = []
-    for page in pages:
-        p = _Items()
-        p.feed(page or "")
-        p.close()
-        p.close_item()
-        out.append((p.found["p"], p.found["li"]))
-    return pd.DataFrame(out, columns=["paragraphs", "list_items"])
+    found = map(items_of, pages)
+    return pd.DataFrame([(x["p"], x["li"]) for x in found], columns=["paragraphs", "list_items"])
 
 
 @F.pandas_udf(_TEXT)
@@ -247,17 +250,20 @@ def docx_paragraphs(files: pd.Series) -> pd.Series:
     return files.map(one)
 
 
+_MONOGRAPH = re.compile(r"\n[ \t]*([^\n]+?)[ \t]*\n\s*\n(?=[ \t]*Definition)")
+
+
+def monographs_of(text: str | None) -> list[tuple[str, str]]:
+    """Titles and bodies of the monographs of a text."""
+    found = [*_MONOGRAPH.finditer("\n" + (text or ""))]
+    ends = [m.start() for m in found[1:]] + [len(text or "") + 1]
+    return [(m[1].strip(), ("\n" + text)[m.start() : e].strip()) for m, e in zip(found, ends)]
+
+
 @F.pandas_udf(T.ArrayType(_rows(title=_TEXT, body=_TEXT)))
 def monographs(texts: pd.Series) -> pd.Series:
     """SRC14, WIN11: monographs of a long text; one starts at a line that is followed by an empty line and Definition, and ends where the next starts."""
-    start = re.compile(r"\n[ \t]*([^\n]+?)[ \t]*\n\s*\n(?=[ \t]*Definition)")
-
-    def one(text):
-        found = [*start.finditer("\n" + (text or ""))]
-        ends = [m.start() for m in found[1:]] + [len(text or "") + 1]
-        return [{"title": m[1].strip(), "body": ("\n" + text)[m.start() : e].strip()} for m, e in zip(found, ends)]
-
-    return texts.map(one)
+    return texts.map(lambda text: [{"title": t, "body": b} for t, b in monographs_of(text)])
 
 
 def field_blocks(payload, headings: dict[str, str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dataset_wording as generated
-from ..functions import parsing, scoring, signals, text, wording
+from ..functions import parsing, scoring, signals, tables, text, wording
 from ..functions.lexicon import DEFAULT
 from ..operators import bundle, catalogs, curate, datasets, dialogue, replies, split
 from ..operators.components import connected, grown
@@ -898,6 +898,37 @@ def document_sections(spark, sf):
     return knowledge.doc_sections(paragraphs, ["gejala", "pencegahan"]).select("path", "heading", _joined("body").alias("body"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, {_LINES}[1:CAST(doc_id % 5 AS INTEGER)] AS l FROM documents), r AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS number FROM d)
+    SELECT doc_id, CAST(number AS INTEGER) AS number, 'Herb ' || number || ' of ' || doc_id AS title, 'Definition ' || x AS body FROM r""")
+def monograph_rows(spark, sf):
+    """One row for each monograph of a text, by a table function in a lateral join."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    some = F.slice(lines, F.lit(1), (F.col("doc_id") % 5).cast("int"))
+    long = F.concat(F.lit("Preface\n"), F.array_join(F.transform(some, lambda x, i: F.concat(F.lit("  Herb "), (i + 1).cast("string"), F.lit(" of "), F.col("doc_id").cast("string"), F.lit(" \n\nDefinition "), x, F.lit("\n"))), ""))
+    found = tables.parts(table(spark, sf, "documents").select("doc_id", long.alias("t")), "monographs", "r.t")
+    return found.select("doc_id", "number", "title", F.regexp_replace("body", r"^[^\n]*\n\s*", "").alias("body"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_LINES} AS l FROM documents), r AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM d), k AS (SELECT doc_id, CASE WHEN i % 3 = 0 THEN 'li' ELSE 'p' END AS kind, i, x FROM r)
+    SELECT doc_id, kind, CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) AS INTEGER) AS number, x AS content FROM k""")
+def fragment_rows(spark, sf):
+    """One row for each paragraph and list item of HTML made of whole texts."""
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(F.transform(F.split(escaped, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    html = F.array_join(F.transform(lines, lambda x, i: F.when((i + 1) % 3 == 0, F.concat(F.lit("<li> "), x, F.lit("</li>"))).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>")))), "\n")
+    return tables.parts(table(spark, sf, "documents").select("doc_id", html.alias("t")), "fragments", "r.t").select("doc_id", "kind", "number", "content")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_LINES} AS l FROM documents), r AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM d)
+    SELECT doc_id, CASE i WHEN 1 THEN 'intro' WHEN 2 THEN 'gejala' ELSE 'pencegahan' END AS heading, count(*) AS n, sum(length(x) + 2)::BIGINT AS chars FROM r WHERE i <= 4 GROUP BY ALL""")
+def section_rows(spark, sf):
+    """Lines of the first four below headings that stand between them."""
+    lines = F.slice(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""), 1, 4)
+    marked = F.transform(lines, lambda x, i: F.concat(F.when(i == 1, "Gejala:\n").when(i == 2, "\nPencegahan umum.\n").when(i == 3, "PENCEGAHAN\n").otherwise(""), F.lit("z "), x))
+    found = tables.parts(table(spark, sf, "documents").select("doc_id", F.array_join(marked, "\n").alias("t")), "sections", "r.t", "'gejala|pencegahan'")
+    return found.groupBy("doc_id", "heading").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
 _SENTENCES = lambda x: rf"string_split(regexp_replace({squeeze(x)}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 
 
