@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once for each row; written out, it would be computed at every use, and inside a lambda for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip_ends(text: Column) -> Column:
     """Without white space of any kind at the ends; trim() would leave tabs and line breaks."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -271,8 +277,8 @@ def split_questions(text, most: int = 3) -> Column:
 def distinct_ci(items) -> Column:
     """ARR1, STR28: squeezed items, without empty ones, the first spelling of each in whatever case."""
     c = F.filter(F.transform(_c(items), lambda x: squeeze(x)), lambda x: x.isNotNull() & (x != ""))
-    low = F.transform(c, lambda x: F.lower(x))
-    return F.filter(c, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    both = F.transform(c, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+    return bound(both, lambda b: F.transform(F.filter(b, lambda p, i: F.array_position(b["low"], p["low"]) == i + 1), lambda p: p["x"]))
 
 
 def reference_urls(text, fallback=None, rules: dict[str, str] | None = None) -> Column:

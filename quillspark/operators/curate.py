@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases
 from ..functions.signals import names_match
-from ..functions.text import any_phrase, clean_list, distinct_ci, normalize_key, null_if_blank
+from ..functions.text import any_phrase, clean_list, normalize_key, null_if_blank, squeeze
 from ..plans.session import row_numbers, stored
 
 
@@ -44,13 +44,40 @@ def strongest_evidence(level: str, order: str) -> Column:
 
 def merge_entities(rows: DataFrame, key: Column, order: str, first: list[str] = (), joined: list[str] = (), lists: list[str] = (), sets: list[str] = (), evidence: str | None = None) -> DataFrame:
     """AGG8: one row for each key: first non-empty texts, distinct joined texts, ordered distinct lists, sorted sets, strongest evidence."""
+    keyed = rows.withColumn("merge_key", key)
     aggs = [first_filled(order, c).alias(c) for c in first]
-    aggs += [unique_join(ordered(order, null_if_blank(c))).alias(c) for c in joined]
-    aggs += [distinct_ci(F.flatten(ordered(order, c))).alias(c) for c in lists]
     aggs += [F.array_sort(F.collect_set(c)).alias(c) for c in sets]
     if evidence:
         aggs.append(strongest_evidence(evidence, order).alias(evidence))
-    return rows.groupBy(key.alias("merge_key")).agg(*aggs, F.min(order).alias(order))
+    out = keyed.groupBy("merge_key").agg(*aggs, F.min(order).alias(order))
+    if joined or lists:
+        names = [*joined, *lists]
+        texts = _distinct_values(keyed, order, joined, lists).withColumnRenamed("merge_key", "_k")
+        out = out.join(texts, F.col("merge_key").eqNullSafe(F.col("_k")), "left").drop("_k")
+        out = out.withColumns({c: F.coalesce(F.transform(c, lambda x: x["item"]), F.array().cast("array<string>")) for c in names})
+        out = out.withColumns({c: F.array_join(c, " ") for c in joined})
+    return out.select("merge_key", *first, *joined, *lists, *sets, *([evidence] if evidence else []), order)
+
+
+def _distinct_values(keyed: DataFrame, order: str, joined: list[str], lists: list[str]) -> DataFrame:
+    """The distinct texts of each key, sorted by where they come first, as an array for each column.
+
+    Repeats go before anything is collected, so that a group holds its distinct texts only, however many rows it has.
+    """
+
+    def value(c: str, low: Column, item: Column, row: Column, i: Column) -> Column:
+        return F.struct(F.lit(c).alias("name"), low.alias("low"), F.struct(F.col(order).alias("o"), row.alias("row"), i.cast("int").alias("i"), item.alias("item")).alias("at"))
+
+    def whole(c: str) -> Column:
+        return F.transform(F.array_compact(F.array(null_if_blank(c))), lambda x: value(c, x, x, F.lit(None).cast("array<string>"), F.lit(0)))
+
+    def items(c: str) -> Column:
+        some = F.filter(F.transform(c, lambda x, i: F.struct(squeeze(x).alias("x"), i.alias("i"))), lambda p: F.coalesce(p["x"], F.lit("")) != "")
+        return F.coalesce(F.transform(some, lambda p: value(c, F.lower(p["x"]), p["x"], F.col(c), p["i"])), F.array())
+
+    found = [whole(c) for c in joined] + [items(c) for c in lists]
+    one = keyed.select("merge_key", F.inline(F.concat(*found))).groupBy("merge_key", "name", "low").agg(F.min("at").alias("at"))
+    return one.groupBy("merge_key").agg(*[F.array_sort(F.collect_list(F.when(F.col("name") == c, F.col("at")))).alias(c) for c in (*joined, *lists)])
 
 
 def first_by_key(rows: DataFrame, keys: list, order: str) -> DataFrame:

@@ -144,6 +144,22 @@ def test_entity_merge_and_evidence(spark):
     assert (r.latin, r.txt, r.parts, r.alias, r.level) == ("n1", "t1 t2", ["a", "b"], ["x", "y"], "low") and got["other"].level == "high"
 
 
+def test_entity_merge_of_a_large_group(spark):
+    import time
+
+    n = F.col("id")
+    rows = spark.range(20_000).select(n.alias("ord"), F.lit("k").alias("name"), F.concat(F.lit("t"), ((n + 1) % 3).cast("string")).alias("txt"), F.array(F.concat(F.lit(" P"), (n % 5).cast("string")), F.concat(F.lit("p"), (n % 7).cast("string"))).alias("parts"))
+    at = time.time()
+    r = curate.merge_entities(rows, F.col("name"), "ord", joined=["txt"], lists=["parts"]).first()
+    assert (r.txt, r.parts) == ("t1 t2 t0", ["P0", "P1", "P2", "P3", "P4", "p5", "p6"]) and time.time() - at < 60
+
+
+def test_entity_merge_keeps_null_keys_and_empty_groups(spark):
+    rows = spark.createDataFrame([(1, None, " a ", ["x"]), (2, None, "b", None), (3, "k", " ", [" ", None])], "ord int, name string, txt string, parts array<string>")
+    got = {r.merge_key: (r.txt, r.parts, r.ord) for r in curate.merge_entities(rows, F.col("name"), "ord", joined=["txt"], lists=["parts"]).collect()}
+    assert got == {None: ("a b", ["x"], 1), "k": ("", [], 3)}
+
+
 def test_joins_and_orders(spark):
     rows = spark.createDataFrame([("1", "Jahe", ""), ("2", "Kunyit", "k")], "id string, name string, note string")
     legacy = spark.createDataFrame([("1", "old", "o"), ("9", "nine", "n")], "id string, name string, note string")
