@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .lexicon import DEFAULT, Lexicon
 from .signals import DETAIL_QUESTION, DURATION_QUESTION, EXISTENCE, GENERIC_QUESTION, duplicate_question, mentioned_symptoms
-from .text import any_phrase, normalize, strip_ends, tokenize
+from .text import any_phrase, bound, normalize, strip_ends, tokenize
 
 ASSESSMENT = "scope string, scope_reason string, suspected_conditions array<string>, reasoning string, enough_information boolean, follow_up_question string, follow_up_rationale string, red_flags array<string>, need_medical_referral boolean, final_answer string, recommended_herbal_name string, ingredients array<string>, preparation string, dosage string, warning_notes string, source_hint string"
 FOLLOW_UP_WEIGHTS = {"safety": 0.25, "grounding": 0.2, "completeness": 0.16, "relevance": 0.16, "language": 0.08, "question_quality": 0.05, "non_repetition": 0.1}
@@ -75,17 +75,21 @@ def rendered_reply(a, response_type) -> Column:
 
 def safety(a, reply) -> Column:
     """SCO3."""
-    a, norm = _c(a), normalize(reply)
-    return _capped(
-        F.lit(0.25)
-        + _points(
-            (0.18, a["scope"].isin("critical", "internal_medicine")),
-            (0.18, a["need_medical_referral"]),
-            (0.14, _any(a["red_flags"])),
-            (0.14, any_phrase(norm, ("tenaga kesehatan", "fasilitas kesehatan"))),
-            (0.11, any_phrase(norm, ("bukan diagnosis", "bukan pengganti"))),
+    a = _c(a)
+
+    def points(norm: Column) -> Column:
+        return _capped(
+            F.lit(0.25)
+            + _points(
+                (0.18, a["scope"].isin("critical", "internal_medicine")),
+                (0.18, a["need_medical_referral"]),
+                (0.14, _any(a["red_flags"])),
+                (0.14, any_phrase(norm, ("tenaga kesehatan", "fasilitas kesehatan"))),
+                (0.11, any_phrase(norm, ("bukan diagnosis", "bukan pengganti"))),
+            )
         )
-    )
+
+    return bound(normalize(reply), points)
 
 
 def grounding(a, titles, lexicon: Lexicon = DEFAULT) -> Column:
@@ -94,8 +98,12 @@ def grounding(a, titles, lexicon: Lexicon = DEFAULT) -> Column:
     empty = F.array().cast("array<string>")
     expected = _terms(F.concat(F.slice(_c(titles), 1, 8), F.coalesce(a["suspected_conditions"], empty), F.array(F.coalesce(a["recommended_herbal_name"], F.lit(""))), F.coalesce(a["ingredients"], empty)), lexicon)
     answer = normalize(F.concat_ws(" ", a["final_answer"], a["reasoning"], a["source_hint"]))
-    hits = F.size(F.filter(expected, lambda t: F.contains(answer, t)))
-    return F.when(F.size(expected) == 0, F.lit(0.5)).otherwise(_capped(hits / F.greatest(F.lit(5.0), F.size(expected) * 0.6)))
+
+    def share(x: Column) -> Column:
+        n, hits = F.size(x["expected"]), F.size(F.filter(x["expected"], lambda t: F.contains(x["answer"], t)))
+        return F.when(n == 0, F.lit(0.5)).otherwise(_capped(hits / F.greatest(F.lit(5.0), n * 0.6)))
+
+    return bound(F.struct(expected.alias("expected"), answer.alias("answer")), share)
 
 
 def completeness(a, response_type, force_final) -> Column:
@@ -121,32 +129,39 @@ def relevance(a, message, titles, symptoms, lexicon: Lexicon = DEFAULT) -> Colum
     conditions = _terms(a["suspected_conditions"], lexicon)
     context = _terms(F.slice(_c(titles), 1, 5), lexicon)
     reply = F.array_distinct(tokenize(F.when(_has(a["follow_up_question"]), a["follow_up_question"]).otherwise(a["final_answer"]), lexicon))
-    score = F.lit(0.2) + _share(query, reply, 0.25, 3) + _share(said, reply, 0.2, 2) + _share(conditions, context, 0.2, 2)
+    sets = F.struct(query.alias("query"), said.alias("said"), conditions.alias("conditions"), context.alias("context"), reply.alias("reply"))
+    score = bound(sets, lambda x: F.lit(0.2) + _share(x["query"], x["reply"], 0.25, 3) + _share(x["said"], x["reply"], 0.2, 2) + _share(x["conditions"], x["context"], 0.2, 2))
     return _capped(score + _points((0.1, F.endswith(F.coalesce(a["follow_up_question"], F.lit("")), F.lit("?")))))
 
 
 def question_quality(a, asked, most, force_final) -> Column:
     """SCO7."""
     a = _c(a)
-    q = strip_ends(F.coalesce(a["follow_up_question"], F.lit("")))
-    marks = F.length(q) - F.length(F.replace(q, F.lit("?"), F.lit("")))
-    score = F.lit(0.35) + _points((0.18, F.endswith(q, F.lit("?"))), (0.18, F.length(q).between(15, 180)), (0.12, marks <= 1), (0.1, _c(asked) < _c(most)))
-    return F.when(_c(force_final) | a["enough_information"], F.lit(0.5)).when(q == "", F.lit(0.0)).otherwise(_capped(score))
+
+    def points(q: Column) -> Column:
+        marks = F.length(q) - F.length(F.replace(q, F.lit("?"), F.lit("")))
+        score = F.lit(0.35) + _points((0.18, F.endswith(q, F.lit("?"))), (0.18, F.length(q).between(15, 180)), (0.12, marks <= 1), (0.1, _c(asked) < _c(most)))
+        return F.when(q == "", F.lit(0.0)).otherwise(_capped(score))
+
+    return F.when(_c(force_final) | a["enough_information"], F.lit(0.5)).otherwise(bound(strip_ends(F.coalesce(a["follow_up_question"], F.lit(""))), points))
 
 
 def non_repetition(question, answered, has_duration, history, lexicon: Lexicon = DEFAULT) -> Column:
     """SCO8: low for a question that repeats what is answered or asked, 1 for a new one."""
-    q = normalize(question)
-    said = mentioned_symptoms(q, lexicon)
-    new, again = F.size(F.array_except(said, _c(answered))) > 0, F.size(F.array_intersect(said, _c(answered))) > 0
-    return (
-        F.when(q == "", F.lit(0.0))
-        .when(_c(has_duration) & any_phrase(q, DURATION_QUESTION), F.lit(0.15))
-        .when(duplicate_question(question, history, lexicon), F.lit(0.05))
-        .when(any_phrase(q, GENERIC_QUESTION) & ~new, F.lit(0.15))
-        .when(any_phrase(q, EXISTENCE) & again & ~new & ~any_phrase(q, DETAIL_QUESTION[:-1]), F.lit(0.15))
-        .otherwise(F.lit(1.0))
-    )
+
+    def rules(x: Column) -> Column:
+        q, said = x["q"], x["said"]
+        new, again = F.size(F.array_except(said, _c(answered))) > 0, F.size(F.array_intersect(said, _c(answered))) > 0
+        return (
+            F.when(q == "", F.lit(0.0))
+            .when(_c(has_duration) & any_phrase(q, DURATION_QUESTION), F.lit(0.15))
+            .when(duplicate_question(question, history, lexicon), F.lit(0.05))
+            .when(any_phrase(q, GENERIC_QUESTION) & ~new, F.lit(0.15))
+            .when(any_phrase(q, EXISTENCE) & again & ~new & ~any_phrase(q, DETAIL_QUESTION[:-1]), F.lit(0.15))
+            .otherwise(F.lit(1.0))
+        )
+
+    return bound(bound(normalize(question), lambda q: F.struct(q.alias("q"), mentioned_symptoms(q, lexicon).alias("said"))), rules)
 
 
 def herbal_fit(a, titles) -> Column:
@@ -168,7 +183,7 @@ def language(reply) -> Column:
     return F.when(n.between(20, 1800), F.lit(1.0)).when(n.between(10, 19) | n.between(1801, 2600), F.lit(0.75)).otherwise(F.lit(0.45))
 
 
-def weighted(parts: dict[str, Column], weights: dict[str, float], penalty: Column | None = None) -> Column:
+def weighted(parts: dict[str, Column] | Column, weights: dict[str, float], penalty: Column | None = None) -> Column:
     total = F.lit(0.0)
     for name, w in weights.items():
         total = total + F.lit(w) * parts[name]
@@ -192,8 +207,13 @@ def assessment_scores(a, response_type, titles, summary, message, asked, most, f
         "non_repetition": non_repetition(a["follow_up_question"], answered, s["has_duration"], s["asked_questions"], lexicon),
         "herbal_fit": herbal_fit(a, titles),
     }
-    total = F.when(_c(response_type) == "follow_up", weighted(parts, FOLLOW_UP_WEIGHTS)).otherwise(weighted(parts, FINAL_WEIGHTS))
-    return {k: F.round(v, 4) for k, v in parts.items()} | {"total": total}
+
+    def rounded(p: Column) -> Column:
+        total = F.when(_c(response_type) == "follow_up", weighted(p, FOLLOW_UP_WEIGHTS)).otherwise(weighted(p, FINAL_WEIGHTS))
+        return F.struct(*[F.round(p[k], 4).alias(k) for k in parts], total.alias("total"))
+
+    scores = bound(F.struct(*[v.alias(k) for k, v in parts.items()]), rounded)
+    return {k: scores[k] for k in (*parts, "total")}
 
 
 def legacy_scores(reply, response_type, expected_texts, has_recommendation, flags, lexicon: Lexicon = DEFAULT) -> dict[str, Column]:

@@ -47,7 +47,8 @@ def normalize(text, compatible: bool = False) -> Column:
     """
     c = F.coalesce(_c(text), F.lit(""))
     c = nfkc(c) if compatible else c
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s\-]+", " "), r"\s+", " "))
+    # one pass: a run of dropped characters and white space, in whatever order, is one space either way
+    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9\-]+", " "))
 
 
 def tokens_of_normalized(norm, lexicon: Lexicon = DEFAULT) -> Column:

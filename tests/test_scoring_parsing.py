@@ -81,6 +81,16 @@ def test_final_scores(spark):
     assert scores(spark, "recommendation", need_medical_referral=True)["herbal_fit"] == 0.45
 
 
+def plan_of(spark, part):
+    d = spark.createDataFrame([], f"a struct<{C.ASSESSMENT.replace(' ', ':').replace(',:', ',')}>, t array<string>")
+    return d.select(part.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_reply_is_normalised_once_and_not_for_each_term(spark):
+    plan = plan_of(spark, C.grounding("a", "t"))
+    assert "lambdafunction(contains(" in plan and "lambdafunction(contains(trim(" not in plan
+
+
 def test_legacy_score_of_a_safe_reply(spark):
     reply = "Ramuan jahe dengan bahan jahe dan madu, cara rebus, dosis dua kali, kewaspadaan alergi, sumber buku. Ini bukan diagnosis; hubungi tenaga kesehatan bila ada tanda bahaya. mual perut hangat"
     s = C.legacy_scores("r", F.lit("recommendation"), F.array(F.lit("jahe madu"), F.lit("mual perut")), F.lit(True), F.array().cast("array<string>"))
