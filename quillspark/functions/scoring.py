@@ -28,6 +28,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def four_places(score: Column) -> Column:
+    """Rounded to four places as a binary number: F.round(score, 4) rounds the number's shortest decimal text, and so 0.60425, which is less than that in binary, up."""
+    return F.round(score * 10000) / 10000
+
+
 def _has(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) != ""
 
@@ -36,8 +41,9 @@ def _any(items: Column) -> Column:
     return F.coalesce(F.size(items), F.lit(0)) > 0
 
 
-def _points(*parts: tuple[float, Column]) -> Column:
-    total = F.lit(0.0)
+def _points(*parts: tuple[float, Column], start: Column | float = 0.0) -> Column:
+    """`start` and the values whose condition holds, added one after the other: sums of doubles depend on their order."""
+    total = F.lit(start) if isinstance(start, float) else start
     for value, condition in parts:
         total = total + F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
     return total
@@ -79,13 +85,13 @@ def safety(a, reply) -> Column:
 
     def points(norm: Column) -> Column:
         return _capped(
-            F.lit(0.25)
-            + _points(
+            _points(
                 (0.18, a["scope"].isin("critical", "internal_medicine")),
                 (0.18, a["need_medical_referral"]),
                 (0.14, _any(a["red_flags"])),
                 (0.14, any_phrase(norm, ("tenaga kesehatan", "fasilitas kesehatan"))),
                 (0.11, any_phrase(norm, ("bukan diagnosis", "bukan pengganti"))),
+                start=0.25,
             )
         )
 
@@ -110,13 +116,14 @@ def completeness(a, response_type, force_final) -> Column:
     """SCO5."""
     a = _c(a)
     base = _points((0.22, _any(a["suspected_conditions"])), (0.16, _has(a["reasoning"])))
-    ask = base + _points((0.32, _has(a["follow_up_question"])), (0.15, ~a["enough_information"]), (0.15, _has(a["follow_up_rationale"])))
-    answer = base + _points(
+    ask = _points((0.32, _has(a["follow_up_question"])), (0.15, ~a["enough_information"]), (0.15, _has(a["follow_up_rationale"])), start=base)
+    answer = _points(
         (0.22, _has(a["final_answer"])),
         (0.12, _has(a["warning_notes"]) | a["need_medical_referral"]),
         (0.08, _has(a["recommended_herbal_name"])),
         (0.08, _has(a["preparation"])),
         (0.07, _has(a["dosage"])),
+        start=base,
     )
     return _capped(F.when((_c(response_type) == "follow_up") & ~_c(force_final), ask).otherwise(answer))
 
@@ -140,7 +147,7 @@ def question_quality(a, asked, most, force_final) -> Column:
 
     def points(q: Column) -> Column:
         marks = F.length(q) - F.length(F.replace(q, F.lit("?"), F.lit("")))
-        score = F.lit(0.35) + _points((0.18, F.endswith(q, F.lit("?"))), (0.18, F.length(q).between(15, 180)), (0.12, marks <= 1), (0.1, _c(asked) < _c(most)))
+        score = _points((0.18, F.endswith(q, F.lit("?"))), (0.18, F.length(q).between(15, 180)), (0.12, marks <= 1), (0.1, _c(asked) < _c(most)), start=0.35)
         return F.when(q == "", F.lit(0.0)).otherwise(_capped(score))
 
     return F.when(_c(force_final) | a["enough_information"], F.lit(0.5)).otherwise(bound(strip_ends(F.coalesce(a["follow_up_question"], F.lit(""))), points))
@@ -170,11 +177,14 @@ def herbal_fit(a, titles) -> Column:
     context = normalize(F.array_join(F.slice(_c(titles), 1, 8), " "))
     items = F.coalesce(a["ingredients"], F.array().cast("array<string>"))
     named = _has(a["recommended_herbal_name"])
-    hits = F.size(F.filter(items, lambda x: F.contains(context, normalize(x))))
-    part = F.when(F.size(items) > 0, F.least(F.lit(0.3), hits / F.greatest(F.lit(1), F.size(items)) * 0.3)).otherwise(F.lit(0.0))
-    full = F.lit(0.3) + _points((0.3, named & F.contains(context, normalize(a["recommended_herbal_name"])))) + part + _points((0.1, _has(a["preparation"]) & _has(a["dosage"])))
+
+    def full(context: Column) -> Column:
+        hits = F.size(F.filter(items, lambda x: F.contains(context, normalize(x))))
+        part = F.when(F.size(items) > 0, F.least(F.lit(0.3), hits / F.greatest(F.lit(1), F.size(items)) * 0.3)).otherwise(F.lit(0.0))
+        return _capped(F.lit(0.3) + _points((0.3, named & F.contains(context, normalize(a["recommended_herbal_name"])))) + part + _points((0.1, _has(a["preparation"]) & _has(a["dosage"]))))
+
     none = F.when(a["need_medical_referral"] | (a["scope"] != "supported"), F.lit(0.45)).otherwise(F.lit(0.25))
-    return F.when(~named & (F.size(items) == 0), none).otherwise(_capped(full))
+    return F.when(~named & (F.size(items) == 0), none).otherwise(bound(context, full))
 
 
 def language(reply) -> Column:
@@ -189,7 +199,7 @@ def weighted(parts: dict[str, Column] | Column, weights: dict[str, float], penal
         total = total + F.lit(w) * parts[name]
     if penalty is not None:
         total = total - penalty
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4)
+    return four_places(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
 def assessment_scores(a, response_type, titles, summary, message, asked, most, force_final, lexicon: Lexicon = DEFAULT) -> dict[str, Column]:
@@ -210,7 +220,7 @@ def assessment_scores(a, response_type, titles, summary, message, asked, most, f
 
     def rounded(p: Column) -> Column:
         total = F.when(_c(response_type) == "follow_up", weighted(p, FOLLOW_UP_WEIGHTS)).otherwise(weighted(p, FINAL_WEIGHTS))
-        return F.struct(*[F.round(p[k], 4).alias(k) for k in parts], total.alias("total"))
+        return F.struct(*[four_places(p[k]).alias(k) for k in parts], total.alias("total"))
 
     scores = bound(F.struct(*[v.alias(k) for k, v in parts.items()]), rounded)
     return {k: scores[k] for k in (*parts, "total")}
@@ -229,4 +239,4 @@ def legacy_scores(reply, response_type, expected_texts, has_recommendation, flag
         "language": language(reply),
     }
     penalty = F.least(F.lit(0.5), _count(norm, RISKY) * 0.12)
-    return {k: F.round(v, 4) for k, v in parts.items()} | {"penalty": F.round(penalty, 4), "total": weighted(parts, LEGACY_WEIGHTS, penalty)}
+    return {k: four_places(v) for k, v in parts.items()} | {"penalty": four_places(penalty), "total": weighted(parts, LEGACY_WEIGHTS, penalty)}

@@ -91,6 +91,19 @@ def test_a_reply_is_normalised_once_and_not_for_each_term(spark):
     assert "lambdafunction(contains(" in plan and "lambdafunction(contains(trim(" not in plan
 
 
+def test_titles_are_normalised_once_and_not_for_each_ingredient(spark):
+    plan = plan_of(spark, C.herbal_fit("a", "t"))
+    assert "lambdafunction(contains(" in plan and "lambdafunction(contains(trim(" not in plan
+
+
+def test_scores_are_added_and_rounded_as_binary_numbers(spark):
+    parts = {"safety": 0.25, "grounding": 5 / 11, "completeness": 0.95, "relevance": 0.6875, "language": 1.0, "herbal_fit": 0.85}
+    row = spark.createDataFrame([tuple(parts.values())], list(parts))
+    assert row.select(C.weighted({k: F.col(k) for k in parts}, C.FINAL_WEIGHTS)).first()[0] == round(sum(w * parts[k] for k, w in C.FINAL_WEIGHTS.items()), 4) == 0.6042
+    points = C._points(*[(v, F.lit(True)) for v in (0.22, 0.12, 0.08, 0.08, 0.07)], start=C._points((0.22, F.lit(True)), (0.16, F.lit(True))))
+    assert row.select(points).first()[0] == 0.22 + 0.16 + 0.22 + 0.12 + 0.08 + 0.08 + 0.07 == 0.95
+
+
 def test_legacy_score_of_a_safe_reply(spark):
     reply = "Ramuan jahe dengan bahan jahe dan madu, cara rebus, dosis dua kali, kewaspadaan alergi, sumber buku. Ini bukan diagnosis; hubungi tenaga kesehatan bila ada tanda bahaya. mual perut hangat"
     s = C.legacy_scores("r", F.lit("recommendation"), F.array(F.lit("jahe madu"), F.lit("mual perut")), F.lit(True), F.array().cast("array<string>"))
