@@ -39,6 +39,10 @@ def _ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
+#: What normalisation drops. The kept characters are listed one by one: such a class is one table look-up for a character, ranges are tested in turn.
+_DROPPED = r"[^abcdefghijklmnopqrstuvwxyz0123456789\-]+"
+
+
 def normalize(text, compatible: bool = False) -> Column:
     """STR1: lower case, all but a-z, 0-9, white space and hyphens to spaces, white space squeezed and trimmed.
 
@@ -48,19 +52,28 @@ def normalize(text, compatible: bool = False) -> Column:
     c = F.coalesce(_c(text), F.lit(""))
     c = nfkc(c) if compatible else c
     # one pass: a run of dropped characters and white space, in whatever order, is one space either way
-    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9\-]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), _DROPPED, " "))
+
+
+def words(text) -> Column:
+    """The words of the normalised text, split without building it; the first and the last may be empty."""
+    return F.split(F.lower(F.coalesce(_c(text), F.lit(""))), _DROPPED)
 
 
 def tokens_of_normalized(norm, lexicon: Lexicon = DEFAULT) -> Column:
     """STR2 on an already normalised text."""
+    return _tokens(F.split(_c(norm), " "), lexicon)
+
+
+def _tokens(parts: Column, lexicon: Lexicon) -> Column:
     stop = list(lexicon.stopwords)
-    kept = F.filter(F.split(_c(norm), " "), lambda t: (F.length(t) > 2) & ~t.isin(stop))
+    kept = F.filter(parts, lambda t: (F.length(t) > 2) & ~t.isin(stop))
     return F.transform(kept, lambda t: synonym(t, lexicon))
 
 
 def tokenize(text, lexicon: Lexicon = DEFAULT) -> Column:
     """STR2: normalised words longer than two characters that are no stopwords, then synonyms; order and repeats stay."""
-    return tokens_of_normalized(normalize(text), lexicon)
+    return _tokens(words(text), lexicon)
 
 
 def synonym(token: Column, lexicon: Lexicon = DEFAULT) -> Column:

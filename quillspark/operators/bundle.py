@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.text import hint, split_semicolon, tokenize
+from ..plans.session import stored
 from .retrieval import Boost, Index, dedupe_best, rerank
 
 # How many hits are searched before any filter, results, boosts.
@@ -40,15 +41,15 @@ def _cut(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def retrieve_cases(index: Index, chunks: DataFrame, cases: DataFrame, queries: DataFrame, k: int = RESULTS["cases"], lexicon: Lexicon = DEFAULT) -> DataFrame:
+def retrieve_cases(index: Index, chunks: DataFrame, cases: DataFrame, queries: DataFrame, k: int = RESULTS["cases"], lexicon: Lexicon = DEFAULT, found: DataFrame | None = None) -> DataFrame:
     """TOP3: (query, id, type, title, score, evidence_level, matched_terms, ord, rank) of the best cases.
 
     The search's limit comes before the filter by type. Hinted cases gain; those that weren't found are appended
-    with a fixed score.
+    with a fixed score. found: hits of a search of the queries that went at least as far.
     """
     q = queries.select("query", F.col("text").alias("asked"), "hinted_case_ids")
     of = chunks.where("type = 'case' and case_id is not null").select(F.col("id").alias("chunk"), "case_id")
-    hits = index.search(queries.select("query", "text"), SEARCHED["cases"]).withColumnRenamed("id", "chunk")
+    hits = _hits(index, queries.select("query", "text"), SEARCHED["cases"], found).withColumnRenamed("id", "chunk")
     hits = hits.join(of, "chunk").join(cases.select("case_id", "keluhan_ringan"), "case_id").join(q, "query")
     score = F.col("score") + F.when(F.array_contains("hinted_case_ids", F.col("case_id")), HINTED).otherwise(0.0)
     score = score + F.when(F.contains(F.lower("asked"), F.lit("ringan")) & F.contains("keluhan_ringan", F.lit("ringan")), MILD).otherwise(0.0)
@@ -60,8 +61,12 @@ def retrieve_cases(index: Index, chunks: DataFrame, cases: DataFrame, queries: D
     return _cut(found.unionByName(hinted), k).withColumn("type", F.lit("case"))
 
 
-def _candidates(index: Index, chunks: DataFrame, queries: DataFrame, searched: int, lexicon: Lexicon) -> DataFrame:
-    hits = index.search(queries, searched)
+def _hits(index: Index, queries: DataFrame, searched: int, found: DataFrame | None) -> DataFrame:
+    return index.search(queries, searched) if found is None else found.where(F.col("rank") <= searched)
+
+
+def _candidates(index: Index, chunks: DataFrame, queries: DataFrame, searched: int, lexicon: Lexicon, found: DataFrame | None = None) -> DataFrame:
+    hits = _hits(index, queries, searched, found)
     return hits.join(chunks.drop("text", "ord"), "id").withColumn("title_hint", hint("title", lexicon))
 
 
@@ -93,9 +98,9 @@ def retrieve_context(index: Index, chunks: DataFrame, cases: DataFrame, queries:
     return rerank(hits, boosts, kind != "case", _dedupe_key(), k).select("query", "id", "type", "title", "score", "evidence_level", "matched_terms", "rank")
 
 
-def retrieve_guidance(index: Index, chunks: DataFrame, queries: DataFrame, k: int = RESULTS["guidance"], lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """TOP5: the best disease guidance and anamnesis chunks for a query."""
-    hits = _candidates(index, chunks, queries.select("query", "text"), SEARCHED["guidance"], lexicon)
+def retrieve_guidance(index: Index, chunks: DataFrame, queries: DataFrame, k: int = RESULTS["guidance"], lexicon: Lexicon = DEFAULT, found: DataFrame | None = None) -> DataFrame:
+    """TOP5: the best disease guidance and anamnesis chunks for a query. found: as for retrieve_cases()."""
+    hits = _candidates(index, chunks, queries.select("query", "text"), SEARCHED["guidance"], lexicon, found)
     hits = hits.join(queries.select("query", "detected_symptoms", hint("text", lexicon).alias("asked")), "query")
     kind = F.col("type")
     keep = ((kind == "training") & (F.col("metadata.content_type") == "disease_guidance")) | (kind == "anamnesis")
@@ -109,13 +114,17 @@ def retrieve_guidance(index: Index, chunks: DataFrame, queries: DataFrame, k: in
 
 
 def retrieve_bundle(index: Index, chunks: DataFrame, cases: DataFrame, queries: DataFrame, previous: DataFrame | None = None, lexicon: Lexicon = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """TOP6: (items, best cases). previous: (query, case_id) of the session, for queries without a case of their own."""
-    top = retrieve_cases(index, chunks, cases, queries, RESULTS["cases"], lexicon)
+    """TOP6: (items, best cases). previous: (query, case_id) of the session, for queries without a case of their own.
+
+    Cases and guidance take their hits from one search of the queries; the best cases, which are read twice, are stored.
+    """
+    found = stored(index.search(queries.select("query", "text"), max(SEARCHED["cases"], SEARCHED["guidance"])), "found")
+    top = stored(retrieve_cases(index, chunks, cases, queries, RESULTS["cases"], lexicon, found), "cases")
     best = top.where("rank = 1").select("query", F.col("id").alias("case_id"))
     if previous is not None:
         best = best.unionByName(previous.select("query", "case_id").join(best, "query", "left_anti"))
     context = retrieve_context(index, chunks, cases, queries.join(best, "query"), RESULTS["context"], lexicon)
-    guidance = retrieve_guidance(index, chunks, queries, BUNDLE["guidance"], lexicon)
+    guidance = retrieve_guidance(index, chunks, queries, BUNDLE["guidance"], lexicon, found)
     columns = ["query", "id", "type", "title", "score", "evidence_level", "matched_terms"]
     parts = [(top.where(F.col("rank") <= BUNDLE["cases"]), 0), (context.where(F.col("rank") <= BUNDLE["context"]), 100), (guidance, 200)]
     items = None

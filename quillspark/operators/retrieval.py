@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.text import normalize, synonym, tokenize
+from ..functions.text import synonym, tokenize, words
 from ..plans.session import stored
 
 DIMENSION = 384
@@ -40,8 +40,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 def token_rows(docs: DataFrame, key: str, text: str, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(key, token) of every token: exploded, so that the filters run in generated code."""
-    words = docs.select(key, F.explode(F.split(normalize(text), " ")).alias("token"))
-    kept = words.where((F.length("token") > 2) & ~F.col("token").isin(list(lexicon.stopwords)))
+    parts = docs.select(key, F.explode(words(text)).alias("token"))
+    kept = parts.where((F.length("token") > 2) & ~F.col("token").isin(list(lexicon.stopwords)))
     return kept.withColumn("token", synonym(F.col("token"), lexicon))
 
 
@@ -86,6 +86,13 @@ class TfidfIndex:
         self.idfs = stored(document_frequency(counts).crossJoin(F.broadcast(n_docs)).select("token", idf(F.col("df"), F.col("n_docs")).alias("idf")), "idfs")
         self.postings = counts.join(self.idfs, "token").select(key, "token", weight(F.col("n"), F.col("top"), F.col("idf")).alias("w"))
         self.norms = self.postings.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        self._kept: DataFrame | None = None
+
+    def kept_norms(self) -> DataFrame:
+        """The norms as a table, made by the first search for all that follow."""
+        if self._kept is None:
+            self._kept = stored(self.norms, "norms")
+        return self._kept
 
     def query_weights(self, queries: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
         """(query, token, qw, qnorm); tokens unknown to the index weigh as with idf 1 and count in the norm."""
@@ -96,14 +103,17 @@ class TfidfIndex:
     def search(self, queries: DataFrame, k: int = 10, query: str = "query", text: str = "text") -> DataFrame:
         """TOP1: (query, key, score, rank, matched_terms) of the best k documents of each query.
 
-        Scores are rounded to four places before they are ranked; ties go to the smaller key. The postings are
-        dealt by document for their norms; the sums of each document and query reuse that partitioning, and a
-        task passes on only its best k of each query. The words of the queries are a table of checked size.
+        Scores are rounded to four places before they are ranked; ties go to the smaller key. Only the postings with
+        a word of the queries are weighed and dealt by document; the sums of each document and query and the norms
+        reuse that partitioning, and a task passes on only its best k of each query. The words of the queries are a
+        table of checked size.
         """
         q = _small(stored(self.query_weights(queries, query, text), "queries"))
-        normed = self.postings.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(self.key))))
-        dots = normed.join(q, "token").groupBy(self.key, "query").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.first("qnorm").alias("qnorm"), F.first("norm").alias("norm"))
-        scored = dots.where("dot > 0").withColumn("score", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")), 4))
+        asked = _small(self.idfs.join(q.select("token").distinct(), "token", "left_semi"))
+        dealt = self.counts.join(asked, "token").select(self.key, "token", weight(F.col("n"), F.col("top"), F.col("idf")).alias("w")).repartition(self.key)
+        dots = dealt.join(q, "token").groupBy(self.key, "query").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.first("qnorm").alias("qnorm"))
+        # a hash of each partition's norms: the sums, of which there are far more, need no sort
+        scored = dots.where("dot > 0").join(self.kept_norms().hint("shuffle_hash"), self.key).withColumn("score", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")), 4))
         rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), self.key))
         best = stored(scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", self.key, "score", "rank"), "best")
         # the matched terms of the few results, not of all pairs

@@ -634,7 +634,7 @@ def _bundle_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     cases = cases.withColumn("text", F.concat_ws(" ", "keluhan_ringan", "ramuan_rekomendasi", F.array_join("items", " ")))
     asked = F.concat_ws(" ", "text", F.when(F.col("item_id") % 4 == 1, "ringan"))
     queries = b.where("item_id % 2 = 1").select(F.col("item_id").alias("query"), asked.alias("text"), F.array(F.concat(F.lit("case_"), (F.col("item_id") - F.col("item_id") % 4).cast("string")), F.lit("none")).alias("hinted_case_ids"), F.slice(text.tokenize("text"), 1, 3).alias("detected_symptoms"))
-    d = table(spark, sf, "documents").withColumn("w", F.split("text", "[ \\n]"))
+    d = table(spark, sf, "documents").withColumn("w", F.split("text", "[ \\n]", 3))  # the first two words; the rest stays in one piece
     kind = F.element_at(F.array(*[F.lit(k) for k in ("case", "formula", "herb", "training", "anamnesis")]), (F.col("doc_id") % 5 + 1).cast("int"))
     level = F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 7 == 0, "clinical_guideline_reference")
     case = F.concat(F.lit("case_"), (F.col("doc_id") % 40).cast("string"))

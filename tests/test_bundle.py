@@ -71,3 +71,18 @@ def test_bundle(spark, base):
     rows = [r for r in items.collect() if r.query == 0]
     assert len({r.id for r in rows}) == len(rows) and [r.score for r in sorted(rows, key=lambda r: r.rank)] == sorted((r.score for r in rows), reverse=True)
     assert {"case_001", "f1", "t1"} <= {r.id for r in rows}
+
+
+def test_a_bundle_searches_once_for_cases_and_guidance(spark, base):
+    chunks, cases, index = base
+
+    class Counting:
+        searches = 0
+
+        def search(self, queries, k):
+            self.searches += 1
+            return index.search(queries, k)
+
+    counting = Counting()
+    retrieve_bundle(counting, chunks, cases, asked(spark, "saya mual demam"))
+    assert counting.searches == 2
