@@ -106,13 +106,14 @@ def vector_upsert(spark, sf):
     s AS (SELECT 'q-' || a.vec_id AS query, b.key, round(greatest(0, least(1, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), b.e))), 4) AS score FROM embeddings a, v b WHERE a.vec_id % 100 = 0)
     SELECT query, key, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
 def stored_vector_search(spark, sf):
-    """A stored index with text keys, filled in two batches of which the second replaces a fifth of the vectors; up to 2,000 vectors lie in one list, so it is exact."""
+    """A stored index with text keys, filled in two batches of which the second replaces a fifth of the vectors; queries look into all lists, so it is exact at any size."""
     path, e = work_folder(spark, "index"), table(spark, sf, "embeddings")
     v = e.select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "vec_id")
     index = VectorIndex.create(v.drop("vec_id"), path)
     index.insert(v.where("vec_id % 5 = 0").select("id", F.reverse("embedding").alias("embedding")))
     asked = v.where("vec_id % 100 = 0").select(F.regexp_replace("id", "^vec", "q").alias("query"), "embedding")
-    return VectorIndex(spark, path).search_vectors(asked, 10).drop("tokens")
+    opened = VectorIndex(spark, path)
+    return opened.search_vectors(asked, 10, probes=len(opened.centers)).drop("tokens")
 
 
 @query("""SELECT printf('doc_%04d', row_number() OVER (ORDER BY doc_id)) AS id, row_number() OVER (ORDER BY doc_id) AS ord, coalesce(text, '') AS overview FROM documents""")

@@ -34,6 +34,13 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+def test_stored_vector_search_is_exact_beyond_one_list(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS vec_id, CAST(i % 5 AS INTEGER) AS label, list_transform(range(8), lambda x: CAST(sin(i * 12.9898 + x * 78.233) * 43758.5453 % 1 AS FLOAT)) AS embedding FROM range(2500) t(i)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    assert rows(QUERIES["stored_vector_search"](spark, str(tmp_path)).toPandas()) == rows(con.execute(SQL["stored_vector_search"]).df()[["query", "key", "score", "rank"]])
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
